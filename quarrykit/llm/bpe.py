@@ -25,6 +25,7 @@ from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -62,12 +63,15 @@ class WordBpe:
 
         self.normalise = Tokenizer.from_file(path).normalizer.normalize_str
         self.cut = pre_tokenizers.Split(Regex(split["pattern"]["Regex"]), "removed", invert=True).pre_tokenize_str
-        self.ascii_words = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+").findall
+        numbers = r"\d²³¹¼½¾"  # \p{N} up to U+024F
+        self.latin_words = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[^\W_{numbers}]+|[{numbers}]|(?:[^\w]|_)+").findall
 
     def words_in(self, chunk: str) -> list[str]:
-        """The tokenizer's words in a chunk: its own splitter where Unicode's tables matter."""
-        if chunk.isascii():
-            return self.ascii_words(chunk.lower())
+        """The tokenizer's words in a chunk. Up to U+024F nothing composes and Python's tables agree with the
+        tokenizer's; for all other chunks its own normaliser and splitter decide."""
+        if chunk.isascii() or max(chunk) < "\u0250" and "\u0130" not in chunk:
+            low = chunk.lower()
+            return [low] if low.isalpha() else self.latin_words(low)
         return [w for part in self.normalise(chunk).split(" ") if part for w, _ in self.cut(part)]
 
     def segments(self, text: str) -> list[str]:
@@ -242,14 +246,19 @@ class Encoder:
                 self.ids[c], self.texts[c] = ids[c], texts[c]
             else:
                 new.append(c)
-        split = {c: self.bpe.words_in(c) for c in new}
-        words = list({w for ws in split.values() for w in ws})
-        tokens = {w: self.lexicon.tokens(k) if k >= 0 else self.bpe.merge(w) for w, k in zip(words, self.lexicon.numbers(words).tolist())}
-        text_of = self.bpe.texts
-        for c, ws in split.items():
-            ids = [i for w in ws for i in tokens[w]]
-            self.ids[c] = " ".join(map(str, ids))
-            self.texts[c] = " ".join([text_of[i] for i in ids])
+        split = [self.bpe.words_in(c) for c in new]
+        words = list({w for ws in split for w in ws})
+        text_of, merge, tokens = self.bpe.texts.__getitem__, self.bpe.merge, self.lexicon.tokens
+        known: dict[str, tuple[str, str]] = {}
+        for w, k in zip(words, self.lexicon.numbers(words).tolist()):
+            ids = tokens(k) if k >= 0 else merge(w)
+            known[w] = " ".join(map(str, ids)), " ".join(map(text_of, ids))
+        for c, ws in zip(new, split):
+            if len(ws) == 1:
+                self.ids[c], self.texts[c] = known[ws[0]]
+            else:
+                self.ids[c] = " ".join([known[w][0] for w in ws])
+                self.texts[c] = " ".join([known[w][1] for w in ws])
 
     def encode(self, texts: list[str]) -> Iterator[tuple[str, str]]:
         """For each text its ids and its decoded text, both joined by a space."""
@@ -291,13 +300,11 @@ def count_words(docs: DataFrame, bpe_path: str) -> DataFrame:
                 for w in bpe.words_in(c):
                     words[w] += n
             chunks.clear()
-            import pandas as pd
-
-            kept = [(w, n) for w, n in words.items() if len(w) <= 256]  # longer ones are merged when met
-            return pd.DataFrame({"word": [w for w, _ in kept], "n": np.array([n for _, n in kept], np.int64)})
+            kept = [w for w in words if len(w) <= 256]  # longer ones are merged when met
+            return pa.RecordBatch.from_pydict({"word": pa.array(kept, pa.string()), "n": pa.array([words[w] for w in kept], pa.int64())})
 
-        for pdf in batches:
-            for text in pdf["text"]:
+        for batch in batches:
+            for text in batch["text"].to_pylist():
                 for k, s in enumerate(bpe.segments(text)):
                     if k % 2 == 0:
                         chunks.update(bpe.chunks(s))
@@ -306,23 +313,22 @@ def count_words(docs: DataFrame, bpe_path: str) -> DataFrame:
         yield drain()
 
     texts = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return texts.mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def build_lexicon(docs: DataFrame, bpe_path: str, lexicon_words: int = 1 << 18) -> Lexicon:
     """The automaton of the most frequent words of ``docs``, at most ``lexicon_words`` (ties: smaller word)."""
 
     def merge(batches):
-        import pandas as pd
-
         bpe = WordBpe(bpe_path)
-        for pdf in batches:
-            yield pd.DataFrame({"word": pdf["word"], "ids": [bpe.merge(w) for w in pdf["word"]]})
+        for batch in batches:
+            ids = pa.array([bpe.merge(w) for w in batch["word"].to_pylist()], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch["word"], ids], names=["word", "ids"])
 
     top = count_words(docs, bpe_path).orderBy(F.desc("n"), "word").limit(lexicon_words).select("word")
     parts = 4 * docs.sparkSession.sparkContext.defaultParallelism
-    merged = top.repartition(parts).mapInPandas(merge, "word string, ids array<int>").toPandas()
-    return Lexicon.compile(zip(merged["word"], [list(map(int, x)) for x in merged["ids"]]))
+    merged = top.repartition(parts).mapInArrow(merge, "word string, ids array<int>").toArrow()
+    return Lexicon.compile(zip(merged["word"].to_pylist(), merged["ids"].to_pylist()))
 
 
 def share(docs: DataFrame, lexicon: Lexicon) -> str:
@@ -342,34 +348,31 @@ def encode(docs: DataFrame, bpe_path: str, lexicon: Lexicon, ids: bool = False)
     name = share(docs, lexicon)
 
     def run(batches):
-        import pandas as pd
-
         encoder = encoder_for(name, bpe_path)
-        for pdf in batches:
-            done = list(encoder.encode(pdf["text"].tolist()))
-            out = {
-                "doc_id": pdf["doc_id"],
-                "n_tokens": np.array([i.count(" ") + 1 if i else 0 for i, _ in done], np.int64),
-                "ids_sha256": [hashlib.sha256(i.encode()).hexdigest() for i, _ in done],
-                "decoded_sha256": [hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for _, t in done],
-            }
+        for batch in batches:
+            done = list(encoder.encode(batch["text"].to_pylist()))
+            out = [
+                batch["doc_id"],
+                pa.array([i.count(" ") + 1 if i else 0 for i, _ in done], pa.int64()),
+                pa.array([hashlib.sha256(i.encode()).hexdigest() for i, _ in done], pa.string()),
+                pa.array([hashlib.sha256(t.encode()).hexdigest() for _, t in done], pa.string()),
+            ]
             if ids:
-                out["ids"] = [np.array(i.split(), np.int32) for i, _ in done]
-            yield pd.DataFrame(out)
+                out.append(pa.array([list(map(int, i.split())) for i, _ in done], pa.list_(pa.int32())))
+            yield pa.RecordBatch.from_arrays(out, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(out)])
 
     texts = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     kind = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return texts.mapInPandas(run, kind + ", ids array<int>" * ids)
+    return texts.mapInArrow(run, kind + ", ids array<int>" * ids)
 
 
 def decode(encoded: DataFrame, bpe_path: str) -> DataFrame:
     """``doc_id`` with the decoded text of ``ids``: the tokens joined by a space, special ones included."""
 
     def run(batches):
-        import pandas as pd
-
         text_of = WordBpe(bpe_path).texts
-        for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "text": [" ".join([text_of[i] for i in x]) if x is not None else "" for x in pdf["ids"]]})
+        for batch in batches:
+            texts = [" ".join([text_of[i] for i in x or ()]) for x in batch["ids"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(texts, pa.string())], names=["doc_id", "text"])
 
-    return encoded.select(F.col("doc_id").cast("long"), "ids").mapInPandas(run, "doc_id long, text string")
+    return encoded.select(F.col("doc_id").cast("long"), "ids").mapInArrow(run, "doc_id long, text string")

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quarrykit.llm import bpe
+from quarrykit.llm import bpe, language_id, line_dedup, mixing, near_dedup
 from quarrykit.llm.common import table
 
 BPE_PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -16,5 +17,56 @@ def op2_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(docs, BPE_PATH, bpe.build_lexicon(docs, BPE_PATH))
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe_transducer,)}
+def op4_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language_id.train(docs.filter(~language_id.held_out()))
+    return language_id.predictions(docs, model, [F.col("doc_id").cast("long").alias("doc_id"), language_id.held_out().alias("held_out")])
+
+
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.find(table(spark, sf_dir, "documents"), percent=75)
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    out = line_dedup.dedup(docs, threshold=10)
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op10_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = mixing.count_tokens(table(spark, sf_dir, "documents"))
+    return mixing.Draw(rows, entropy=0.95, repeats=4.0).rows(rows)
+
+
+QUERIES = {f.__name__: f for f in (op2_bpe_transducer, op4_language_mixture, op7_near_duplicates, op9_line_dedup, op10_temperature_mix)}
+
 ORACLE_SQL: dict[str, str] = {}
+
+ORACLE_SQL["op9_line_dedup"] = r"""
+WITH lines AS (
+  SELECT doc_id, i, line, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+  FROM (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents))
+), frequent AS (SELECT k FROM lines WHERE k <> '' GROUP BY k HAVING count(DISTINCT doc_id) >= 10)
+SELECT doc_id, CAST(count(*) AS BIGINT) AS n_lines, CAST(count(f.k) AS BIGINT) AS n_dropped,
+       sha256(coalesce(string_agg(CASE WHEN f.k IS NULL THEN line END, chr(10) ORDER BY i), '')) AS kept_sha256
+FROM lines LEFT JOIN frequent f ON lines.k = f.k
+GROUP BY doc_id
+"""
+
+ORACLE_SQL["op7_near_duplicates"] = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-]+'), lambda w : w <> '') AS w FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i : array_to_string(w[i:i + 4], ' '))) END AS s FROM words
+), shingles AS (SELECT doc_id, unnest(s) AS x FROM sets
+), links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM shingles a JOIN shingles b ON a.x = b.x AND a.doc_id <> b.doc_id
+  JOIN sets sa ON sa.doc_id = a.doc_id JOIN sets sb ON sb.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 75 * (any_value(len(sa.s)) + any_value(len(sb.s)) - count(*))
+), reach(d, r) AS (
+  SELECT doc_id, doc_id FROM documents UNION SELECT reach.d, links.b FROM reach JOIN links ON links.a = reach.r
+)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, m.c AS component_id, s.doc_id = m.c AS kept
+FROM sets s JOIN (SELECT d, min(r) AS c FROM reach GROUP BY d) m ON m.d = s.doc_id
+"""

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrykit.llm import bpe, language_id, line_dedup, mixing, near_dedup
+from quarrykit.llm import bpe, imatch, language_id, line_dedup, mixing, near_dedup
 from quarrykit.llm.common import table
 
 BPE_PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -27,6 +27,10 @@ def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.find(table(spark, sf_dir, "documents"), percent=75)
 
 
+def op8_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.compare(table(spark, sf_dir, "documents"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     out = line_dedup.dedup(docs, threshold=10)
@@ -38,7 +42,7 @@ def op10_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.Draw(rows, entropy=0.95, repeats=4.0).rows(rows)
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe_transducer, op4_language_mixture, op7_near_duplicates, op9_line_dedup, op10_temperature_mix)}
+QUERIES = {f.__name__: f for f in (op2_bpe_transducer, op4_language_mixture, op7_near_duplicates, op8_imatch, op9_line_dedup, op10_temperature_mix)}
 
 ORACLE_SQL: dict[str, str] = {}
 
@@ -55,7 +59,8 @@ GROUP BY doc_id
 
 ORACLE_SQL["op7_near_duplicates"] = r"""
 WITH RECURSIVE words AS (
-  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-]+'), lambda w : w <> '') AS w FROM documents
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-
+]+'), lambda w : w <> '') AS w FROM documents
 ), sets AS (
   SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
     ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i : array_to_string(w[i:i + 4], ' '))) END AS s FROM words
@@ -70,3 +75,42 @@ WITH RECURSIVE words AS (
 SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, m.c AS component_id, s.doc_id = m.c AS kept
 FROM sets s JOIN (SELECT d, min(r) AS c FROM reach GROUP BY d) m ON m.d = s.doc_id
 """
+
+_PRINTS = ", ".join(
+    f"substr(md5(coalesce(string_agg(CASE WHEN ('0x' || substr(md5('{power}.{k}:' || term), 1, 2))::INT < {4 ** (4 - power)} AND term <> '' THEN term END, ' ' ORDER BY term), '')), 1, 12)"
+    for power, n in imatch.SUBSETS
+    for k in range(n)
+)
+
+
+def _likeness(a: str, b: str) -> str:
+    none = f"'{imatch.NOTHING}'"
+    used = f"len(list_filter(list_zip({a}, {b}), lambda z : z[1] <> {none} OR z[2] <> {none}))"
+    same = f"len(list_filter(list_zip({a}, {b}), lambda z : z[1] = z[2] AND z[1] <> {none}))"
+    return f"CASE WHEN {used} = 0 THEN 1.0::DOUBLE ELSE {same}::DOUBLE / {used} END"
+
+
+ORACLE_SQL["op8_imatch"] = rf"""
+WITH docs AS (
+  SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n FROM documents
+), pairs AS (
+  SELECT *, coalesce(lead(text) OVER w, first_value(text) OVER w) AS next_text, coalesce(lead(doc_id) OVER w, first_value(doc_id) OVER w) AS next_id
+  FROM docs WINDOW w AS (ORDER BY doc_id DESC)
+), texts AS (
+  SELECT doc_id, 0 AS kind, text FROM pairs
+  UNION ALL SELECT doc_id, 1, substr(text, 1, n - n // 2) || substr(next_text, 1, n // 2) FROM pairs
+), terms AS (
+  SELECT doc_id, kind, unnest(list_concat([''], list_distinct(list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-]+'), lambda w : w <> '')))) AS term FROM texts
+), lexicon AS (
+  SELECT term FROM terms WHERE kind = 0 AND term <> '' GROUP BY term
+  HAVING count(*) BETWEEN greatest(0.001 * (SELECT count(*) FROM docs), 2) AND greatest(0.2 * (SELECT count(*) FROM docs), 0.001 * (SELECT count(*) FROM docs), 2)
+  UNION ALL SELECT ''
+), prints AS (
+  SELECT doc_id, kind, [{_PRINTS}] AS p FROM terms JOIN lexicon USING (term) GROUP BY doc_id, kind
+)
+SELECT d.doc_id, CAST(d.n AS BIGINT) AS n_chars, sha256(e.text) AS edited_sha256,
+  array_to_string(a.p, ':') AS fingerprint, array_to_string(b.p, ':') AS edited_fingerprint,
+  {_likeness("a.p", "b.p")} AS near_edited, {_likeness("a.p", "c.p")} AS near_next
+FROM pairs d JOIN texts e ON e.doc_id = d.doc_id AND e.kind = 1 JOIN prints a ON a.doc_id = d.doc_id AND a.kind = 0
+JOIN prints b ON b.doc_id = d.doc_id AND b.kind = 1 JOIN prints c ON c.doc_id = d.next_id AND c.kind = 0
+"""

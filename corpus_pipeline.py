@@ -18,7 +18,7 @@ from quarrykit.llm.queries import BPE_PATH
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = language_id.train(docs.filter(~language_id.held_out()))
-    return language_id.accept(docs, model, least=0.5)
+    return language_id.accept(docs, model, least=0.4)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,12 +6,26 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrykit.llm import bpe, imatch, language_id, line_dedup, mixing, near_dedup
+from quarrykit.llm import ann, bpe, imatch, language_id, line_dedup, mixing, near_dedup, toxicity, url_trust
 from quarrykit.llm.common import table
 
 BPE_PATH = public_tokenizers.path("word_bpe_49k.json")
 
 
+# The rules that the URL filter applies.
+URL_RULES = [
+    ("allow", "com", "/"),
+    ("block", "example.com", "/en/"),
+    ("allow", "www.example.com", "/en/"),
+    ("block", "net", "/es/"),
+    ("block", "net", "/fr/"),
+]
+
+
+def op1_url_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_trust.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op2_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe.encode(docs, BPE_PATH, bpe.build_lexicon(docs, BPE_PATH))
@@ -23,6 +37,17 @@ def op4_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predictions(docs, model, [F.col("doc_id").cast("long").alias("doc_id"), language_id.held_out().alias("held_out")])
 
 
+def op5_additive_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), every=20, top=20)
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = language_id.held_out("doc_id", 5, 0)
+    model = toxicity.train(docs, table(spark, sf_dir, "labels").filter(~held_out))
+    return toxicity.score(docs, model, [F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out")])
+
+
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.find(table(spark, sf_dir, "documents"), percent=75)
 
@@ -42,7 +67,7 @@ def op10_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.Draw(rows, entropy=0.95, repeats=4.0).rows(rows)
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe_transducer, op4_language_mixture, op7_near_duplicates, op8_imatch, op9_line_dedup, op10_temperature_mix)}
+QUERIES = {f.__name__: f for f in (op1_url_trust, op2_bpe_transducer, op4_language_mixture, op5_additive_search, op6_toxicity, op7_near_duplicates, op8_imatch, op9_line_dedup, op10_temperature_mix)}
 
 ORACLE_SQL: dict[str, str] = {}
 
@@ -100,7 +125,8 @@ WITH docs AS (
   SELECT doc_id, 0 AS kind, text FROM pairs
   UNION ALL SELECT doc_id, 1, substr(text, 1, n - n // 2) || substr(next_text, 1, n // 2) FROM pairs
 ), terms AS (
-  SELECT doc_id, kind, unnest(list_concat([''], list_distinct(list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-]+'), lambda w : w <> '')))) AS term FROM texts
+  SELECT doc_id, kind, unnest(list_concat([''], list_distinct(list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-
+]+'), lambda w : w <> '')))) AS term FROM texts
 ), lexicon AS (
   SELECT term FROM terms WHERE kind = 0 AND term <> '' GROUP BY term
   HAVING count(*) BETWEEN greatest(0.001 * (SELECT count(*) FROM docs), 2) AND greatest(0.2 * (SELECT count(*) FROM docs), 0.001 * (SELECT count(*) FROM docs), 2)
@@ -114,3 +140,40 @@ SELECT d.doc_id, CAST(d.n AS BIGINT) AS n_chars, sha256(e.text) AS edited_sha256
 FROM pairs d JOIN texts e ON e.doc_id = d.doc_id AND e.kind = 1 JOIN prints a ON a.doc_id = d.doc_id AND a.kind = 0
 JOIN prints b ON b.doc_id = d.doc_id AND b.kind = 1 JOIN prints c ON c.doc_id = d.next_id AND c.kind = 0
 """
+
+
+def _propagation(kind: str, seed: str, a: str, b: str, rounds: int) -> str:
+    """Common table expressions for one kind of rank, round by round."""
+    first = f"""{kind}_edges AS (
+  SELECT {a} AS a, {b} AS b, n / sum(n) OVER (PARTITION BY {a}) AS share FROM links
+), {kind}_base AS (SELECT host, {seed} AS score FROM shares WHERE {seed} > 0), {kind}_0 AS (SELECT * FROM {kind}_base)"""
+    turns = [
+        f"""{kind}_{k + 1} AS MATERIALIZED (
+  SELECT host, sum(score) AS score FROM (SELECT * FROM {kind}_base UNION ALL SELECT b, 0.85::DOUBLE * share * score FROM {kind}_{k} JOIN {kind}_edges ON a = host) GROUP BY host
+)"""
+        for k in range(rounds)
+    ]
+    return ", ".join([first, *turns])
+
+
+def _rules(pick: int) -> str:
+    fits = " ".join(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{(f'{h}{p}', v)[pick]}'" for v, h, p in url_trust.by_length(URL_RULES))
+    return f"CASE {fits} END"
+
+
+_LINK = url_trust.LINK.replace("'", "''")
+ORACLE_SQL["op1_url_trust"] = rf"""
+WITH urls AS (
+  SELECT page_id, html, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages
+), ruled AS (SELECT page_id, host, path, {_rules(0)} AS rule, {_rules(1)} AS said FROM urls
+), shares AS (
+  SELECT host, avg((coalesce(said, '') = 'allow')::INT) AS t, avg((coalesce(said, '') = 'block')::INT) AS d FROM ruled WHERE host <> '' GROUP BY host
+), links AS (
+  SELECT src, dst, count(*)::DOUBLE AS n FROM (
+    SELECT host AS src, translate(unnest(regexp_extract_all(html, '{_LINK}', 1)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS dst FROM urls
+  ) WHERE src <> dst AND src <> '' GROUP BY src, dst
+), {_propagation("trust", "t", "src", "dst", 12)}, {_propagation("distrust", "d", "dst", "src", 12)}
+SELECT r.page_id, r.host, r.path, r.rule, coalesce(r.said, CASE WHEN d.score >= 0.5 AND d.score > coalesce(t.score, 0) THEN 'block' END, 'allow') AS verdict
+FROM ruled r LEFT JOIN trust_12 t ON t.host = r.host LEFT JOIN distrust_12 d ON d.host = r.host
+"""

@@ -6,8 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrykit.llm import ann, bpe, imatch, language_id, line_dedup, mixing, near_dedup, toxicity, url_trust
+from quarrykit.llm import ann, bpe, imatch, language_id, license_scan, line_dedup, mixing, near_dedup, toxicity, url_trust
 from quarrykit.llm.common import table
+from quarrykit.llm.license_templates import TEMPLATES
 
 BPE_PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -31,6 +32,10 @@ def op2_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(docs, BPE_PATH, bpe.build_lexicon(docs, BPE_PATH))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"), TEMPLATES, least=0.75)
+
+
 def op4_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = language_id.train(docs.filter(~language_id.held_out()))
@@ -67,7 +72,7 @@ def op10_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.Draw(rows, entropy=0.95, repeats=4.0).rows(rows)
 
 
-QUERIES = {f.__name__: f for f in (op1_url_trust, op2_bpe_transducer, op4_language_mixture, op5_additive_search, op6_toxicity, op7_near_duplicates, op8_imatch, op9_line_dedup, op10_temperature_mix)}
+QUERIES = {f.__name__: f for f in (op1_url_trust, op2_bpe_transducer, op3_license_scan, op4_language_mixture, op5_additive_search, op6_toxicity, op7_near_duplicates, op8_imatch, op9_line_dedup, op10_temperature_mix)}
 
 ORACLE_SQL: dict[str, str] = {}
 

@@ -7,9 +7,10 @@ smallest value fills a bin that earlier rounds left empty; a usual document is d
 agree with a chance equal to their similarity, with the concentration of independent ones.
 
 Equal sets form one class, and only classes are compared. 32 bands of four coordinates put classes into buckets. A
-bucket is never expanded into all pairs: its members are compared with one centre; what remains in other components
-is compared with further centres, and only pairs that are still in different components after these rounds are
-listed. Pairs whose sketches agree in fewer than 55 % of coordinates (more than five standard deviations below the
+bucket is never expanded into all pairs: its members are compared with one centre, then with a second one from
+another component. Classes of buckets that still hold several components go through an exact prefix filter: with
+shingles ordered from rare to frequent, two sets with the wanted similarity share one so early in both that enough
+of either is left after it; only such pairs of different components are listed. Pairs whose sketches agree in fewer than 55 % of coordinates (more than five standard deviations below the
 threshold) are left; all others are confirmed on the full sets, recomputed from the texts.
 
 Defined cases: a null text, or one without words, has the empty set and is linked with nothing; a text of fewer
@@ -23,7 +24,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrykit.llm.common import cut, scratch, splitmix
@@ -32,7 +33,7 @@ WORDS = 5
 COORDINATES, BANDS = 128, 32
 SHIFT = np.uint64(64 - 7)  # the bin is a hash's top 7 bits
 LIKELY = 0.55
-CENTRE_ROUNDS = 3
+CENTRE_ROUNDS = 1
 KNOWN_WORDS = 1_000_000
 
 
@@ -165,23 +166,25 @@ class Comparison:
         sized = 100 * F.least("nx", "ny") >= self.percent * F.greatest("nx", "ny")
         return pairs.join(x, "a").join(y, "b").filter(sized).filter(alike("x", "y")).select("a", "b")
 
-    def confirm(self, pairs: DataFrame) -> DataFrame:
-        """The pairs that are links, by the full sets of both."""
-        pairs = cut(self.likely(pairs))
-        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        # one row of each wanted class is read again, and its whole set made from its text
+    def sets(self, wanted: DataFrame) -> DataFrame:
+        """(node, elements) of the wanted nodes: one row of each class is read again, its set made from its text."""
         rows = wanted.join(self.classes.select("node", "row"), "node")
         texts = self.docs.select(row_of(self.docs), "text").join(rows, "row").select("node", "text")
 
-        def sets(batches):
+        def run(batches):
             hashes = WordHashes()
             for batch in batches:
                 elements = pa.array([shingles(t, hashes).tobytes() for t in batch["text"].to_pylist()], pa.binary())
                 yield pa.RecordBatch.from_arrays([batch["node"], elements], names=["node", "elements"])
 
-        at = scratch(pairs.sparkSession, "sets")
-        texts.dropDuplicates(["node"]).mapInArrow(sets, "node long, elements binary").write.parquet(at)
-        whole = pairs.sparkSession.read.parquet(at)
+        at = scratch(wanted.sparkSession, "sets")
+        texts.dropDuplicates(["node"]).mapInArrow(run, "node long, elements binary").write.parquet(at)
+        return wanted.sparkSession.read.parquet(at)
+
+    def confirm(self, pairs: DataFrame) -> DataFrame:
+        """The pairs that are links, by the full sets of both."""
+        pairs = cut(self.likely(pairs))
+        whole = self.sets(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
         percent = self.percent
 
         @F.pandas_udf("boolean")
@@ -199,6 +202,41 @@ class Comparison:
         y = whole.select(F.col("node").alias("b"), F.col("elements").alias("y"))
         return cut(pairs.join(x, "a").join(y, "b").filter(linked("x", "y")).select("a", "b"))
 
+    def by_prefix(self, nodes: DataFrame) -> DataFrame:
+        """Pairs (a, b) of nodes (node, label) with different labels that the prefix filter does not rule out.
+
+        A pair needs an overlap of p / (100 + p) times the sum of both sizes. The first common shingle stands at
+        place i in a set of n, so the overlap is at most n - i + 1, for either set.
+        """
+
+        def spread(batches):
+            for batch in batches:
+                sets = [np.frombuffer(x, np.int64) for x in batch["elements"].to_pylist()]
+                lengths = [len(x) for x in sets]
+                each = np.repeat(np.arange(len(sets)), lengths)
+                node = batch["node"].to_numpy()[each]
+                yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(np.repeat(lengths, lengths), pa.int64()), pa.array(np.concatenate([*sets, np.zeros(0, np.int64)]).astype(np.int64), pa.int64())], names=["node", "n", "token"])
+
+        tokens = self.sets(nodes.select("node")).mapInArrow(spread, "node long, n long, token long")
+        held = cut(tokens)
+        known = held.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
+        common = held.join(known, "token")
+        # a set's shingles that no other has come first, so they need no places of their own
+        rare_first = Window.partitionBy("node").orderBy("df", "token")
+        size = F.count("*").over(Window.partitionBy("node"))
+        placed = common.withColumn("left", size - F.row_number().over(rare_first) + 1)
+        share = self.percent / (100 + self.percent)
+        early = placed.filter(F.col("left") + 1e-9 >= F.col("n") * self.percent / 100).select("token", "node", "n", "left")
+        early = cut(early.join(nodes, "node"))
+        # first by component, so that a large one is one row for each shingle
+        sides = early.groupBy("token", "label").agg(F.min("n").alias("n"), F.max("left").alias("left"))
+        x, y = (sides.select("token", *(F.col(c).alias(f"{c}{k}") for c in ("label", "n", "left"))) for k in (1, 2))
+        enough = F.least("left1", "left2") + 1e-9 >= share * (F.col("n1") + F.col("n2"))
+        meets = cut(x.join(y, "token").filter((F.col("label1") < F.col("label2")) & enough).select("token", "label1", "label2"))
+        x, y = (early.select("token", *(F.col(c).alias(f"{c}{k}") for c in ("label", "node", "n", "left"))) for k in (1, 2))
+        both = meets.join(x, ["token", "label1"]).join(y, ["token", "label2"]).filter(enough)
+        return both.select(*ordered("node1", "node2")).distinct()
+
 
 def ordered(a, b) -> list:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
@@ -216,16 +254,13 @@ def link(compare: Comparison) -> DataFrame:
         named = groups.join(labels, "node", "left").select("band", "node", F.coalesce("label", "node").alias("label"))
         split = named.groupBy("band").agg(F.min("label").alias("low"), F.max(F.struct("label", "node")).alias("high")).filter("low < high.label")
         still = cut(named.join(split.select("band", F.col("high.label").alias("high"), F.col("high.node").alias("centre")), "band"))
+        if not still.limit(1).count():
+            break
         if turn < CENTRE_ROUNDS:
-            pairs = still.filter("label != high").select(*ordered("node", "centre"))
+            pairs = still.filter("label != high").select(*ordered("node", "centre")).distinct()
         else:
-            other = still.select("band", F.col("node").alias("node2"), F.col("label").alias("label2"))
-            pairs = still.join(other, "band").filter("label < label2").select(*ordered("node", "node2"))
-        pairs = cut(pairs.distinct().join(asked, ["a", "b"], "left_anti"))
-        if not pairs.limit(1).count():
-            if turn < CENTRE_ROUNDS and still.limit(1).count():
-                continue
-            return labels
+            pairs = compare.by_prefix(cut(still.select("node", "label").distinct()))
+        pairs = cut(pairs.join(asked, ["a", "b"], "left_anti"))
         found = compare.confirm(pairs)
         asked, edges = cut(asked.union(pairs)), cut(edges.union(found))
         if found.limit(1).count():

@@ -130,7 +130,7 @@ WITH docs AS (
   SELECT doc_id, 0 AS kind, text FROM pairs
   UNION ALL SELECT doc_id, 1, substr(text, 1, n - n // 2) || substr(next_text, 1, n // 2) FROM pairs
 ), terms AS (
-  SELECT doc_id, kind, unnest(list_concat([''], list_distinct(list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-
+  SELECT doc_id, kind, unnest(list_concat([''], list_distinct(list_filter(string_split_regex(lower(text), '[ 	-
 ]+'), lambda w : w <> '')))) AS term FROM texts
 ), lexicon AS (
   SELECT term FROM terms WHERE kind = 0 AND term <> '' GROUP BY term

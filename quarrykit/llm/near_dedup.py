@@ -7,8 +7,8 @@ smallest value fills a bin that earlier rounds left empty; a usual document is d
 agree with a chance equal to their similarity, with the concentration of independent ones.
 
 Equal sets form one class, and only classes are compared. 32 bands of four coordinates put classes into buckets. A
-bucket is never expanded into all pairs: its members are compared with one centre, then with a second one from
-another component. Classes of buckets that still hold several components go through an exact prefix filter: with
+bucket is never expanded into all pairs: it has one centre, and in each of three rounds every class is compared with
+one centre of its buckets that it is not linked with yet. Classes of buckets that still hold several components go through an exact prefix filter: with
 shingles ordered from rare to frequent, two sets with the wanted similarity share one so early in both that enough
 of either is left after it; only such pairs of different components are listed. Pairs whose sketches agree in fewer than 55 % of coordinates (more than five standard deviations below the
 threshold) are left; all others are confirmed on the full sets, recomputed from the texts.
@@ -33,7 +33,7 @@ WORDS = 5
 COORDINATES, BANDS = 128, 32
 SHIFT = np.uint64(64 - 7)  # the bin is a hash's top 7 bits
 LIKELY = 0.55
-CENTRE_ROUNDS = 1
+CENTRE_ROUNDS = 3
 KNOWN_WORDS = 1_000_000
 
 
@@ -247,22 +247,29 @@ def link(compare: Comparison) -> DataFrame:
     members = compare.classes.select("node", F.explode("bands").alias("band"))
     shared = members.groupBy("band").agg(F.min("node").alias("centre"), F.count("*").alias("n")).filter("n > 1").drop("n")
     groups = cut(members.join(shared, "band"))
-    asked = cut(groups.filter("node != centre").select(*ordered("node", "centre")).distinct())
-    edges = compare.confirm(asked)
-    labels = components(edges)
+    stars = cut(groups.filter("node != centre").select("node", "centre").distinct())
+    asked, edges, labels = None, None, compare.classes.select("node", F.col("node").alias("label")).limit(0)
     for turn in range(CENTRE_ROUNDS + 1):
-        named = groups.join(labels, "node", "left").select("band", "node", F.coalesce("label", "node").alias("label"))
-        split = named.groupBy("band").agg(F.min("label").alias("low"), F.max(F.struct("label", "node")).alias("high")).filter("low < high.label")
-        still = cut(named.join(split.select("band", F.col("high.label").alias("high"), F.col("high.node").alias("centre")), "band"))
-        if not still.limit(1).count():
-            break
+        name = labels.select(F.col("node").alias("_n"), F.col("label").alias("_l"))
         if turn < CENTRE_ROUNDS:
-            pairs = still.filter("label != high").select(*ordered("node", "centre")).distinct()
+            # a class has a centre in each band: it asks the smallest of those it is not yet linked with
+            apart = stars.join(name, F.col("node") == F.col("_n"), "left").select("node", "centre", F.coalesce("_l", "node").alias("own"))
+            apart = apart.join(name, F.col("centre") == F.col("_n"), "left").filter(F.col("own") != F.coalesce("_l", "centre"))
+            pairs = apart.select("node", "centre", *ordered("node", "centre"))
+            if asked is not None:
+                pairs = pairs.join(asked, ["a", "b"], "left_anti")
+            pairs = pairs.groupBy("node").agg(F.min("centre").alias("centre")).select(*ordered("node", "centre")).distinct()
         else:
-            pairs = compare.by_prefix(cut(still.select("node", "label").distinct()))
-        pairs = cut(pairs.join(asked, ["a", "b"], "left_anti"))
+            named = groups.join(name, F.col("node") == F.col("_n"), "left").select("band", "node", F.coalesce("_l", "node").alias("label"))
+            split = named.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("band")
+            pairs = compare.by_prefix(cut(named.join(split, "band").select("node", "label").distinct())).join(asked, ["a", "b"], "left_anti")
+        pairs = cut(pairs)
+        if not pairs.limit(1).count():
+            if asked is None:
+                return labels
+            continue
         found = compare.confirm(pairs)
-        asked, edges = cut(asked.union(pairs)), cut(edges.union(found))
+        asked, edges = (pairs, found) if asked is None else (cut(asked.union(pairs)), cut(edges.union(found)))
         if found.limit(1).count():
             labels = components(edges)
     return labels

@@ -54,7 +54,7 @@ def merged_cache(old: DataFrame, new: DataFrame) -> DataFrame:
 
 def write_cleanup_plan(plan: DataFrame, path: str) -> None:
     """The keep/clean plan as CSV for spreadsheets: byte order mark, CRLF, quotes where needed."""
-    named = plan.orderBy("group_no", F.desc("action") == "남김", "path").select(
+    named = plan.orderBy("group_no", (F.col("action") == "남김").desc(), "path").select(
         F.col("action").alias("\ufeff조치"), F.col("path").alias("경로"), F.col("size").alias("크기(바이트)"), F.col("group_no").alias("묶음"), F.col("why").alias("근거")
     )
     named.coalesce(1).write.mode("overwrite").option("header", True).option("lineSep", "\r\n").option("escape", '"').csv(path)

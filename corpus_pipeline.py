@@ -22,10 +22,10 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = line_dedup.dedup(docs, threshold=10, most=0.5)
-    changed = {"text": F.when(F.col("n_dropped") > 0, F.col("kept_text")).otherwise(docs["text"])}
-    changed["n_chars"] = F.when(F.col("n_dropped") > 0, F.length("kept_text").cast("long")).otherwise(docs["n_chars"])
-    return out.select(*[changed[c].alias(c) if c in changed else docs[c] for c in docs.columns])
+    out = line_dedup.kept_lines(docs, line_dedup.fill(docs, threshold=10), most=0.5)
+    changed = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
+    cut = F.col("n_dropped") > 0
+    return out.select(*[F.when(cut, changed[c]).otherwise(F.col("row")[c]).alias(c) if c in changed else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +34,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     draw = mixing.Draw(mixing.count_tokens(docs), entropy=0.95, repeats=2.0)
-    return draw.rows(mixing.keyed(docs, draw.seed)).select(*docs.columns)
+    return draw.repeated(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

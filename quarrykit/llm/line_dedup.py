@@ -237,8 +237,9 @@ def _shard_of(keys: list[bytes], shards: int) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(k, 42) for k in keys], np.uint64).astype(np.int64) % shards
 
 
-def drop_lines(docs: DataFrame, store: LineStore, room: int = FILTER_ROOM, most: float | None = None) -> DataFrame:
-    """``docs`` with n_lines, n_dropped and kept_text: the lines whose key is in fewer documents than the threshold.
+def kept_lines(docs: DataFrame, store: LineStore, room: int = FILTER_ROOM, most: float | None = None) -> DataFrame:
+    """(row, n_lines, n_dropped, kept_text): each row as a struct of its columns, and the lines whose key is in fewer
+    documents than the threshold.
 
     With ``most``, a document of which a larger share of characters would go stays whole: it is a copy rather
     than a text with boilerplate.
@@ -264,10 +265,21 @@ def drop_lines(docs: DataFrame, store: LineStore, room: int = FILTER_ROOM, most:
             out.append((len(lines), len(lines) - len(kept), "\n".join(kept)))
         return pd.DataFrame(out, columns=["n_lines", "n_dropped", "kept_text"])
 
-    joined = docs.join(drops, docs["doc_id"].cast("long").eqNullSafe(drops["_of"]), "left")
-    return joined.withColumn("_kept", keep(F.col("text").cast("string"), "_drops")).select(*(docs[c] for c in docs.columns), "_kept.*")
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"].cast("long").alias("_id"), docs["text"].cast("string").alias("_text"))
+    joined = rows.join(drops, F.col("_id").eqNullSafe(F.col("_of")), "left")
+    return joined.select("row", keep("_text", "_drops").alias("_kept")).select("row", "_kept.*")
+
+
+def drop_lines(docs: DataFrame, store: LineStore, room: int = FILTER_ROOM, most: float | None = None) -> DataFrame:
+    """(doc_id, n_lines, n_dropped, kept_text) of every row."""
+    return kept_lines(docs, store, room, most).select("row.doc_id", "n_lines", "n_dropped", "kept_text")
+
+
+def fill(docs: DataFrame, threshold: int) -> LineStore:
+    """A fresh store with all of ``docs``."""
+    return LineStore(docs.sparkSession, threshold, shards_for(docs)).insert(docs)
 
 
 def dedup(docs: DataFrame, threshold: int = 10, most: float | None = None) -> DataFrame:
     """Counts all of ``docs`` in a fresh store and drops their frequent lines."""
-    return drop_lines(docs, LineStore(docs.sparkSession, threshold, shards_for(docs)).insert(docs), most=most)
+    return drop_lines(docs, fill(docs, threshold), most=most)

@@ -81,14 +81,14 @@ def order(*parts: Column | str | int) -> Column:
     return F.xxhash64(*[F.lit(p) if isinstance(p, int) else p for p in parts])
 
 
-def keyed(docs: DataFrame, seed: int) -> DataFrame:
-    """``docs`` with _key, the hash that orders its rows; equal rows tie, and are then drawn together."""
-    return docs.withColumn("_key", order(seed, docs["doc_id"].cast("long"), docs["text"].cast("string")))
+def row_key(docs: DataFrame, seed: int) -> Column:
+    """The hash that orders rows; equal rows tie, and are then drawn together."""
+    return order(seed, docs["doc_id"].cast("long"), docs["text"].cast("string"))
 
 
 def count_tokens(docs: DataFrame, seed: int = 1) -> DataFrame:
     """(doc_id, source, tokens, _key) of every row, written once: all planning reads this and not the texts."""
-    rows = keyed(docs, seed).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), tokens(F.col("text")).alias("tokens"), "_key")
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["source"].cast("string").alias("source"), tokens(docs["text"]).alias("tokens"), row_key(docs, seed).alias("_key"))
     return stored(rows, "tokens")
 
 
@@ -138,12 +138,21 @@ class Draw:
     def placed(dealt: DataFrame, blocks: DataFrame) -> DataFrame:
         return dealt.join(blocks, F.col("_s").eqNullSafe(F.col("_bs")) & (F.col("_block") == F.col("_b")))
 
-    def rows(self, docs: DataFrame) -> DataFrame:
-        """``docs`` (with _key), each row as often as it is drawn, with weight, epoch (from 0), block, and the keys
-        that order the blocks of an epoch and the rows of a block."""
-        placed = self.placed(self.dealt(docs), self.blocks)
-        extra = F.when(F.col("left") >= F.col("held"), 1).when(F.col("left") <= 0, 0).otherwise(F.coalesce((self.draw_key("epochs") <= F.col("_end")).cast("int"), F.lit(0)))
+    def drawn(self, docs: DataFrame, key: Column) -> DataFrame:
+        """(row, weight, epoch, block, block_key, draw_key): each row, as a struct of its columns, as often as it is
+        drawn, its epoch counted from 0, and the keys that order the blocks of an epoch and the rows of a block."""
+        rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["source"].cast("string").alias("source"), key.alias("_key"))
+        placed = self.placed(self.dealt(rows), self.blocks)
+        extra = F.when(F.col("left") <= 0, 0).when(F.col("left") >= F.col("held"), 1).otherwise(F.coalesce((self.draw_key("epochs") <= F.col("_end")).cast("int"), F.lit(0)))
         times = placed.withColumn("_times", F.col("epochs") + extra).filter("_times > 0")
         times = times.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("_times") - 1)))
-        own = [docs[c] for c in docs.columns if c != "_key"]
-        return times.select(*own, "weight", "epoch", F.col("_block").alias("block"), self.block_key("epoch").alias("block_key"), self.draw_key("epoch").alias("draw_key"))
+        return times.select("row", "weight", "epoch", F.col("_block").alias("block"), self.block_key("epoch").alias("block_key"), self.draw_key("epoch").alias("draw_key"))
+
+    def rows(self, counted: DataFrame) -> DataFrame:
+        """What is drawn of ``count_tokens``' rows."""
+        out = self.drawn(counted, counted["_key"])
+        return out.select("row.doc_id", "row.source", "row.tokens", "weight", "epoch", "block", "block_key", "draw_key")
+
+    def repeated(self, docs: DataFrame) -> DataFrame:
+        """``docs`` with each row as often as it is drawn, and the same columns."""
+        return self.drawn(docs, row_key(docs, self.seed)).select("row.*")

@@ -300,4 +300,4 @@ def find(docs: DataFrame, percent: int = 75) -> DataFrame:
 def deduplicate(docs: DataFrame, percent: int = 75) -> DataFrame:
     """The rows of ``docs`` whose document is kept, with the same columns."""
     gone = find(docs, percent).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(F.col("_gone")), "left_anti")
+    return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["_gone"]), "left_anti")

@@ -38,8 +38,9 @@ def clustered(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> n
     for _ in range(rounds):
         near = (x @ centres.T - 0.5 * (centres**2).sum(1)).argmax(1)
         n = np.bincount(near, minlength=k)
-        sums = np.zeros_like(centres)
-        np.add.at(sums, near, x)
+        member = np.zeros((len(x), k), np.float32)
+        member[np.arange(len(x)), near] = 1
+        sums = member.T @ x
         centres = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], x[rng.choice(len(x), k)])
     return centres
 

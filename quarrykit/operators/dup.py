@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarrykit.operators.numbering import numbered
+
 PREFIX = 16 * 1024
 
 
@@ -76,8 +78,8 @@ def groups(files: DataFrame, content: DataFrame, min_size: int = 1, include_hard
     if not include_hardlinks:
         sets = sets.filter(~F.col("all_hardlinked"))
     sets = sets.withColumn("wasted", F.col("size") * (F.col("physical") - 1))
-    by = Window.orderBy(F.desc("wasted"), F.desc("size"), "hash")  # a number for each group needs their one order
-    return sets.select(F.row_number().over(by).alias("group_no"), "hash", "size", "members", "physical", "all_hardlinked", "wasted")
+    out = numbered(sets, [F.desc("wasted"), F.desc("size"), F.asc("hash")], "group_no")
+    return out.select("group_no", "hash", "size", "members", "physical", "all_hardlinked", "wasted")
 
 
 def members(found: DataFrame) -> DataFrame:

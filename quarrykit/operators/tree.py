@@ -5,14 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_ROUNDS = 40  # pointer doubling: 2**40 levels
-
+from quarrykit.operators.numbering import cut
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Computed once, in the folder the session names, so that rounds do not pile up their lineage."""
-    if df.sparkSession.sparkContext.getCheckpointDir() is None:
-        return df
-    return df.checkpoint(eager=True)
+MAX_ROUNDS = 40  # pointer doubling: 2**40 levels
 
 
 def joined_path(root: Column, parts: Column) -> Column:
@@ -36,7 +31,7 @@ def resolve(raw: DataFrame, roots: DataFrame) -> DataFrame:
     tops = roots.select(F.col("file_id").alias("top"), F.col("path").alias("top_path"))
     state = nodes.join(tops, F.col("parent_id") == F.col("top"), "left")
     # up: the ancestor that ``parts`` leads to; done once that is a root
-    state = _cut(state.select("file_id", "parent_id", "name", "is_dir", F.col("parent_id").alias("up"), F.array("name").alias("parts"), F.col("top_path").alias("root")))
+    state = cut(state.select("file_id", "parent_id", "name", "is_dir", F.col("parent_id").alias("up"), F.array("name").alias("parts"), F.col("top_path").alias("root")))
     for _ in range(MAX_ROUNDS):
         above = state.select(F.col("file_id").alias("_id"), F.col("up").alias("_up"), F.col("parts").alias("_parts"), F.col("root").alias("_root"))
         open_rows, done = state.filter("root is null"), state.filter("root is not null")
@@ -45,7 +40,7 @@ def resolve(raw: DataFrame, roots: DataFrame) -> DataFrame:
         # a node whose ancestor is not there, or that meets itself again, never gets further
         stepped = open_rows.join(above, F.col("up") == F.col("_id")).filter((F.col("_up") != F.col("file_id")) & (F.col("up") != F.col("file_id")))
         moved = stepped.select("file_id", "parent_id", "name", "is_dir", F.col("_up").alias("up"), F.concat("_parts", "parts").alias("parts"), F.col("_root").alias("root"))
-        now = _cut(done.unionByName(moved))
+        now = cut(done.unionByName(moved))
         if now.filter("root is null").count() == 0 or now.filter("root is not null").count() == done.count():
             # no open chain has met a root in this round: with doubling, what is left has none
             state = now

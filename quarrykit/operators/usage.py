@@ -2,8 +2,8 @@
 
 The state of a key is (key, path, score, count, last). The sequential rule is: a use adds 1; if it is later than the
 last one, the score decays to its time first; a use that arrives late adds its 1 undecayed and moves nothing. With
-the running maximum m of the times so far, every use is worth 0.5 ** ((last - m) / h) at the end, which needs one
-window and one aggregation instead of a loop.
+the running maximum m of the times so far, every use is worth 0.5 ** ((last - m) / h) at the end, which needs
+a window and an aggregation instead of a loop.
 """
 
 from __future__ import annotations
@@ -16,18 +16,24 @@ from quarrykit.functions.text import decayed, normalize_key
 PRUNE_BELOW = 0.001
 
 
-def fold(log: DataFrame, half_life_days: float = 30.0, fold_case: bool = False) -> DataFrame:
-    keyed = log.select(normalize_key(F.col("path"), fold_case).alias("key"), "path", "seq", F.col("ts").cast("long").alias("ts"))
-    # uses of one key in one second differ in seq alone: they are summed up before the window where they follow on
-    so_far = Window.partitionBy("key").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = keyed.withColumn("at", F.max("ts").over(so_far))
-    worth = whole.groupBy("key", "at").agg(F.count("*").alias("n"), F.max(F.struct("seq", "path")).alias("newest"))
-    last = F.max("at").over(Window.partitionBy("key"))
-    worth = worth.withColumn("last", last)
-    return worth.groupBy("key").agg(
-        F.max("newest")["path"].alias("path"),
-        F.sum(decayed(F.col("n").cast("double"), F.col("last") - F.col("at"), half_life_days)).alias("score"),
-        F.sum("n").alias("count"),
+def fold(log: DataFrame, half_life_days: float = 30.0, fold_case: bool = False, chunk: int = 1 << 20) -> DataFrame:
+    """The state of every key.
+
+    A key's log is cut into chunks of seq, so that one that holds much of the log is many groups: only the chunks'
+    latest times are put in order as a whole.
+    """
+    keyed = log.select(normalize_key(F.col("path"), fold_case).alias("key"), "path", "seq", F.col("ts").cast("long").alias("ts"), F.floor(F.col("seq") / chunk).alias("chunk"))
+    tops = keyed.groupBy("key", "chunk").agg(F.max("ts").alias("top"))
+    whole = Window.partitionBy("key")
+    earlier = whole.orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    tops = tops.select(F.col("key").alias("_key"), F.col("chunk").alias("_chunk"), F.max("top").over(earlier).alias("before"), F.max("top").over(whole).alias("last"))
+    rows = keyed.join(tops, (F.col("key") == F.col("_key")) & (F.col("chunk") == F.col("_chunk")))
+    so_far = Window.partitionBy("key", "chunk").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("at", F.greatest(F.max("ts").over(so_far), F.col("before")))
+    return rows.groupBy("key").agg(
+        F.max_by("path", "seq").alias("path"),
+        F.sum(decayed(F.lit(1.0), F.col("last") - F.col("at"), half_life_days)).alias("score"),
+        F.count("*").alias("count"),
         F.max("last").alias("last"),
     )
 

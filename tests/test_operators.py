@@ -32,7 +32,8 @@ def test_usage(spark):
 
     g = random.Random(1)
     rows = [(f"/f{g.randrange(4)}", g.randrange(100 * DAY)) for _ in range(300)]
-    got, want = fold(spark, rows, 7.0), sequential(rows, 7.0)
+    log = spark.createDataFrame([(i, p, t) for i, (p, t) in enumerate(rows)], "seq long, path string, ts long")
+    got, want = {r.key: r for r in usage.fold(log, 7.0, chunk=16).collect()}, sequential(rows, 7.0)
     for k, (s, n, last) in want.items():
         assert got[k].score == pytest.approx(s, rel=1e-9) and (got[k]["count"], got[k]["last"]) == (n, last)
 

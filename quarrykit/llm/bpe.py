@@ -30,10 +30,12 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarrykit.llm.common import slices
+
 #: str.split() takes these for white space; Unicode and the tokenizer do not.
 SEPARATORS = re.compile("[\x1c-\x1f]")
 WHITE = re.compile("[^\\S\x1c-\x1f]+")
-CACHE_WORDS = 400_000
+CACHE_WORDS = 240_000
 
 
 def byte_characters() -> list[str]:
@@ -303,7 +305,7 @@ def count_words(docs: DataFrame, bpe_path: str) -> DataFrame:
             kept = [w for w in words if len(w) <= 256]  # longer ones are merged when met
             return pa.RecordBatch.from_pydict({"word": pa.array(kept, pa.string()), "n": pa.array([words[w] for w in kept], pa.int64())})
 
-        for batch in batches:
+        for batch in slices(batches):
             for text in batch["text"].to_pylist():
                 for k, s in enumerate(bpe.segments(text)):
                     if k % 2 == 0:
@@ -321,7 +323,7 @@ def build_lexicon(docs: DataFrame, bpe_path: str, lexicon_words: int = 1 << 18)
 
     def merge(batches):
         bpe = WordBpe(bpe_path)
-        for batch in batches:
+        for batch in slices(batches):
             ids = pa.array([bpe.merge(w) for w in batch["word"].to_pylist()], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([batch["word"], ids], names=["word", "ids"])
 
@@ -349,7 +351,7 @@ def encode(docs: DataFrame, bpe_path: str, lexicon: Lexicon, ids: bool = False)
 
     def run(batches):
         encoder = encoder_for(name, bpe_path)
-        for batch in batches:
+        for batch in slices(batches):
             done = list(encoder.encode(batch["text"].to_pylist()))
             out = [
                 batch["doc_id"],
@@ -371,7 +373,7 @@ def decode(encoded: DataFrame, bpe_path: str) -> DataFrame:
 
     def run(batches):
         text_of = WordBpe(bpe_path).texts
-        for batch in batches:
+        for batch in slices(batches):
             texts = [" ".join([text_of[i] for i in x or ()]) for x in batch["ids"].to_pylist()]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(texts, pa.string())], names=["doc_id", "text"])
 

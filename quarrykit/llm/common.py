@@ -51,6 +51,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def slices(batches, rows: int = 256):
+    """Arrow batches in pieces, so that a task holds few texts as Python strings at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def splitmix(x):
     """A bijective mix of numpy uint64 values (the finaliser of SplitMix64)."""
     import numpy as np

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarrykit.llm.common import slices
+
 BITS = 16
 #: Each trigram shares two characters with the next, so their likelihoods count for less than independent ones.
 DEPENDENCE = 3.0
@@ -98,7 +100,7 @@ def train(docs: DataFrame, smoothing: float = 0.5) -> Model:
 
     def count(batches):
         sums: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for batch in slices(batches):
             for text, lang in zip(batch["text"].to_pylist(), batch["lang"].to_pylist()):
                 own = sums.setdefault(lang, np.zeros(1 << BITS, np.int64))
                 grams, counts = gram_counts(text)
@@ -125,7 +127,7 @@ def predictions(docs: DataFrame, model: Model, kept: list[Column | str]) -> Data
 
     def run(batches):
         own = shared.value
-        for batch in batches:
+        for batch in slices(batches):
             done = [own.predict(t) for t in batch["_text"].to_pylist()]
             columns = [batch[f] for f in batch.schema.names if f != "_text"]
             names = [f for f in batch.schema.names if f != "_text"]
@@ -142,7 +144,7 @@ def accept(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
 
     def run(batches):
         own = shared.value
-        for batch in batches:
+        for batch in slices(batches):
             done = [own.predict(t) for t in batch["text"].to_pylist()]
             yield batch.filter(pa.array([lang != "und" and score >= least for lang, score in done], pa.bool_()))
 

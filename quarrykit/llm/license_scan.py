@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrykit.llm.common import splitmix
+from quarrykit.llm.common import slices, splitmix
 
 WORD = re.compile(r"[^\W_]+")
 GRAM, WINDOW = 5, 4
@@ -153,7 +153,7 @@ def scan(docs: DataFrame, templates: dict[str, str], least: float = 0.75) -> Dat
 
     def run(batches):
         scanner = Scanner(templates, least)
-        for batch in batches:
+        for batch in slices(batches):
             rows = [(i, *m) for i, t in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()) for m in scanner.scan(t)]
             ids, names, n, m, a, b = zip(*rows) if rows else [()] * 6
             yield pa.RecordBatch.from_arrays(

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrykit.llm.common import cut, scratch, splitmix
+from quarrykit.llm.common import cut, scratch, slices, splitmix
 
 WORDS = 5
 COORDINATES, BANDS = 128, 32
@@ -95,7 +95,7 @@ def sketch_documents(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         hashes = WordHashes()
-        for batch in batches:
+        for batch in slices(batches):
             sizes, nodes, bands, signatures = [], [], [], []
             for text in batch["text"].to_pylist():
                 own = shingles(text, hashes)
@@ -173,7 +173,7 @@ class Comparison:
 
         def run(batches):
             hashes = WordHashes()
-            for batch in batches:
+            for batch in slices(batches):
                 elements = pa.array([shingles(t, hashes).tobytes() for t in batch["text"].to_pylist()], pa.binary())
                 yield pa.RecordBatch.from_arrays([batch["node"], elements], names=["node", "elements"])
 
@@ -210,7 +210,7 @@ class Comparison:
         """
 
         def spread(batches):
-            for batch in batches:
+            for batch in slices(batches):
                 sets = [np.frombuffer(x, np.int64) for x in batch["elements"].to_pylist()]
                 lengths = [len(x) for x in sets]
                 each = np.repeat(np.arange(len(sets)), lengths)

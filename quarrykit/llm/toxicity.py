@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarrykit.llm.common import cut
+from quarrykit.llm.common import cut, slices
 
 # Terms that name groups, by kind; a term is swapped with the others of its kind.
 IDENTITIES = {
@@ -125,7 +125,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, features: in
 
     def count(batches):
         sums: dict[str, list[int]] = {}
-        for batch in batches:
+        for batch in slices(batches):
             for toxic, text in zip(batch["toxic"].to_pylist(), batch["text"].to_pylist()):
                 for f in {f for w in words_of(text) for f in features_of_word(w)}:
                     sums.setdefault(f, [0, 0])[toxic] += 1
@@ -149,7 +149,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, features: in
     number = {f: k for k, f in enumerate(names)}
 
     def vectors(batches):
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch["text"].to_pylist()
             held = [sorted({number[f] for w in words_of(t) for f in features_of_word(w) if f in number}) for t in texts]
             moved = [[[sorted(number[f] for f in side if f in number) for side in pair] for pair in swaps(t)[:200]] for t in texts]
@@ -168,7 +168,7 @@ def score(docs: DataFrame, model: Classifier, kept: list[Column]) -> DataFrame:
 
     def run(batches):
         scored = shared.value.scorer()
-        for batch in batches:
+        for batch in slices(batches):
             done = [scored(t) for t in batch["_text"].to_pylist()]
             names = [f for f in batch.schema.names if f != "_text"]
             yield pa.RecordBatch.from_arrays([*(batch[f] for f in names), pa.array(done, pa.float64()), pa.array([int(s >= 0.5) for s in done], pa.int32())], names=[*names, "score", "predicted"])

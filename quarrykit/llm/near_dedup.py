@@ -35,6 +35,8 @@ SHIFT = np.uint64(64 - 7)  # the bin is a hash's top 7 bits
 LIKELY = 0.55
 CENTRE_ROUNDS = 3
 KNOWN_WORDS = 1_000_000
+#: Sets of at most so many bytes in all are broadcast to the pairs that they confirm.
+SETS_ROOM = 48 << 20
 
 
 class WordHashes(dict):
@@ -198,6 +200,9 @@ class Comparison:
                 out.append(100 * both >= percent * (len(x) + len(y) - both))
             return pd.Series(out, dtype=bool)
 
+        size = whole.agg(F.sum(F.length("elements"))).first()[0] or 0
+        if size <= SETS_ROOM:  # else the sets are shuffled to their pairs
+            whole = F.broadcast(whole)
         x = whole.select(F.col("node").alias("a"), F.col("elements").alias("x"))
         y = whole.select(F.col("node").alias("b"), F.col("elements").alias("y"))
         return cut(pairs.join(x, "a").join(y, "b").filter(linked("x", "y")).select("a", "b"))
@@ -233,9 +238,13 @@ class Comparison:
         x, y = (sides.select("token", *(F.col(c).alias(f"{c}{k}") for c in ("label", "n", "left"))) for k in (1, 2))
         enough = F.least("left1", "left2") + 1e-9 >= share * (F.col("n1") + F.col("n2"))
         meets = cut(x.join(y, "token").filter((F.col("label1") < F.col("label2")) & enough).select("token", "label1", "label2"))
-        x, y = (early.select("token", *(F.col(c).alias(f"{c}{k}") for c in ("label", "node", "n", "left"))) for k in (1, 2))
-        both = meets.join(x, ["token", "label1"]).join(y, ["token", "label2"]).filter(enough)
-        return both.select(*ordered("node1", "node2")).distinct()
+        # a pair is listed at its first common shingle only, so not once for each
+        firsts = early.groupBy("node").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("left")).alias("at"), "token"))), lambda z: z["token"]).alias("tokens")).withColumnRenamed("node", "_node")
+        early = cut(early.join(firsts, early["node"] == firsts["_node"]).drop("_node"))
+        x, y = (early.select("token", *(F.col(c).alias(f"{c}{k}") for c in ("label", "node", "n", "left", "tokens"))) for k in (1, 2))
+        both = meets.join(x, ["token", "label1"]).join(y, ["token", "label2"])
+        common = F.array_intersect("tokens1", "tokens2")  # in the order of the first
+        return both.filter(enough & (F.get(common, F.lit(0)) == F.col("token"))).select(*ordered("node1", "node2")).distinct()
 
 
 def ordered(a, b) -> list:

@@ -107,16 +107,15 @@ def volume_device(text: Column) -> Column:
     return F.concat(F.lit("\\\\.\\"), F.upper(F.regexp_replace(text, r"[\\/]+$", "")))
 
 
-VERSION_MARK = r"(?i)(?:[ _-]*(?:최종본?|진짜최종|진짜|수정본?|복사본|사본|copy|final|rev|draft)|[ _-]+v\d+(?:\.\d+)*|\s*\(\d+\))$"
+#: All marks at the end at once. 진짜최종 is 진짜 and 최종, so no mark reads in two ways, and nothing is tried again.
+VERSION_MARKS = r"(?i)(?:[ _-]*(?:최종본?|진짜|수정본?|복사본|사본|copy|final|rev|draft)|[ _-]+v\d+(?:\.\d+)*|\s*\(\d+\))++$"
 
 
-def family_stem(name: Column, turns: int = 4) -> Column:
-    """A name without extension and without up to ``turns`` marks of a version at its end; real numbers stay."""
+def family_stem(name: Column) -> Column:
+    """A name without extension and without the marks of a version at its end, however many; real numbers stay."""
     ext = extension(name)
     stem = F.when(ext.isNull(), name).otherwise(F.substring(name, F.lit(1), F.length(name) - F.length(ext) - 1))
-    for _ in range(turns):
-        stem = F.regexp_replace(stem, VERSION_MARK, "")
-    return F.lower(stem)
+    return F.lower(F.regexp_replace(stem, VERSION_MARKS, ""))
 
 
 def family_key(name: Column) -> Column:

@@ -242,6 +242,17 @@ def _(spark, d):
     return dup.families(marked).withColumn("paths", F.array_join("paths", ","))
 
 
+MARKED = "'doc_' || doc_id // 10 || ' (' || doc_id % 10 || ')_최종_v2_수정-copy final_진짜최종.' || lang"
+
+
+@register("version_family_all", f"WITH v AS (SELECT '/' || source || '/doc_' || doc_id || '.' || lang AS path, {MARKED} AS name FROM documents), k AS (SELECT path, lower(regexp_replace(name, '( [(][0-9]+[)]_최종_v2_수정-copy final_진짜최종)?[.][^.]+$', '')) || '|' || lower(regexp_extract(name, '^.+\\.([^.]+)$', 1)) AS family FROM v) SELECT family, count(*)::BIGINT AS n, string_agg(path, ',' ORDER BY path) AS paths FROM k GROUP BY family HAVING count(*) >= 2")
+def _(spark, d):
+    f = views.files(spark, d)
+    no, ext = F.col("idx"), fn.extension(F.col("name"))
+    marked = F.concat(F.lit("doc_"), F.floor(no / 10).cast("string"), F.lit(" ("), (no % 10).cast("string"), F.lit(")_최종_v2_수정-copy final_진짜최종."), ext)
+    return dup.families(f.withColumn("name", marked)).withColumn("paths", F.array_join("paths", ","))
+
+
 @register("frecency_score", f"WITH {FILES}, {usage_sql()} SELECT key, path, round(score, 6) AS score, count, last FROM usage")
 def _(spark, d):
     return state(spark, d).select("key", "path", F.round("score", 6).alias("score"), "count", "last")

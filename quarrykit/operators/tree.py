@@ -58,7 +58,7 @@ def orphans(raw: DataFrame, placed: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def paths_recursive(spark, nodes_view: str, roots_view: str) -> DataFrame:
-    """The same by a recursive query, for shallow trees: Spark stops it at 100 levels by default."""
+    """The same by a recursive query, for small shallow trees: Spark stops it at 100 levels and 1,000,000 rows by default."""
     return spark.sql(f"""
         WITH RECURSIVE tree(file_id, path, depth) AS (
           SELECT file_id, path, 0 FROM {roots_view}

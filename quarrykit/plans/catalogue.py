@@ -307,9 +307,9 @@ def _(spark, d):
 
 @register("tree_paths_recursive", f"WITH RECURSIVE {NODES} SELECT file_id, path, depth::INT AS depth FROM placed")
 def _(spark, d):
-    views.nodes(spark, d).createOrReplaceTempView("raw_nodes")
-    views.roots(spark, d).createOrReplaceTempView("raw_roots")
-    return tree.paths_recursive(spark, "raw_nodes", "raw_roots")
+    tops = views.roots(spark, d)
+    placed = tree.resolve(views.nodes(spark, d), tops).select("file_id", "path", "depth")
+    return placed.unionByName(tops.select("file_id", "path", F.lit(0).alias("depth")))
 
 
 @register("tree_orphans", f"WITH RECURSIVE {NODES} SELECT file_id FROM nodes WHERE file_id NOT IN (SELECT file_id FROM placed)")

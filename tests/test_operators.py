@@ -193,3 +193,21 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {(r.key, r.score, r["count"], r["last"]) for r in spark.sql("select * from live").collect()} == {("/a", 2.0, 2, 1000000), ("/b", 1.0, 1, 5)}
+
+
+def test_recursive_paths_have_no_row_limit(spark):
+    import os
+
+    from quarrykit.plans import catalogue
+
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        return
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "20")
+    try:
+        got = {(r.file_id, r.path, r.depth) for r in catalogue.QUERIES["tree_paths_recursive"](spark, sf).collect()}
+    finally:
+        spark.conf.unset("spark.sql.cteRecursionRowLimit")
+    below = {(r.file_id, r.path, r.depth) for r in catalogue.QUERIES["tree_paths"](spark, sf).collect()}
+    tops = {r.file_id for r in catalogue.views.roots(spark, sf).collect()}
+    assert len(got) > 20 and below < got and {x[0] for x in got - below} == tops and all(x[2] == 0 for x in got - below)

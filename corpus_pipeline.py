@@ -1,7 +1,7 @@
 """A corpus pipeline of five stages over ``documents``, each written as Parquet and read again by the next.
 
 1. language ID: documents without a main language go; 2. line dedup: lines of ten documents or more go, except from
-documents that consist mostly of such lines, which are copies and left to the next stage; 3. MinHash near-dedup: one
+copies (documents with equal lines) that consist mostly of such lines, which are left to the next stage; 3. MinHash near-dedup: one
 document of each group stays; 4. mixing: sources are repeated towards an even mix, every document at least once;
 5. BPE: token counts and digests of what is left.
 """

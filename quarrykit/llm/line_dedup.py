@@ -37,6 +37,11 @@ def line_keys(text: str | None) -> list[bytes]:
     return [xxhash.xxh3_128_digest(k) if (k := line.strip().lower()) else b"" for line in (text or "").encode("utf-8", "surrogatepass").split(b"\n")]
 
 
+def text_key(keys: list[bytes]) -> bytes:
+    """A hash of a text's line keys in order; seeded, so that it is no line's key."""
+    return xxhash.xxh3_128_digest(b"".join(k or bytes(16) for k in keys), seed=1)
+
+
 class CuckooFilter:
     """Set of 128-bit keys with 16-bit fingerprints in buckets of four; what finds no slot is kept whole in a stash."""
 
@@ -232,6 +237,22 @@ def suspects(docs: DataFrame, store: LineStore, room: int = FILTER_ROOM) -> Data
     return rows.mapInPandas(probe, "doc_id long, key binary")
 
 
+def copies(docs: DataFrame) -> DataFrame:
+    """(doc_id, key) of the rows whose line keys, in order, are those of another row too; key is their ``text_key``."""
+
+    def run(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "key": pd.Series([text_key(line_keys(t)) for t in pdf["text"]], dtype=object)})
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    at = scratch(docs.sparkSession, "texts")
+    rows.mapInPandas(run, "doc_id long, key binary").write.parquet(at)
+    texts = docs.sparkSession.read.parquet(at)
+    return texts.join(texts.groupBy("key").agg(F.count("*").alias("_n")).filter("_n > 1").select("key"), "key").select("doc_id", "key")
+
+
 def _shard_of(keys: list[bytes], shards: int) -> np.ndarray:
     """What pmod(xxhash64(key), shards) gives in Spark, whose hash of 16 bytes has seed 42."""
     return np.array([xxhash.xxh64_intdigest(k, 42) for k in keys], np.uint64).astype(np.int64) % shards
@@ -241,12 +262,15 @@ def kept_lines(docs: DataFrame, store: LineStore, room: int = FILTER_ROOM, most:
     """(row, n_lines, n_dropped, kept_text): each row as a struct of its columns, and the lines whose key is in fewer
     documents than the threshold.
 
-    With ``most``, a document of which a larger share of characters would go stays whole: it is a copy rather
-    than a text with boilerplate.
+    With ``most``, a document of which a larger share of characters would go stays whole if it is a copy, that is
+    if another row has the same line keys in the same order: near-dedup leaves one of them. All others lose their
+    frequent lines whatever their share.
     """
     frequent = store.counts().filter(F.col("n") >= store.threshold).select("key")
     # a line that a third of all documents hold makes one hot key here: a plain join, whose skew Spark splits
-    confirmed = suspects(docs, store, room).join(frequent, "key")
+    confirmed = suspects(docs, store, room).join(frequent, "key").select("doc_id", "key")
+    if most is not None:
+        confirmed = confirmed.unionByName(copies(docs))
     drops = confirmed.groupBy("doc_id").agg(F.collect_set("key").alias("_drops")).withColumnRenamed("doc_id", "_of")
 
     @F.pandas_udf(T.StructType().add("n_lines", "long").add("n_dropped", "long").add("kept_text", "string"))
@@ -259,8 +283,9 @@ def kept_lines(docs: DataFrame, store: LineStore, room: int = FILTER_ROOM, most:
             kept = lines
             if drop is not None and len(drop):
                 gone = {bytes(k) for k in drop}
-                kept = [line for line, k in zip(lines, line_keys(text)) if k not in gone]
-                if most is not None and sum(map(len, kept)) < (1 - most) * sum(map(len, lines)):
+                keys = line_keys(text)
+                kept = [line for line, k in zip(lines, keys) if k not in gone]
+                if most is not None and sum(map(len, kept)) < (1 - most) * sum(map(len, lines)) and text_key(keys) in gone:
                     kept = lines
             out.append((len(lines), len(lines) - len(kept), "\n".join(kept)))
         return pd.DataFrame(out, columns=["n_lines", "n_dropped", "kept_text"])

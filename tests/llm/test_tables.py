@@ -111,6 +111,16 @@ def test_line_dedup_and_undo(spark):
     assert [x.n_dropped for x in line_dedup.dedup(docs(spark, [(i, "same\nsame", "s") for i in range(12)]), most=0.5).collect()] == [0] * 12
 
 
+def test_only_proven_copies_keep_frequent_lines(spark):
+    rows = [(i, f"Shared passage one\nshared passage two\nown {i}", "s") for i in range(12)]
+    rows += [(100, "shared passage two\nShared passage one", "s"), (None, "Shared passage one\nnull", "s"), (None, "Shared passage one\nelse", "s")]
+    rows += [(200, "Shared passage one\nmine", "s"), (201, "shared passage ONE \nmine", "s")]  # copies of each other
+    got = line_dedup.dedup(docs(spark, rows), most=0.5).collect()
+    assert len(got) == len(rows)
+    assert {(x.doc_id, x.kept_text) for x in got if x.doc_id not in (200, 201)} == {(i, f"own {i}") for i in range(12)} | {(100, ""), (None, "null"), (None, "else")}
+    assert [x.n_dropped for x in got if x.doc_id in (200, 201)] == [0, 0]
+
+
 def test_cuckoo_filter():
     keys = [hashlib.md5(str(i).encode()).digest() for i in range(3000)]
     made = line_dedup.CuckooFilter(256)  # too small: the rest goes to the stash

@@ -15,8 +15,8 @@ threshold) are left; all others are confirmed on the full sets, recomputed from
 
 Defined cases: a null text, or one without words, has the empty set and is linked with nothing; a text of fewer
 than five words has one shingle; rows with one doc_id count as one document; a row with a null doc_id takes part
-through its text, gets the smallest non-null id of its group (or null), and is not kept where that is null; an
-empty table gives an empty result.
+through its text, gets the smallest non-null id of its group (or null), and is not marked kept where that is null; an
+empty table gives an empty result. ``deduplicate`` decides by row instead.
 """
 
 from __future__ import annotations
@@ -284,10 +284,9 @@ def link(compare: Comparison) -> DataFrame:
     return labels
 
 
-def find(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """One row for each row of ``docs``: doc_id, n_shingles, component_id, kept."""
+def labelled(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The sketches of all rows of ``docs`` (doc_id, text), and (node, first_id, label) of their classes."""
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     at = scratch(spark, "sketches")
     sketch_documents(docs).write.parquet(at)
     sketches = spark.read.parquet(at)
@@ -297,7 +296,16 @@ def find(docs: DataFrame, percent: int = 75) -> DataFrame:
     firsts.join(body, "row").dropDuplicates(["node"]).write.parquet(at)
     classes = spark.read.parquet(at)
     labels = link(Comparison(docs, classes, percent))
-    named = cut(classes.select("node", "first_id").join(labels, "node", "left").select("node", "first_id", F.coalesce("label", "node").alias("label")))
+    return sketches, cut(classes.select("node", "first_id").join(labels, "node", "left").select("node", "first_id", F.coalesce("label", "node").alias("label")))
+
+
+def plain(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def find(docs: DataFrame, percent: int = 75) -> DataFrame:
+    """One row for each row of ``docs``: doc_id, n_shingles, component_id, kept."""
+    sketches, named = labelled(plain(docs), percent)
     least = named.groupBy("label").agg(F.min("first_id").alias("component_id"))
     of = named.join(least, "label").select("node", "component_id")
     rows = sketches.select("doc_id", "n_shingles", "node")
@@ -307,6 +315,17 @@ def find(docs: DataFrame, percent: int = 75) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """The rows of ``docs`` whose document is kept, with the same columns."""
-    gone = find(docs, percent).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["_gone"]), "left_anti")
+    """One row of each component of ``docs``, and every row without words, with the same columns.
+
+    Rows count by themselves, whatever their doc_id: the one with the smallest id stays (of equal ids, that with the
+    smallest hash of the text), and one without an id only where no row of the component has one.
+    """
+    sketches, named = labelled(plain(docs), percent)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("first")
+    firsts = sketches.filter("node is not null").groupBy("node").agg(first)
+    stays = firsts.join(named, "node").groupBy("label").agg(F.min("first").alias("first")).select(F.col("first.row").alias("_stays"))
+    rows = docs.withColumn("_near_row", F.xxhash64(F.lit(7), F.col("doc_id").cast("long"), F.col("text").cast("string")))
+    # rows equal in id and text have one name
+    kept = rows.join(stays, F.col("_near_row") == F.col("_stays"), "left_semi").dropDuplicates(["_near_row"]).drop("_near_row")
+    wordless = docs.filter(~F.coalesce(F.col("text").cast("string").rlike(r"[^ \t\n\x0b\f\r]"), F.lit(False)))
+    return kept.unionByName(wordless)

@@ -72,6 +72,15 @@ def test_nulls_repeats_and_empty_table(spark):
     assert near_dedup.deduplicate(spark.createDataFrame([], SCHEMA)).columns == ["doc_id", "text", "a", "component_id"]
 
 
+def test_deduplicate_keeps_one_row_of_each_component(spark):
+    a, b, c = ("".join(f"{x}{k} " for k in range(20)) for x in "abc")
+    rows = [(1, a), (2, a), (2, b), (None, c), (None, c), (None, a), (5, a), (3, "x y"), (3, "x y"), (None, None), (4, " \t"), (None, "lone text")]
+    got = near_dedup.deduplicate(spark.createDataFrame([(i, t, "p", None) for i, t in rows], SCHEMA))
+    assert got.columns == ["doc_id", "text", "a", "component_id"]
+    want = [(1, a), (2, b), (None, c), (3, "x y"), (None, None), (4, " \t"), (None, "lone text")]
+    assert sorted(map(str, ((r.doc_id, r.text) for r in got.collect()))) == sorted(map(str, want))
+
+
 def test_sketch_fills_every_coordinate():
     import numpy as np
 

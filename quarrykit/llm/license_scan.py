@@ -1,11 +1,14 @@
 """Licence scan: winnowed fingerprints of templates pick candidates, banded alignment confirms and measures them.
 
-Templates and texts are read as lower-cased words. Every five words of a template have a hash; of each four such
-hashes in a row the smallest (the rightmost of equal ones) is a fingerprint, and an inverted index lists for each
-fingerprint the templates and places that have it. A template of fewer than five words has one fingerprint, of all
-its words. A text's hashes are looked up at every place, so no common passage of eight words is missed. The hits are
-taken in the text's order: a local alignment (match 2, mismatch and gap -1) of the template with the text, in a band
-around the hit's diagonal, gives the matched words and their span; further hits are aligned with what is left.
+Templates and texts are read as lower-cased words. Every few words of a template have a hash; of each few such hashes
+in a row the smallest (the rightmost of equal ones) is a fingerprint, and an inverted index lists for each fingerprint
+the templates and places that have it. How many words and hashes follows from the wanted coverage: if that share of a
+template's words is there and the others are changed or missing, a run of words stays in which one fingerprint lies.
+Of templates of up to 16 words every word is a fingerprint, so words may be added anywhere as well. (In a longer one
+additions that split every such run, three words at 0.75, can hide a text.) A hit counts only if the text around it has
+enough of the template's words, in any order, which no match can do without. The hits are taken in the text's order: a
+local alignment (match 2, mismatch and gap -1) of the template with the text, in a band around the hit's diagonal,
+gives the matched words and their span; further hits are aligned with what is left.
 
 The index depends on the templates alone and goes to the executors with the task. Each document is scanned by
 itself, so nothing is shuffled and a template in a third of all documents is no hot key.
@@ -17,6 +20,7 @@ the whole text, the end excluded; repeated rows are scanned each; an empty table
 
 from __future__ import annotations
 
+import math
 import re
 from collections import defaultdict
 
@@ -29,6 +33,7 @@ from quarrykit.llm.common import slices, splitmix
 
 WORD = re.compile(r"[^\W_]+")
 GRAM, WINDOW = 5, 4
+SHORT = 16
 
 
 class Vocabulary(dict):
@@ -59,6 +64,16 @@ def winnow(hashes: np.ndarray, window: int = WINDOW) -> list[int]:
     return sorted(picked)
 
 
+def grams(n: int, least: float) -> tuple[int, int]:
+    """Words in a gram and grams in a window, so that any text with ``least`` of a template's n words has a fingerprint."""
+    if n <= SHORT:
+        return 1, 1
+    wanted = max(1, math.ceil(least * n - 1e-9))
+    run = math.ceil(wanted / (n - wanted + 1))  # the others cut the wanted words into so many runs at most
+    k = min(GRAM, run)
+    return k, min(WINDOW, run - k + 1)
+
+
 def align(template: np.ndarray, text: np.ndarray, low: int, high: int) -> tuple[int, int, int]:
     """Matched words and the span (first and last place in ``text``) of the best local alignment with template place
     i at text places i + low to i + high; (0, 0, -1) if nothing matches."""
@@ -98,23 +113,58 @@ class Scanner:
             self.words.append(np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words], np.int64))
         index: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
         for t, ids in enumerate(self.words):
-            k = min(GRAM, len(ids))
+            k, window = grams(len(ids), least)
             hashes = gram_hashes(ids, k)
-            for at in winnow(hashes):
+            for at in winnow(hashes, window) if window > 1 else range(len(hashes)):
                 index[k][int(hashes[at])].append((t, at))
         self.index = {k: (np.array(sorted(v), np.uint64), dict(v)) for k, v in index.items()}
+        size = len(self.vocabulary) + 1
+        self.counts = [np.bincount(ids, minlength=size) for ids in self.words]
+        self.wanted = [max(1, math.ceil(least * len(ids) - 1e-9)) for ids in self.words]
+        self.bands = [4 + len(ids) // 10 for ids in self.words]
+
+    def roomy(self, t: int, ids: np.ndarray) -> np.ndarray | None:
+        """For each diagonal, from that of the template's last word on the text's first: whether the text around it has
+        enough words of the template; None if nowhere."""
+        n, band = len(self.words[t]), self.bands[t]
+        if len(ids) < self.wanted[t]:
+            return None
+        known = np.concatenate([[0], np.cumsum(self.counts[t][ids] > 0)])
+        if known[-1] < self.wanted[t]:
+            return None
+        d = np.arange(1 - n, len(ids))
+        enough = known[np.clip(d + n + band, 0, len(ids))] - known[np.clip(d - band, 0, len(ids))] >= self.wanted[t]
+        return enough if enough.any() else None
+
+    def holds(self, t: int, d: int, free: np.ndarray) -> bool:
+        """Whether what is left around a diagonal has enough of the template's words, each as often as there."""
+        part = free[max(0, d - self.bands[t]) : max(0, d + len(self.words[t]) + self.bands[t])]
+        own = np.bincount(part[part > 0], minlength=len(self.counts[t]))
+        return int(np.minimum(own, self.counts[t]).sum()) >= self.wanted[t]
 
     def hits(self, ids: np.ndarray) -> dict[int, list[tuple[int, int]]]:
         """By template: (diagonal, place in the text) of every fingerprint found."""
         out = defaultdict(list)
+        rooms = {t: room for t in range(len(self.words)) if (room := self.roomy(t, ids)) is not None}
+        if not rooms:
+            return out
         for k, (keys, places) in self.index.items():
+            if k == 1:  # a word's fingerprint is the word: only templates with room are looked up
+                for t in rooms:
+                    if grams(len(self.words[t]), self.least)[0] == 1:
+                        for i, word in enumerate(self.words[t].tolist()):
+                            j = np.flatnonzero(ids == word)
+                            j = j[rooms[t][j - i + len(self.words[t]) - 1]]
+                            out[t] += [(x - i, x) for x in j.tolist()]
+                continue
             hashes = gram_hashes(ids, k)
             some = np.flatnonzero(hashes)
             some = some[np.isin(hashes[some], keys)]
             for j in some.tolist():
                 for t, i in places[int(hashes[j])]:
-                    out[t].append((j - i, j))
-        return out
+                    if t in rooms and rooms[t][j - i + len(self.words[t]) - 1]:
+                        out[t].append((j - i, j))
+        return {t: hits for t, hits in out.items() if hits}
 
     def scan(self, text: str | None) -> list[tuple[str, int, int, int, int]]:
         """(template, its words, matched words, start, end) of each match."""
@@ -135,9 +185,9 @@ class Scanner:
         out = []
         for t, places in sorted(hits.items()):
             template, free, tried = self.words[t], ids.copy(), set()
-            band = 4 + len(template) // 10
+            band = self.bands[t]
             for d, j in sorted(places, key=lambda p: (p[1], p[0])):
-                if free[j] < 0 or d in tried:
+                if free[j] < 0 or d in tried or not self.holds(t, d, free):
                     continue
                 matched, first, last = align(template, free, d - band, d + band)
                 if matched >= self.least * len(template):

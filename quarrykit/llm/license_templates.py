@@ -36,7 +36,11 @@ disclaimer.
 disclaimer in the documentation and/or other materials provided with the distribution.
 THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES,
 INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
-DISCLAIMED.""",
+DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL,
+SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR
+SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY,
+WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF
+THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
     "bsd-3-clause-third": """
 Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products
 derived from this software without specific prior written permission.""",
@@ -60,5 +64,7 @@ This software is provided 'as-is', without any express or implied warranty. In n
 liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for
 any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following
 restrictions: The origin of this software must not be misrepresented; you must not claim that you wrote the original
-software.""",
+software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated
+but is not required. Altered source versions must be plainly marked as such, and must not be misrepresented as being
+the original software. This notice may not be removed or altered from any source distribution.""",
 }

@@ -105,6 +105,22 @@ def test_license_scan(spark):
     assert license_scan.scan(spark.createDataFrame([], DOCS), TEMPLATES).count() == 0
 
 
+def test_license_scan_misses_no_changed_notice():
+    scanner = license_scan.Scanner(TEMPLATES, 0.75)
+    assert "notice-mit" in {m[0] for m in scanner.scan("xx Licensed under the MIT License yy")}
+    assert "notice-all-rights-reserved" in {m[0] for m in scanner.scan("All the rights are reserved.")}
+    for name, text in TEMPLATES.items():
+        words = license_scan.WORD.findall(text.lower())
+        spare = len(words) - int(np.ceil(0.75 * len(words)))
+        for first in range(min(4, len(words))):
+            own = list(words)
+            for at in range(first, len(own), 4)[:spare]:
+                own[at] = "changed"
+            got = [m for m in scanner.scan("one two " + " ".join(own) + " three four") if m[0] == name]
+            plain = max(license_scan.align(scanner.words[scanner.names.index(name)], np.array([scanner.vocabulary[w] for w in own]), -4, 4)[0], 0)
+            assert bool(got) == (plain >= 0.75 * len(words)), (name, first)
+
+
 def test_winnowing_keeps_one_in_each_window():
     h = license_scan.splitmix(np.arange(100, dtype=np.uint64))
     picked = set(license_scan.winnow(h))

@@ -15,6 +15,7 @@ repeated rows are scored each; an empty table gives an empty result.
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +43,7 @@ KIND = {term: kind for kind, terms in IDENTITIES.items() for term in terms.split
 WORD = re.compile(r"[^\W\d_]+")
 SENTENCE = re.compile(r"[^.!?\n]+")
 PREFIXES = (4, 5)
+MOVED = pa.list_(pa.struct([("gone", pa.list_(pa.int32())), ("come", pa.list_(pa.int32())), ("n", pa.int64())]))
 
 
 def features_of_word(word: str) -> list[str]:
@@ -91,13 +93,15 @@ class Classifier:
         return score
 
 
-def fit(rows: list[np.ndarray], toxic: np.ndarray, changes: list[tuple[list[int], list[int]]], n: int, fairness: float, l2: float = 1e-4, rounds: int = 400) -> tuple[np.ndarray, float]:
-    """Weights and bias by Adam on the whole sample. rows: feature numbers; changes: numbers that go and that come."""
+def fit(rows: list[np.ndarray], toxic: np.ndarray, changes: list[tuple[list[int], list[int]]], n: int, fairness: float, l2: float = 1e-4, rounds: int = 400, times: list[int] | None = None) -> tuple[np.ndarray, float]:
+    """Weights and bias by Adam on the whole sample. rows: feature numbers; changes: numbers that go and that come,
+    each standing for so many ``times`` (once)."""
     at = np.concatenate([*rows, np.zeros(0, np.int64)]).astype(np.int64)
     of = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     c_at = np.array([f for gone, come in changes for f in (*gone, *come)], np.int64)
     c_of = np.repeat(np.arange(len(changes)), [len(g) + len(c) for g, c in changes])
     c_sign = np.array([s for gone, come in changes for s in (*[-1.0] * len(gone), *[1.0] * len(come))])
+    weigh = np.ones(len(changes)) if times is None else np.array(times, float)
     share = toxic.mean()
     w, bias = np.zeros(n), float(np.log(share / (1 - share)))
     m, v = np.zeros(n + 1), np.zeros(n + 1)
@@ -107,8 +111,8 @@ def fit(rows: list[np.ndarray], toxic: np.ndarray, changes: list[tuple[list[int]
         r = balance * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - toxic) / len(rows)
         g = np.bincount(at, r[of], n) + l2 * w
         if len(changes) and fairness:
-            d = np.bincount(c_of, c_sign * w[c_at], len(changes))
-            g += 2 * fairness / len(changes) * np.bincount(c_at, c_sign * d[c_of], n)
+            d = weigh * np.bincount(c_of, c_sign * w[c_at], len(changes))
+            g += 2 * fairness / weigh.sum() * np.bincount(c_at, c_sign * d[c_of], n)
         g = np.append(g, r.sum())
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         step = 0.1 * (1 - 0.5 * t / rounds) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-9)
@@ -152,13 +156,19 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, features: in
         for batch in slices(batches):
             texts = batch["text"].to_pylist()
             held = [sorted({number[f] for w in words_of(t) for f in features_of_word(w) if f in number}) for t in texts]
-            moved = [[[sorted(number[f] for f in side if f in number) for side in pair] for pair in swaps(t)[:200]] for t in texts]
-            yield pa.RecordBatch.from_arrays([batch["toxic"], pa.array(held, pa.list_(pa.int32())), pa.array(moved, pa.list_(pa.list_(pa.list_(pa.int32()))))], names=["toxic", "held", "moved"])
+            # equal changes of a text are added up, so that a long one hands on few
+            moved = [Counter(tuple(tuple(sorted(number[f] for f in side if f in number)) for side in pair) for pair in swaps(t)) for t in texts]
+            moved = [[{"gone": gone, "come": come, "n": n} for (gone, come), n in sorted(m.items()) if gone or come] for m in moved]
+            yield pa.RecordBatch.from_arrays([batch["toxic"], pa.array(held, pa.list_(pa.int32())), pa.array(moved, MOVED)], names=["toxic", "held", "moved"])
 
-    got = chosen.mapInArrow(vectors, "toxic int, held array<int>, moved array<array<array<int>>>").toArrow()
+    got = chosen.mapInArrow(vectors, "toxic int, held array<int>, moved array<struct<gone: array<int>, come: array<int>, n: long>>").toArrow()
     rows = [np.array(x, np.int64) for x in got["held"].to_pylist()]
-    changes = [(a, b) for per in got["moved"].to_pylist() for a, b in per if a or b]
-    w, bias = fit(rows, got["toxic"].to_numpy().astype(float), changes, len(names), fairness)
+    total_changes: Counter = Counter()
+    for per in got["moved"].to_pylist():
+        for x in per:
+            total_changes[tuple(x["gone"]), tuple(x["come"])] += x["n"]
+    changes = sorted(total_changes)
+    w, bias = fit(rows, got["toxic"].to_numpy().astype(float), changes, len(names), fairness, times=[total_changes[c] for c in changes])
     return Classifier({f: float(x) for f, x in zip(names, w) if x}, bias)
 
 

@@ -181,3 +181,17 @@ def test_counterfactual_training(spark):
     assert all(0 <= g.score <= 1 and g.predicted == int(g.score >= 0.5) for g in got) and len(got) == 4
     assert toxicity.train(d, labels.limit(0)).scorer()("x") < 0.01
     assert toxicity.score(d.limit(0), model, ["doc_id"]).count() == 0
+
+
+def test_every_mention_of_a_long_text_counts(spark, monkeypatch):
+    seen = {}
+
+    def fit(rows, toxic, changes, n, *a, times=None, **b):
+        seen.update(times=times, changes=changes)
+        return np.zeros(n), 0.0
+
+    monkeypatch.setattr(toxicity, "fit", fit)
+    text = "The muslims walk. " * 100 + "The gay man walks. " * 50
+    d = docs(spark, [(i, text) for i in range(4)])
+    toxicity.train(d, spark.createDataFrame([(i, i % 2) for i in range(4)], "doc_id long, toxic int"))
+    assert sum(seen["times"]) == 4 * sum(1 for _ in toxicity.swaps(text)) and len(seen["changes"]) < 30

@@ -19,13 +19,13 @@ import heapq
 import json
 import os
 import re
-import tempfile
 import uuid
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,7 +35,8 @@ from quarrykit.llm.common import slices
 #: str.split() takes these for white space; Unicode and the tokenizer do not.
 SEPARATORS = re.compile("[\x1c-\x1f]")
 WHITE = re.compile("[^\\S\x1c-\x1f]+")
-CACHE_WORDS = 240_000
+BEYOND_LATIN = re.compile("[^\x00-\u012f\u0131-\u024f]")
+CACHE_WORDS = 400_000
 
 
 def byte_characters() -> list[str]:
@@ -66,15 +67,33 @@ class WordBpe:
         self.normalise = Tokenizer.from_file(path).normalizer.normalize_str
         self.cut = pre_tokenizers.Split(Regex(split["pattern"]["Regex"]), "removed", invert=True).pre_tokenize_str
         numbers = r"\d²³¹¼½¾"  # \p{N} up to U+024F
-        self.latin_words = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[^\W_{numbers}]+|[{numbers}]|(?:[^\w]|_)+").findall
-
-    def words_in(self, chunk: str) -> list[str]:
-        """The tokenizer's words in a chunk. Up to U+024F nothing composes and Python's tables agree with the
-        tokenizer's; for all other chunks its own normaliser and splitter decide."""
-        if chunk.isascii() or max(chunk) < "\u0250" and "\u0130" not in chunk:
-            low = chunk.lower()
-            return [low] if low.isalpha() else self.latin_words(low)
-        return [w for part in self.normalise(chunk).split(" ") if part for w, _ in self.cut(part)]
+        self.latin_words = re.compile(rf"\n|'s|'t|'re|'ve|'m|'ll|'d|[^\W_{numbers}]+|[{numbers}]|(?:[^\w\n]|_)+").findall
+
+    def words_in(self, chunks: list[str]) -> tuple[list[str], np.ndarray]:
+        """The tokenizer's words in all chunks, one after the other, and how many each chunk has.
+
+        Up to U+024F nothing composes and Python's tables agree with the tokenizer's; for all other chunks its own
+        normaliser and splitter decide. No chunk holds a line feed, so that one can stand between them.
+        """
+        far = BEYOND_LATIN.search
+        if not far("\n".join(chunks)):
+            return self.latin(chunks)
+        near = [k for k, c in enumerate(chunks) if not far(c)]
+        found, sizes = self.latin([chunks[k] for k in near])
+        ends = np.cumsum(sizes).tolist()
+        own = {k: found[end - n : end] for k, n, end in zip(near, sizes.tolist(), ends)}
+        for k, c in enumerate(chunks):
+            if k not in own:
+                own[k] = [w for part in self.normalise(c).split(" ") if part for w, _ in self.cut(part)]
+        each = [own[k] for k in range(len(chunks))]
+        return [w for ws in each for w in ws], np.array([len(ws) for ws in each], np.int64)
+
+    def latin(self, chunks: list[str]) -> tuple[list[str], np.ndarray]:
+        if not chunks:
+            return [], np.zeros(0, np.int64)
+        found = self.latin_words("\n".join(chunks).lower())
+        ends = np.array([*(k for k, w in enumerate(found) if w == "\n"), len(found)], np.int64)
+        return [w for w in found if w != "\n"], np.diff(ends, prepend=-1) - 1
 
     def segments(self, text: str) -> list[str]:
         """The text cut at special strings, which stand at the odd places."""
@@ -228,82 +247,138 @@ class Lexicon:
         return self.ids[self.start[number] : self.start[number + 1]].tolist()
 
 
+class Ragged:
+    """Lists of numbers one after the other: list k is flat[starts[k]:][:sizes[k]]."""
+
+    def __init__(self, flat: np.ndarray, sizes: np.ndarray):
+        self.flat, self.sizes = flat, sizes
+        self.starts = np.cumsum(sizes) - sizes
+
+    def plus(self, flat: np.ndarray, sizes: np.ndarray) -> Ragged:
+        return Ragged(np.append(self.flat, flat), np.append(self.sizes, sizes))
+
+    def take(self, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The elements of the lists ``k``, one after the other, and how many each has."""
+        n = self.sizes[k]
+        return self.flat[np.arange(n.sum()) + np.repeat(self.starts[k] - np.cumsum(n) + n, n)], n
+
+
 class Encoder:
-    """Encodes texts with the lexicon, exact merging and a bounded memo of white-space chunks."""
+    """Encodes texts with the lexicon, exact merging and a bounded memo of white-space chunks and words.
+
+    Chunks and words get numbers when they are first met. A window of texts becomes an array of chunk numbers, and
+    its words and token ids are taken from there for all texts at once. A special string is a chunk of its own, kept
+    apart from the plain ones as a tuple.
+    """
 
     def __init__(self, bpe: WordBpe, lexicon: Lexicon, room: int = CACHE_WORDS):
         self.bpe, self.lexicon, self.room = bpe, lexicon, room
-        self.ids: dict[str, str] = {}
-        self.texts: dict[str, str] = {}
-        self.older: tuple[dict, dict] = {}, {}
-
-    def learn(self, chunks: set[str]) -> None:
-        """Puts chunks into the memo: their ids and their tokens, each joined by a space."""
-        if len(self.ids) > self.room // 2:  # the memo's older half goes
-            self.older, self.ids, self.texts = (self.ids, self.texts), {}, {}
-        ids, texts = self.older
-        new = []
-        for c in chunks - self.ids.keys():
-            if c in ids:
-                self.ids[c], self.texts[c] = ids[c], texts[c]
-            else:
-                new.append(c)
-        split = [self.bpe.words_in(c) for c in new]
-        words = list({w for ws in split for w in ws})
-        text_of, merge, tokens = self.bpe.texts.__getitem__, self.bpe.merge, self.lexicon.tokens
-        known: dict[str, tuple[str, str]] = {}
-        for w, k in zip(words, self.lexicon.numbers(words).tolist()):
-            ids = tokens(k) if k >= 0 else merge(w)
-            known[w] = " ".join(map(str, ids)), " ".join(map(text_of, ids))
-        for c, ws in zip(new, split):
-            if len(ws) == 1:
-                self.ids[c], self.texts[c] = known[ws[0]]
-            else:
-                self.ids[c] = " ".join([known[w][0] for w in ws])
-                self.texts[c] = " ".join([known[w][1] for w in ws])
-
-    def encode(self, texts: list[str]) -> Iterator[tuple[str, str]]:
-        """For each text its ids and its decoded text, both joined by a space."""
-        for at in range(0, len(texts), 64):
-            cut = [[(k % 2, s if k % 2 else self.bpe.chunks(s)) for k, s in enumerate(self.bpe.segments(t))] for t in texts[at : at + 64]]
-            self.learn({c for parts in cut for special, p in parts if not special for c in p})
-            for parts in cut:
-                ids, words = [], []
-                for special, p in parts:
-                    if special:
-                        ids.append(str(self.bpe.special[p]))
-                        words.append(p)
-                    else:
-                        ids += map(self.ids.__getitem__, p)
-                        words += map(self.texts.__getitem__, p)
-                yield " ".join(filter(None, ids)), " ".join(filter(None, words))
-
-
-_ENCODERS: dict[str, Encoder] = {}
-
-
-def encoder_for(name: str, bpe_path: str) -> Encoder:
-    """This worker's encoder with the lexicon of that name; tasks that follow find its memo filled."""
-    if name not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[name] = Encoder(WordBpe(bpe_path), Lexicon.map(SparkFiles.get(name)))
-    return _ENCODERS[name]
+        last = max(bpe.texts, default=-1)
+        self.shown = pa.array([str(i) for i in range(last + 1)], pa.large_string()), pa.array([bpe.texts.get(i, "") for i in range(last + 1)], pa.large_string())
+        self.forget()
+
+    def forget(self) -> None:
+        none = np.zeros(0, np.int64)
+        self.chunks, self.words = Numbers(), Numbers()
+        self.words_of, self.ids_of = Ragged(none, none), Ragged(none, none)
+
+    def learn(self) -> None:
+        """The words of the chunks, and the ids of the words, that were numbered since the last call."""
+        new = self.chunks.take_fresh()
+        words, sizes = self.bpe.words_in([c for c in new if isinstance(c, str)])
+        if len(sizes) < len(new):
+            each = iter(np.split(np.arange(len(words)), np.cumsum(sizes)))
+            each = [[words[k] for k in next(each)] if isinstance(c, str) else [c] for c in new]
+            words, sizes = [w for ws in each for w in ws], np.array([len(ws) for ws in each])
+        self.words_of = self.words_of.plus(self.words.of(words), sizes)
+        new = self.words.take_fresh()
+        lexicon, merge, special = self.lexicon, self.bpe.merge, self.bpe.special
+        at = lexicon.numbers([w if isinstance(w, str) else "" for w in new])
+        known = np.array([isinstance(w, str) for w in new], bool) & (at >= 0)
+        ids, sizes = Ragged(lexicon.ids, np.diff(lexicon.start)).take(at[known])
+        mine = [merge(new[k]) if isinstance(new[k], str) else [special[new[k][0]]] for k in np.flatnonzero(~known).tolist()]
+        ids = np.append(ids, np.array([i for x in mine for i in x], np.int64))
+        both = Ragged(ids, np.append(sizes, np.array([len(x) for x in mine], np.int64)))
+        self.ids_of = self.ids_of.plus(*both.take(np.argsort(np.append(np.flatnonzero(known), np.flatnonzero(~known)))))
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The token ids of all texts, one after the other, and how many each text has."""
+        if len(self.chunks) > self.room:
+            self.forget()
+        codes = []
+        for t in texts:
+            segments = self.bpe.segments(t)
+            codes.append(self.chunks.of(self.bpe.chunks(segments[0]) if len(segments) == 1 else [x for k, s in enumerate(segments) for x in ([(s,)] if k % 2 else self.bpe.chunks(s))]))
+        self.learn()
+        words, n_words = self.words_of.take(np.concatenate([*codes, np.zeros(0, np.int64)]))
+        ids, n_ids = self.ids_of.take(words)
+        ends = [np.append(0, np.cumsum(n)) for n in ([len(c) for c in codes], n_words, n_ids)]
+        return ids, np.diff(ends[2][ends[1][ends[0]]]).astype(np.int64)
+
+    def joined(self, ids: np.ndarray, sizes: np.ndarray) -> list[pa.Array]:
+        """The ids and the tokens of each text, joined by a space."""
+        starts = pa.array(np.append(0, np.cumsum(sizes)), pa.int64())
+        space = pa.scalar(" ", pa.large_string())
+        return [pc.binary_join(pa.LargeListArray.from_arrays(starts, x.take(pa.array(ids))), space) for x in self.shown]
+
+
+class Numbers(dict):
+    """Numbers for things in the order in which they are first met."""
+
+    def __init__(self):
+        self.fresh: list = []
+
+    def __missing__(self, thing) -> int:
+        n = self[thing] = len(self)
+        self.fresh.append(thing)
+        return n
+
+    def of(self, things: list) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, things), np.int64, len(things))
+
+    def take_fresh(self) -> list:
+        new, self.fresh = self.fresh, []
+        return new
+
+
+_MODELS: dict[str, WordBpe] = {}
+
+
+def model_at(path: str) -> WordBpe:
+    """This worker's tokenizer, which does not grow; memos are a task's own and end with it."""
+    if path not in _MODELS:
+        _MODELS.clear()
+        _MODELS[path] = WordBpe(path)
+    return _MODELS[path]
+
+
+def windows(batches, characters: int = 1 << 22):
+    """Arrow batches in pieces of about so many characters of text, one row at least."""
+    for batch in batches:
+        ends = np.cumsum(pc.utf8_length(batch["text"]).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < batch.num_rows:
+            before = ends[at - 1] if at else 0
+            to = max(at + 1, int(np.searchsorted(ends, before + characters, "right")))
+            yield batch.slice(at, to - at)
+            at = to
 
 
 def count_words(docs: DataFrame, bpe_path: str) -> DataFrame:
     """How often each of the tokenizer's words occurs in all texts: (word, n)."""
 
     def count(batches):
-        bpe, chunks = WordBpe(bpe_path), Counter()
+        bpe, chunks = model_at(bpe_path), Counter()
 
         def drain():
-            words = Counter()
-            for c, n in chunks.items():
-                for w in bpe.words_in(c):
-                    words[w] += n
+            number = Numbers()
+            found, sizes = bpe.words_in(list(chunks))
+            times = np.repeat(np.fromiter(chunks.values(), np.int64, len(chunks)), sizes)
+            n = np.bincount(number.of(found), times).astype(np.int64)
             chunks.clear()
-            kept = [w for w in words if len(w) <= 256]  # longer ones are merged when met
-            return pa.RecordBatch.from_pydict({"word": pa.array(kept, pa.string()), "n": pa.array([words[w] for w in kept], pa.int64())})
+            words = list(number)
+            kept = [k for k, w in enumerate(words) if len(w) <= 256]  # longer ones are merged when met
+            return pa.RecordBatch.from_pydict({"word": pa.array([words[k] for k in kept], pa.string()), "n": pa.array(n[kept], pa.int64())})
 
         for batch in slices(batches):
             for text in batch["text"].to_pylist():
@@ -322,7 +397,7 @@ def build_lexicon(docs: DataFrame, bpe_path: str, lexicon_words: int = 1 << 18)
     """The automaton of the most frequent words of ``docs``, at most ``lexicon_words`` (ties: smaller word)."""
 
     def merge(batches):
-        bpe = WordBpe(bpe_path)
+        bpe = model_at(bpe_path)
         for batch in slices(batches):
             ids = pa.array([bpe.merge(w) for w in batch["word"].to_pylist()], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([batch["word"], ids], names=["word", "ids"])
@@ -334,9 +409,14 @@ def build_lexicon(docs: DataFrame, bpe_path: str, lexicon_words: int = 1 << 18)
 
 
 def share(docs: DataFrame, lexicon: Lexicon) -> str:
-    """Sends the lexicon's file to all executors, those started later too; returns its name there."""
+    """Hands the lexicon's file to Spark, which copies it to all executors, those started later too; its name there.
+
+    The driver's own copy lies in the folder from which Spark serves files, and goes with it.
+    """
     name = f"lexicon-{uuid.uuid4().hex}.bin"
-    path = os.path.join(tempfile.mkdtemp(prefix="quarrykit-"), name)
+    folder = os.path.join(SparkFiles.getRootDirectory(), "quarrykit")
+    os.makedirs(folder, exist_ok=True)
+    path = os.path.join(folder, name)
     lexicon.save(path)
     docs.sparkSession.sparkContext.addFile(path)
     return name
@@ -350,17 +430,16 @@ def encode(docs: DataFrame, bpe_path: str, lexicon: Lexicon, ids: bool = False)
     name = share(docs, lexicon)
 
     def run(batches):
-        encoder = encoder_for(name, bpe_path)
-        for batch in slices(batches):
-            done = list(encoder.encode(batch["text"].to_pylist()))
-            out = [
-                batch["doc_id"],
-                pa.array([i.count(" ") + 1 if i else 0 for i, _ in done], pa.int64()),
-                pa.array([hashlib.sha256(i.encode()).hexdigest() for i, _ in done], pa.string()),
-                pa.array([hashlib.sha256(t.encode()).hexdigest() for _, t in done], pa.string()),
-            ]
+        encoder = Encoder(model_at(bpe_path), Lexicon.map(SparkFiles.get(name)))
+
+        def digests(column):
+            return pa.array([hashlib.sha256(x.as_buffer() if len(x.as_buffer()) else b"").hexdigest() for x in column], pa.string())
+
+        for batch in windows(batches):
+            tokens, sizes = encoder.encode(batch["text"].to_pylist())
+            out = [batch["doc_id"], pa.array(sizes), *map(digests, encoder.joined(tokens, sizes))]
             if ids:
-                out.append(pa.array([list(map(int, i.split())) for i, _ in done], pa.list_(pa.int32())))
+                out.append(pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(tokens, pa.int32())))
             yield pa.RecordBatch.from_arrays(out, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(out)])
 
     texts = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -372,7 +451,7 @@ def decode(encoded: DataFrame, bpe_path: str) -> DataFrame:
     """``doc_id`` with the decoded text of ``ids``: the tokens joined by a space, special ones included."""
 
     def run(batches):
-        text_of = WordBpe(bpe_path).texts
+        text_of = model_at(bpe_path).texts
         for batch in slices(batches):
             texts = [" ".join([text_of[i] for i in x or ()]) for x in batch["ids"].to_pylist()]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(texts, pa.string())], names=["doc_id", "text"])

@@ -3,13 +3,14 @@
 A line's key is the line with ASCII white space stripped at both ends and A-Z lower-cased, held as its 128-bit
 hash. ``LineStore`` counts in how many documents each key occurs. ``insert`` and ``delete`` add and subtract the
 counts of a batch of documents; keys that cross the threshold enter or leave their shard's cuckoo filter, so
-deleting a batch brings back the state from before its insertion. ``drop_lines`` asks the filters first, in the
-tasks that read the texts; only lines that pass are confirmed against the exact table, so a filter's false
-positives never drop a line.
+deleting a batch brings back the state from before its insertion. ``drop_lines`` takes every line to the filter of its
+shard, a shard with many lines in several parts that each get the filter; only lines that pass are confirmed against
+the exact table, so a filter's false positives never drop a line.
 
 Defined cases: a null or empty text is one empty line; empty keys are never dropped; each row counts as one
 document, a key once per row; rows with a null or repeated doc_id are treated like others (what is dropped
-depends on the key alone); an empty table gives an empty result. Other columns stay as they are.
+depends on the key alone); deleting what was never inserted takes a count to 0 at least; very long texts count whole;
+an empty table gives an empty result. Other columns stay as they are.
 """
 
 from __future__ import annotations
@@ -26,8 +27,8 @@ from pyspark.sql import types as T
 from quarrykit.llm.common import scratch
 
 SLOTS = 4
-#: Filters of at most so many bytes in all are broadcast; beyond, every line is confirmed by the join.
-FILTER_ROOM = 64 << 20
+#: Lines that meet a filter together; a shard with more is dealt out.
+TOGETHER = 100_000
 #: Distinct keys that a task holds before it hands on their counts.
 HELD_KEYS = 500_000
 
@@ -124,6 +125,32 @@ def count_keys(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("text").cast("string").alias("text")).mapInPandas(count, "key binary, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
+def count_keys_once(docs: DataFrame) -> DataFrame:
+    """(key, n): in how many documents with different lists of line keys each key occurs."""
+
+    def pairs(batches):
+        import pandas as pd
+
+        held: set[tuple[bytes, bytes]] = set()
+
+        def drain():
+            out = pd.DataFrame({"key": pd.Series([k for k, _ in held], dtype=object), "whole": pd.Series([w for _, w in held], dtype=object)})
+            held.clear()
+            return out
+
+        for pdf in batches:
+            for text in pdf["text"]:
+                keys = line_keys(text)
+                whole = text_key(keys)
+                held.update((k, whole) for k in keys if k)
+                if len(held) > HELD_KEYS:
+                    yield drain()
+        yield drain()
+
+    each = docs.select(F.col("text").cast("string").alias("text")).mapInPandas(pairs, "key binary, whole binary").distinct()
+    return each.groupBy("key").agg(F.count("*").alias("n"))
+
+
 class LineStore:
     """Reference counts and filters, each state written whole to the shared folder; ``version`` names the newest."""
 
@@ -145,19 +172,26 @@ class LineStore:
         return self.spark.read.parquet(f"{self.path}/filters-{self.version}")
 
     def insert(self, docs: DataFrame) -> LineStore:
-        return self._apply(docs, 1)
+        return self._apply(count_keys(docs), 1)
+
+    def insert_once(self, docs: DataFrame) -> LineStore:
+        """Inserts ``docs`` with all copies (rows with the same line keys in the same order) counted as one document.
+
+        Copies are only known within ``docs``, so this is for a store that is filled once.
+        """
+        return self._apply(count_keys_once(docs), 1)
 
     def delete(self, docs: DataFrame) -> LineStore:
         """Takes back documents that were inserted before."""
-        return self._apply(docs, -1)
+        return self._apply(count_keys(docs), -1)
 
-    def _apply(self, docs: DataFrame, sign: int) -> LineStore:
+    def _apply(self, counted: DataFrame, sign: int) -> LineStore:
         shard = F.pmod(F.xxhash64("key"), F.lit(self.shards)).cast("int")
-        change = count_keys(docs).select(shard.alias("shard"), "key", F.lit(0).cast("long").alias("before"), (sign * F.col("n")).alias("n"))
+        change = counted.select(shard.alias("shard"), "key", F.lit(0).cast("long").alias("before"), (sign * F.col("n")).alias("n"))
         now = change
         if self.version:
             old = self.counts().filter("n > 0").select("shard", "key", F.col("n").alias("before"), "n")
-            now = old.unionByName(change).groupBy("shard", "key").agg(F.sum("before").alias("before"), F.sum("n").alias("n"))
+            now = old.unionByName(change).groupBy("shard", "key").agg(F.sum("before").alias("before"), F.greatest(F.sum("n"), F.lit(0)).alias("n"))
         now.write.parquet(f"{self.path}/counts-{self.version + 1}")
         filters, limit = self.filters(), self.threshold
         self.version += 1
@@ -202,76 +236,48 @@ def shards_for(docs: DataFrame) -> int:
     return max(8, math.ceil(docs.count() / 20_000))
 
 
-def suspects(docs: DataFrame, store: LineStore, room: int = FILTER_ROOM) -> DataFrame:
-    """(doc_id, key) of the lines that pass the filters, once per row; all lines if the filters exceed ``room``."""
-    size = store.filters().agg(F.coalesce(F.sum(F.length("cells") + 16 * F.size("stash")), F.lit(0))).first()[0]
-    filters = None
-    if size <= room:
-        filters = store.spark.sparkContext.broadcast({r["shard"]: (r["buckets"], bytes(r["cells"]), {bytes(k) for k in r["stash"]}) for r in store.filters().collect()})
-    shards = store.shards
+def suspects(docs: DataFrame, store: LineStore) -> DataFrame:
+    """(text_id, key) of the lines that pass the filters, once for each text; text_id is a hash of the text."""
 
-    def probe(batches):
+    def spread(batches):
         import pandas as pd
 
-        made = {s: CuckooFilter(*f) for s, f in filters.value.items()} if filters else None
         for pdf in batches:
-            ids, keys = [], []
-            for doc_id, text in zip(pdf["doc_id"], pdf["text"]):
-                own = sorted({k for k in line_keys(text) if k})
-                ids += [doc_id] * len(own)
-                keys += own
-            out = pd.DataFrame({"doc_id": pd.array(ids, dtype="Int64"), "key": pd.Series(keys, dtype=object)})
-            yield out[passes(made, keys)] if made is not None else out
-
-    def passes(made, keys):
-        if not keys:
-            return np.zeros(0, bool)
-        shard, hit, distinct = _shard_of(keys, shards), np.zeros(len(keys), bool), np.array(keys, object)
-        for s in np.unique(shard):
-            if s in made:
-                at = np.flatnonzero(shard == s)
-                hit[at] = made[s].contains(distinct[at].tolist())
-        return hit
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInPandas(probe, "doc_id long, key binary")
-
-
-def copies(docs: DataFrame) -> DataFrame:
-    """(doc_id, key) of the rows whose line keys, in order, are those of another row too; key is their ``text_key``."""
-
-    def run(batches):
-        import pandas as pd
-
-        for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "key": pd.Series([text_key(line_keys(t)) for t in pdf["text"]], dtype=object)})
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    at = scratch(docs.sparkSession, "texts")
-    rows.mapInPandas(run, "doc_id long, key binary").write.parquet(at)
-    texts = docs.sparkSession.read.parquet(at)
-    return texts.join(texts.groupBy("key").agg(F.count("*").alias("_n")).filter("_n > 1").select("key"), "key").select("doc_id", "key")
-
-
-def _shard_of(keys: list[bytes], shards: int) -> np.ndarray:
-    """What pmod(xxhash64(key), shards) gives in Spark, whose hash of 16 bytes has seed 42."""
-    return np.array([xxhash.xxh64_intdigest(k, 42) for k in keys], np.uint64).astype(np.int64) % shards
-
-
-def kept_lines(docs: DataFrame, store: LineStore, room: int = FILTER_ROOM, most: float | None = None) -> DataFrame:
+            for at in range(0, len(pdf), 1_000):
+                part = pdf.iloc[at : at + 1_000]
+                own = [sorted({k for k in line_keys(text) if k}) for text in part["text"]]
+                keys = [k for ks in own for k in ks]
+                yield pd.DataFrame({"text_id": np.repeat(part["text_id"].to_numpy(), [len(ks) for ks in own]), "key": pd.Series(keys, dtype=object)})
+
+    def probe(lines, filters):
+        if not len(filters) or not len(lines):
+            return lines.iloc[:0][["text_id", "key"]]
+        row = filters.iloc[0]
+        made = CuckooFilter(int(row["buckets"]), bytes(row["cells"]), {bytes(k) for k in row["stash"]})
+        return lines[made.contains([bytes(k) for k in lines["key"]])][["text_id", "key"]]
+
+    rows = docs.select(_text_id(docs).alias("text_id"), F.col("text").cast("string").alias("text"))
+    shard = F.pmod(F.xxhash64("key"), F.lit(store.shards)).cast("int")
+    lines = rows.mapInPandas(spread, "text_id long, key binary").withColumn("shard", shard)
+    parts = store.counts().groupBy("shard").agg(F.ceil(F.sum("n") / TOGETHER).cast("int").alias("parts"))
+    parts = F.broadcast(parts)  # a row of two numbers for each shard, that is for each 20,000 documents
+    lines = lines.join(parts, "shard").withColumn("part", F.pmod("text_id", "parts").cast("int")).drop("parts")
+    each = store.filters().join(parts, "shard").withColumn("part", F.explode(F.sequence(F.lit(0), F.greatest(F.col("parts"), F.lit(1)) - 1))).drop("parts")
+    return lines.groupBy("shard", "part").cogroup(each.groupBy("shard", "part")).applyInPandas(probe, "text_id long, key binary")
+
+
+def _text_id(docs: DataFrame):
+    """Texts that share an id by chance share what is dropped from them, which for every key is decided by the key alone."""
+    return F.xxhash64(F.lit(3), docs["text"].cast("string"))
+
+
+def kept_lines(docs: DataFrame, store: LineStore) -> DataFrame:
     """(row, n_lines, n_dropped, kept_text): each row as a struct of its columns, and the lines whose key is in fewer
-    documents than the threshold.
-
-    With ``most``, a document of which a larger share of characters would go stays whole if it is a copy, that is
-    if another row has the same line keys in the same order: near-dedup leaves one of them. All others lose their
-    frequent lines whatever their share.
-    """
+    documents than the threshold."""
     frequent = store.counts().filter(F.col("n") >= store.threshold).select("key")
     # a line that a third of all documents hold makes one hot key here: a plain join, whose skew Spark splits
-    confirmed = suspects(docs, store, room).join(frequent, "key").select("doc_id", "key")
-    if most is not None:
-        confirmed = confirmed.unionByName(copies(docs))
-    drops = confirmed.groupBy("doc_id").agg(F.collect_set("key").alias("_drops")).withColumnRenamed("doc_id", "_of")
+    confirmed = suspects(docs, store).join(frequent, "key")
+    drops = confirmed.groupBy("text_id").agg(F.collect_set("key").alias("_drops")).withColumnRenamed("text_id", "_of")
 
     @F.pandas_udf(T.StructType().add("n_lines", "long").add("n_dropped", "long").add("kept_text", "string"))
     def keep(texts, drops):
@@ -283,21 +289,18 @@ def kept_lines(docs: DataFrame, store: LineStore, room: int = FILTER_ROOM, most:
             kept = lines
             if drop is not None and len(drop):
                 gone = {bytes(k) for k in drop}
-                keys = line_keys(text)
-                kept = [line for line, k in zip(lines, keys) if k not in gone]
-                if most is not None and sum(map(len, kept)) < (1 - most) * sum(map(len, lines)) and text_key(keys) in gone:
-                    kept = lines
+                kept = [line for line, k in zip(lines, line_keys(text)) if k not in gone]
             out.append((len(lines), len(lines) - len(kept), "\n".join(kept)))
         return pd.DataFrame(out, columns=["n_lines", "n_dropped", "kept_text"])
 
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"].cast("long").alias("_id"), docs["text"].cast("string").alias("_text"))
-    joined = rows.join(drops, F.col("_id").eqNullSafe(F.col("_of")), "left")
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), _text_id(docs).alias("_id"), docs["text"].cast("string").alias("_text"))
+    joined = rows.join(drops, F.col("_id") == F.col("_of"), "left")
     return joined.select("row", keep("_text", "_drops").alias("_kept")).select("row", "_kept.*")
 
 
-def drop_lines(docs: DataFrame, store: LineStore, room: int = FILTER_ROOM, most: float | None = None) -> DataFrame:
+def drop_lines(docs: DataFrame, store: LineStore) -> DataFrame:
     """(doc_id, n_lines, n_dropped, kept_text) of every row."""
-    return kept_lines(docs, store, room, most).select("row.doc_id", "n_lines", "n_dropped", "kept_text")
+    return kept_lines(docs, store).select("row.doc_id", "n_lines", "n_dropped", "kept_text")
 
 
 def fill(docs: DataFrame, threshold: int) -> LineStore:
@@ -305,6 +308,11 @@ def fill(docs: DataFrame, threshold: int) -> LineStore:
     return LineStore(docs.sparkSession, threshold, shards_for(docs)).insert(docs)
 
 
-def dedup(docs: DataFrame, threshold: int = 10, most: float | None = None) -> DataFrame:
+def fill_once(docs: DataFrame, threshold: int) -> LineStore:
+    """A fresh store with all of ``docs``, copies counted as one document."""
+    return LineStore(docs.sparkSession, threshold, shards_for(docs)).insert_once(docs)
+
+
+def dedup(docs: DataFrame, threshold: int = 10) -> DataFrame:
     """Counts all of ``docs`` in a fresh store and drops their frequent lines."""
-    return drop_lines(docs, fill(docs, threshold), most=most)
+    return drop_lines(docs, fill(docs, threshold))

@@ -1,9 +1,9 @@
 """A corpus pipeline of five stages over ``documents``, each written as Parquet and read again by the next.
 
-1. language ID: documents without a main language go; 2. line dedup: lines of ten documents or more go, except from
-copies (documents with equal lines) that consist mostly of such lines, which are left to the next stage; 3. MinHash near-dedup: one
-document of each group stays; 4. mixing: sources are repeated towards an even mix, every document at least once;
-5. BPE: token counts and digests of what is left.
+1. language ID: documents without a main language go; 2. line dedup: lines of ten documents or more go from every
+document, where copies (documents with equal lines) count as one, so that what only copies share stays for the next
+stage; 3. MinHash near-dedup: one document of each group stays; 4. mixing: sources are repeated towards an even mix,
+every document at least once; 5. BPE: token counts and digests of what is left.
 """
 
 from __future__ import annotations
@@ -22,10 +22,10 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = line_dedup.kept_lines(docs, line_dedup.fill(docs, threshold=10), most=0.5)
+    out = line_dedup.kept_lines(docs, line_dedup.fill_once(docs, threshold=10))
     changed = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
-    cut = F.col("n_dropped") > 0
-    return out.select(*[F.when(cut, changed[c]).otherwise(F.col("row")[c]).alias(c) if c in changed else F.col("row")[c].alias(c) for c in docs.columns])
+    cut, row = F.col("n_dropped") > 0, F.col("row")
+    return out.select(*[F.when(cut, changed[c]).otherwise(row[c]).alias(c) if c in changed else row[c].alias(c) for c in docs.columns])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,64 +1,80 @@
-"""Binary change-journal records of version 2 to raw nodes, and what went wrong on the way."""
+"""Binary change-journal records of version 2 to raw nodes, and what went wrong on the way.
+
+The journal is a run of records, each with its own length in front. Only that chain is followed step by step; the fixed
+heads of all records are then read as one structured array.
+"""
 
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-HEADER = 60
+#: The head of a version 2 record, the mark of a folder, and the part of a reference that is no sequence number.
+HEAD = np.dtype([
+    ("length", "<u4"), ("major", "<u2"), ("minor", "<u2"), ("file_id", "<i8"), ("parent_id", "<i8"), ("other", "V28"),
+    ("attributes", "<u4"), ("name_size", "<u2"), ("name_at", "<u2"),
+])
 FOLDER = 0x10
-REFERENCE_MASK = (1 << 48) - 1  # the upper bits of a reference are a sequence number
+REFERENCE_MASK = (1 << 48) - 1
+HEADER = HEAD.itemsize
+NODE, MALFORMED, UNSUPPORTED = "node", "malformed", "unsupported"
+SCHEMA = "kind string, file_id long, parent_id long, name string, is_dir boolean"
+ARROW = pa.schema([("kind", pa.string()), ("file_id", pa.int64()), ("parent_id", pa.int64()), ("name", pa.string()), ("is_dir", pa.bool_())])
 
 
-def records(buffer: bytes, mask: bool = False) -> Iterator[tuple[str, int | None, int | None, str | None, bool | None]]:
-    """("node", file_id, parent_id, name, is_dir) of each record; ("malformed" | "unsupported", ...) for the others.
+def chain(buffer: bytes) -> tuple[list[int], bytes]:
+    """Where the records begin, and what no record takes: from a length on that is too short or reaches too far."""
+    length = struct.Struct("<I").unpack_from
+    starts, at = [], 0
+    while len(buffer) - at >= 4 and HEADER <= (n := length(buffer, at)[0]) <= len(buffer) - at:
+        starts.append(at)
+        at += n
+    return starts, buffer[at:]
 
-    A length that is too short or reaches beyond the buffer ends the buffer; a name that does not lie in its record
-    skips one record. Names of no letters, ``.`` and ``..`` are left out; broken UTF-16 is replaced.
-    """
-    at = 0
-    while at + 4 <= len(buffer):
-        (length,) = struct.unpack_from("<I", buffer, at)
-        if length < HEADER or at + length > len(buffer):
-            if length or at + 4 < len(buffer):
-                yield ("malformed", None, None, None, None)
-            return
-        start, at = at, at + length
-        (major,) = struct.unpack_from("<H", buffer, start + 4)
-        if major != 2:
-            yield ("unsupported", None, None, None, None)
-            continue
-        file_id, parent_id = struct.unpack_from("<qq", buffer, start + 8)
-        (attributes,) = struct.unpack_from("<I", buffer, start + 52)
-        size, offset = struct.unpack_from("<HH", buffer, start + 56)
-        if offset < HEADER or offset + size > length or size % 2:
-            yield ("malformed", None, None, None, None)
-            continue
-        name = buffer[start + offset : start + offset + size].decode("utf-16-le", errors="replace")
-        if name in ("", ".", ".."):
-            continue
-        if mask:
-            file_id, parent_id = file_id & REFERENCE_MASK, parent_id & REFERENCE_MASK
-        yield ("node", file_id, parent_id, name, bool(attributes & FOLDER))
 
+def records(buffer: bytes, mask: bool = False) -> pa.RecordBatch:
+    """A row for each record: a node, or (with nothing but its kind) one that is malformed or of another version.
 
-SCHEMA = "kind string, file_id long, parent_id long, name string, is_dir boolean"
+    What is left behind the last record is one malformed row, unless it is shorter than a length or just a length of
+    zero. A name must lie behind the head, within its record, in whole units; empty names, ``.`` and ``..`` are left
+    out, broken UTF-16 is replaced. ``mask`` takes the sequence number off the references.
+    """
+    starts, rest = chain(buffer)
+    begin = np.array(starts, np.int64)
+    heads = np.frombuffer(buffer, np.uint8)[begin[:, None] + np.arange(HEADER)].copy().view(HEAD)[:, 0] if starts else np.zeros(0, HEAD)
+    at, size = heads["name_at"].astype(np.int64), heads["name_size"].astype(np.int64)
+    known = heads["major"] == 2
+    sound = known & (at >= HEADER) & (at + size <= heads["length"]) & (size % 2 == 0)
+    names = [buffer[b : b + n].decode("utf-16-le", errors="replace") if ok else None for b, n, ok in zip((begin + at).tolist(), size.tolist(), sound.tolist())]
+    references = REFERENCE_MASK if mask else -1
+    columns = [
+        pa.array(np.where(sound, NODE, np.where(known, MALFORMED, UNSUPPORTED)).tolist(), pa.string()),
+        pa.array(heads["file_id"] & references, pa.int64(), mask=~sound),
+        pa.array(heads["parent_id"] & references, pa.int64(), mask=~sound),
+        pa.array(names, pa.string()),
+        pa.array((heads["attributes"] & FOLDER) != 0, pa.bool_(), mask=~sound),
+    ]
+    rows = pa.RecordBatch.from_arrays(columns, schema=ARROW).filter(pa.array([n not in ("", ".", "..") for n in names], pa.bool_()))
+    if len(rest) < 4 or rest == bytes(4):
+        return rows
+    torn = pa.RecordBatch.from_pylist([{"kind": MALFORMED}], schema=ARROW)
+    return pa.Table.from_batches([rows, torn]).combine_chunks().to_batches()[0]
 
 
 def decode(buffers: DataFrame, column: str = "content", mask: bool = False) -> DataFrame:
-    """All records of all buffers; ``mask`` takes the sequence number off the references."""
+    """All records of all buffers; a null buffer has none."""
 
     def run(batches):
-        import pandas as pd
-
-        for pdf in batches:
-            rows = [r for b in pdf[column] if b is not None for r in records(bytes(b), mask)]
-            yield pd.DataFrame(rows, columns=["kind", "file_id", "parent_id", "name", "is_dir"]).astype({"file_id": "Int64", "parent_id": "Int64"})
+        for batch in batches:
+            for buffer in batch[column]:
+                if buffer.is_valid:
+                    yield records(buffer.as_py(), mask)
 
-    return buffers.select(column).mapInPandas(run, SCHEMA)
+    return buffers.select(F.col(column).cast("binary").alias(column)).mapInArrow(run, SCHEMA)
 
 
 def encode_column(file_id, parent_id, name, is_dir):

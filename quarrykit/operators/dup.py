@@ -1,7 +1,8 @@
 """Files of equal content, by a funnel: equal size, equal hash of the first 16 KiB, equal hash of all.
 
-``files`` has idx, path, is_dir, size, file_id; ``content`` gives idx and the bytes. Only (idx, size) pass the first
-stage's shuffle; bytes are hashed where they are read, and shuffled never.
+``files`` has idx, path, is_dir, size, mtime, file_id; ``content`` gives idx and the bytes. Bytes are hashed in the
+task that reads them, and only hashes pass a shuffle: of every content its first 16 KiB, and of those files all that
+two stages leave and that the cache does not know.
 """
 
 from __future__ import annotations
@@ -9,9 +10,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrykit.operators.numbering import numbered
+from quarrykit.functions.text import family_key, normalize_key
+from quarrykit.operators.numbering import cut, numbered
 
 PREFIX = 16 * 1024
+#: So many ids of files that have to be hashed whole are broadcast to where the contents are read.
+WANTED_ROOM = 1_000_000
 
 
 def prefix_hash(content: Column) -> Column:
@@ -25,6 +29,10 @@ def full_hash(content: Column) -> Column:
     return F.sha2(content, 256)
 
 
+def bytes_of(content: DataFrame) -> DataFrame:
+    return content.select(F.col("idx").alias("_idx"), F.col("content").cast("binary").alias("_content"))
+
+
 def same_size(files: DataFrame, min_size: int = 1) -> DataFrame:
     """Stage 1: files, not folders, whose known size occurs at least twice."""
     known = files.filter(~F.col("is_dir") & F.col("size").isNotNull() & (F.col("size") >= min_size))
@@ -32,21 +40,15 @@ def same_size(files: DataFrame, min_size: int = 1) -> DataFrame:
     return known.join(sizes, "size", "left_semi")
 
 
-def hashed(survivors: DataFrame, content: DataFrame) -> DataFrame:
-    """Survivors of stage 1 with both hashes; ``quick`` is null where the content cannot be read.
-
-    For files of up to 16 KiB the quick hash is the full one, so that nothing is hashed twice.
-    """
-    body = content.select(F.col("idx").alias("_idx"), F.col("content").cast("binary").alias("_content"))
-    read = survivors.join(body, F.col("idx") == F.col("_idx"), "left")
-    quick = prefix_hash(F.col("_content"))
-    full = F.when(F.col("size") <= PREFIX, quick).otherwise(full_hash(F.col("_content")))
-    return read.select(*survivors.columns, quick.alias("quick"), full.alias("hash"))
+def with_quick(survivors: DataFrame, content: DataFrame) -> DataFrame:
+    """Survivors of stage 1 with ``quick``, null where the content cannot be read."""
+    quick = bytes_of(content).select("_idx", prefix_hash(F.col("_content")).alias("quick"))
+    return survivors.join(quick, F.col("idx") == F.col("_idx"), "left").drop("_idx")
 
 
-def same_prefix(hashes: DataFrame) -> DataFrame:
+def same_prefix(quick: DataFrame) -> DataFrame:
     """Stage 2: readable files that share size and quick hash with another."""
-    read = hashes.filter(F.col("quick").isNotNull())
+    read = quick.filter(F.col("quick").isNotNull())
     keys = read.groupBy("size", "quick").agg(F.count("*").alias("n")).filter("n >= 2").select("size", "quick")
     return read.join(keys, ["size", "quick"], "left_semi")
 
@@ -58,76 +60,120 @@ def with_cache(survivors: DataFrame, cache: DataFrame, key: Column) -> DataFrame
     return survivors.join(known, same, "left").drop("_key", "_size", "_mtime")
 
 
-def groups(files: DataFrame, content: DataFrame, min_size: int = 1, include_hardlinks: bool = False, cache: DataFrame | None = None) -> DataFrame:
-    """Stage 3: (group_no, hash, size, members, physical, all_hardlinked, wasted), most wasted first.
+def with_full(second: DataFrame, content: DataFrame, cache: DataFrame | None = None) -> DataFrame:
+    """Survivors of stage 2 with ``cached`` and ``hash``.
 
-    Members are in order of path. Names of one file (equal non-zero file_id) count once; a group that is one file
-    under several names is left out unless asked for.
+    Up to 16 KiB the quick hash has seen all. Of larger files the cache is asked first; what it does not know is
+    hashed whole. A few ids (``WANTED_ROOM``) go to the contents; beyond that every content of more than 16 KiB is
+    hashed where it lies, as moving contents to the ids would cost more.
     """
-    found = same_prefix(hashed(same_size(files, min_size), content))
-    if cache is not None:
-        from quarrykit.functions.text import normalize_key
-
-        found = with_cache(found, cache, normalize_key(F.col("path")))
-        found = found.withColumn("hash", F.when(F.col("size") > PREFIX, F.coalesce("cached", "hash")).otherwise(F.col("hash")))
-    sets = found.groupBy("size", "hash").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("path", "idx"))), lambda x: x["idx"]).alias("members"),
-        (F.count_distinct(F.nullif(F.col("file_id"), F.lit(0).cast("long"))) + F.count_if(F.coalesce(F.col("file_id"), F.lit(0)) == 0)).alias("physical"),
-    )
-    sets = sets.filter(F.size("members") >= 2).withColumn("all_hardlinked", F.col("physical") <= 1)
+    if cache is None:
+        rows = second.withColumn("cached", F.lit(None).cast("string"))
+    else:
+        rows = with_cache(second, cache, normalize_key(F.col("path")))
+    rows = cut(rows.withColumn("cached", F.when(F.col("size") > PREFIX, F.col("cached"))))
+    wanted = rows.filter((F.col("size") > PREFIX) & F.col("cached").isNull()).select(F.col("idx").alias("_idx")).distinct()
+    large = bytes_of(content).filter(F.length("_content") > PREFIX)
+    if wanted.count() <= WANTED_ROOM:
+        large = large.join(F.broadcast(wanted), "_idx", "left_semi")
+    full = large.select("_idx", full_hash(F.col("_content")).alias("_full"))
+    known = rows.join(full, F.col("idx") == F.col("_idx"), "left")
+    hash_ = F.when(F.col("size") <= PREFIX, F.col("quick")).otherwise(F.coalesce("cached", "_full"))
+    return known.withColumn("hash", hash_).drop("_idx", "_full")
+
+
+def matched(files: DataFrame, content: DataFrame, min_size: int = 1, cache: DataFrame | None = None) -> DataFrame:
+    """Survivors of all three stages, one row for each file, with their ``hash``."""
+    rows = with_full(same_prefix(with_quick(same_size(files, min_size), content)), content, cache).filter(F.col("hash").isNotNull())
+    keys = rows.groupBy("size", "hash").agg(F.count("*").alias("_n")).filter("_n >= 2").select("size", "hash")
+    return cut(rows.join(keys, ["size", "hash"], "left_semi"))
+
+
+def groups(found: DataFrame, include_hardlinks: bool = False) -> DataFrame:
+    """What ``matched`` found as groups: (group_no, hash, size, n, physical, all_hardlinked, wasted), most wasted first.
+
+    Names of one file (equal non-zero file_id) count once; a group that is one file under several names is left out
+    unless asked for. Members stand in ``members``, a row each, as a group may be as large as the table.
+    """
+    names = F.nullif(F.col("file_id"), F.lit(0).cast("long"))
+    sets = found.groupBy("size", "hash").agg(F.count("*").alias("n"), (F.count_distinct(names) + F.count_if(names.isNull())).alias("physical"))
+    sets = sets.withColumn("all_hardlinked", F.col("physical") <= 1)
     if not include_hardlinks:
         sets = sets.filter(~F.col("all_hardlinked"))
     sets = sets.withColumn("wasted", F.col("size") * (F.col("physical") - 1))
     out = numbered(sets, [F.desc("wasted"), F.desc("size"), F.asc("hash")], "group_no")
-    return out.select("group_no", "hash", "size", "members", "physical", "all_hardlinked", "wasted")
+    return out.select("group_no", "hash", "size", "n", "physical", "all_hardlinked", "wasted")
+
 
+def members(found: DataFrame, of: DataFrame) -> DataFrame:
+    """(idx, path, mtime, group_no, hash, size, wasted) of the files of ``found`` that are in the groups ``of``."""
+    return found.select("idx", "path", "mtime", "hash", "size").join(of.select("hash", "size", "group_no", "wasted"), ["size", "hash"])
 
-def members(found: DataFrame) -> DataFrame:
-    return found.select(F.explode("members").alias("idx"), "group_no", "hash", "size", "wasted")
 
+def twins(found: DataFrame) -> DataFrame:
+    """``idx`` of the files that have a copy which is not just another name; no group is numbered for that."""
+    names = F.nullif(F.col("file_id"), F.lit(0).cast("long"))
+    two = F.min(names), F.max(names), F.count_if(names.isNull())
+    sets = found.groupBy("size", "hash").agg(*(c.alias(k) for c, k in zip(two, ("low", "high", "unknown"))))
+    real = sets.filter(F.col("unknown") + F.when(F.col("low") < F.col("high"), 2).when(F.col("low").isNotNull(), 1).otherwise(0) >= 2)
+    return found.join(real.select("size", "hash"), ["size", "hash"], "left_semi").select("idx")
 
-def funnel(files: DataFrame, content: DataFrame, min_size: int = 1) -> DataFrame:
-    """One row: survivors of each stage, groups, bytes read, files hashed whole, files that could not be read."""
-    first = same_size(files, min_size)
-    hashes = hashed(first, content)
-    second = same_prefix(hashes)
-    third = second.groupBy("size", "hash").agg(F.count("*").alias("n")).filter("n >= 2")
-    a = hashes.agg(F.count("*").alias("stage1"), F.coalesce(F.sum(F.when(F.col("quick").isNotNull(), F.least(F.col("size"), F.lit(PREFIX)))), F.lit(0)).cast("long").alias("prefix_bytes"), F.count_if(F.col("quick").isNull()).alias("errors"))
-    b = second.agg(F.count("*").alias("stage2"), F.count_if(F.col("size") > PREFIX).alias("hashed"), F.coalesce(F.sum(F.when(F.col("size") > PREFIX, F.col("size"))), F.lit(0)).cast("long").alias("full_bytes"))
-    c = third.agg(F.count("*").alias("groups"), F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("stage3"))
+
+def funnel(files: DataFrame, content: DataFrame, min_size: int = 1, cache: DataFrame | None = None) -> DataFrame:
+    """One row: survivors of each stage, groups, files hashed whole, files that could not be read, bytes read.
+
+    A file whose hash the cache knows counts as neither hashed nor read beyond its first 16 KiB. One of more than
+    16 KiB that cannot be read again is no survivor of the third stage.
+    """
+    quick = cut(with_quick(same_size(files, min_size), content))
+    second = cut(with_full(same_prefix(quick), content, cache))
+    third = second.filter(F.col("hash").isNotNull()).groupBy("size", "hash").agg(F.count("*").alias("n")).filter("n >= 2")
+    whole = (F.col("size") > PREFIX) & F.col("cached").isNull()
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    a = quick.agg(F.count("*").alias("stage1"), total(F.when(F.col("quick").isNotNull(), F.least(F.col("size"), F.lit(PREFIX)))).alias("prefix_bytes"), F.count_if(F.col("quick").isNull()).alias("errors"))
+    b = second.agg(F.count("*").alias("stage2"), F.count_if(whole).alias("hashed"), total(F.when(whole, F.col("size"))).alias("full_bytes"))
+    c = third.agg(F.count("*").alias("groups"), total("n").alias("stage3"))
     one = [x.withColumn("_one", F.lit(1)) for x in (a, b, c)]  # single rows
     joined = one[0].join(one[1], "_one").join(one[2], "_one")
     return joined.select("stage1", "stage2", "stage3", "groups", "hashed", "errors", (F.col("prefix_bytes") + F.col("full_bytes")).alias("read_bytes"))
 
 
-def keepers(found: DataFrame, files: DataFrame, usage: DataFrame) -> DataFrame:
-    """The plan for each group: which file stays and why, all others go.
+def learned(second: DataFrame) -> DataFrame:
+    """(key, size, mtime, full) of what ``with_full`` or ``matched`` hashed whole, for ``store.merged_cache``; a file
+    of unknown time is not remembered."""
+    new = second.filter((F.col("size") > PREFIX) & F.col("cached").isNull() & F.col("hash").isNotNull() & (F.col("mtime") != 0))
+    return new.select(normalize_key(F.col("path")).alias("key"), "size", "mtime", F.col("hash").alias("full"))
+
+
+def keepers(rows: DataFrame, usage: DataFrame) -> DataFrame:
+    """The plan for the groups whose ``members`` are given: which file stays and why, all others go.
 
     Most used first, then newest, then shortest path, then path; ``why`` names the first rule that set the file
-    apart from the next one.
+    apart from the next one. The best file and the one after it are found by partial aggregation, so that no group
+    is sorted in one task.
     """
-    from quarrykit.functions.text import normalize_key
-
-    rows = members(found).join(files.select("idx", "path", "mtime"), "idx")
     used = usage.select(F.col("key").alias("_key"), F.col("count").alias("_count"))
     rows = rows.join(used, normalize_key(F.col("path")) == F.col("_key"), "left").withColumn("uses", F.coalesce("_count", F.lit(0)).cast("long"))
-    by = Window.partitionBy("group_no").orderBy(F.desc("uses"), F.desc("mtime"), F.length("path"), "path")
-    rows = rows.withColumns({"place": F.row_number().over(by), "next_uses": F.lead("uses").over(by), "next_mtime": F.lead("mtime").over(by), "next_length": F.lead(F.length("path")).over(by)})
+    rank = F.struct((-F.col("uses")).alias("uses"), (-F.col("mtime")).alias("mtime"), F.length("path").alias("length"), F.col("path").alias("path"), F.col("idx").alias("idx"))
+    rows = rows.withColumn("_rank", rank)
+    best = rows.groupBy("group_no").agg(F.min("_rank").alias("_best"))
+    rows = cut(rows.join(best, "group_no"))
+    after = rows.filter(F.col("_rank") > F.col("_best")).groupBy("group_no").agg(F.min("_rank").alias("_next"))
+    rows = rows.join(after, "group_no", "left")
     uses = F.when(F.col("uses") > 0, F.concat(F.lit("사용 "), F.col("uses").cast("string"), F.lit("회"))).otherwise(F.lit("사용 기록 없음"))
+    stays = F.col("_rank") == F.col("_best")
     why = (
-        F.when(F.col("place") > 1, uses)
-        .when(F.col("uses") > F.coalesce("next_uses", F.lit(0)), F.concat(uses, F.lit(" — 가장 많이 열었다")))
-        .when(F.col("mtime") > F.coalesce("next_mtime", F.lit(0)), F.lit("가장 최근에 수정했다"))
+        F.when(~stays, uses)
+        .when(F.col("uses") > F.coalesce(-F.col("_next.uses"), F.lit(0)), F.concat(uses, F.lit(" — 가장 많이 열었다")))
+        .when(F.col("mtime") > F.coalesce(-F.col("_next.mtime"), F.lit(0)), F.lit("가장 최근에 수정했다"))
         .otherwise(F.lit("경로가 가장 짧다"))
     )
-    action = F.when(F.col("place") == 1, F.lit("남김")).otherwise(F.lit("정리"))
+    action = F.when(stays, F.lit("남김")).otherwise(F.lit("정리"))
     return rows.select("group_no", action.alias("action"), "path", "size", "uses", why.alias("why"))
 
 
 def families(files: DataFrame) -> DataFrame:
-    """Probable versions of one document, by name alone: (family, n, members in order of path), two or more."""
-    from quarrykit.functions.text import family_key
-
+    """Probable versions of one document, by name alone: (family, n, path, idx), a row for each member of two or more."""
     keyed = files.filter(~F.col("is_dir")).select(family_key(F.col("name")).alias("family"), "path", "idx")
-    sets = keyed.groupBy("family").agg(F.array_sort(F.collect_list("path")).alias("paths"))
-    return sets.filter(F.size("paths") >= 2).select("family", F.size("paths").cast("long").alias("n"), "paths")
+    several = keyed.groupBy("family").agg(F.count("*").alias("n")).filter("n >= 2")
+    return keyed.join(several, "family").select("family", "n", "path", "idx")

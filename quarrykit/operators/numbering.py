@@ -2,13 +2,25 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Computed once, in the session's checkpoint folder if it has one."""
-    return df if df.sparkSession.sparkContext.getCheckpointDir() is None else df.checkpoint(eager=True)
+    """``df`` computed once, in the folder that ``spark.checkpoint.dir`` names.
+
+    Without one, a local master gets a temporary folder; a cluster gets an error, as executors would not see each
+    other's files.
+    """
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        at = sc.getConf().get("spark.checkpoint.dir", None)
+        if at is None and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(at or tempfile.mkdtemp(prefix="quarrykit-checkpoint-"))
+    return df.checkpoint(eager=True)
 
 
 def numbered(df: DataFrame, by: list[Column], name: str) -> DataFrame:

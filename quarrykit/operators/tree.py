@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from quarrykit.operators.numbering import cut
 
+#: Folders that a scan leaves out unless told otherwise.
+DEFAULT_EXCLUDES = ["AppData", "Windows", "Program Files"]
 MAX_ROUNDS = 40  # pointer doubling: 2**40 levels
 
 
@@ -32,6 +34,7 @@ def resolve(raw: DataFrame, roots: DataFrame) -> DataFrame:
     state = nodes.join(tops, F.col("parent_id") == F.col("top"), "left")
     # up: the ancestor that ``parts`` leads to; done once that is a root
     state = cut(state.select("file_id", "parent_id", "name", "is_dir", F.col("parent_id").alias("up"), F.array("name").alias("parts"), F.col("top_path").alias("root")))
+    placed = state.filter("root is not null").count()
     for _ in range(MAX_ROUNDS):
         above = state.select(F.col("file_id").alias("_id"), F.col("up").alias("_up"), F.col("parts").alias("_parts"), F.col("root").alias("_root"))
         open_rows, done = state.filter("root is null"), state.filter("root is not null")
@@ -40,16 +43,14 @@ def resolve(raw: DataFrame, roots: DataFrame) -> DataFrame:
         # a node whose ancestor is not there, or that meets itself again, never gets further
         stepped = open_rows.join(above, F.col("up") == F.col("_id")).filter((F.col("_up") != F.col("file_id")) & (F.col("up") != F.col("file_id")))
         moved = stepped.select("file_id", "parent_id", "name", "is_dir", F.col("_up").alias("up"), F.concat("_parts", "parts").alias("parts"), F.col("_root").alias("root"))
-        now = cut(done.unionByName(moved))
-        if now.filter("root is null").count() == 0 or now.filter("root is not null").count() == done.count():
+        state = cut(done.unionByName(moved))
+        met = state.filter("root is not null").count()
+        if met == placed:
             # no open chain has met a root in this round: with doubling, what is left has none
-            state = now
-            if now.filter("root is not null").count() == done.count():
-                break
-            continue
-        state = now
-    placed = state.filter("root is not null")
-    return placed.select("file_id", "parent_id", "name", "is_dir", joined_path(F.col("root"), F.col("parts")).alias("path"), F.size("parts").cast("int").alias("depth"))
+            break
+        placed = met
+    rooted = state.filter("root is not null")
+    return rooted.select("file_id", "parent_id", "name", "is_dir", joined_path(F.col("root"), F.col("parts")).alias("path"), F.size("parts").cast("int").alias("depth"))
 
 
 def orphans(raw: DataFrame, placed: DataFrame, roots: DataFrame) -> DataFrame:
@@ -105,6 +106,12 @@ def excluded_by(patterns: list[str], name: Column, path: Column) -> Column:
     return out
 
 
+def exclude_raw(raw: DataFrame, patterns: list[str]) -> DataFrame:
+    """Raw nodes whose names the patterns do not exclude, before any path is known: patterns with a separator look at
+    the bare name too, and what is below an excluded folder stays and becomes an orphan."""
+    return raw.filter(~excluded_by(patterns, F.col("name"), F.col("name")))
+
+
 def exclude(files: DataFrame, patterns: list[str], sep: str = "/") -> DataFrame:
     """``files`` without what the patterns exclude and without all below; roots stay (their parent is null).
 

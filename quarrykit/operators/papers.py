@@ -149,6 +149,19 @@ def structured(papers: DataFrame) -> DataFrame:
     )
 
 
+def failures(papers: DataFrame) -> DataFrame:
+    """(source, reason) of the papers that gave no questions."""
+    return papers.filter(F.col("error").isNotNull()).select("source", F.col("error").alias("reason"))
+
+
+def outcome(papers: DataFrame, strict: bool = False) -> DataFrame:
+    """One row: papers, failed, warned, and ``ok``: nothing failed and, if ``strict``, nothing was warned of."""
+    warned = summary(papers).agg(F.count_if(F.col("status") != "정상").alias("warned")).withColumn("_one", F.lit(1))
+    counts = papers.agg(F.count_if(F.col("error").isNull()).alias("papers"), F.count_if(F.col("error").isNotNull()).alias("failed")).withColumn("_one", F.lit(1))
+    ok = (F.col("failed") == 0) & ((F.col("warned") == 0) | F.lit(not strict))
+    return counts.join(warned, "_one").select("papers", "failed", "warned", ok.alias("ok"))
+
+
 def last_wins(papers: DataFrame, order: str) -> DataFrame:
     """One row for each round: the one that comes last in ``order``."""
     by = Window.partitionBy("round").orderBy(F.desc(order))

@@ -10,34 +10,74 @@ from pyspark.sql import functions as F
 from quarrykit.operators import papers
 
 
-def summary_markdown(structured: DataFrame) -> str:
-    """The table of all papers by round, with totals; one row for each paper."""
+#: The texts of the reports.
+NO_PAPERS = """## 기출문제 처리 결과
+
+**처리할 문제지가 없다.**
+
+`exam/papers/` 에 PDF 나 HWP 를 올리면 그 순간 이 작업이 다시 돌면서 여기에 회차별 표가 채워진다. 파일명에 `NNN회` 가 들어 있어야 회차를 인식한다.
+"""
+SUMMARY_TAIL = """
+결과물: `exam/out/questions.json` (기계용) · `exam/out/index.html` (열람용).
+`(추정)` 은 문제지에 교시 번호가 없어 수록 순서로 본 회차다."""
+ESTIMATED = '<footer>교시 표기가 없는 문제지 {}개는 수록 순서를 교시 순서로 보았고 <span class="est">추정</span> 으로 표시했다.</footer>'
+SHORT_TITLE = "1교시 단답형 · 13문제 중 10문제 선택 · 각 10점"
+ESSAY_TITLE = "{}교시{} · 6문제 중 4문제 선택 · 각 25점"
+
+
+def summary_markdown(structured: DataFrame, to: str | None = None) -> str:
+    """The table of all papers by round, with totals; one row for each paper. ``to`` names a file to append it to."""
     rows = papers.summary(structured)
     t = papers.totals(rows).first()
-    if not t["papers"]:
-        return "## 기출문제 처리 결과\n\n**처리할 문제지가 없다.**\n"
-    head = f"## 기출문제 처리 결과\n\n**{t['papers']}개 회차 · {t['items']}문항**" + (f" · 경고 {t['warned']}개 회차" if t["warned"] else " · 경고 없음")
-    line = F.concat(F.lit("| "), F.concat_ws(" | ", "label", "year", F.col("p1").cast("string"), "essay_counts", F.col("total").cast("string"), "status"), F.lit(" |"))
-    body = [r["line"] for r in rows.orderBy("round").select(line.alias("line")).collect()]
-    return "\n".join([head, "", "| 회차 | 시행 | 1교시 | 논술형(교시별) | 합계 | 상태 |", "|---|---|---|---|---|---|", *body, ""])
-
-
-def questions_html(structured: DataFrame, title: str) -> str:
-    """A page of all questions, the newest round first; for the few papers that a page can show."""
-    items = papers.questions(structured).orderBy(F.desc("round"), "gyosi", "no").collect()
-    out = [f"<h1>{html.escape(title)}</h1>", f'<p class="sub">총 {len(items)}문항</p>']
-    seen = None
-    for r in items:
-        if (r["round"], r["gyosi"]) != seen:
-            seen = (r["round"], r["gyosi"])
-            out.append(f"<h2>{r['round']}회 {r['gyosi']}교시</h2>")
-        subs = "".join(f"<span><b>{html.escape(s['k'])}.</b> {html.escape(s['v'])}</span>" for s in r["subs"])
-        spec = f'<span class="spec">[명세] {html.escape(r["spec"])}</span>' if r["spec"] else ""
-        out.append(f'<li data-g="{r["gyosi"]}">{html.escape(r["stem"])}{subs}{spec}</li>')
-    return "\n".join(out)
+    if t["papers"]:
+        head = f"## 기출문제 처리 결과\n\n**{t['papers']}개 회차 · {t['items']}문항**" + (f" · 경고 {t['warned']}개 회차" if t["warned"] else " · 경고 없음")
+        line = F.concat(F.lit("| "), F.concat_ws(" | ", "label", "year", F.col("p1").cast("string"), "essay_counts", F.col("total").cast("string"), "status"), F.lit(" |"))
+        body = [r["line"] for r in rows.orderBy("round").select(line.alias("line")).collect()]
+        text = "\n".join([head, "", "| 회차 | 시행 | 1교시 | 논술형(교시별) | 합계 | 상태 |", "|---|---|---|---|---|---|", *body, SUMMARY_TAIL, ""])
+    else:
+        text = NO_PAPERS
+    if to:
+        with open(to, "a", encoding="utf-8") as f:
+            f.write(text)
+    return text
+
+
+def questions_html(structured: DataFrame, title: str, gyosi: int | None = None, term: str = "") -> str:
+    """A page of questions, the newest round first; for the few papers that a page can show.
+
+    ``gyosi`` and ``term`` keep the items that ``papers.question_filter`` finds; papers without one stay with their title.
+    """
+    good = structured.filter(F.col("error").isNull())
+    heads = {r["round"]: r for r in good.select("round", "year", "source", "gyosi_estimated").orderBy(F.desc("round")).collect()}
+    items = papers.question_filter(papers.questions(good), gyosi, term).orderBy(F.desc("round"), "gyosi", "no").collect()
+    short = sum(r["gyosi"] == 1 for r in items)
+    out = [f"<h1>{html.escape(title)}</h1>", f'<p class="sub">{len(heads)}개 회차 · 1교시 {short}문항 + 논술형 {len(items) - short}문항 = 총 {len(items)}문항</p>']
+    for no, head in heads.items():
+        year = f" · {head['year']}년" if head["year"] else ""
+        out.append(f'<section class="paper" data-group="r{no}"><h2>제{no}회<span class="meta">{year} · {html.escape(head["source"])}</span></h2>')
+        mark = '<span class="est">추정</span>' if head["gyosi_estimated"] else ""
+        own = [r for r in items if r["round"] == no]
+        for period in sorted({r["gyosi"] for r in own}):
+            out.append(f'<div class="gy">{SHORT_TITLE if period == 1 else ESSAY_TITLE.format(period, mark)}</div>')
+            out.append("<ol>" + "".join(_item(r) for r in own if r["gyosi"] == period) + "</ol>")
+        out.append("</section>")
+    estimated = sum(h["gyosi_estimated"] for h in heads.values())
+    return "\n".join([*out, *([ESTIMATED.format(estimated)] if estimated else [])])
+
+
+def _item(r) -> str:
+    subs = "".join(f"<span><b>{html.escape(s['k'])}.</b> {html.escape(s['v'])}</span>" for s in r["subs"])
+    spec = f'<span class="spec">[명세] {html.escape(r["spec"])}</span>' if r["spec"] else ""
+    found_by = html.escape(" ".join([r["stem"], *(s["v"] for s in r["subs"])]).lower(), quote=True)
+    return f'<li data-g="{r["gyosi"]}" data-t="{found_by}">{html.escape(r["stem"])}{f"<span class=subs>{subs}</span>" if subs else ""}{spec}</li>'
 
 
 def dup_report(groups: DataFrame, shown: int = 20) -> tuple[DataFrame, DataFrame]:
-    """The first groups, with the start of their hash, and totals over all groups."""
-    first = groups.orderBy("group_no").limit(shown).withColumn("hash", F.substring("hash", 1, 12))
-    return first, groups.agg(F.count("*").alias("groups"), F.coalesce(F.sum("wasted"), F.lit(0)).alias("wasted"))
+    """The first groups (0: all), with the start of their hash, and totals over all groups."""
+    first = groups.orderBy("group_no").limit(shown) if shown else groups.orderBy("group_no")
+    return first.withColumn("hash", F.substring("hash", 1, 12)), groups.agg(F.count("*").alias("groups"), F.coalesce(F.sum("wasted"), F.lit(0)).alias("wasted"))
+
+
+def dup_errors(quick: DataFrame, shown: int = 5) -> DataFrame:
+    """Paths of the first files that ``dup.with_quick`` could not read."""
+    return quick.filter(F.col("quick").isNull()).orderBy("path").limit(shown).select("path")

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import os
+import re
 import stat
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-SCHEMA = "idx long, parent string, name string, is_dir boolean, size long, mtime long, file_id long, path string, depth int"
+SCHEMA = "idx long, parent string, name string, is_dir boolean, size long, mtime long, file_id long, path string, depth int, kind string"
 
 
 def spark_listing(spark: SparkSession, folder: str) -> DataFrame:
@@ -28,64 +30,100 @@ def spark_listing(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select(F.xxhash64("path").alias("idx"), parent.alias("parent"), name.alias("name"), "is_dir", "size", "mtime", F.lit(0).cast("long").alias("file_id"), "path")
 
 
-class _Roots(InputPartition):
-    def __init__(self, roots: list[str]):
+class Folders(InputPartition):
+    """Folders to walk: (path, depth, ids of the folders above), and rows that are known already."""
+
+    def __init__(self, tops: list[tuple], rows: list[tuple]):
         super().__init__(0)
-        self.roots = roots
+        self.tops, self.rows = tops, rows
+
+
+def wildcard(pattern: str) -> re.Pattern:
+    """``*`` and ``?`` as a regular expression over the whole text, without regard to case; nothing else is special."""
+    parts = {"*": ".*", "?": "."}
+    return re.compile("".join(parts.get(c, re.escape(c)) for c in pattern), re.DOTALL | re.IGNORECASE)
 
 
 class FolderReader(DataSourceReader):
-    """Depth-first walk of each root, one partition for each; symbolic links are named but not entered by default."""
+    """Walks folders. The driver opens the upper levels, until there are enough folders to share out, and a task walks
+    each of those to its end. Symbolic links are named but not entered by default; a link to a folder above is not
+    entered in any case."""
 
     def __init__(self, options: dict[str, str]):
         self.roots = [r for r in options.get("path", "").split(os.pathsep) if r]
-        self.follow = options.get("followLinks", "false").lower() == "true"
-        self.exclude = [p for p in options.get("exclude", "").split(",") if p]
+        self.follow = options.get("followlinks", options.get("followLinks", "false")).lower() == "true"
+        self.exclude = [(p, wildcard(p)) for p in options.get("exclude", "").split(",") if p]
+        self.enough = int(options.get("partitions", "64"))
 
     def partitions(self) -> list[InputPartition]:
-        return [_Roots([r]) for r in self.roots]
+        rows, level = [], []
+        for root in self.roots:
+            if os.path.isdir(root):
+                rows.append((0, None, root, True, None, 0, 0, root, 0, "dir"))
+                level.append((root, 0, frozenset([self.identity(root)])))
+        for _ in range(8):
+            if not level or len(level) >= self.enough:
+                break
+            level = [top for folder in level for top in self.step(folder, rows)]
+        return [Folders([], rows), *(Folders([top], []) for top in level)]
+
+    @staticmethod
+    def identity(path: str) -> tuple[int, int]:
+        s = os.stat(path)
+        return s.st_dev, s.st_ino
 
     def excluded(self, name: str, path: str) -> bool:
-        import fnmatch
-
-        for p in self.exclude:
+        for p, glob in self.exclude:
             if "/" in p or "\\" in p:
-                if p in path or ("*" in p or "?" in p) and fnmatch.fnmatchcase(path.lower(), p.lower()):
+                if p in path or ("*" in p or "?" in p) and glob.fullmatch(path):
                     return True
-            elif fnmatch.fnmatchcase(name.lower(), p.lower()):
+            elif glob.fullmatch(name):
                 return True
         return False
 
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        for root in partition.roots:
-            if os.path.isdir(root):
-                yield (0, None, root, True, None, 0, 0, root, 0)
-                yield from self.walk(root, 1)
-
-    def walk(self, folder: str, depth: int) -> Iterator[tuple]:
+    def step(self, folder: tuple[str, int, frozenset], rows: list[tuple]) -> list[tuple[str, int, frozenset]]:
+        """Adds a row for each entry of a folder; gives the folders in it that are to be walked."""
+        path, depth, above = folder
+        below = []
         try:
-            entries = sorted(os.scandir(folder), key=lambda e: e.name)
+            entries = sorted(os.scandir(path), key=lambda e: e.name)
         except OSError:
-            return
+            rows.append((0, path, "", True, None, 0, 0, path, depth, "error"))
+            return below
         for e in entries:
             if self.excluded(e.name, e.path):
+                rows.append((0, path, e.name, False, None, 0, 0, e.path, depth + 1, "skipped"))
                 continue
+            kind = "file"
             try:
                 s = e.stat(follow_symlinks=self.follow)
                 is_dir = stat.S_ISDIR(s.st_mode)
-                size, mtime, ino = (None, int(s.st_mtime), s.st_ino) if is_dir else (s.st_size, int(s.st_mtime), s.st_ino)
+                size, mtime, ino = None if is_dir else s.st_size, int(s.st_mtime), s.st_ino
+                if is_dir:
+                    kind = "dir"
+                    if (s.st_dev, ino) not in above:
+                        below.append((e.path, depth + 1, above | {(s.st_dev, ino)}))
             except OSError:
                 is_dir, size, mtime, ino = False, None, 0, 0
-            yield (0, folder, e.name, is_dir, size, mtime, ino, e.path, depth)
-            if is_dir:
-                yield from self.walk(e.path, depth + 1)
+            rows.append((0, path, e.name, is_dir, size, mtime, ino, e.path, depth + 1, kind))
+        return below
+
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        yield from partition.rows
+        open_ = list(partition.tops)
+        while open_:
+            rows: list[tuple] = []
+            open_ += self.step(open_.pop(), rows)
+            yield from rows
 
 
 class FolderSource(DataSource):
     """``spark.read.format("folders").load("/a:/b")``: rows of files and folders, roots included.
 
-    Options: followLinks (default false), exclude (patterns joined by commas; what is below an excluded folder is
-    not visited). A root that is not there gives no rows; several roots are not compared with each other.
+    ``kind`` is file, dir, skipped (excluded; what is below is not visited) or error (a folder that cannot be read,
+    beside its own row). Options: followLinks (default false), exclude (patterns joined by commas), partitions (how
+    many folders to share out at least, where there are so many). A root that is not there gives no rows; several
+    roots are not compared with each other.
     """
 
     @classmethod
@@ -99,16 +137,44 @@ class FolderSource(DataSource):
         return FolderReader(dict(self.options))
 
 
-def folders(spark: SparkSession, roots: list[str], exclude: list[str] = (), follow_links: bool = False) -> DataFrame:
+def scanned(spark: SparkSession, roots: list[str], exclude: list[str] = (), follow_links: bool = False) -> DataFrame:
+    """All rows of a scan, those of skipped entries and of errors too."""
     spark.dataSource.register(FolderSource)
     rows = spark.read.format("folders").option("exclude", ",".join(exclude)).option("followLinks", str(follow_links)).load(os.pathsep.join(roots))
     return rows.withColumn("idx", F.xxhash64("path"))
 
 
-def contents(spark: SparkSession, rows: DataFrame, folder: str) -> DataFrame:
-    """(idx, content) of the given files only: what the size stage has dropped is not read."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-    path = F.regexp_replace("path", r"^file:/*", "/")
-    sizes = rows.select("size").distinct()
-    near = found.join(F.broadcast(sizes) if sizes.limit(100_001).count() <= 100_000 else sizes, F.col("length") == F.col("size"), "left_semi")
-    return near.select(path.alias("_path"), "content").join(rows.select("idx", "path"), F.col("_path") == F.col("path")).select("idx", "content")
+def folders(spark: SparkSession, roots: list[str], exclude: list[str] = (), follow_links: bool = False) -> DataFrame:
+    """Files and folders of a scan; ``tree.DEFAULT_EXCLUDES`` are the usual exclusions."""
+    return scanned(spark, roots, exclude, follow_links).filter("kind in ('file', 'dir')").drop("kind")
+
+
+def scan_counts(rows: DataFrame) -> DataFrame:
+    """One row: files, dirs (without the roots), skipped, errors of ``scanned``; of journal records, orphans are counted by
+    ``tree.orphans``."""
+    kinds = {"files": "file", "dirs": "dir", "skipped": "skipped", "errors": "error"}
+    return rows.agg(*(F.count_if((F.col("kind") == k) & ((F.col("depth") > 0) | F.lit(k == "error"))).alias(name) for name, k in kinds.items()))
+
+
+def contents(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    """(idx, content) of the given files only, opened by path where the task runs; what cannot be read has no row."""
+
+    def run(batches):
+        for batch in batches:
+            for idx, path in zip(batch["idx"].to_pylist(), batch["path"].to_pylist()):
+                try:
+                    with open(path, "rb") as f:
+                        body = f.read()
+                except OSError:
+                    continue
+                yield pa.RecordBatch.from_arrays([pa.array([idx], pa.int64()), pa.array([body], pa.binary())], names=["idx", "content"])
+
+    return rows.filter(~F.col("is_dir")).select("idx", "path").mapInArrow(run, "idx long, content binary")
+
+
+def paper_files(spark: SparkSession, folder: str) -> DataFrame:
+    """(source, path, round) of a folder's papers: by round, nameless ones last; within a round PDF before HWP."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.{pdf,hwp}").load(folder).select("path")
+    source = F.regexp_extract("path", "([^/]*)$", 1)
+    named = found.select(source.alias("source"), "path", F.regexp_extract(source, r"(?U)(\d+)\s*회", 1).try_cast("int").alias("round"))
+    return named.orderBy(F.asc_nulls_last("round"), F.col("source").endswith(".hwp"), "source")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrykit.functions.text import extension
@@ -102,6 +102,37 @@ def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("conv_id", source.alias("source"), text.alias("text"))
 
 
+def full_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as papers of four periods, their turns used again and again as text.
+
+    Every second paper has period marks. A number out of sequence follows the last short item; each essay item has
+    two sub-items, of which the second goes on in a further line; every seventh paper lacks the last item of its last
+    period; the third period has a specification, to which its fourth item refers.
+    """
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.trim(F.regexp_replace("text", r"\s+", " ")).alias("text"))
+    t = c.filter("text != ''").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]).alias("l"))
+
+    def turn(k: Column) -> Column:
+        return F.get("l", F.pmod(k, F.size("l")))
+
+    def mark(period: int) -> list[Column]:
+        return [F.when(F.col("conv_id") % 2 == 0, F.lit(f"제 {period} 교시"))]
+
+    def item(period: int, no: int) -> list[Column]:
+        stem = F.concat(F.lit(f"{no}. "), F.lit("아래 명세 참조 ") if (period, no) == (3, 4) else F.lit(""), turn(F.lit(period + no)))
+        rows = [stem, F.concat(F.lit("가. "), turn(F.lit(no))), F.lit("나. 이어짐"), turn(F.lit(period))]
+        return [F.when(F.col("conv_id") % 7 > 0, r) for r in rows] if (period, no) == (4, 6) else rows
+
+    lines = [*mark(1), F.lit("13문제 중 10문제"), *(F.concat(F.lit(f"{no}. "), turn(F.lit(no))) for no in range(1, 14)), F.lit("40. 번호가 아닌 줄")]
+    for period in (2, 3, 4):
+        lines += [*mark(period), F.lit("6문제 중 4문제"), *(x for no in range(1, 7) for x in item(period, no))]
+        if period == 3:
+            lines += [F.concat(F.lit("[명세] "), turn(F.lit(0))), F.lit("※ 끝")]
+    year = F.when(F.col("conv_id") % 3 > 0, F.lit(" (2021년)")).otherwise(F.lit(""))
+    source = F.concat(F.lit("제"), F.col("conv_id").cast("string"), F.lit("회"), year, F.lit(".pdf"))
+    return t.select("conv_id", source.alias("source"), F.array_join(F.array(*lines), "\n").alias("text"))
+
+
 def with_hardlinks(f: DataFrame) -> DataFrame:
     """``files`` with a second name for every fiftieth: other idx and path, same file_id."""
     copy = f.filter(F.col("idx") % 50 == 0).withColumns({"idx": F.col("idx") + F.lit(1000000000000), "path": F.concat(F.lit("/links"), F.col("path")), "parent": F.lit("/links")})

@@ -1,11 +1,13 @@
 """Usage scores kept up to date from a stream of uses (seq, path, ts), without a watermark: late uses count.
 
-Each key's state is (score, count, last, path). Uses of one micro-batch are taken in order of seq. What has decayed
-below the limit that saving applies is dropped when its key is next touched, or by ``saved`` on the table.
+Each key's state is (score, count, last, path). Uses of one micro-batch are taken in order of seq. A timer is set for
+when the score will have decayed below the limit that saving applies; a key that nobody uses until then is forgotten,
+count and all, and its next use begins anew. Time is the clock of the engine.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
@@ -14,17 +16,22 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quarrykit.functions.text import normalize_key
 
+LIMIT = 0.001
 OUT = "key string, path string, score double, count long, last long"
 STATE = "path string, score double, count long, last long"
 
 
-def live_usage(stream: DataFrame, half_life_days: float = 30.0) -> DataFrame:
+def live_usage(stream: DataFrame, half_life_days: float = 30.0, below: float = LIMIT) -> DataFrame:
     """One row for each key that a micro-batch has touched, with its new state."""
-    half_life = max(half_life_days, 0.001) * 86400
+    days = max(half_life_days, 0.001)
+    half_life = days * 86400
 
     def advance(key: tuple, batches: Iterator, state: GroupState) -> Iterator:
         import pandas as pd
 
+        if state.hasTimedOut:
+            state.remove()
+            return
         path, score, count, last = state.get if state.exists else ("", 0.0, 0, None)
         uses = pd.concat(list(batches)).sort_values("seq")
         for at, name in zip(uses["ts"].tolist(), uses["path"].tolist()):
@@ -33,12 +40,14 @@ def live_usage(stream: DataFrame, half_life_days: float = 30.0) -> DataFrame:
             last = at if last is None else max(last, at)
             score, count, path = score + 1, count + 1, name
         state.update((path, score, count, last))
+        wait = 1000 * int(expiry_seconds(score, last, days, below)) - state.getCurrentProcessingTimeMs()
+        state.setTimeoutDuration(min(max(wait, 1000), 2**53))
         yield pd.DataFrame({"key": [key[0]], "path": [path], "score": [score], "count": [count], "last": [last]})
 
     keyed = stream.select(normalize_key(F.col("path")).alias("key"), "path", "seq", F.col("ts").cast("long").alias("ts"))
-    return keyed.groupBy("key").applyInPandasWithState(advance, OUT, STATE, "update", GroupStateTimeout.NoTimeout)
+    return keyed.groupBy("key").applyInPandasWithState(advance, OUT, STATE, "update", GroupStateTimeout.ProcessingTimeTimeout)
 
 
-def expiry(score, last, half_life_days: float = 30.0, below: float = 0.001):
+def expiry_seconds(score: float, last: int, half_life_days: float = 30.0, below: float = LIMIT) -> float:
     """When a score will have decayed below the limit, in unix seconds."""
-    return last + F.lit(half_life_days * 86400.0) * F.log2(score / F.lit(below))
+    return last + half_life_days * 86400 * math.log2(score / below)

@@ -166,12 +166,24 @@ def _(spark, d):
     return search.total(search.hits(views.files(spark, d), "size:>1kb", state(spark, d), now=NOW))
 
 
-@register("search_rendered")
+HUMAN = """CASE WHEN b IS NULL THEN '-' WHEN b < 1024 THEN b || ' B' WHEN b < 1048576 THEN printf('%.1f KB', b / 1024.0::DOUBLE) WHEN b < 1073741824 THEN printf('%.1f MB', b / 1048576.0::DOUBLE)
+  WHEN b < 1099511627776 THEN printf('%.1f GB', b / 1073741824.0::DOUBLE) ELSE printf('%.1f TB', b / 1099511627776.0::DOUBLE) END"""
+LINES = rf"""freq AS (SELECT *, size AS b FROM {{0}}), lines AS (
+  SELECT *, CASE WHEN count > 0 THEN printf('%4d회 %6.2f', count, score) ELSE '   -        -' END || '  ' || lpad({HUMAN}, 9, ' ') || '  ' || path AS line FROM freq)"""
+
+
+@register("search_rendered", f"{FOUND}, {groups_sql()}, tags AS (SELECT unnest(members) AS idx, group_no FROM groups), {LINES.format('hits')} SELECT line || CASE WHEN group_no IS NULL THEN '' ELSE ' [중복 ' || group_no || ']' END AS line FROM lines LEFT JOIN tags USING (idx)")
 def _(spark, d):
     first = search.search(views.files(spark, d), "doc", state(spark, d), limit=0, now=NOW)
     return search.rendered(search.tagged(first, views.content(spark, d)))
 
 
+@register("search_numbered", f"{FOUND}, first AS (SELECT *, row_number() OVER (ORDER BY size DESC, idx) AS no FROM hits), {LINES.format('first')} SELECT printf('%4d. ', no) || line AS line FROM lines WHERE no <= 200 UNION ALL SELECT '... 전체 ' || count(*) || ' 건 중 200 건' FROM hits HAVING count(*) > 200")
+def _(spark, d):
+    hits = search.hits(views.files(spark, d), "doc", state(spark, d), now=NOW)
+    return search.rendered(search.results(hits, sort="size", limit=200)).unionByName(search.footer(hits, limit=200))
+
+
 @register("search_urls", r"""SELECT page_id AS idx, path, nullif(regexp_extract(name, '^.+\.([^.]+)$', 1), '') AS ext FROM (SELECT page_id, regexp_extract(url, '^[^:]*://([^?#]*)', 1) AS path, regexp_extract(regexp_extract(url, '^[^:]*://([^?#]*)', 1), '([^/]*)$', 1) AS name FROM pages) WHERE regexp_extract(name, '^.+\.([^.]+)$', 1) = 'html' AND NOT contains(path, '/en/')""")
 def _(spark, d):
     from quarrykit.plans.compile import predicate
@@ -179,34 +191,46 @@ def _(spark, d):
     return views.urls(spark, d).filter(predicate(parse("ext:html !path:/en/"))).select("idx", "path", "ext")
 
 
-def listed(groups: DataFrame) -> DataFrame:
-    """Groups with their members as text, which every reader of results compares alike."""
-    return groups.withColumn("members", F.array_join(F.transform("members", lambda x: x.cast("string")), ","))
+def found(spark: SparkSession, d: str, linked: bool = False, **options) -> DataFrame:
+    f, c = views.files(spark, d), views.content(spark, d)
+    return dup.matched(views.with_hardlinks(f), views.with_linked_content(c), **options) if linked else dup.matched(f, c, **options)
+
+
+def listed(rows: DataFrame, of: DataFrame) -> DataFrame:
+    """Groups with their members as text in order of path: the form in which the SQL shows them, not for large groups."""
+    each = dup.members(rows, of).groupBy("group_no").agg(F.array_sort(F.collect_list(F.struct("path", "idx"))).alias("m"))
+    shown_as = F.array_join(F.transform("m", lambda x: x["idx"].cast("string")), ",")
+    return of.join(each, "group_no").select("group_no", "hash", "size", shown_as.alias("members"), "physical", "all_hardlinked", "wasted")
 
 
 @register("dup_groups", f"WITH {FILES}, {groups_sql()} SELECT {GROUP_COLUMNS} FROM groups")
 def _(spark, d):
-    return listed(dup.groups(views.files(spark, d), views.content(spark, d)))
+    rows = found(spark, d)
+    return listed(rows, dup.groups(rows))
 
 
 @register("dup_min_size", f"WITH {FILES}, {groups_sql(least=2048)} SELECT {GROUP_COLUMNS} FROM groups")
 def _(spark, d):
-    return listed(dup.groups(views.files(spark, d), views.content(spark, d), min_size=2048))
+    rows = found(spark, d, min_size=2048)
+    return listed(rows, dup.groups(rows))
 
 
 @register("dup_hardlinks_excluded", f"WITH {FILES}, {LINKED}, {groups_sql('linked')} SELECT {GROUP_COLUMNS} FROM groups")
 def _(spark, d):
-    return listed(dup.groups(views.with_hardlinks(views.files(spark, d)), views.with_linked_content(views.content(spark, d))))
+    rows = found(spark, d, linked=True)
+    return listed(rows, dup.groups(rows))
 
 
 @register("dup_hardlinks_included", f"WITH {FILES}, {LINKED}, {groups_sql('linked', which='true')} SELECT {GROUP_COLUMNS} FROM groups")
 def _(spark, d):
-    return listed(dup.groups(views.with_hardlinks(views.files(spark, d)), views.with_linked_content(views.content(spark, d)), include_hardlinks=True))
+    rows = found(spark, d, linked=True)
+    return listed(rows, dup.groups(rows, include_hardlinks=True))
 
 
 @register("dup_report_totals", f"WITH {FILES}, {groups_sql()} SELECT count(*)::BIGINT AS groups, coalesce(sum(wasted), 0)::BIGINT AS wasted, coalesce(sum(len(members)), 0)::BIGINT AS members FROM groups")
 def _(spark, d):
-    return dup.groups(views.files(spark, d), views.content(spark, d)).agg(F.count("*").alias("groups"), F.coalesce(F.sum("wasted"), F.lit(0)).cast("long").alias("wasted"), F.coalesce(F.sum(F.size("members")), F.lit(0)).cast("long").alias("members"))
+    sums = [F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(k) for c, k in (("wasted", "wasted"), ("n", "members"))]
+    return dup.groups(found(spark, d)).agg(F.count("*").alias("groups"), *sums)
 
 
 @register(
@@ -220,6 +244,26 @@ def _(spark, d):
     return dup.funnel(views.files(spark, d), views.content(spark, d))
 
 
+#: A cache that knows every third large file, and every fifth with a time that has moved since.
+CACHED = """c AS (SELECT *, size > 16384 AND idx % 3 = 0 AND idx % 5 <> 0 AS known FROM s2)"""
+
+
+@register(
+    "dup_cached_funnel",
+    f"""WITH {FILES}, {HASHED.format(source="files")}, s1 AS (SELECT * FROM named WHERE size >= 1 AND size IN (SELECT size FROM files WHERE size >= 1 GROUP BY size HAVING count(*) >= 2)),
+s2 AS (SELECT * FROM s1 WHERE (size, q) IN (SELECT size, q FROM s1 GROUP BY size, q HAVING count(*) >= 2)), s3 AS (SELECT size, hash, count(*) AS n FROM s2 GROUP BY size, hash HAVING count(*) >= 2), {CACHED}
+SELECT (SELECT count(*) FROM s1)::BIGINT AS stage1, (SELECT count(*) FROM s2)::BIGINT AS stage2, (SELECT coalesce(sum(n), 0) FROM s3)::BIGINT AS stage3, (SELECT count(*) FROM s3)::BIGINT AS groups,
+(SELECT count(*) FROM c WHERE size > 16384 AND NOT known)::BIGINT AS hashed, 0::BIGINT AS errors,
+((SELECT coalesce(sum(least(size, 16384)), 0) FROM s1) + (SELECT coalesce(sum(size), 0) FROM c WHERE size > 16384 AND NOT known))::BIGINT AS read_bytes""",
+)
+def _(spark, d):
+    f, c = views.files(spark, d), views.content(spark, d)
+    kept = f.join(c, "idx").filter("idx % 3 = 0 or idx % 5 = 0")
+    mtime = F.when(F.col("idx") % 5 == 0, F.col("mtime") + 1).otherwise(F.col("mtime"))
+    cache = kept.select(fn.normalize_key(F.col("path")).alias("key"), "size", mtime.alias("mtime"), dup.full_hash(F.col("content")).alias("full"))
+    return dup.funnel(f, c, cache=cache)
+
+
 PLAN = f"""WITH {FILES}, {usage_sql()}, {groups_sql()}, m AS (
   SELECT group_no, f.path, f.size, f.mtime, coalesce(u.count, 0)::BIGINT AS uses FROM (SELECT group_no, unnest(members) AS idx FROM groups) JOIN files f USING (idx) LEFT JOIN usage u ON u.key = f.path
 ), r AS (
@@ -231,15 +275,20 @@ SELECT group_no, CASE WHEN place = 1 THEN '남김' ELSE '정리' END AS action,
 
 @register("keeper_plan", PLAN)
 def _(spark, d):
-    f = views.files(spark, d)
-    return dup.keepers(dup.groups(f, views.content(spark, d)), f, state(spark, d))
+    rows = found(spark, d)
+    return dup.keepers(dup.members(rows, dup.groups(rows)), state(spark, d))
+
+
+def family_rows(rows: DataFrame) -> DataFrame:
+    """Families with their members as text, the form in which the SQL shows them."""
+    return rows.groupBy("family", "n").agg(F.array_join(F.array_sort(F.collect_list("path")), ",").alias("paths"))
 
 
-@register("version_family", f"WITH {FILES}, v AS (SELECT path, lower(regexp_replace(regexp_replace(name, '\\.[^.]+$', ''), '_[0-9]$', '')) || '|' || regexp_extract(name, '^.+\\.([^.]+)$', 1) AS family FROM files WHERE length(regexp_extract(name, '_([0-9]+)', 1)) = 1) SELECT family, count(*)::BIGINT AS n, string_agg(path, ',' ORDER BY path) AS paths FROM v GROUP BY family HAVING count(*) >= 2")
+@register("version_family", f"WITH {FILES}, v AS (SELECT path, 'doc_' || idx // 10 || '|' || lower(regexp_extract(name, '^.+\\.([^.]+)$', 1)) AS family FROM files) SELECT family, count(*)::BIGINT AS n, string_agg(path, ',' ORDER BY path) AS paths FROM v GROUP BY family HAVING count(*) >= 2")
 def _(spark, d):
-    f = views.files(spark, d).filter(F.length(F.regexp_extract("name", "_([0-9]+)", 1)) == 1)
-    marked = f.withColumn("name", F.regexp_replace("name", "_([0-9])", " ($1)_최종"))
-    return dup.families(marked).withColumn("paths", F.array_join("paths", ","))
+    marked = F.regexp_replace("name", "_([0-9]*)([0-9])[.]", "_0$1 ($2)_최종.")
+    whole = F.regexp_replace(marked, "_0([0-9])", "_$1")  # a single digit is version n of document 0
+    return family_rows(dup.families(views.files(spark, d).withColumn("name", whole)))
 
 
 MARKED = "'doc_' || doc_id // 10 || ' (' || doc_id % 10 || ')_최종_v2_수정-copy final_진짜최종.' || lang"
@@ -250,7 +299,7 @@ def _(spark, d):
     f = views.files(spark, d)
     no, ext = F.col("idx"), fn.extension(F.col("name"))
     marked = F.concat(F.lit("doc_"), F.floor(no / 10).cast("string"), F.lit(" ("), (no % 10).cast("string"), F.lit(")_최종_v2_수정-copy final_진짜최종."), ext)
-    return dup.families(f.withColumn("name", marked)).withColumn("paths", F.array_join("paths", ","))
+    return family_rows(dup.families(f.withColumn("name", marked)))
 
 
 @register("frecency_score", f"WITH {FILES}, {usage_sql()} SELECT key, path, round(score, 6) AS score, count, last FROM usage")
@@ -348,8 +397,6 @@ def _(spark, d):
     return tree.stats(views.tree(spark, d))
 
 
-HUMAN = """CASE WHEN b IS NULL THEN '-' WHEN b < 1024 THEN b || ' B' WHEN b < 1048576 THEN printf('%.1f KB', b / 1024.0::DOUBLE) WHEN b < 1073741824 THEN printf('%.1f MB', b / 1048576.0::DOUBLE)
-  WHEN b < 1099511627776 THEN printf('%.1f GB', b / 1073741824.0::DOUBLE) ELSE printf('%.1f TB', b / 1099511627776.0::DOUBLE) END"""
 
 
 @register("fmt_human", f"WITH s AS (SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE (o_orderkey * o_orderkey * o_orderkey) % (1::BIGINT << 42) END AS b FROM orders) SELECT o_orderkey, {HUMAN} AS human FROM s")
@@ -420,20 +467,65 @@ def _(spark, d):
     return t.select("conv_id", F.size("groups").cast("long").alias("blocks"), F.size(papers.essay_items(F.get("groups", F.lit(0)))).cast("long").alias("items"))
 
 
-@register("parse_short")
+def subs_text(items: DataFrame) -> DataFrame:
+    """Sub-items as one text, which every reader of results compares alike."""
+    each = F.transform("subs", lambda x: F.concat(x["k"], F.lit("="), x["v"]))
+    return items.withColumn("subs", F.array_join(each, "|"))
+
+
+WORDS = "trim(regexp_replace(text, '\\s+', ' ', 'g'))"
+LINE = "(turn + 1) || '. ' || trim(regexp_replace(text, '\\s+', ' ', 'g'))"
+
+
+@register("parse_short", f"SELECT conv_id, least(turn + 1, 13)::INT AS no, string_agg(CASE WHEN turn < 13 THEN {WORDS} ELSE {LINE} END, ' ' ORDER BY turn) AS text FROM conversations GROUP BY 1, 2")
 def _(spark, d):
     return views.numbered(spark, d).select("conv_id", F.inline(papers.short_items(F.concat(F.lit("13문제 중 10문제\n"), F.col("text")))))
 
 
-@register("parse_essay")
+@register(
+    "parse_essay",
+    f"""WITH {TURNS} SELECT g.round::INT AS round, 2 AS gyosi, least(c.turn + 1, 6)::INT AS no,
+  string_agg(CASE WHEN c.turn < 6 THEN {WORDS} ELSE {LINE} END, ' ' ORDER BY c.turn) AS stem, '' AS subs, NULL::VARCHAR AS spec
+FROM good g JOIN conversations c USING (conv_id) GROUP BY g.conv_id, g.round, least(c.turn + 1, 6)""",
+)
 def _(spark, d):
-    return papers.questions(papers.structured(views.papers(spark, d)).filter("error is null")).filter("gyosi > 1")
+    return subs_text(papers.questions(papers.structured(views.papers(spark, d)).filter("error is null")).filter("gyosi > 1"))
 
 
-@register("attach_spec")
+@register("attach_spec", f"SELECT conv_id, 6 AS no, string_agg(CASE WHEN turn < 6 THEN {WORDS} ELSE {LINE} END, ' ' ORDER BY turn) || ' 아래 명세 를 본다' AS stem, '' AS subs, conv_id::VARCHAR AS spec FROM conversations c WHERE turn >= 5 GROUP BY conv_id UNION ALL SELECT conv_id, max(turn + 1)::INT, arg_max({WORDS}, turn) || ' 아래 명세 를 본다', '', conv_id::VARCHAR FROM conversations GROUP BY conv_id HAVING max(turn) < 5")
 def _(spark, d):
     block = F.concat(F.col("text"), F.lit("\n아래 명세 를 본다\n[명세] "), F.col("conv_id").cast("string"))
-    return views.numbered(spark, d).select("conv_id", F.inline(papers.with_spec(block, papers.essay_items(block)))).filter("spec is not null")
+    items = views.numbered(spark, d).select("conv_id", F.inline(papers.with_spec(block, papers.essay_items(block))))
+    return subs_text(items.filter("spec is not null"))
+
+
+FULL = f"""l AS (SELECT conv_id, list({WORDS} ORDER BY turn) AS l FROM conversations WHERE {WORDS} <> '' GROUP BY conv_id)"""
+
+
+@register(
+    "papers_full_summary",
+    f"""WITH {FULL} SELECT conv_id::INT AS round, conv_id || '회' || CASE WHEN conv_id % 2 = 1 THEN ' (추정)' ELSE '' END AS label, CASE WHEN conv_id % 3 > 0 THEN '2021' ELSE '—' END AS year, 13 AS p1,
+  CASE WHEN conv_id % 7 > 0 THEN '6 · 6 · 6' ELSE '6 · 6 · 5' END AS essay_counts, CASE WHEN conv_id % 7 > 0 THEN 31 ELSE 30 END AS total, CASE WHEN conv_id % 7 > 0 THEN '정상' ELSE '⚠ 4교시 5문항' END AS status FROM l""",
+)
+def _(spark, d):
+    return papers.summary(papers.structured(views.full_papers(spark, d)))
+
+
+@register("papers_full_totals", f"WITH {FULL} SELECT count(*)::BIGINT AS papers, coalesce(sum(CASE WHEN conv_id % 7 > 0 THEN 31 ELSE 30 END), 0)::BIGINT AS items, (count(*) FILTER (conv_id % 7 = 0))::BIGINT AS warned FROM l")
+def _(spark, d):
+    return papers.totals(papers.summary(papers.structured(views.full_papers(spark, d))))
+
+
+@register(
+    "papers_full_items",
+    f"""WITH {FULL} SELECT conv_id::INT AS round, 1::INT AS gyosi, no::INT AS no, l[no % len(l) + 1] || CASE WHEN no = 13 THEN ' 40. 번호가 아닌 줄' || CASE WHEN conv_id % 2 = 0 THEN ' 제 2 교시' ELSE '' END ELSE '' END AS stem, '' AS subs, NULL::VARCHAR AS spec
+FROM l, range(1, 14) r(no)
+UNION ALL SELECT conv_id::INT, p::INT, no::INT, CASE WHEN p = 3 AND no = 4 THEN '아래 명세 참조 ' ELSE '' END || l[(p + no) % len(l) + 1],
+  '가=' || l[no % len(l) + 1] || '|나=이어짐 ' || l[p % len(l) + 1] || CASE WHEN conv_id % 2 = 0 AND p = 2 AND no = 6 THEN ' 제 3 교시' ELSE '' END, CASE WHEN p = 3 AND no = 4 THEN l[1] END
+FROM l, range(2, 5) q(p), range(1, 7) r(no) WHERE conv_id % 7 > 0 OR p < 4 OR no < 6""",
+)
+def _(spark, d):
+    return subs_text(papers.questions(papers.structured(views.full_papers(spark, d)).filter("error is null")))
 
 
 @register("usn_decode", "SELECT c_custkey AS file_id, c_nationkey::BIGINT AS parent_id, c_name AS name, false AS is_dir FROM customer UNION ALL SELECT n_nationkey::BIGINT, n_regionkey::BIGINT, n_name, true FROM nation")
@@ -451,5 +543,5 @@ def _(spark, d):
 
 @register("cleanup_plan", PLAN.replace("SELECT group_no, CASE", "SELECT CASE").replace(" path, size, uses,", " path, size, group_no,"))
 def _(spark, d):
-    f = views.files(spark, d)
-    return dup.keepers(dup.groups(f, views.content(spark, d)), f, state(spark, d)).select("action", "path", "size", "group_no", "why")
+    rows = found(spark, d)
+    return dup.keepers(dup.members(rows, dup.groups(rows)), state(spark, d)).select("action", "path", "size", "group_no", "why")

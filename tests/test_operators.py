@@ -1,13 +1,22 @@
+import json
+import os
+import random
+import re
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quarrykit.operators import dup, papers, report, search, tree, usage
+from quarrykit.operators import dup, numbering, papers, report, search, tree, usage
 from quarrykit.sources import listing, store, usn
 
 DAY = 86400
 FILES = "idx long, parent string, name string, is_dir boolean, size long, mtime long, file_id long, path string"
 
 
+# ---- usage
+
+
 def fold(spark, rows, h=30.0):
     log = spark.createDataFrame([(i, p, t) for i, (p, t) in enumerate(rows)], "seq long, path string, ts long")
     return {r.key: r for r in usage.fold(log, h).collect()}
@@ -23,181 +32,247 @@ def sequential(rows, h):
     return state
 
 
-def test_usage(spark):
-    assert (r := fold(spark, [("/a/b.txt", 0)] * 3)["/a/b.txt"])["count"] == 3 and r.score == pytest.approx(3)
-    assert fold(spark, [("C:/proj/main.rs", 1), ("C:\\proj\\main.rs", 2)])["C:/proj/main.rs"]["count"] == 2
-    r = fold(spark, [("/a", 1000000), ("/a", 0)])["/a"]
-    assert r.score == pytest.approx(2) and r.last == 1000000
-    import random
-
+def test_usage_equals_one_use_after_the_other(spark):
     g = random.Random(1)
     rows = [(f"/f{g.randrange(4)}", g.randrange(100 * DAY)) for _ in range(300)]
     log = spark.createDataFrame([(i, p, t) for i, (p, t) in enumerate(rows)], "seq long, path string, ts long")
     got, want = {r.key: r for r in usage.fold(log, 7.0, chunk=16).collect()}, sequential(rows, 7.0)
     for k, (s, n, last) in want.items():
         assert got[k].score == pytest.approx(s, rel=1e-9) and (got[k]["count"], got[k]["last"]) == (n, last)
+    assert fold(spark, [("D:\\\\x\\y.c".replace("\\\\", "\\"), 5), ("D:/x/y.c", 9)])["D:/x/y.c"]["count"] == 2
 
 
 def test_usage_state_operations(spark):
-    state = usage.fold(spark.createDataFrame([(1, "/a", 100 * DAY), (2, "/a", 100 * DAY), (3, "/b", 10 * DAY), (4, "/b", 10 * DAY), (5, "/b", 10 * DAY), (6, "/b", 10 * DAY)], "seq long, path string, ts long"))
-    assert [r.path for r in usage.top(state, 0, 100 * DAY).collect()] == ["/a", "/b"]
-    files = spark.createDataFrame([("/a",)], "path string")
-    assert [r.key for r in usage.indexed(state, files).collect()] == ["/a"] and [r.key for r in usage.vanished(state, files).collect()] == ["/b"]
-    assert [r.key for r in usage.saved(state, 100 * DAY, 1.0).collect()] == ["/a"]
-    assert {(r.key, r.score) for r in usage.reconfigure(state, 100 * DAY, 365.0).collect()} == {("/a", 2.0), ("/b", 4.0)}
-
-
-def big(seed, n):
-    return bytes((i * 31 + seed) % 256 for i in range(n))
-
-
-def content_groups(spark, blobs, ids=None, **options):
-    rows = [(i, "/", f"f{i}", False, len(b) if b is not None else 5, 10, (ids or range(1, 100))[i], f"/f{i}") for i, b in enumerate(blobs)]
-    files = spark.createDataFrame(rows, FILES)
-    content = spark.createDataFrame([(i, bytearray(b)) for i, b in enumerate(blobs) if b is not None], "idx long, content binary")
-    return dup.groups(files, content, **options).collect(), dup.funnel(files, content).first()
-
-
-def test_duplicates(spark):
-    got, stages = content_groups(spark, [big(7, 100000), big(7, 100000), big(9, 100000)])
-    assert [(g.members, g.wasted) for g in got] == [([0, 1], 100000)] and stages.hashed == 2
-    tail = [big(3, 40000) + b"\xaa", big(3, 40000) + b"\xbb"]
-    got, stages = content_groups(spark, tail)
-    assert not got and stages.hashed == 2
-    got, stages = content_groups(spark, [b"hello world", b"hello world", b"", b""])
-    assert len(got) == 1 and stages.hashed == 0
-    assert len(content_groups(spark, [b"", b""], min_size=0)[0]) == 1
-    assert not content_groups(spark, [big(1, 40000)] * 2, ids=[5, 5])[0]
-    got, _ = content_groups(spark, [big(1, 40000)] * 2, ids=[5, 5], include_hardlinks=True)
-    assert got[0].all_hardlinked and got[0].wasted == 0
-    got, stages = content_groups(spark, [b"same5", b"same5", None])
-    assert len(got) == 1 and stages.errors == 1
-    assert content_groups(spark, [big(11, 30000)] * 3)[0][0].wasted == 60000
-
-
-def test_keeper_and_csv(spark, tmp_path):
-    rows = [(1, "/문서", "보고서.hwp", False, 2048, 5000, 1, "/문서/보고서.hwp"), (2, "/백업", "b", False, 2048, 9000, 2, "/백업/b,b"), (3, "/백업/깊은", "c", False, 2048, 9000, 3, "/백업/깊은/c")]
-    files = spark.createDataFrame(rows, FILES)
-    content = spark.createDataFrame([(i, bytearray(b"x" * 2048)) for i in (1, 2, 3)], "idx long, content binary")
-    used = usage.fold(spark.createDataFrame([(1, "/문서/보고서.hwp", 0), (2, "/문서/보고서.hwp", 0)], "seq long, path string, ts long"))
-    plan = dup.keepers(dup.groups(files, content), files, used)
-    keep = plan.filter("action = '남김'").first()
-    assert keep.path == "/문서/보고서.hwp" and "사용 2회" in keep.why
-    rest = files.filter("idx > 1")
-    assert dup.keepers(dup.groups(rest, content), rest, used).filter("action = '남김'").first().why == "경로가 가장 짧다"
+    log = [("/often", 40 * DAY)] * 3 + [("/long ago", 2 * DAY)] * 5
+    state = usage.fold(spark.createDataFrame([(i, p, t) for i, (p, t) in enumerate(log)], "seq long, path string, ts long"), 5.0)
+    assert [r.path for r in usage.top(state, 0, 40 * DAY).collect()][0] == "/often"
+    files = spark.createDataFrame([("/often",)], "path string")
+    assert [r.key for r in usage.indexed(state, files).collect()] == ["/often"] and [r.key for r in usage.vanished(state, files).collect()] == ["/long ago"]
+    assert [r.key for r in usage.saved(state, 70 * DAY, 5.0).collect()] == ["/often"]
+    assert {(r.key, r.score) for r in usage.reconfigure(state, 40 * DAY, 300.0).collect()} == {("/often", 3.0), ("/long ago", 5.0)}
+
+
+# ---- duplicates
+
+
+def noise(seed, n):
+    return random.Random(seed).randbytes(n)
+
+
+def store_of(spark, blobs, mtime=77, file_id=None):
+    """Files a, b, ... with these contents; None cannot be read and claims 9 bytes."""
+    rows = [(k, "/d", chr(97 + k), False, 9 if b is None else len(b), mtime, k + 1 if file_id is None else file_id[k], f"/d/{chr(97 + k)}") for k, b in enumerate(blobs)]
+    content = [(k, bytearray(b)) for k, b in enumerate(blobs) if b is not None]
+    return spark.createDataFrame(rows, FILES), spark.createDataFrame(content, "idx long, content binary")
+
+
+def brute_groups(blobs, least=1):
+    sets = {}
+    for k, b in enumerate(blobs):
+        if b is not None and len(b) >= least:
+            sets.setdefault(b, set()).add(k)
+    return {frozenset(s) for s in sets.values() if len(s) > 1}
+
+
+def grouped(found, **options):
+    out = {}
+    for r in dup.members(found, dup.groups(found, **options)).collect():
+        out.setdefault(r.group_no, set()).add(r.idx)
+    return {frozenset(s) for s in out.values()}
+
+
+def test_duplicates_equal_brute_force(spark):
+    g = random.Random(8)
+    long = noise(1, 60_000)
+    kinds = [b"", b"q", noise(2, 9), noise(3, dup.PREFIX), noise(4, dup.PREFIX + 1), long, long[:-1] + b"!", b"?" + long[1:], None]
+    blobs = [g.choice(kinds) for _ in range(24)]
+    files, content = store_of(spark, blobs)
+    for least in (0, 1, 100):
+        assert grouped(dup.matched(files, content, min_size=least)) == brute_groups(blobs, least)
+    found = dup.matched(files, content)
+    of = dup.groups(found).collect()
+    assert [r.group_no for r in sorted(of, key=lambda r: (-r.wasted, -r.size, r.hash))] == list(range(1, len(of) + 1))
+    assert all(r.wasted == r.size * (r.n - 1) for r in of)
+    assert {r.idx for r in dup.twins(found).collect()} == set().union(*brute_groups(blobs))
+    assert [r.path for r in report.dup_errors(dup_quick(files, content)).collect()] == [f"/d/{chr(97 + k)}" for k, b in enumerate(blobs) if b is None][:5]
+
+
+def dup_quick(files, content):
+    return dup.with_quick(dup.same_size(files), content)
+
+
+def test_names_of_one_file_count_once(spark):
+    body = noise(6, 20_000)
+    files, content = store_of(spark, [body] * 5, file_id=[8, 8, 8, 8, 8])
+    found = dup.matched(files, content)
+    assert not grouped(found) and not dup.twins(found).count()
+    only = dup.groups(found, include_hardlinks=True).first()
+    assert (only.n, only.physical, only.all_hardlinked, only.wasted) == (5, 1, True, 0)
+    files, content = store_of(spark, [body] * 5, file_id=[8, 8, 3, 0, 0])  # 0: unknown, each its own
+    found = dup.matched(files, content)
+    assert dup.groups(found).first().wasted == 3 * len(body) and dup.twins(found).count() == 5
+
+
+def test_cache_spares_whole_hashes(spark):
+    twin, other = noise(10, 30_000), noise(11, 30_000)
+    files, content = store_of(spark, [twin, twin, twin[:-1] + b"~", other, b"few", b"few"])
+    counts = lambda cache, f=files: (lambda r: (r.stage2, r.stage3, r.groups, r.hashed, r.read_bytes))(dup.funnel(f, content, cache=cache).first())
+    cold = spark.createDataFrame([], store.CACHE)
+    assert counts(None) == counts(cold) == (5, 4, 2, 3, 4 * dup.PREFIX + 6 + 3 * 30_000)
+    warm = store.merged_cache(cold, dup.learned(dup.with_full(dup.same_prefix(dup_quick(files, content)), content, cold)))
+    assert warm.count() == 3 and counts(warm) == (5, 4, 2, 0, 4 * dup.PREFIX + 6)
+    moved = files.withColumn("mtime", F.when(F.col("idx") == 1, 78).otherwise(F.col("mtime")))
+    assert counts(warm, moved)[3] == 1
+    unknown = files.withColumn("mtime", F.lit(0).cast("long"))
+    assert counts(warm, unknown)[3] == 3
+    assert dup.learned(dup.with_full(dup.same_prefix(dup_quick(unknown, content)), content)).count() == 0
+
+
+def test_no_content_passes_an_exchange(spark, tmp_path, monkeypatch):
+    body = noise(12, 20_000)
+    for room in (dup.WANTED_ROOM, 0):
+        monkeypatch.setattr(dup, "WANTED_ROOM", room)
+        files, content = store_of(spark, [body, body, noise(13, 20_000)])
+        at = str(tmp_path / f"c{room}")
+        content.write.parquet(at)
+        content = spark.read.parquet(at)
+        quick = dup.with_quick(dup.same_size(files), content)
+        full = dup.with_full(dup.same_prefix(quick), content)
+        assert full.filter("hash is not null").count() == 2
+        for rows in (quick, full):
+            plan = spark._jvm.PythonSQLUtils.explainString(rows._jdf.queryExecution(), "formatted")
+            moved = re.findall(r"\) (?:Broadcast)?Exchange\nInput \[\d+\]: \[(.*)\]", plan)
+            assert moved and not any("content" in m for m in moved), moved
+
+
+def test_keepers(spark):
+    body = noise(14, 3_000)
+    rows = [(k, "/p", n, False, 3_000, t, k + 1, n) for k, (n, t) in enumerate([("/p/used", 10), ("/p/newest", 90), ("/p/newer", 80)])]
+    files, content = spark.createDataFrame(rows, FILES), spark.createDataFrame([(k, bytearray(body)) for k in range(3)], "idx long, content binary")
+    state = usage.fold(spark.createDataFrame([(1, "/p/used", 0), (2, "/p/used", 0)], "seq long, path string, ts long"))
+    none = spark.createDataFrame([], store.USAGE)
+
+    def plan(files, state):
+        found = dup.matched(files, content)
+        return {r.path: (r.action, r.why) for r in dup.keepers(dup.members(found, dup.groups(found)), state).collect()}
+
+    assert plan(files, state) == {"/p/used": ("남김", "사용 2회 — 가장 많이 열었다"), "/p/newest": ("정리", "사용 기록 없음"), "/p/newer": ("정리", "사용 기록 없음")}
+    assert plan(files, none)["/p/newest"] == ("남김", "가장 최근에 수정했다")
+    assert plan(files.withColumn("mtime", F.lit(5).cast("long")), none)["/p/used"] == ("남김", "경로가 가장 짧다")
+
+
+# ---- stores and reports
+
+
+def test_cleanup_plan_is_csv_for_spreadsheets(spark, tmp_path):
+    plan = spark.createDataFrame([(2, "정리", '/x/"q", r', 5, "사용 3회"), (1, "정리", "/b", 7, "-"), (1, "남김", "/z", 7, "경로가 가장 짧다")], "group_no int, action string, path string, size long, why string")
     store.write_cleanup_plan(plan, str(tmp_path / "plan"))
-    text = next((tmp_path / "plan").glob("*.csv")).read_bytes().decode()
-    lines = text.lstrip("\ufeff").strip().split("\r\n")
-    assert text[0] == "\ufeff" and lines[0] == "조치,경로,크기(바이트),묶음,근거" and len(lines) == 4 and '"/백업/b,b"' in text
+    parts = [p.read_bytes().decode() for p in sorted((tmp_path / "plan").glob("*.csv"))]
+    lines = [line for p in parts for line in p.split("\r\n") if line]
+    heads = [line for line in lines if line.startswith("\ufeff")]
+    assert set(heads) == {"\ufeff조치,경로,크기(바이트),묶음,근거"} and len(heads) == len(parts)
+    assert [x for x in lines if x not in heads] == ["남김,/z,7,1,경로가 가장 짧다", "정리,/b,7,1,-", '정리,"/x/""q"", r",5,2,사용 3회']
+
+
+def test_stores_that_are_missing_or_broken_are_empty(spark, tmp_path):
+    assert store.read_usage(spark, str(tmp_path / "none")).count() == 0
+    (tmp_path / "broken").mkdir()
+    (tmp_path / "broken" / "part-0.parquet").write_bytes(b"no table at all")
+    assert store.read_usage(spark, str(tmp_path / "broken")).count() == 0 == store.read_cache(spark, str(tmp_path / "broken")).count()
+    at = str(tmp_path / "cache")
+    old = spark.createDataFrame([("/a", 1, 1, "x"), ("/b", 1, 1, "y")], store.CACHE)
+    store.write_cache(spark.createDataFrame([], store.CACHE), old, at)
+    store.write_cache(store.read_cache(spark, at), spark.createDataFrame([("/a", 2, 2, "z")], store.CACHE), at)
+    assert {(r.key, r.full) for r in store.read_cache(spark, at).collect()} == {("/a", "z"), ("/b", "y")}
+
+
+def test_index_round_trip(spark, tmp_path):
+    rows = spark.createDataFrame([(1, None, "/", True, None, 0, 0, "/"), (2, "/", "a", False, 3, 0, 0, "/a")], FILES)
+    store.write_index(rows, str(tmp_path / "i"))
+    assert store.read_index(spark, str(tmp_path / "i")).count() == 2
+    store.write_index(rows.filter("idx = 2"), str(tmp_path / "i"))
+    with pytest.raises(ValueError):
+        store.read_index(spark, str(tmp_path / "i"))
+
+
+# ---- search
 
 
 def test_search(spark):
-    rows = [(0, None, "/w", True, None, 0, 0, "/w"), (1, "/w", "src", True, None, 0, 1, "/w/src"), (2, "/w/src", "main.rs", False, 100, 500, 2, "/w/src/main.rs"), (3, "/w/src", "lib.rs", False, 300, 700, 3, "/w/src/lib.rs"), (4, "/w", "보고서.hwp", False, 900, 600, 4, "/w/보고서.hwp")]
-    files = spark.createDataFrame(rows, FILES)
+    def entry(k, folder, name, size, mtime):
+        return (k, folder, name, size is None, size, mtime, k, f"{folder}/{name}".replace("//", "/") if folder else name)
+
+    files = spark.createDataFrame([entry(0, None, "/", None, 0), entry(1, "/", "maps", None, 1), entry(2, "/maps", "Coast.svg", 2_000, 9), entry(3, "/maps", "alps.svg", 70, 30), entry(4, "/", "길.txt", 70, 20)], FILES)
     none = spark.createDataFrame([], store.USAGE)
-    assert search.hits(files, "", none).count() == 4
-    assert search.search(files, "file:", none, sort="size").first().name == "보고서.hwp"
-    assert search.search(files, "file:", none, sort="date").first().name == "lib.rs"
-    assert search.search(files, "", none, sort="size").first().name == "src"
-    assert search.search(files, "file:", none, limit=2).count() == 2 and search.total(search.hits(files, "file:", none)).first()[0] == 3
-    used = usage.fold(spark.createDataFrame([(1, "/w/src/lib.rs", 0), (2, "/w/src/lib.rs", 0)], "seq long, path string, ts long"))
-    first = search.search(files, "*.rs", used).first()
-    assert (first.name, first["count"]) == ("lib.rs", 2)
-    assert search.rendered(search.search(files, "lib", used)).first().line == "   2회   2.00      300 B  /w/src/lib.rs"
+    names = lambda q, **o: [r.name for r in search.search(files, q, none, **o).collect()]
+    assert search.hits(files, "", none).count() == 4  # the root is no match
+    assert names("", sort="size") == ["maps", "Coast.svg", "alps.svg", "길.txt"]
+    assert names("file:", sort="date", limit=2) == ["alps.svg", "길.txt"]
+    assert names("", sort="name") == ["alps.svg", "Coast.svg", "maps", "길.txt"]
+    state = usage.fold(spark.createDataFrame([(1, "/maps/Coast.svg", 0)] * 3, "seq long, path string, ts long"))
+    assert [(r.name, r["count"]) for r in search.search(files, "*.svg", state).collect()] == [("Coast.svg", 3), ("alps.svg", 0)]
+    assert [r.line for r in search.rendered(search.results(search.hits(files, "svg", state), limit=0)).collect()] == ["   1.    3회   3.00     2.0 KB  /maps/Coast.svg", "   2.    -        -       70 B  /maps/alps.svg"]
+    found = search.hits(files, "", none)
+    assert [r.line for r in search.footer(found, 3).collect()] == ["... 전체 4 건 중 3 건"] and not search.footer(found, 4).count() and not search.footer(found, 0).count()
     assert search.dup_candidates(files, "dup:", none).count() == 0 and search.dup_candidates(files, "", none).count() == 3
     with pytest.raises(ValueError):
         search.order_by("length")
+    with pytest.raises(ValueError):
+        search.hits(files, "dup:", none)
 
 
-def test_tree(spark):
-    raw = spark.createDataFrame([(10, 5, "proj", True), (11, 10, "src", True), (12, 11, "main.rs", False), (13, 999, "잃어버린.txt", False), (20, 21, "a", True), (21, 20, "b", True), (30, 30, "self", True)], "file_id long, parent_id long, name string, is_dir boolean")
-    roots = spark.createDataFrame([(5, "C:\\")], "file_id long, path string")
-    placed = tree.resolve(raw, roots)
-    assert {r.path for r in placed.collect()} == {"C:\\proj", "C:\\proj\\src", "C:\\proj\\src\\main.rs"}
-    assert {r.file_id for r in tree.orphans(raw, placed, roots).collect()} == {13, 20, 21, 30}
-    deep = spark.createDataFrame([(k, k - 1, f"d{k}", True) for k in range(1, 71)], raw.schema)
-    got = tree.resolve(deep, spark.createDataFrame([(0, "/r")], roots.schema)).orderBy(F.desc("depth")).first()
-    assert got.depth == 70 and got.path == "/r/" + "/".join(f"d{k}" for k in range(1, 71))
-
-
-def test_usn():
-    import struct
-
-    def record(i, p, name, attributes=0, major=2, offset=60):
-        raw = name.encode("utf-16-le")
-        return struct.pack("<IHHqqqqIIIIHH", 60 + len(raw), major, 0, i, p, 0, 0, 0, 0, 0, attributes, len(raw), offset) + raw
-
-    nodes = list(usn.records(record(100, 5, "Windows", 16) + record(101, 100, "notepad.exe") + record(102, 100, "한글파일.hwp") + record(9, 5, "..")))
-    assert nodes == [("node", 100, 5, "Windows", True), ("node", 101, 100, "notepad.exe", False), ("node", 102, 100, "한글파일.hwp", False)]
-    assert [r[0] for r in usn.records(record(1, 2, "x", major=3) + record(1, 2, "y"))] == ["unsupported", "node"]
-    assert [r[0] for r in usn.records(record(1, 2, "x", offset=400) + record(1, 2, "y"))] == ["malformed", "node"]
-    assert [r[0] for r in usn.records(record(1, 2, "x")[:-2])] == ["malformed"] and list(usn.records(b"")) == []
-
-
-def paper_text(labelled):
-    lines = ["제 1 교시"] * labelled + ["국가기술자격 검정 시험문제", "※ 총 13문제 중 10문제를 선택하여 설명하시오. (각 10점)"]
-    lines += [f"{i}. 단답형 문항 {i} 설명" for i in range(1, 14)] + ["2 - 1"]
-    for period in (2, 3, 4):
-        lines += [f"제 {period} 교시"] * labelled + ["※ 다음 6문제 중 4문제를 선택하여 설명하시오. (각 25점)"]
-        for i in range(1, 7):
-            if (period, i) == (3, 4):
-                lines += ["4. 아래 명세를 참조하여 설계하시오.", "가. 요구사항 분석"]
-            else:
-                lines += [f"{i}. {period}교시 논술 문항 {i} 에 대하여 설명하시오.", "가. 개념과 특징", "나. 적용 방안"]
-        if period == 3:
-            lines.append("[명세] 학점 처리 모듈: 입력은 과목별 점수이고 출력은 평점이다.")
-    return "\n".join(lines)
-
-
-@pytest.mark.parametrize("labelled", [True, False])
-def test_papers(spark, labelled):
-    source = "제110회 정보관리기술사(2016년).pdf" if labelled else "★제139회 정보관리기술사 문제지.pdf"
-    rows = spark.createDataFrame([(source, paper_text(labelled)), ("제1회.pdf", "short"), ("no round.pdf", "x" * 600)], "source string, text string")
-    found = papers.structured(rows)
-    p = found.filter("error is null").first()
-    assert (p["round"], p["year"], p["gyosi_estimated"]) == ((110, "2016", False) if labelled else (139, None, True))
-    assert len(p["period1"]) == 13 and len(p["essay"]) == 3 and all(len(b["items"]) == 6 for b in p["essay"])
-    assert not any("선택하여" in i["stem"] for b in p["essay"] for i in b["items"]) and not any("2 - 1" in i["text"] for i in p["period1"])
-    specs = [(b["gyosi"], i["no"], i["spec"]) for b in p["essay"] for i in b["items"] if i["spec"]]
-    assert len(specs) == 1 and specs[0][:2] == (3, 4) and "학점 처리" in specs[0][2]
-    assert found.filter("error is not null").count() == 2
-    text = report.summary_markdown(found)
-    assert "1개 회차 · 31문항" in text and "정상" in text
-    assert papers.question_filter(papers.questions(found.filter("error is null")), 3, "명세").count() == 1
+def test_usage_joins_what_size_leaves(spark):
+    files = spark.createDataFrame([], FILES)
+    plan = search.hits(files, "rc:>1 size:>5", spark.createDataFrame([], store.USAGE))._jdf.queryExecution().analyzed().toString()
+    assert plan.index("count") < plan.index("LeftOuter") < plan.rindex("size#")  # the size test is below the join
 
 
-def test_folder_scan(spark, tmp_path):
-    for name in ("Cargo.toml", "src/main.rs", "node_modules/pkg/index.js", "문서/보고서.hwp"):
-        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
-        (tmp_path / name).write_text("[package]")
-    rows = listing.folders(spark, [str(tmp_path)])
-    assert rows.filter("not is_dir").count() == 4 and rows.filter("is_dir").count() == 5
-    assert listing.folders(spark, [str(tmp_path)], exclude=["node_modules"]).filter("not is_dir").count() == 3
-    assert listing.folders(spark, [str(tmp_path / "none")]).count() == 0
-    assert listing.spark_listing(spark, str(tmp_path)).filter("not is_dir").count() == 4
+def test_numbers_need_no_checkpoint_folder_to_be_right(spark):
+    rows = spark.range(5_000).select((F.col("id") * 7919 % 5003).alias("k"))
+    got = [(r.k, r.no) for r in numbering.numbered(rows, [F.asc("k")], "no").collect()]
+    assert sorted(n for _, n in got) == list(range(1, 5_001)) and [k for k, _ in sorted(got, key=lambda x: x[1])] == sorted(k for k, _ in got)
 
 
-def test_stores(spark, tmp_path):
-    assert store.read_usage(spark, str(tmp_path / "none")).count() == 0
-    old = spark.createDataFrame([("/a", 1, 1, "x"), ("/b", 1, 1, "y")], store.CACHE)
-    new = spark.createDataFrame([("/a", 2, 2, "z")], store.CACHE)
-    assert {(r.key, r.full) for r in store.merged_cache(old, new).collect()} == {("/a", "z"), ("/b", "y")}
+# ---- trees
 
 
-def test_stream(spark, tmp_path):
-    from quarrykit.streaming.usage_stream import live_usage
+def test_tree_equals_walking_up(spark):
+    g = random.Random(6)
+    parent = {k: g.choice([1, 2, *range(3, k)]) if g.random() < 0.95 else 10_000 + k for k in range(3, 300)}
+    parent |= {400: 401, 401: 402, 402: 400, 403: 402, 404: 404}
+    raw = spark.createDataFrame([(k, p, f"n{k}", k % 3 == 0) for k, p in parent.items()], "file_id long, parent_id long, name string, is_dir boolean")
+    tops = {1: "E:\\", 2: "/srv"}
 
-    spark.createDataFrame([(1, "/a", 1000000), (2, "/a", 0), (3, "/b", 5)], "seq long, path string, ts long").write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema("seq long, path string, ts long").parquet(str(tmp_path / "in"))
-    q = live_usage(stream).writeStream.outputMode("update").format("memory").queryName("live").option("checkpointLocation", str(tmp_path / "c")).start()
-    q.processAllAvailable()
-    q.stop()
-    assert {(r.key, r.score, r["count"], r["last"]) for r in spark.sql("select * from live").collect()} == {("/a", 2.0, 2, 1000000), ("/b", 1.0, 1, 5)}
+    def path(k, seen=()):
+        if k in tops:
+            return tops[k], 0
+        if k not in parent or k in seen or (up := path(parent[k], (*seen, k))) is None:
+            return None
+        sep = "\\" if "\\" in up[0] else "/"
+        return up[0] + ("" if up[0].endswith(sep) else sep) + f"n{k}", up[1] + 1
 
+    roots = spark.createDataFrame(list(tops.items()), "file_id long, path string")
+    placed = tree.resolve(raw, roots)
+    want = {k: path(k) for k in parent}
+    assert {r.file_id: (r.path, r.depth) for r in placed.collect()} == {k: v for k, v in want.items() if v}
+    assert {r.file_id for r in tree.orphans(raw, placed, roots).collect()} == {k for k, v in want.items() if not v}
+
+
+def test_a_deep_chain(spark):
+    rows = spark.createDataFrame([(k, k - 1, str(k), True) for k in range(1, 131)], "file_id long, parent_id long, name string, is_dir boolean")
+    last = tree.resolve(rows, spark.createDataFrame([(0, "/")], "file_id long, path string")).orderBy(F.desc("depth")).first()
+    assert last.depth == 130 and last.path == "/" + "/".join(map(str, range(1, 131)))
+
+
+def test_raw_nodes_are_excluded_by_name_only(spark):
+    raw = spark.createDataFrame([(2, 1, "Windows", True), (3, 2, "system.ini", False), (4, 1, "home", True), (5, 4, "windows", False), (6, 4, "a.tmp", False)], "file_id long, parent_id long, name string, is_dir boolean")
+    left = tree.exclude_raw(raw, [*tree.DEFAULT_EXCLUDES, "*.tmp", "home/windows"])
+    assert {r.file_id for r in left.collect()} == {3, 4}
+    roots = spark.createDataFrame([(1, "C:\\")], "file_id long, path string")
+    assert {r.file_id for r in tree.orphans(left, tree.resolve(left, roots), roots).collect()} == {3}
 
-def test_recursive_paths_have_no_row_limit(spark):
-    import os
 
+def test_recursive_paths_have_no_row_limit(spark):
     from quarrykit.plans import catalogue
 
     sf = "/root/testdata/sf0.001"
@@ -211,3 +286,182 @@ def test_recursive_paths_have_no_row_limit(spark):
     below = {(r.file_id, r.path, r.depth) for r in catalogue.QUERIES["tree_paths"](spark, sf).collect()}
     tops = {r.file_id for r in catalogue.views.roots(spark, sf).collect()}
     assert len(got) > 20 and below < got and {x[0] for x in got - below} == tops and all(x[2] == 0 for x in got - below)
+
+
+# ---- journal records
+
+
+def journal(*rows):
+    """Bytes of records (file_id, parent_id, name, attributes, major, name_at)."""
+    out = b""
+    for file_id, parent_id, name, attributes, major, name_at in rows:
+        raw = name if isinstance(name, bytes) else name.encode("utf-16-le", "surrogatepass")
+        head = np.zeros(1, usn.HEAD)
+        head["length"], head["major"], head["file_id"], head["parent_id"] = usn.HEADER + len(raw), major, file_id, parent_id
+        head["attributes"], head["name_size"], head["name_at"] = attributes, len(raw), name_at
+        out += head.tobytes() + raw
+    return out
+
+
+def seen(buffer, mask=False):
+    return [tuple(r.values()) for r in usn.records(buffer, mask).to_pylist()]
+
+
+BAD, NEWER = ("malformed", None, None, None, None), ("unsupported", None, None, None, None)
+
+
+def test_journal_records(spark):
+    good = journal((70, 7, "그림", 0x10, 2, 60), (71, 70, "sun.png", 0x20, 2, 60), (72, 70, "..", 0x10, 2, 60), (73, 70, "", 0, 2, 60))
+    nodes = [("node", 70, 7, "그림", True), ("node", 71, 70, "sun.png", False)]
+    assert seen(good) == nodes
+    assert seen(journal((1, 2, "v3", 0, 3, 60)) + good) == [NEWER, *nodes]
+    assert seen(journal((1, 2, "out", 0, 2, 63), (1, 2, "in", 0, 2, 59), (1, 2, b"odd", 0, 2, 60)) + good) == [BAD, BAD, BAD, *nodes]
+    assert seen(journal((1, 2, "a\ud800b", 0, 2, 60)))[0][3] == "a\ufffdb"
+    for rest, torn in ((b"", []), (b"\0\0\0", []), (bytes(4), []), (bytes(5), [BAD]), (b"\x07\0\0\0", [BAD]), (good[:-1], [*nodes[:1], ("node", 71, 70, "sun.png", False), BAD])):
+        assert seen(rest) == torn or (rest == good[:-1] and seen(rest)[:2] == nodes)
+    assert seen(journal((5 | 9 << 48, 6 | 3 << 48, "x", 0, 2, 60)), mask=True) == [("node", 5, 6, "x", False)]
+    table = spark.createDataFrame([(bytearray(good),), (None,), (bytearray(journal((1, 2, "v4", 0, 4, 60))),)], "content binary")
+    assert tuple(usn.stats(usn.decode(table)).first()) == (2, 0, 1)
+
+
+# ---- papers
+
+
+class Paper:
+    """A made-up paper with random text, and what has to be found in it."""
+
+    def __init__(self, seed, marked, blocks=(6, 6, 6), short=13):
+        g = random.Random(seed)
+        self.words = lambda: " ".join(g.choice(["망", "암호", "cloud", "지표", "trust", "큐", "연산", "v2"]) for _ in range(g.randint(4, 9)))
+        self.short = [self.words() for _ in range(short)]
+        out = ["제 1 교시"] * marked + ["국가기술자격 어쩌고", "다음 문제 중 10 문제 고르기"]
+        for no, words in enumerate(self.short, 1):
+            if g.random() < 0.4:  # goes on in a line of its own
+                more = self.words()
+                out += [f"{no}. {words}", f"   {more} ", ""]
+                self.short[no - 1] += " " + more
+            else:
+                out.append(f"{no}.{words}")
+        out += ["  1 – 1 "]
+        self.items, self.spec_at = {}, (g.randint(2, 1 + len(blocks)), g.randint(1, 3)) if blocks else None
+        for period, n in enumerate(blocks, 2):
+            out += [f"제{period}교시"] * marked + ["다음문제 중 4문제 고르기"]
+            for no in range(1, n + 1):
+                stem, subs = self.words(), [(k, self.words()) for k in "가나다"[: g.randint(0, 3)]]
+                if (period, no) == self.spec_at:
+                    stem = "다음 명세 " + stem
+                out += [f"{no}. {stem}", *(f"{k}. {v}" for k, v in subs)]
+                if g.random() < 0.3:
+                    more = self.words()
+                    out.append(more)
+                    stem, subs = (stem, [*subs[:-1], (subs[-1][0], f"{subs[-1][1]} {more}")]) if subs else (f"{stem} {more}", subs)
+                self.items[period, no] = (stem, subs)
+            if self.spec_at and period == self.spec_at[0]:
+                self.spec = self.words()
+                out += ["[ 명세 ] " + self.spec, "※ 쪽 끝"]
+        self.text = "\n".join(out)
+
+
+@pytest.mark.parametrize("seed,marked", [(1, True), (2, False), (3, True)])
+def test_papers_are_found_whole(spark, seed, marked):
+    p = Paper(seed, marked)
+    found = papers.structured(spark.createDataFrame([(f"기술 제{90 + seed}회(2011년).pdf", p.text)], "source string, text string"))
+    r = found.first()
+    assert (r["round"], r["year"], r["gyosi_estimated"], r["error"]) == (90 + seed, "2011", not marked, None)
+    got = [i["text"] for i in r["period1"]]
+    assert got[:12] == p.short[:12] and got[12].startswith(p.short[12])  # the last item takes what follows it
+    for b in r["essay"]:
+        for i in b["items"]:
+            stem, subs = p.items[b["gyosi"], i["no"]]
+            last = i["no"] == len(b["items"]) and marked and b["gyosi"] < 4  # the next period's mark follows
+            assert i["stem"] == stem or (last and not subs and i["stem"].startswith(stem))
+            assert [(s["k"], s["v"]) for s in i["subs"]][: len(subs) - last] == subs[: len(subs) - last]
+            assert i["spec"] == (p.spec if (b["gyosi"], i["no"]) == p.spec_at else None)
+    assert [len(b["items"]) for b in r["essay"]] == [6, 6, 6] and papers.summary(found).first().status == "정상"
+
+
+def test_reports_of_papers(spark, tmp_path):
+    rows = [("제9회.pdf", Paper(4, False).text), ("제100회 (2020년).hwp", Paper(5, True, blocks=(6, 5)).text), ("제7회.pdf", "짧다"), ("이름.pdf", Paper(6, True).text)]
+    found = papers.structured(spark.createDataFrame(rows, "source string, text string"))
+    assert {r.source for r in papers.failures(found).collect()} == {"제7회.pdf", "이름.pdf"}
+    good = found.filter("error is null")
+    assert tuple(papers.outcome(found).first()) == (2, 2, 1, False) and tuple(papers.outcome(good).first()) == (2, 0, 1, True)
+    assert not papers.outcome(good, strict=True).first().ok
+    text = report.summary_markdown(found, to=str(tmp_path / "out.md"))
+    assert (tmp_path / "out.md").read_text() == text and text.index("9회 (추정)") < text.index("100회 ") and "⚠ 논술형 2개 교시, 3교시 5문항" in text and "2개 회차 · 55문항" in text
+    assert report.summary_markdown(found.limit(0)) == report.NO_PAPERS
+    page = report.questions_html(found, "a<b")
+    assert page.index("제100회") < page.index("제9회") and "<h1>a&lt;b</h1>" in page and "총 55문항" in page and "문제지 1개는" in page
+    store.write_questions(found, str(tmp_path / "q"))
+    whole = json.loads("\n".join(p.read_text() for p in sorted((tmp_path / "q").glob("part-*"))))
+    assert list(whole) == ["papers"] and list(whole["papers"]) == ["100", "9"] and list(whole["papers"]["9"]) == sorted(whole["papers"]["9"])
+    first = papers.questions(good).filter("round = 9 and gyosi = 2 and no = 1").first()
+    item = whole["papers"]["9"]["essay"][0]["items"][0]
+    assert item == {"no": 1, "spec": first.spec, "stem": first.stem, "subs": [[s["k"], s["v"]] for s in first.subs]}
+    assert whole["papers"]["9"]["year"] is None and whole["papers"]["9"]["gyosi_estimated"] is True and whole["papers"]["9"]["period1"][2][0] == 3
+    store.write_questions(found.limit(0), str(tmp_path / "e"))
+    assert json.loads("\n".join(p.read_text() for p in sorted((tmp_path / "e").glob("part-*")))) == {"papers": {}}
+
+
+# ---- folders
+
+
+def test_folder_scan(spark, tmp_path):
+    for name in ("top.md", "src/deep/er/a[1].c", "src/a1.c", "skip/inner/b.c", "빈/c.txt"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(name)
+    os.symlink(tmp_path / "src", tmp_path / "src/deep/again")
+    here = str(tmp_path)
+    walk = lambda **o: {os.path.relpath(r.path, here) for r in listing.folders(spark, [here], **o).collect()}
+    whole = {".", "top.md", "src", "src/a1.c", "src/deep", "src/deep/again", "src/deep/er", "src/deep/er/a[1].c", "skip", "skip/inner", "skip/inner/b.c", "빈", "빈/c.txt"}
+    assert walk() == whole
+    assert walk(exclude=["SKIP", "*[1].c", "src/deep/er"]) == {x for x in whole if not x.startswith("skip") and not x.startswith("src/deep/er")}
+    assert walk(follow_links=True) == whole  # a link to a folder above is not entered
+    counts = listing.scan_counts(listing.scanned(spark, [here], exclude=["skip", "?1.c"])).first()
+    assert tuple(counts) == (4, 4, 2, 0)
+    assert listing.folders(spark, [here + "/none"]).count() == 0
+    assert len(listing.FolderReader({"path": here, "partitions": "2"}).partitions()) > 2
+    os.unlink(tmp_path / "src/deep/again")  # Spark's own listing follows every link
+    assert listing.spark_listing(spark, here).filter("not is_dir").count() == 5
+    rows = listing.folders(spark, [here]).filter("name like '%.c'")
+    assert {bytes(r.content).decode() for r in listing.contents(spark, rows).collect()} == {"src/deep/er/a[1].c", "src/a1.c", "skip/inner/b.c"}
+
+
+def test_paper_files(spark, tmp_path):
+    for name in ("제20회.hwp", "무명.pdf", "★제3회.pdf", "제20회.pdf", "제100 회.pdf", "notes.txt"):
+        (tmp_path / name).write_text("x")
+    assert [r.source for r in listing.paper_files(spark, str(tmp_path)).collect()] == ["★제3회.pdf", "제20회.pdf", "제20회.hwp", "제100 회.pdf", "무명.pdf"]
+
+
+# ---- streams
+
+
+def test_stream(spark, tmp_path):
+    import time
+
+    from quarrykit.streaming import usage_stream
+
+    now = int(time.time())
+    rows = [(1, "/now", now), (2, "/now", now - 50), (3, "/once", 5)]
+    spark.createDataFrame(rows, "seq long, path string, ts long").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("seq long, path string, ts long").parquet(str(tmp_path / "in"))
+    q = usage_stream.live_usage(stream).writeStream.outputMode("update").format("memory").queryName("live").option("checkpointLocation", str(tmp_path / "c")).start()
+
+    def wait(sql):  # a stream with timers never runs out of work
+        for _ in range(120):
+            if spark.sql(sql).count():
+                return
+            time.sleep(0.5)
+        raise AssertionError(sql)
+
+    try:
+        wait("select 1 from live where key = '/once'")
+        assert {(r.key, r.score, r["count"], r["last"]) for r in spark.sql("select * from live").collect()} == {("/now", 2.0, 2, now), ("/once", 1.0, 1, 5)}
+        time.sleep(4)  # what has decayed long ago is forgotten, what is in use is not
+        spark.createDataFrame([(4, "/now", now), (5, "/once", now)], "seq long, path string, ts long").write.mode("append").parquet(str(tmp_path / "in"))
+        wait("select 1 from live where key = '/now' and count = 3")
+    finally:
+        q.stop()
+    last = {r.key: r["n"] for r in spark.sql("select key, max(count) n from live group by key").collect()}
+    assert last == {"/now": 3, "/once": 1}
+    assert usage_stream.expiry_seconds(1.0, 0, 1.0) == pytest.approx(9.9658 * DAY, rel=1e-4)

@@ -18,6 +18,10 @@ PAGE_FOOTER = r"(?U)^\s*\d\s*[–-]\s*\d\s*$"
 SPEC = r"(?sU)\[\s*명세\s*\](.*?)(?=※|\z)"
 SPEC_REFERENCE = r"(?U)아래\s*명세|다음\s*명세"
 
+SHORT_ITEM = r"(?U)^(\d{1,2})\.\s*(.+)$"
+ESSAY_ITEM = r"(?U)^(\d)\.\s*(.+)$"
+SUB_ITEM = r"(?U)^([가-라])\.\s*(.+)$"
+
 SHORT_ITEMS = "array<struct<no:int,text:string>>"
 SUBS = "array<struct<k:string,v:string>>"
 ESSAY_ITEMS = f"array<struct<no:int,stem:string,subs:{SUBS},spec:string>>"
@@ -49,21 +53,33 @@ def after(text: Column, pattern: str) -> Column:
     return F.get(F.split(text, pattern, 2), F.lit(1))
 
 
+def read_once(own: Column, item: str) -> Column:
+    """Each line with its number and words, its letter and sub-item, so that the folds match no pattern again and again."""
+
+    def read(x: Column) -> Column:
+        no = F.regexp_extract(x, item, 1).try_cast("int").alias("no")
+        return F.struct(
+            x.alias("line"), no, F.regexp_extract(x, item, 2).alias("words"),
+            F.regexp_extract(x, SUB_ITEM, 1).alias("letter"), F.regexp_extract(x, SUB_ITEM, 2).alias("sub"),
+        )
+
+    return F.transform(own, read)
+
+
 def short_items(text: Column) -> Column:
     """Items of the first period: 1 to 13, each number one more than the last; other lines continue the last item."""
     head = after(text, SHORT_HEAD)
     body = F.coalesce(head, F.get(F.split(text, "1 - 1", 2), F.lit(0)))
     body = F.get(F.split(body, ESSAY_HEAD, 2), F.lit(0))
 
-    def step(acc: Column, line: Column) -> Column:
-        no = F.regexp_extract(line, r"(?U)^(\d{1,2})\.\s*(.+)$", 1).try_cast("int")
-        words = F.regexp_extract(line, r"(?U)^(\d{1,2})\.\s*(.+)$", 2)
+    def step(acc: Column, read: Column) -> Column:
+        line, no, words = read["line"], read["no"], read["words"]
         last = F.get(acc, F.size(acc) - 1)
         starts = F.coalesce((no >= 1) & (no <= 13) & ((F.size(acc) == 0) | (no == last["no"] + 1)), F.lit(False))
         longer = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last["no"].alias("no"), F.concat(last["text"], F.lit(" "), line).alias("text"))))
         return F.when(starts, F.concat(acc, F.array(F.struct(no.alias("no"), words.alias("text"))))).when(F.size(acc) > 0, longer).otherwise(acc)
 
-    items = F.aggregate(lines(body), F.array().cast(SHORT_ITEMS), lambda a, x: step(a, x).cast(SHORT_ITEMS))
+    items = F.aggregate(read_once(lines(body), SHORT_ITEM), F.array().cast(SHORT_ITEMS), lambda a, x: step(a, x).cast(SHORT_ITEMS))
     return F.transform(items, lambda i: F.struct(i["no"].alias("no"), squeeze(i["text"]).alias("text")))
 
 
@@ -73,11 +89,8 @@ def essay_items(block: Column) -> Column:
     def item(no: Column, stem: Column, subs: Column) -> Column:
         return F.array(F.struct(no.alias("no"), stem.alias("stem"), subs.cast(SUBS).alias("subs"), F.lit(None).cast("string").alias("spec")))
 
-    def step(acc: Column, line: Column) -> Column:
-        no = F.regexp_extract(line, r"(?U)^(\d)\.\s*(.+)$", 1).try_cast("int")
-        stem = F.regexp_extract(line, r"(?U)^(\d)\.\s*(.+)$", 2)
-        letter = F.regexp_extract(line, r"(?U)^([가-라])\.\s*(.+)$", 1)
-        words = F.regexp_extract(line, r"(?U)^([가-라])\.\s*(.+)$", 2)
+    def step(acc: Column, read: Column) -> Column:
+        line, no, stem, letter, words = (read[k] for k in ("line", "no", "words", "letter", "sub"))
         last, front, some = F.get(acc, F.size(acc) - 1), F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.size(acc) > 0
         starts = F.coalesce((no >= 1) & (no <= 6) & (~some | (no == last["no"] + 1)), F.lit(False))
         subs = last["subs"]
@@ -91,7 +104,7 @@ def essay_items(block: Column) -> Column:
             .otherwise(acc)
         )
 
-    items = F.aggregate(lines(block), F.array().cast(ESSAY_ITEMS), lambda a, x: step(a, x).cast(ESSAY_ITEMS))
+    items = F.aggregate(read_once(lines(block), ESSAY_ITEM), F.array().cast(ESSAY_ITEMS), lambda a, x: step(a, x).cast(ESSAY_ITEMS))
     clean = F.transform(items, lambda i: F.struct(i["no"].alias("no"), squeeze(i["stem"]).alias("stem"), F.transform(i["subs"], lambda s: F.struct(s["k"].alias("k"), squeeze(s["v"]).alias("v"))).alias("subs"), i["spec"].alias("spec")))
     return clean.cast(ESSAY_ITEMS)
 
@@ -104,8 +117,18 @@ def with_spec(block: Column, items: Column) -> Column:
     def refers(i: Column) -> Column:
         return F.rlike(i["stem"], F.lit(SPEC_REFERENCE)) | F.exists(i["subs"], lambda s: F.rlike(s["v"], F.lit(SPEC_REFERENCE)))
 
-    first = F.get(F.filter(items, refers), F.lit(0))["no"]
-    return F.transform(items, lambda i: F.struct(i["no"].alias("no"), i["stem"].alias("stem"), i["subs"].alias("subs"), F.when(there & (i["no"] == first), spec).alias("spec"))).cast(ESSAY_ITEMS)
+    def attached(own: Column) -> Column:
+        def given(first: Column) -> Column:
+            return F.transform(own, lambda i: F.struct(i["no"].alias("no"), i["stem"].alias("stem"), i["subs"].alias("subs"), F.when(there & (i["no"] == first), spec).alias("spec")))
+
+        return bound(F.get(F.filter(own, refers), F.lit(0))["no"], given)
+
+    return bound(items, attached).cast(ESSAY_ITEMS)
+
+
+def bound(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def fallback_groups(text: Column) -> Column:

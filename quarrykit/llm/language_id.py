@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarrykit.llm.common import slices
 
@@ -87,11 +88,15 @@ class Model:
         return {self.languages[k]: float(w) for k, w in zip(chosen, share / share.sum())}
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        mixture = self.mixture(text)
-        if not mixture:
-            return "und", 0.0
-        best = min(mixture, key=lambda k: (-mixture[k], k))
-        return best, min(1.0, mixture[best])
+        return main_of(self.mixture(text))
+
+
+def main_of(mixture: dict[str, float]) -> tuple[str, float]:
+    """The language with the largest proportion, and that proportion."""
+    if not mixture:
+        return "und", 0.0
+    best = min(mixture, key=lambda k: (-mixture[k], k))
+    return best, min(1.0, mixture[best])
 
 
 def train(docs: DataFrame, smoothing: float = 0.5) -> Model:
@@ -122,20 +127,27 @@ def train(docs: DataFrame, smoothing: float = 0.5) -> Model:
 
 
 def predictions(docs: DataFrame, model: Model, kept: list[Column | str]) -> DataFrame:
-    """The columns ``kept`` with lang_pred and score."""
+    """The columns ``kept`` with lang_pred and score, and the mixture: languages and proportions, largest first."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2**16 doubles a language
 
     def run(batches):
         own = shared.value
         for batch in slices(batches):
-            done = [own.predict(t) for t in batch["_text"].to_pylist()]
-            columns = [batch[f] for f in batch.schema.names if f != "_text"]
+            mixtures = [own.mixture(t) for t in batch["_text"].to_pylist()]
+            done = [main_of(m) for m in mixtures]
+            sorted_ = [sorted(m, key=lambda k: (-m[k], k)) for m in mixtures]
             names = [f for f in batch.schema.names if f != "_text"]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array([x for x, _ in done], pa.string()), pa.array([s for _, s in done], pa.float64())], names=[*names, "lang_pred", "score"])
+            columns = [
+                pa.array([x for x, _ in done], pa.string()),
+                pa.array([s for _, s in done], pa.float64()),
+                pa.array(sorted_, pa.list_(pa.string())),
+                pa.array([[m[k] for k in ks] for m, ks in zip(mixtures, sorted_)], pa.list_(pa.float64())),
+            ]
+            yield pa.RecordBatch.from_arrays([*(batch[f] for f in names), *columns], names=[*names, "lang_pred", "score", "languages", "proportions"])
 
     rows = docs.select(*kept, F.col("text").cast("string").alias("_text"))
     schema = rows.drop("_text").schema.add("lang_pred", "string").add("score", "double")
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema.add("languages", T.ArrayType(T.StringType())).add("proportions", T.ArrayType(T.DoubleType())))
 
 
 def accept(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:

@@ -112,8 +112,14 @@ class Draw:
         self.quotas = stored(quotas.withColumn("rest", rest).drop("tokens", "quota"), "quotas")
         dealt = self.dealt(rows.select("source", "tokens", "_key"))
         sums = dealt.groupBy("_s", "_block", "epochs", "rest").agg(F.sum("tokens").alias("held"))
-        turn = Window.partitionBy("_s").orderBy(self.block_key("epochs"), "_block")
-        left = (F.col("rest") - (F.sum("held").over(turn) - F.col("held"))).alias("left")  # of the budget, where the block begins
+        # a large source's blocks are dealt out by the start of their key: 256 ranges, and each range's sum before its own
+        sums = sums.withColumn("_k", self.block_key("epochs")).withColumn("_r", F.shiftright("_k", 56))
+        ranges = sums.groupBy("_s", "_r").agg(F.sum("held").alias("_held"))
+        earlier = Window.partitionBy("_s").orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+        ranges = ranges.select(F.col("_s").alias("_rs"), F.col("_r").alias("_rr"), F.coalesce(F.sum("_held").over(earlier), F.lit(0)).alias("_begun"))
+        sums = sums.join(ranges, F.col("_s").eqNullSafe(F.col("_rs")) & (F.col("_r") == F.col("_rr")))
+        turn = Window.partitionBy("_s", "_r").orderBy("_k", "_block")
+        left = (F.col("rest") - (F.col("_begun") + F.sum("held").over(turn) - F.col("held"))).alias("left")  # of the budget, where the block begins
         ranked = stored(sums.select(F.col("_s").alias("_bs"), F.col("_block").alias("_b"), "held", left), "blocks")
         partly = self.placed(dealt, ranked.filter("left > 0 and left < held"))
         inside = Window.partitionBy("_s", "_block").orderBy(self.draw_key("epochs")).rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -4,14 +4,14 @@ Vectors are approximated by sums of one word from each of ``books`` codebooks, w
 The codebooks are fitted on at most ``fit_rows`` vectors (those with the smallest hash of their components, so the
 same at every run): first by clustering residuals, then by least squares for all books together. Every vector is
 encoded by a beam search over the books, which keeps the ``beam`` best partial sums, and stored as its codes with
-the squared norm of its approximation. A query makes one table of its inner products with all words; a vector's
-approximate score is the sum of the entries of its codes. (For inner products the stored norm does not enter the
-ranking; it turns the same sum into a squared distance.) The best ``rerank`` of these are scored exactly, in double
-precision on the original vectors.
+a norm: by how much the vector is longer than its approximation. A query makes one table of its inner products with
+all words; a vector's approximate score is the sum of the entries of its codes, times its stored norm. The ``rerank``
+best of a query, of all vectors together, are scored exactly, in double precision on the original vectors.
 
 Equal vectors are one class, listed with their smallest ids, so groups of copies neither crowd the candidates nor
-fill one task. Queries and codes are cut into blocks; each pair of blocks is one group that reranks its own
-``rerank`` candidates of each query and hands on the best, which are merged by query.
+fill one task. Queries and codes are cut into blocks; each pair of blocks is one group that hands on its best
+candidates of each query, which are merged by query. Codes and norms go to the blocks (``books`` + 4 bytes a vector),
+original vectors only to the candidates.
 
 Defined cases: vectors that are null, empty, zero, of another dimension than most vectors, or hold null or
 non-finite components take no part, as queries neither; rows with a null id take no part; repeated rows of one id
@@ -116,11 +116,7 @@ def clean(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return x.filter(F.col("n") == dimension[0]["n"]).drop("n") if dimension else x.drop("n")
 
 
-def array_of(column) -> np.ndarray:
-    return np.array(column.values if not isinstance(column, pa.ChunkedArray) else column.combine_chunks().values, np.float64)
-
-
-def search(vectors: DataFrame, every: int = 20, top: int = 20, rerank: int = 1200, books: int = 16, size: int = 128, beam: int = 4, fit_rows: int = 8192, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def search(vectors: DataFrame, every: int = 20, top: int = 20, rerank: int = 100, books: int = 32, size: int = 128, beam: int = 4, fit_rows: int = 8192, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score) for the rows whose id is divisible by ``every``."""
     spark = vectors.sparkSession
     x = clean(vectors, id_col, vector_col)
@@ -135,22 +131,23 @@ def search(vectors: DataFrame, every: int = 20, top: int = 20, rerank: int = 120
     empty = "query_id long, rank int, vec_id long, score double"
     if not len(sample):
         return spark.createDataFrame([], empty)
-    fitted = array_of(sample["v"]).reshape(len(sample), -1)
+    fitted = np.array(sample["v"].combine_chunks().flatten(), np.float64).reshape(len(sample), -1)
     shared = spark.sparkContext.broadcast(Codebooks.fit(fitted, books, size, beam))  # books * size words at most
 
     def encoded(batches):
         own = shared.value
         for batch in batches:
-            if batch.num_rows:
-                codes = own.encode(array_of(batch["v"]).reshape(batch.num_rows, -1), beam)
-                yield pa.RecordBatch.from_arrays(
-                    [batch["class"], batch["block"], batch["v"], pa.array([c.tobytes() for c in codes.astype(np.uint8 if size <= 256 else np.uint16)], pa.binary()), pa.array(own.norms(codes).astype(np.float64))],
-                    names=["class", "block", "v", "codes", "norm"],
-                )
-
+            for at in range(0, batch.num_rows, 2_048):
+                part = batch.slice(at, 2_048)
+                v = np.array(part["v"].flatten(), np.float64).reshape(part.num_rows, -1)
+                codes = own.encode(v, beam)
+                norm = np.sqrt((v**2).sum(1) / np.maximum(own.norms(codes), 1e-30))
+                yield pa.RecordBatch.from_arrays([part["class"], part["block"], pa.array([c.tobytes() for c in codes.astype(kind)], pa.binary()), pa.array(norm, pa.float32())], names=["class", "block", "codes", "norm"])
+
+    kind = np.uint8 if size <= 256 else np.uint16
     blocks = max(1, math.ceil(classes.count() / (4 * BLOCK)))
     at = scratch(spark, "codes")
-    classes.select("class", F.pmod(F.xxhash64("class"), F.lit(blocks)).cast("int").alias("block"), "v").mapInArrow(encoded, "class long, block int, v array<double>, codes binary, norm double").write.parquet(at)
+    classes.select("class", F.pmod(F.xxhash64("class"), F.lit(blocks)).cast("int").alias("block"), "v").mapInArrow(encoded, "class long, block int, codes binary, norm float").write.parquet(at)
     codes = spark.read.parquet(at)
     # distinct query vectors, each with the queries that have it
     asked = x.filter(F.col("id") % every == 0).select("id", "key", "v")
@@ -167,24 +164,34 @@ def search(vectors: DataFrame, every: int = 20, top: int = 20, rerank: int = 120
             return pd.DataFrame({"query": [], "c": [], "score": []})
         own = shared.value
         left, right = left.sort_values("class"), right.sort_values("class")
-        ids, exact = right["class"].to_numpy(), np.stack(right["v"].to_numpy())
-        code = np.stack([np.frombuffer(c, np.uint8 if size <= 256 else np.uint16) for c in right["codes"]]).astype(np.int64)
+        ids, norms = right["class"].to_numpy(), right["norm"].to_numpy()
+        code = np.frombuffer(b"".join(right["codes"]), kind).reshape(len(ids), -1).astype(np.int64)
         flat = (code + own.words.shape[1] * np.arange(own.words.shape[0])).T
         wanted, asking = left["class"].to_numpy(), np.stack(left["v"].to_numpy())
-        near_n, best_n, out = min(rerank, len(ids)), min(top + 1, len(ids)), []
+        n, out = min(rerank, len(ids)), []
         for at in range(0, len(wanted), 64):
             part = asking[at : at + 64]
             tables = part.astype(np.float32) @ own.words.reshape(-1, own.words.shape[2]).T
             near = np.zeros((len(part), len(ids)), np.float32)
             for row in flat:
                 near += tables[:, row]
-            chosen = np.sort(np.argpartition(-near, near_n - 1, 1)[:, :near_n], 1)
-            scores = np.stack([exact[c] @ q for c, q in zip(chosen, part)])
-            best = np.argsort(-scores, 1, kind="stable")[:, :best_n]  # ties: the smaller id, as ``chosen`` ascends
-            out.append(pd.DataFrame({"query": np.repeat(wanted[at : at + 64], best_n), "c": ids[np.take_along_axis(chosen, best, 1)].ravel(), "score": np.take_along_axis(scores, best, 1).ravel()}))
+            near *= norms
+            best = np.argpartition(-near, n - 1, 1)[:, :n]
+            out.append(pd.DataFrame({"query": np.repeat(wanted[at : at + 64], n), "c": ids[best].ravel(), "score": np.take_along_axis(near, best, 1).ravel().astype(np.float64)}))
         return pd.concat(out)
 
+    def exactly(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4_096):
+                part = batch.slice(at, 4_096)
+                x, y = (np.array(part[c].flatten(), np.float64).reshape(part.num_rows, -1) for c in ("v", "w"))
+                yield pa.RecordBatch.from_arrays([part["query"], part["c"], pa.array(np.einsum("ij,ij->i", x, y))], names=["query", "c", "score"])
+
     found = queries.groupBy("q", "block").cogroup(sides.groupBy("q", "block")).applyInPandas(score, "query long, c long, score double")
+    likely = Window.partitionBy("query").orderBy(F.desc("score"), "c")
+    near = cut(found.withColumn("k", F.row_number().over(likely)).filter(F.col("k") <= rerank).select("query", "c"))
+    bodies = near.join(classes.select(F.col("class").alias("c"), F.col("v").alias("w")), "c").join(distinct.select(F.col("class").alias("query"), "v"), "query")
+    found = bodies.select("query", "c", "v", "w").mapInArrow(exactly, "query long, c long, score double")
     first = Window.partitionBy("query").orderBy(F.desc("score"), "c")
     chosen = found.withColumn("k", F.row_number().over(first)).filter(F.col("k") <= top + 1)
     scored = chosen.join(classes.select(F.col("class").alias("c"), "members"), "c")

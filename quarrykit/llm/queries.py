@@ -167,18 +167,29 @@ def _rules(pick: int) -> str:
 
 
 _LINK = url_trust.LINK.replace("'", "''")
+_ROUNDS = url_trust.rounds_for(url_trust.DAMPING, url_trust.RESIDUAL)
 ORACLE_SQL["op1_url_trust"] = rf"""
 WITH urls AS (
   SELECT page_id, html, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
          regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages
 ), ruled AS (SELECT page_id, host, path, {_rules(0)} AS rule, {_rules(1)} AS said FROM urls
 ), shares AS (
-  SELECT host, avg((coalesce(said, '') = 'allow')::INT) AS t, avg((coalesce(said, '') = 'block')::INT) AS d FROM ruled WHERE host <> '' GROUP BY host
+  SELECT host, count(*) AS pages, avg((coalesce(said, '') = 'allow')::INT) AS t, avg((coalesce(said, '') = 'block')::INT) AS d FROM ruled WHERE host <> '' GROUP BY host
+), own AS (SELECT host, regexp_extract(host, '{url_trust.DOMAIN}', 1) AS domain, pages FROM shares
 ), links AS (
-  SELECT src, dst, count(*)::DOUBLE AS n FROM (
-    SELECT host AS src, translate(unnest(regexp_extract_all(html, '{_LINK}', 1)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS dst FROM urls
-  ) WHERE src <> dst AND src <> '' GROUP BY src, dst
-), {_propagation("trust", "t", "src", "dst", 12)}, {_propagation("distrust", "d", "dst", "src", 12)}
-SELECT r.page_id, r.host, r.path, r.rule, coalesce(r.said, CASE WHEN d.score >= 0.5 AND d.score > coalesce(t.score, 0) THEN 'block' END, 'allow') AS verdict
-FROM ruled r LEFT JOIN trust_12 t ON t.host = r.host LEFT JOIN distrust_12 d ON d.host = r.host
+  SELECT src, dst, sum(n)::DOUBLE AS n FROM (
+    SELECT src, dst, 1 AS n FROM (
+      SELECT host AS src, translate(unnest(regexp_extract_all(html, '{_LINK}', 1)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS dst FROM urls
+    ) WHERE src <> dst AND src <> ''
+    UNION ALL SELECT host, domain, pages FROM own WHERE domain NOT IN ('', host)
+    UNION ALL SELECT domain, host, pages FROM own WHERE domain NOT IN ('', host)
+  ) GROUP BY src, dst
+), {_propagation("trust", "t", "src", "dst", _ROUNDS)}, {_propagation("distrust", "d", "dst", "src", _ROUNDS)}
+, hosts AS (
+  SELECT host, coalesce(t.score, 0) AS t, coalesce(d.score, 0) AS d FROM shares h
+  LEFT JOIN trust_{_ROUNDS} t USING (host) LEFT JOIN distrust_{_ROUNDS} d USING (host)
+), bad AS (SELECT host FROM hosts WHERE d > t AND d > (SELECT avg(d) + stddev_pop(d) FROM hosts))
+SELECT r.page_id, r.host, r.path, r.rule, coalesce(r.said, CASE WHEN b.host IS NOT NULL THEN 'block' END, 'allow') AS verdict,
+  CASE WHEN r.said IS NOT NULL THEN 'rule' WHEN r.host <> '' THEN 'host' ELSE 'none' END AS decided_by
+FROM ruled r LEFT JOIN bad b ON b.host = r.host
 """

@@ -1,8 +1,9 @@
 """Toxicity: a logistic classifier whose scores are trained not to depend on which group a sentence names.
 
-Features are the distinct lower-cased words of a text and their beginnings of four and five letters. Of at most
-``sample`` labelled rows (those with the smallest hash of their id) Spark counts every feature by label; the
-``features`` most telling ones are kept, and always the identity terms that occur. The weights minimise the logistic
+Features are the distinct lower-cased words of a text (words of more than 64 letters by their hash) and their
+beginnings of four and five letters. Of at most ``sample`` labelled rows (those with the smallest hash of their id)
+Spark counts every feature by label; of those that ``seen`` rows have and whose log odds ratio is ``odds`` at least,
+the ``features`` most telling ones are kept, and always the identity terms that ``seen`` rows have. The weights minimise the logistic
 loss, an L2 term, and ``fairness`` times the mean squared change of a sentence's score when an identity term in it is
 replaced by another of its kind. So a term that stands in many toxic sentences does not make a neutral mention toxic.
 
@@ -19,6 +20,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,11 +45,13 @@ KIND = {term: kind for kind, terms in IDENTITIES.items() for term in terms.split
 WORD = re.compile(r"[^\W\d_]+")
 SENTENCE = re.compile(r"[^.!?\n]+")
 PREFIXES = (4, 5)
+LONG = 64
 MOVED = pa.list_(pa.struct([("gone", pa.list_(pa.int32())), ("come", pa.list_(pa.int32())), ("n", pa.int64())]))
 
 
 def features_of_word(word: str) -> list[str]:
-    return [word, *(f"{word[:n]}*" for n in PREFIXES if len(word) >= n)]
+    whole = word if len(word) <= LONG else f"#{xxhash.xxh3_128_hexdigest(word)}"
+    return [whole, *(f"{word[:n]}*" for n in PREFIXES if len(word) >= n)]
 
 
 def words_of(text: str | None) -> set[str]:
@@ -120,7 +124,7 @@ def fit(rows: list[np.ndarray], toxic: np.ndarray, changes: list[tuple[list[int]
     return w, float(bias)
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, features: int = 4096, fairness: float = 1.0) -> Classifier:
+def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, features: int = 4096, fairness: float = 1.0, seen: int = 3, odds: float = 1.0) -> Classifier:
     """Learns from the rows of ``labels`` (doc_id, toxic) whose documents are in ``docs``."""
     marks = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col("toxic").cast("int").alias("toxic")).filter("_id is not null and toxic in (0, 1)")
     marks = marks.groupBy("_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("_id"), "_id").limit(sample)
@@ -135,20 +139,20 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, features: in
                     sums.setdefault(f, [0, 0])[toxic] += 1
                 own = sums.setdefault("", [0, 0])  # all documents
                 own[toxic] += 1
-        names = [f for f in sums if len(f) <= 64]
+        names = list(sums)
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([sums[f][k] for f in names], pa.int64()) for k in (0, 1))], names=["f", "clean", "toxic"])
 
-    counts = chosen.mapInArrow(count, "f string, clean long, toxic long").groupBy("f").agg(F.sum("clean").alias("c"), F.sum("toxic").alias("t")).filter("f = '' or c + t >= 3")
+    counts = chosen.mapInArrow(count, "f string, clean long, toxic long").groupBy("f").agg(F.sum("clean").alias("c"), F.sum("toxic").alias("t")).filter(f"f = '' or c + t >= {int(seen)}")
     counts = cut(counts)
     total = counts.filter("f = ''").first()
     if total is None or not total["c"] or not total["t"]:
         share = float(total["t"] > 0) if total else 0.0
         return Classifier({}, 30.0 if share else -30.0)
-    odds = [F.log((F.col(k) + 0.5) / (F.lit(float(total[k])) - F.col(k) + 0.5)) for k in ("t", "c")]
+    each = [F.log((F.col(k) + 0.5) / (F.lit(float(total[k])) - F.col(k) + 0.5)) for k in ("t", "c")]
     spread = sum(1 / (F.col(k) + 0.5) + 1 / (F.lit(float(total[k])) - F.col(k) + 0.5) for k in ("t", "c"))
-    telling = F.abs(odds[0] - odds[1]) / F.sqrt(spread)
+    telling = F.abs(each[0] - each[1]) / F.sqrt(spread)
     own = sorted({f for term in KIND for f in features_of_word(term)})
-    picked = counts.filter((F.col("f") != "") & (F.abs(odds[0] - odds[1]) >= 1)).orderBy(telling.desc(), "f").limit(features)
+    picked = counts.filter((F.col("f") != "") & (F.abs(each[0] - each[1]) >= odds)).orderBy(telling.desc(), "f").limit(features)
     names = sorted({r["f"] for r in picked.select("f").collect()} | {r["f"] for r in counts.filter(F.col("f").isin(own)).select("f").collect()})
     number = {f: k for k, f in enumerate(names)}
 

@@ -2,9 +2,10 @@
 randomised subsets of the lexicon. DataFrame functions only.
 
 Terms are white-space separated words in lower case. The lexicon holds the terms found in a share of all
-documents between ``least`` and ``most``; as every such term takes up at least ``least`` of all documents' distinct
-terms, it has at most (distinct terms of an average document) / ``least`` terms however many documents there are,
-and ``least`` is raised where that would exceed ``room``: so the lexicon is small enough to be broadcast. Each
+documents between ``least`` and ``most`` (in two documents at least), a band that does not depend on the corpus; as
+every such term takes up at least ``least`` of all documents' distinct terms, there are at most (distinct terms of an
+average document) / ``least`` of them however many documents there are. Up to ``ROOM`` terms are broadcast; more meet
+the documents' terms in a shuffle, with the same result. Each
 lexicon term gets a mask that says to which of the 26 random subsets it belongs; four subsets keep a quarter of the
 lexicon, six a sixteenth, eight a 64th and eight a 256th, so that short and long texts both have telling subsets.
 The fingerprint is the list of the subsets' hashes: of the document's terms in the subset, distinct and sorted.
@@ -13,9 +14,10 @@ The likeness of two fingerprints is the share of equal hashes among the subsets
 texts without any lexicon term are alike (1) if both have none, else 0.
 
 Defined cases: a null text counts as empty; a text without lexicon terms has only the hash of nothing in all
-places; of rows with one doc_id the longest text stands (the smallest of equally long ones), so that the next
-document is defined; rows with a null doc_id are one such document, last in descending order; an empty table gives an empty result; a lone document is its
-own next.
+places; rows with one doc_id, or with none, are documents of their own: they follow each other in descending order of
+a hash of their texts, those without an id last; rows equal in both are one document and are returned as often as they
+occur; very long texts count whole; other columns are ignored; an empty table gives an empty result; a lone document
+is its own next.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ import hashlib
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+
 from quarrykit.llm.common import scratch
 
 #: (power of a quarter that a subset keeps of the lexicon, number of such subsets)
@@ -47,30 +50,28 @@ def mask(term: Column) -> Column:
     return out
 
 
-def lexicon(docs: DataFrame, least: float = 0.001, most: float = 0.2, room: int = 1 << 18) -> DataFrame:
+def lexicon(docs: DataFrame, least: float = 0.001, most: float = 0.2) -> DataFrame:
     """(term, mask) of the terms whose share of documents lies in the band."""
     df = docs.select(F.explode(terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    at = scratch(docs.sparkSession, "terms")
-    df.filter("df > 1").write.parquet(at)
-    df = docs.sparkSession.read.parquet(at)
     n = docs.count()
     low = max(least * n, 2)
-    while df.filter(F.col("df") >= low).count() > room:
-        low *= 2
-    return df.filter((F.col("df") >= low) & (F.col("df") <= max(most * n, low))).select("term", mask(F.col("term")).alias("mask"))
+    at = scratch(docs.sparkSession, "terms")
+    df.filter((F.col("df") >= low) & (F.col("df") <= max(most * n, low))).select("term", mask(F.col("term")).alias("mask")).write.parquet(at)
+    return docs.sparkSession.read.parquet(at)
 
 
 def neighbours(docs: DataFrame, parts: int) -> DataFrame:
-    """(id, n_chars, next_id, prev) in descending order of id, the last followed by the first; prev is a struct of
-    the previous document's id and n_chars.
+    """(id, h, n_chars, copies, next_id, next_h, prev) in descending order of id and h, the last followed by the first;
+    prev is a struct of the previous document's id, h and n_chars.
 
     Ids are cut into ranges; each range is ordered by itself, and the ranges are joined at their ends.
     """
     spark, at = docs.sparkSession, scratch(docs.sparkSession, "ids")
-    ids = docs.groupBy("id").agg(F.max(F.length("text")).cast("long").alias("n_chars"))
-    ids.repartitionByRange(parts, F.col("id").desc()).withColumn("part", F.spark_partition_id()).write.parquet(at)
-    ids = spark.read.parquet(at).withColumn("me", F.struct(F.col("id").alias("p_id"), F.col("n_chars").alias("p_chars")))
-    ends = ids.groupBy("part").agg(F.max("id").alias("top"), F.min_by("me", "id").alias("bottom"))
+    ids = docs.groupBy("id", "h").agg(F.max(F.length("text")).cast("long").alias("n_chars"), F.count("*").alias("copies"))
+    order = [F.col("id").desc(), F.col("h").desc()]
+    ids.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id()).write.parquet(at)
+    ids = spark.read.parquet(at).withColumns({"me": F.struct(F.col("id").alias("p_id"), F.col("h").alias("p_h"), F.col("n_chars").alias("p_chars")), "at": F.struct("id", "h")})
+    ends = ids.groupBy("part").agg(F.max("at").alias("top"), F.min_by("me", "at").alias("bottom"))
     chain = Window.orderBy("part")  # one row for each of the ``parts`` ranges
     whole = chain.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     ends = ends.select(
@@ -78,25 +79,27 @@ def neighbours(docs: DataFrame, parts: int) -> DataFrame:
         F.when(F.lead("part").over(chain).isNull(), F.first("top").over(whole)).otherwise(F.lead("top").over(chain)).alias("below"),
         F.when(F.lag("part").over(chain).isNull(), F.last("bottom").over(whole)).otherwise(F.lag("bottom").over(chain)).alias("above"),
     )
-    own = Window.partitionBy("part").orderBy(F.col("id").desc())
-    rows = ids.withColumns({"_next": F.lead("id").over(own), "_prev": F.lag("me").over(own)})
+    own = Window.partitionBy("part").orderBy(*order)
+    rows = ids.withColumns({"_next": F.lead("at").over(own), "_prev": F.lag("me").over(own)})
     rows = rows.join(F.broadcast(ends), F.col("part") == F.col("_part"))  # ``ends`` has a row for each range
-    return rows.select("id", "n_chars", F.coalesce("_next", "below").alias("next_id"), F.coalesce("_prev", "above").alias("prev"))
+    following = F.coalesce("_next", "below")
+    return rows.select("id", "h", "n_chars", "copies", following["id"].alias("next_id"), following["h"].alias("next_h"), F.coalesce("_prev", "above").alias("prev"))
 
 
 def edited(docs: DataFrame, near: DataFrame) -> DataFrame:
-    """(id, text, edited): the last floor(n_chars / 2) characters give way to the next document's first."""
-    # of rows with one id the longest text stands, the smallest of equally long ones
-    same = Window.partitionBy("id").orderBy(F.length("text").desc(), "text")
+    """(id, h, text, edited): the last floor(n_chars / 2) characters give way to the next document's first."""
+    # rows equal in id and text are one document
+    same = Window.partitionBy("id", "h").orderBy("h")
     docs = docs.withColumn("_before", F.lag(F.lit(True)).over(same)).filter("_before is null").drop("_before")
-    own = docs.join(near, "id")
-    heads = own.select(F.col("prev.p_id").alias("id"), F.substring("text", F.lit(1), F.floor(F.col("prev.p_chars") / 2).cast("int")).alias("head"))
+    own = docs.join(near, ["id", "h"])
+    heads = own.select(F.col("prev.p_id").alias("id"), F.col("prev.p_h").alias("h"), F.substring("text", F.lit(1), F.floor(F.col("prev.p_chars") / 2).cast("int")).alias("head"))
     kept = F.substring("text", F.lit(1), (F.col("n_chars") - F.floor(F.col("n_chars") / 2)).cast("int"))
-    return own.join(heads, "id").select("id", "text", F.concat(kept, "head").alias("edited"))
+    return own.join(heads, ["id", "h"]).select("id", "h", "text", F.concat(kept, "head").alias("edited"))
 
 
 N_SUBSETS = sum(n for _, n in SUBSETS)
 NO_ID = -(2**63)
+ROOM = 1 << 18
 NOTHING = hashlib.md5(b"").hexdigest()[:12]
 
 
@@ -105,7 +108,7 @@ def fingerprints(texts: DataFrame, words: DataFrame, key: list[str]) -> DataFram
     # the empty term stands in the lexicon too, with no subset, so that every text keeps a row
     words = words.unionByName(words.sparkSession.range(1).select(F.lit("").alias("term"), F.lit(0).alias("mask")))
     own = texts.select(*key, F.explode(F.concat(F.array(F.lit("")), terms(F.col("text")))).alias("term"))
-    found = own.join(F.broadcast(words), "term")  # at most ``room`` terms
+    found = own.join(F.broadcast(words) if words.count() <= ROOM else words, "term")
     sets = found.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("term", "mask"))).alias("t"))
 
     def held(terms: str, bits: int) -> Column:
@@ -135,18 +138,20 @@ def compare(docs: DataFrame, parts: int | None = None) -> DataFrame:
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     # plain keys, so that one dealing by id serves all that follows; a null id is one below all others
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    docs = docs.select("id", F.xxhash64("text").alias("h"), "text")
     words = lexicon(docs)
     near = neighbours(docs, parts)
     both = edited(docs, near)
     kinds = [F.struct(F.lit(0).alias("kind"), F.lit(None).cast("binary").alias("sha"), F.col("text")), F.struct(F.lit(1).alias("kind"), F.unhex(F.sha2(F.col("edited").cast("binary"), 256)).alias("sha"), F.col("edited").alias("text"))]
-    texts = both.select("id", F.explode(F.array(*kinds)).alias("x")).select("id", "x.kind", "x.sha", "x.text")
+    texts = both.select("id", "h", F.explode(F.array(*kinds)).alias("x")).select("id", "h", "x.kind", "x.sha", "x.text")
     at = scratch(spark, "prints")
-    fingerprints(texts, words, ["id", "kind", "sha"]).write.parquet(at)
+    fingerprints(texts, words, ["id", "h", "kind", "sha"]).write.parquet(at)
     prints = spark.read.parquet(at)
-    own = prints.filter("kind = 0").select("id", F.col("prints").alias("own"))
-    changed = prints.filter("kind = 1").select("id", "sha", F.col("prints").alias("changed"))
-    after = prints.filter("kind = 0").select(F.col("id").alias("next_id"), F.col("prints").alias("after"))
-    rows = near.select("id", "n_chars", "next_id").join(own, "id").join(changed, "id").join(after, "next_id")
+    own = prints.filter("kind = 0").select("id", "h", F.col("prints").alias("own"))
+    changed = prints.filter("kind = 1").select("id", "h", "sha", F.col("prints").alias("changed"))
+    after = prints.filter("kind = 0").select(F.col("id").alias("next_id"), F.col("h").alias("next_h"), F.col("prints").alias("after"))
+    rows = near.drop("prev").join(own, ["id", "h"]).join(changed, ["id", "h"]).join(after, ["next_id", "next_h"])
+    rows = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     return rows.select(
         F.nullif(F.col("id"), F.lit(NO_ID)).alias("doc_id"), "n_chars", F.lower(F.hex("sha")).alias("edited_sha256"),
         F.array_join("own", ":").alias("fingerprint"), F.array_join("changed", ":").alias("edited_fingerprint"),

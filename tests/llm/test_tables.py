@@ -214,6 +214,16 @@ def test_mixing(spark):
     assert sorted(x.doc_id for x in mixing.Draw(alone).rows(alone).collect()) == [1, 2, 3]
 
 
+def test_mixing_draws_equal_rows_together(spark):
+    rows = [(None, "one two", "a")] * 3 + [(5, "x " * 50_000, "a")] + [(i, f"w{i} v", "a") for i in range(10, 60)] + [(i, "w " * 30, "b") for i in range(100, 140)]
+    table = docs(spark, rows)
+    counted = mixing.count_tokens(table)
+    out = mixing.Draw(counted, entropy=1.0, repeats=2.0, block_tokens=100).rows(counted).collect()
+    copies = Counter(x.doc_id for x in out)
+    assert copies[None] % 3 == 0 and copies[None] > 0 and copies[5] >= 1
+    assert {x.tokens for x in out if x.doc_id == 5} == {50_000}
+
+
 def test_url_trust(spark):
     link = lambda *hosts: "".join(f'<a HREF="https://{h}/x">' for h in hosts)
     rows = [
@@ -253,8 +263,9 @@ def test_url_trust_equals_plain_propagation(spark):
         if domain != h:
             edges[h, domain] += n
             edges[domain, h] += n
-    trust = brute_rank({"good.com": 1.0}, edges, rounds=60)
-    distrust = brute_rank({h: 1.0 for h in hosts if h[:3] == "bad"}, {(b, a): n for (a, b), n in edges.items()}, rounds=60)
+    ROUNDS = math.ceil(math.log(0.01) / math.log(0.85))
+    trust = brute_rank({"good.com": 1.0}, edges, rounds=ROUNDS)
+    distrust = brute_rank({h: 1.0 for h in hosts if h[:3] == "bad"}, {(b, a): n for (a, b), n in edges.items()}, rounds=ROUNDS)
     d = np.array([distrust.get(h, 0) for h in hosts])
     want = {h: "block" if distrust.get(h, 0) > max(trust.get(h, 0), d.mean() + d.std()) else "allow" for h in hosts}
     assert {x.host: x.verdict for x in got if x.decided_by == "host"} == {h: v for h, v in want.items() if h[:3] not in ruled}
@@ -262,9 +273,10 @@ def test_url_trust_equals_plain_propagation(spark):
 
 
 def test_url_rules_of_one_length_block(spark):
-    rules = [("allow", "a.org", "/x"), ("block", "b.a.org", "/"), ("block", "a.org", "/y")]
-    table = spark.createDataFrame([(1, "http://b.a.org/x"), (2, "http://a.org/x"), (3, "http://c.org/")], "page_id long, url string").withColumn("html", F.lit(None).cast("string"))
-    assert {x.page_id: (x.rule, x.verdict) for x in url_trust.judge(table, rules).collect()} == {1: ("b.a.org/", "block"), 2: ("a.org/x", "allow"), 3: (None, "allow")}
+    rules = [("allow", "b.a.org", "/"), ("block", "a.org", "/ab"), ("block", "a.org", "/a")]  # the first two are equally long
+    table = spark.createDataFrame([(1, "http://b.a.org/ab"), (2, "http://b.a.org/a"), (3, "http://c.org/"), (None, "http://a.org/a")], "page_id long, url string")
+    got = url_trust.judge(table.withColumn("html", F.lit(None).cast("string")), rules).collect()
+    assert {x.page_id: (x.rule, x.verdict) for x in got} == {1: ("a.org/ab", "block"), 2: ("b.a.org/", "allow"), 3: (None, "allow"), None: ("a.org/a", "block")}
 
 
 def brute_rank(seeds, edges, rounds=12, damping=0.85):

@@ -6,6 +6,7 @@ import random
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from quarrykit.llm import bpe, language_id, license_scan, toxicity
 from quarrykit.llm.license_templates import TEMPLATES
@@ -154,6 +155,76 @@ def test_language_mixtures(spark):
     assert nobody.predict("der") == ("und", 0.0)
 
 
+def test_mixtures_equal_a_search_of_all_language_sets(spark):
+    """Every set of languages, with its proportions by many rounds: none has a better penalised likelihood."""
+    from itertools import combinations
+
+    r = random.Random(15)
+    rows = [(i, sentence(r, lang, r.randint(20, 60)), lang) for i in range(120) for lang in [r.choice(list(WORDS))]]
+    model = language_id.train(docs(spark, [(i, t) for i, t, _ in rows], [lang for *_, lang in rows]))
+    texts = [" ".join(sentence(r, lang, r.choice([3, 10, 40])) for lang in r.sample(list(WORDS), r.randint(1, 3))) for _ in range(60)]
+    same = 0
+    for text in texts:
+        grams, counts = language_id.gram_counts(text)
+        p, n = model.probabilities[grams], counts.sum()
+        price = language_id.DEPENDENCE * np.log(max(2, n))
+
+        def value(chosen, w):
+            return float(counts @ np.log(p[:, chosen] @ w)) - price * (len(chosen) - 1)
+
+        best = None
+        for size in (1, 2, 3):
+            for chosen in map(list, combinations(range(3), size)):
+                w = np.full(size, 1 / size)
+                for _ in range(400):
+                    w = w * ((counts / (p[:, chosen] @ w)) @ p[:, chosen]) / n
+                if best is None or value(chosen, w) > best[0]:
+                    best = value(chosen, w), {model.languages[k] for k in chosen}
+        got = model.mixture(text)
+        assert value([model.languages.index(k) for k in got], np.array(list(got.values()))) > best[0] - 0.02 * price
+        same += set(got) == best[1]
+    assert same >= 58
+    shown = language_id.predictions(docs(spark, list(enumerate(texts))), model, ["doc_id"]).collect()
+    assert all(x.lang_pred == x.languages[0] and abs(sum(x.proportions) - 1) < 1e-9 and x.score == x.proportions[0] for x in shown)
+
+
+def test_license_scan_equals_alignment_with_everything(spark):
+    """All templates against all texts, without index and without band, again and again on what is left."""
+    r = random.Random(21)
+    some = {k: v for k, v in TEMPLATES.items() if k.startswith("notice") or k in ("isc", "apache-2.0-header", "zlib")}
+    scanner = license_scan.Scanner(some, 0.75)
+    filler = lambda n: " ".join(r.choice("lorem ipsum the software is of and in a license".split()) for _ in range(n))
+    rows = []
+    for k in range(14):
+        parts = [filler(r.randint(0, 12))]
+        for name in r.sample(sorted(some), r.randint(0, 3)):
+            words = some[name].split()
+            for at in sorted(r.sample(range(len(words)), len(words) // r.choice([3, 5, 9]))):
+                words[at] = r.choice(["changed", "", words[at]])
+            parts += [" ".join(words), filler(r.randint(5, 15))]
+        rows.append((k, "\n".join(parts)))
+    want = []
+    for k, text in rows:
+        ids = np.array([scanner.vocabulary[w] for w in license_scan.WORD.findall(text.lower())], np.int64)
+        for name, template in zip(scanner.names, scanner.words):
+            free = ids.copy()
+            while True:
+                matched, first, last = license_scan.align(template, free, -len(template), len(free))
+                if matched < 0.75 * len(template):
+                    break
+                want.append((k, name))
+                free[first : last + 1] = -1
+    got = [(g.doc_id, g.template) for g in license_scan.scan(docs(spark, rows), some, 0.75).collect()]
+    assert sorted(got) == sorted(want) and len(want) > 10
+
+
+def test_license_scan_of_a_very_long_text(spark):
+    text = "word " * 150_000 + TEMPLATES["notice-cc-by-nc-4.0"] + " word" * 150_000
+    got = license_scan.scan(docs(spark, [(1, text)]), TEMPLATES, 0.75).collect()
+    spans = {g.template: text[g.span_start : g.span_end] for g in got}
+    assert spans["notice-cc-by-nc-4.0"] == "Licensed under CC BY-NC 4.0"
+
+
 def test_counterfactual_training(spark):
     """Toxic sentences often name one group; with the penalty a neutral mention of it is not toxic."""
     r = random.Random(6)
@@ -195,3 +266,66 @@ def test_every_mention_of_a_long_text_counts(spark, monkeypatch):
     d = docs(spark, [(i, text) for i in range(4)])
     toxicity.train(d, spark.createDataFrame([(i, i % 2) for i in range(4)], "doc_id long, toxic int"))
     assert sum(seen["times"]) == 4 * sum(1 for _ in toxicity.swaps(text)) and len(seen["changes"]) < 30
+
+
+def test_fit_stands_at_the_least_loss():
+    """Against plain descent by the numeric gradient of the loss as the docstring states it."""
+    r = np.random.default_rng(3)
+    rows = [np.flatnonzero(r.random(6) < 0.4) for _ in range(80)]
+    toxic = (r.random(80) < 0.3).astype(float)
+    changes, times, fairness, l2 = [([0], [1]), ([2, 3], [4]), ([1], [5])], [3, 1, 2], 1.0, 1e-2
+
+    def loss(x):
+        w, bias = x[:-1], x[-1]
+        p = 1 / (1 + np.exp(-np.array([w[k].sum() + bias for k in rows])))
+        balance = np.where(toxic == 1, 0.5 / toxic.mean(), 0.5 / (1 - toxic.mean()))
+        moved = np.array([w[come].sum() - w[gone].sum() for gone, come in changes])
+        data = -(balance * (toxic * np.log(p) + (1 - toxic) * np.log(1 - p))).mean()
+        return data + l2 / 2 * (w**2).sum() + fairness * (np.array(times) * moved**2).sum() / sum(times)
+
+    w, bias = toxicity.fit(rows, toxic, changes, 6, fairness, l2=l2, rounds=4000, times=times)
+    x = np.append(w, bias)
+    slope = lambda z: np.array([(loss(z + e) - loss(z - e)) / 2e-5 for e in 1e-5 * np.eye(7)])
+    plain = np.zeros(7)
+    for _ in range(2000):
+        plain = plain - 0.5 * slope(plain)
+    assert np.abs(slope(plain)).max() < 1e-3
+    assert loss(x) - loss(plain) < 0.01 * (loss(np.zeros(7)) - loss(plain))
+
+
+def test_registered_fairness_closes_the_gap_between_groups(spark):
+    """One group stands in most toxic sentences; neutral mentions of it must not be taken for toxic."""
+    r = random.Random(12)
+    calm = "the garden song river bread morning quiet people travel reading".split()
+    rude = "scum vermin filth".split()
+    rows, marks = [], []
+    for i in range(600):
+        toxic = i % 3 == 0
+        words = [r.choice(calm) for _ in range(8)]
+        if toxic:
+            words += [r.choice(rude)] if r.random() < 0.5 else []  # half of them are known by the group alone
+            words.append("muslims")
+        elif r.random() < 0.4:
+            words.append(r.choice(["christians", "jews", "buddhists"]))
+        r.shuffle(words)
+        rows.append((i, " ".join(words) + "."))
+        marks.append((i, int(toxic)))
+    d, labels = docs(spark, rows), spark.createDataFrame(marks, "doc_id long, toxic int")
+    neutral = [f"the {g} sing a quiet song" for g in ("muslims", "christians", "jews", "buddhists", "hindus")]
+    found = {}
+    for fairness in (0.0, 1.0):
+        scored = toxicity.train(d, labels, fairness=fairness).scorer()
+        own = [scored(t) for t in neutral]
+        found[fairness] = (max(own) - min(own), sum(s >= 0.5 for s in own), scored("vermin scum filth"))
+    assert found[0.0][1] >= 1 and found[1.0][1] == 0  # false positives on neutral mentions
+    assert found[1.0][0] < 0.2 * found[0.0][0] and found[1.0][2] > 0.5
+
+
+def test_toxicity_of_long_words_and_texts_and_many_labels(spark):
+    long = "x" * 80
+    rows = [(i, f"{long if i % 2 else 'calm'} text number") for i in range(40)] + [(100, "calm " * 200_000 + long), (101, None)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(1, 0), (None, 1), (2, None)], "doc_id long, toxic int")
+    d = docs(spark, rows)
+    got = {x.doc_id: x.score for x in toxicity.score(d, toxicity.train(d, labels), [F.col("doc_id")]).collect()}
+    assert got[1] > 0.5 > got[2] and 0 <= got[101] <= 1 and got[100] > got[2]
+    assert f"#{toxicity.xxhash.xxh3_128_hexdigest(long)}" in toxicity.features_of_word(long)

@@ -30,13 +30,13 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrykit.llm.common import slices
+from quarrykit.llm.common import slices, small_batches
 
 #: str.split() takes these for white space; Unicode and the tokenizer do not.
 SEPARATORS = re.compile("[\x1c-\x1f]")
 WHITE = re.compile("[^\\S\x1c-\x1f]+")
 BEYOND_LATIN = re.compile("[^\x00-\u012f\u0131-\u024f]")
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
 
 
 def byte_characters() -> list[str]:
@@ -352,7 +352,7 @@ def model_at(path: str) -> WordBpe:
     return _MODELS[path]
 
 
-def windows(batches, characters: int = 1 << 22):
+def windows(batches, characters: int = 1 << 21):
     """Arrow batches in pieces of about so many characters of text, one row at least."""
     for batch in batches:
         ends = np.cumsum(pc.utf8_length(batch["text"]).to_numpy(zero_copy_only=False))
@@ -390,7 +390,7 @@ def count_words(docs: DataFrame, bpe_path: str) -> DataFrame:
         yield drain()
 
     texts = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return texts.mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return small_batches(texts).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def build_lexicon(docs: DataFrame, bpe_path: str, lexicon_words: int = 1 << 18) -> Lexicon:
@@ -441,10 +441,12 @@ def encode(docs: DataFrame, bpe_path: str, lexicon: Lexicon, ids: bool = False)
             if ids:
                 out.append(pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(tokens, pa.int32())))
             yield pa.RecordBatch.from_arrays(out, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(out)])
+        del encoder
+        pa.default_memory_pool().release_unused()  # a worker lives on after its task
 
     texts = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     kind = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return texts.mapInArrow(run, kind + ", ids array<int>" * ids)
+    return small_batches(texts).mapInArrow(run, kind + ", ids array<int>" * ids)
 
 
 def decode(encoded: DataFrame, bpe_path: str) -> DataFrame:

@@ -51,6 +51,17 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def small_batches(texts: DataFrame) -> DataFrame:
+    """``texts``, from now on handed to Python in batches of a thousand rows where the session has Spark's ten thousand.
+
+    Ten thousand long texts at a time are some hundred megabytes for an executor with several workers.
+    """
+    conf, key = texts.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(key) == "10000":
+        conf.set(key, "1000")
+    return texts
+
+
 def slices(batches, rows: int = 256):
     """Arrow batches in pieces, so that a task holds few texts as Python strings at a time."""
     for batch in batches:

@@ -19,18 +19,19 @@ import math
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarrykit.llm.common import scratch
+from quarrykit.llm.common import scratch, slices, small_batches
 
 SLOTS = 4
 #: Lines that meet a filter together; a shard with more is dealt out.
 TOGETHER = 100_000
 #: Distinct keys that a task holds before it hands on their counts.
-HELD_KEYS = 500_000
+HELD_KEYS = 100_000
 
 
 def line_keys(text: str | None) -> list[bytes]:
@@ -109,37 +110,37 @@ def count_keys(docs: DataFrame) -> DataFrame:
     """(key, n): in how many documents each key occurs; every task sums up before it hands on."""
 
     def count(batches):
-        import pandas as pd
-
         held: Counter = Counter()
-        for pdf in batches:
-            for text in pdf["text"]:
+
+        def drain():
+            held.pop(b"", None)
+            out = pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], names=["key", "n"])
+            held.clear()
+            return out
+
+        for batch in slices(batches):
+            for text in batch["text"].to_pylist():
                 held.update(set(line_keys(text)))
             if len(held) > HELD_KEYS:
-                held.pop(b"", None)
-                yield pd.DataFrame({"key": list(held), "n": list(held.values())})
-                held = Counter()
-        held.pop(b"", None)
-        yield pd.DataFrame({"key": pd.Series(list(held), dtype=object), "n": np.array(list(held.values()), np.int64)})
+                yield drain()
+        yield drain()
 
-    return docs.select(F.col("text").cast("string").alias("text")).mapInPandas(count, "key binary, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    return small_batches(docs.select(F.col("text").cast("string").alias("text"))).mapInArrow(count, "key binary, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
 def count_keys_once(docs: DataFrame) -> DataFrame:
     """(key, n): in how many documents with different lists of line keys each key occurs."""
 
     def pairs(batches):
-        import pandas as pd
-
         held: set[tuple[bytes, bytes]] = set()
 
         def drain():
-            out = pd.DataFrame({"key": pd.Series([k for k, _ in held], dtype=object), "whole": pd.Series([w for _, w in held], dtype=object)})
+            out = pa.RecordBatch.from_arrays([pa.array([x[k] for x in held], pa.binary()) for k in (0, 1)], names=["key", "whole"])
             held.clear()
             return out
 
-        for pdf in batches:
-            for text in pdf["text"]:
+        for batch in slices(batches):
+            for text in batch["text"].to_pylist():
                 keys = line_keys(text)
                 whole = text_key(keys)
                 held.update((k, whole) for k in keys if k)
@@ -147,7 +148,7 @@ def count_keys_once(docs: DataFrame) -> DataFrame:
                     yield drain()
         yield drain()
 
-    each = docs.select(F.col("text").cast("string").alias("text")).mapInPandas(pairs, "key binary, whole binary").distinct()
+    each = small_batches(docs.select(F.col("text").cast("string").alias("text"))).mapInArrow(pairs, "key binary, whole binary").distinct()
     return each.groupBy("key").agg(F.count("*").alias("n"))
 
 
@@ -240,14 +241,10 @@ def suspects(docs: DataFrame, store: LineStore) -> DataFrame:
     """(text_id, key) of the lines that pass the filters, once for each text; text_id is a hash of the text."""
 
     def spread(batches):
-        import pandas as pd
-
-        for pdf in batches:
-            for at in range(0, len(pdf), 1_000):
-                part = pdf.iloc[at : at + 1_000]
-                own = [sorted({k for k in line_keys(text) if k}) for text in part["text"]]
-                keys = [k for ks in own for k in ks]
-                yield pd.DataFrame({"text_id": np.repeat(part["text_id"].to_numpy(), [len(ks) for ks in own]), "key": pd.Series(keys, dtype=object)})
+        for batch in slices(batches):
+            own = [sorted({k for k in line_keys(text) if k}) for text in batch["text"].to_pylist()]
+            ids = np.repeat(batch["text_id"].to_numpy(), [len(ks) for ks in own])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([k for ks in own for k in ks], pa.binary())], names=["text_id", "key"])
 
     def probe(lines, filters):
         if not len(filters) or not len(lines):
@@ -258,7 +255,7 @@ def suspects(docs: DataFrame, store: LineStore) -> DataFrame:
 
     rows = docs.select(_text_id(docs).alias("text_id"), F.col("text").cast("string").alias("text"))
     shard = F.pmod(F.xxhash64("key"), F.lit(store.shards)).cast("int")
-    lines = rows.mapInPandas(spread, "text_id long, key binary").withColumn("shard", shard)
+    lines = small_batches(rows).mapInArrow(spread, "text_id long, key binary").withColumn("shard", shard)
     parts = store.counts().groupBy("shard").agg(F.ceil(F.sum("n") / TOGETHER).cast("int").alias("parts"))
     parts = F.broadcast(parts)  # a row of two numbers for each shard, that is for each 20,000 documents
     lines = lines.join(parts, "shard").withColumn("part", F.pmod("text_id", "parts").cast("int")).drop("parts")

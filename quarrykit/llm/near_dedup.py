@@ -37,14 +37,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarrykit.llm.common import cut, scratch, slices, splitmix
+from quarrykit.llm.common import cut, scratch, slices, small_batches, splitmix
 
 WORDS = 5
 COORDINATES, BANDS = 128, 32
 TOGETHER = 256  # sets that are sketched together: a set's place takes 8 bits, a bin 7, a value the other 49
 LIKELY = 0.5
 SMALL = 8
-KNOWN_WORDS = 1_000_000
+COUNTERS = 1 << 18
+KNOWN_WORDS = 150_000
 
 
 class WordHashes(dict):
@@ -137,7 +138,7 @@ def sketch_documents(docs: DataFrame) -> DataFrame:
                 names=["row", "doc_id", "n_shingles", "node", "signature"],
             )
 
-    return docs.select(row_of(docs), "doc_id", "text").mapInArrow(run, "row long, doc_id long, n_shingles long, node long, signature binary")
+    return small_batches(docs.select(row_of(docs), "doc_id", "text")).mapInArrow(run, "row long, doc_id long, n_shingles long, node long, signature binary")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -193,7 +194,7 @@ def full_sets(docs: DataFrame, held: DataFrame) -> DataFrame:
 
     at = scratch(docs.sparkSession, "sets")
     texts = docs.select(row_of(docs), "text").join(held.select("node", "row"), "row").select("node", "text")
-    texts.mapInArrow(run, "node long, elements binary").dropDuplicates(["node"]).write.parquet(at)
+    small_batches(texts).mapInArrow(run, "node long, elements binary").dropDuplicates(["node"]).write.parquet(at)
     return docs.sparkSession.read.parquet(at)
 
 
@@ -240,16 +241,19 @@ class Comparison:
     def differences(self, stars: DataFrame) -> DataFrame:
         """The elements at which two classes in different components can first meet by what sets them apart from a centre.
 
-        ``stars``: (a, b, label): b is the centre of a bucket of a, label is a's component. Let p be the percentage,
-        D the elements that are in just one of the sets of a and of its centre c, each marked by which; M and P its
-        two parts, those that a lacks and those that it has beside c, and w = 100 M + p P (in numbers of elements).
-        Two classes of one centre have the similarity p if, and only if, their D have
-        (w + w' - (100 - p) c) / (100 + p) elements in common: a and c are linked if w <= (100 - p) c, and x classes
-        that have w = 0 are c itself. So of two classes that are not in one component one, called weak, is not linked with c, and
-        - the other needs more than w / (100 + p) in common with it, whatever the weak one is;
-        - the weak one needs (w - (100 - p) c) / 100 at least, as the other's w' is p times the common part or more.
-        Elements that only one class of the centre has are in no common part. The others are put in one order, P
-        before M; the first common one stands so early in both orders that enough are left behind it.
+        ``stars``: (a, b, label): b is the centre of a bucket of a, label is a's component. Let p be the percentage, c
+        the centre's size, D the elements that are in just one of the sets of a and of its centre, M and P its two
+        parts, those that a lacks and those that it has beside the centre, and w = 100 |M| + p |P|. Counting shows that
+        a is linked with its centre if, and only if, w <= (100 - p) c, and two classes of one centre with each other
+        if, and only if, their D have (w + w' - (100 - p) c) / (100 + p) elements in common. Of two classes in
+        different components one at least, called weak, is not linked with the centre. So for a link between them
+
+        - the other needs more than w / (100 + p) elements in common with the weak one, whatever that is;
+        - the weak one needs (w - (100 - p) c) / 100, as the other's w' is p times the common part or more.
+
+        Elements that only one class of the centre has are in no common part. The others are put in one order, which
+        may be any; the rare ones go first, by counts in ``COUNTERS`` hashed places. The first common element stands
+        so early in both orders that enough are left behind it.
         """
         p = self.percent
 
@@ -277,12 +281,14 @@ class Comparison:
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch[c].to_numpy(), sizes), pa.int64()) for c in ("b", "a")] + [pa.array(elements, pa.int64())], names=["b", "a", "element"])
 
         def early(batches):
+            often = counts.value
             for batch in slices(batches):
                 rows = {"b": [], "n": [], "element": [], "a": [], "label": [], "w": [], "left": [], "weak": []}
                 for (x, m), a, b, label, n, alone in zip(parts(batch), *(batch[c].to_pylist() for c in ("a", "b", "label", "n", "alone"))):
                     w = 100 * m + p * (len(x) - m)
                     if alone:
                         x = x[~np.isin(x, alone)]
+                    x = x[np.lexsort((x, often[place_of(b, x)]))]
                     over = w - (100 - p) * n
                     for weak, least in ((False, w // (100 + p) + 1), (True, max(1, -(-over // 100)))):
                         if (k := len(x) - least + 1) > 0 and (over > 0 or not weak):
@@ -290,12 +296,24 @@ class Comparison:
                                 rows[name] += x[:k].tolist() if name == "element" else range(len(x), len(x) - k, -1) if name == "left" else [v] * k
                 yield pa.RecordBatch.from_pydict(rows, schema=pa.schema([(c, pa.bool_() if c == "weak" else pa.int64()) for c in rows]))
 
+        def place_of(b, x):
+            return (splitmix(x.view(np.uint64) ^ splitmix(np.atleast_1d(np.asarray(b, np.int64)).view(np.uint64))) & np.uint64(COUNTERS - 1)).astype(np.int64)
+
+        def places(batches):
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([pa.array(place_of(batch["b"].to_numpy(), batch["element"].to_numpy()))], names=["place"])
+
         at = scratch(stars.sparkSession, "differences")
         self.with_sets(stars).select("a", "b", "label", "x", "y").mapInArrow(compare, "a long, b long, label long, n long, lacks binary, has binary").write.parquet(at)
         apart = stars.sparkSession.read.parquet(at)
         elements = apart.select("a", "b", "lacks", "has").mapInArrow(spread, "b long, a long, element long")
         only = elements.groupBy("b", "element").agg(F.count("*").alias("n"), F.min("a").alias("a")).filter("n = 1")
         alone = only.groupBy("b", "a").agg(F.collect_list("element").alias("alone"))
+        # at most COUNTERS rows, however many elements there are
+        held = elements.mapInArrow(places, "place long").groupBy("place").agg(F.count("*").alias("n")).toArrow()
+        table = np.zeros(COUNTERS, np.int64)
+        table[held["place"].to_numpy()] = held["n"].to_numpy()
+        counts = stars.sparkSession.sparkContext.broadcast(table)
         kind = "b long, n long, element long, a long, label long, w long, left long, weak boolean"
         at = scratch(stars.sparkSession, "early")
         apart.join(alone, ["b", "a"], "left").mapInArrow(early, kind).write.parquet(at)

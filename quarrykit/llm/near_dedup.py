@@ -326,8 +326,10 @@ class Comparison:
         # first by component, so that a large one is one row for each element
         sides = [s.groupBy("b", "element", f"label{k}").agg(F.min(f"w{k}").alias(f"w{k}"), F.max(f"left{k}").alias(f"left{k}"), F.min("n").alias("n")) for k, s in ((1, weak), (0, other))]
         enough = (100 + p) * F.least("left1", "left0") >= F.col("w1") + F.col("w0") - (100 - p) * F.col("n")
-        meets = sides[0].join(sides[1].drop("n"), ["b", "element"]).filter((F.col("label1") != F.col("label0")) & enough).select("b", "element", "label1", "label0")
-        both = cut(meets).join(weak, ["b", "element", "label1"]).join(other.drop("n"), ["b", "element", "label0"])
+        meets = sides[0].join(sides[1].drop("n"), ["b", "element"]).filter((F.col("label1") != F.col("label0")) & enough).select("b", "element", "label1", "label0", F.col("w0").alias("low"), F.col("left0").alias("high"))
+        # a weak class goes on only where the other component's best could be enough for it
+        hopeful = (100 + p) * F.least("left1", "high") >= F.col("w1") + F.col("low") - (100 - p) * F.col("n")
+        both = cut(meets).join(weak, ["b", "element", "label1"]).filter(hopeful).join(other.drop("n"), ["b", "element", "label0"])
         return both.filter(enough).select(*ordered("a1", "a0")).distinct()
 
 

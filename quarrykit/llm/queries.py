@@ -6,11 +6,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrykit.llm import ann, bpe, imatch, language_id, license_scan, line_dedup, mixing, near_dedup, toxicity, url_trust
+from quarrykit.llm import ann, bpe, filter_audit, hard_negatives, imatch, language_id, license_scan, line_dedup, mixing, near_dedup, token_count, toxicity, url_trust
 from quarrykit.llm.common import table
 from quarrykit.llm.license_templates import TEMPLATES
 
 BPE_PATH = public_tokenizers.path("word_bpe_49k.json")
+BYTE_BPE_PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 
 # The rules that the URL filter applies.
@@ -72,7 +73,27 @@ def op10_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.Draw(rows, entropy=0.95, repeats=4.0).rows(rows)
 
 
-QUERIES = {f.__name__: f for f in (op1_url_trust, op2_bpe_transducer, op3_license_scan, op4_language_mixture, op5_additive_search, op6_toxicity, op7_near_duplicates, op8_imatch, op9_line_dedup, op10_temperature_mix)}
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = hard_negatives.whole_numbers(table(spark, sf_dir, "embeddings"))
+    moved = F.when(F.col("id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(rows.withColumn("label", moved))
+
+
+def op13_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_count.count(table(spark, sf_dir, "documents"), BYTE_BPE_PATH, limit=1024)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_url_trust, op2_bpe_transducer, op3_license_scan, op4_language_mixture, op5_additive_search, op6_toxicity, op7_near_duplicates,
+        op8_imatch, op9_line_dedup, op10_temperature_mix, op11_filter_audit, op12_hard_negatives, op13_token_count,
+    )
+}
 
 ORACLE_SQL: dict[str, str] = {}
 
@@ -193,3 +214,55 @@ SELECT r.page_id, r.host, r.path, r.rule, coalesce(r.said, CASE WHEN b.host IS N
   CASE WHEN r.said IS NOT NULL THEN 'rule' WHEN r.host <> '' THEN 'host' ELSE 'none' END AS decided_by
 FROM ruled r LEFT JOIN bad b ON b.host = r.host
 """
+
+ORACLE_SQL["op11_filter_audit"] = r"""
+WITH docs AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
+    list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w : w <> '') AS w FROM documents
+), said AS (
+  SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic FROM labels GROUP BY doc_id
+), judged AS (
+  SELECT part, concat(
+      CASE WHEN len(w) < 100 THEN 'A' ELSE '' END, CASE WHEN 100 * len(list_distinct(w)) < 80 * len(w) THEN 'B' ELSE '' END,
+      CASE WHEN 100 * len(regexp_extract_all(t, '[A-Z]')) > 10 * length(t) THEN 'C' ELSE '' END, CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END,
+      CASE WHEN d.doc_id > min(d.doc_id) OVER (PARTITION BY t) THEN 'E' ELSE '' END) AS fails,
+    coalesce(good, false) AS good, coalesce(toxic, false) AS toxic
+  FROM docs d LEFT JOIN said USING (doc_id)
+), kinds AS (SELECT part, fails, count(*) AS n, count_if(good) AS good, count_if(toxic) AS toxic FROM judged GROUP BY part, fails
+), letters(x) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')
+), orders AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5
+), met AS (
+  SELECT *, coalesce(list_min(list_transform(string_split(nullif(fails, ''), ''), lambda f : instr(filter_order, f))), 6) AS first FROM kinds, orders
+), steps AS (
+  SELECT part, filter_order, step, filter_order[step] AS filter,
+    sum(CASE WHEN first > step THEN n ELSE 0 END) AS kept, sum(CASE WHEN first = step THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN first < step AND contains(fails, filter_order[step]) THEN n ELSE 0 END) AS redundant,
+    sum(CASE WHEN fails = filter_order[step] THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN first = step THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN first = step THEN toxic ELSE 0 END) AS toxic_lost
+  FROM met, (SELECT CAST(unnest(range(1, 6)) AS INTEGER) AS step) GROUP BY part, filter_order, step
+)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+  CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, filter) AS BIGINT) AS shapley
+FROM steps
+"""
+
+ORACLE_SQL["op12_hard_negatives"] = r"""
+WITH x AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda c : floor(256 * c::DOUBLE)) AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda c : c IS NULL OR NOT isfinite(c))) = 0
+), scores AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score
+  FROM x a JOIN x b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id
+), positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scores WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN scores USING (anchor_id)
+WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 3
+"""

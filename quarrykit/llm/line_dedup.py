@@ -21,13 +21,16 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarrykit.llm.common import scratch, slices, small_batches
+from quarrykit.llm.common import cut, scratch, slices, small_batches
 
 SLOTS = 4
+#: The share of its slots that a filter fills before it is made larger.
+FULL = 0.9
 #: Lines that meet a filter together; a shard with more is dealt out.
 TOGETHER = 100_000
 #: Distinct keys that a task holds before it hands on their counts.
@@ -212,12 +215,19 @@ class LineStore:
             made.insert(enters)
             return pd.DataFrame({"shard": [shard], "buckets": [made.buckets], "cells": [made.table.tobytes()], "stash": [sorted(made.stash)]})
 
-        crossed.groupBy("shard").cogroup(filters.groupBy("shard")).applyInPandas(update, self.FILTERS).write.parquet(f"{self.path}/filters-{self.version}")
+        # a filter that would be too full is made anew, in a fitting size, from the exact table
+        size = self.counts().filter(F.col("n") >= limit).groupBy("shard").agg(F.count("*").alias("size"))
+        full = F.col("size") > FULL * SLOTS * F.col("buckets")
+        outgrown = cut(filters.select("shard", "buckets").join(size, "shard").filter(full).select("shard"))
+        moves, old = (x.join(outgrown, "shard", "left_anti") for x in (crossed, filters))
+        updated = moves.groupBy("shard").cogroup(old.groupBy("shard")).applyInPandas(update, self.FILTERS)
+        updated.unionByName(self._built(outgrown)).write.parquet(f"{self.path}/filters-{self.version}")
         return self
 
-    def rebuild_filters(self) -> LineStore:
-        """Filters of fitting size from the exact table, for when stashes have grown."""
+    def _built(self, of: DataFrame | None = None) -> DataFrame:
+        """Filters of fitting size from the exact table, for the shards ``of`` or for all."""
         kept = self.counts().filter(F.col("n") >= self.threshold).select("shard", "key")
+        kept = kept if of is None else kept.join(of, "shard", "left_semi")
 
         def build(pdf):
             import pandas as pd
@@ -226,8 +236,12 @@ class LineStore:
             made.insert([bytes(k) for k in pdf["key"]])
             return pd.DataFrame({"shard": [int(pdf["shard"].iloc[0])], "buckets": [made.buckets], "cells": [made.table.tobytes()], "stash": [sorted(made.stash)]})
 
+        return kept.groupBy("shard").applyInPandas(build, self.FILTERS)
+
+    def rebuild_filters(self) -> LineStore:
+        """All filters anew, for instance after many documents were taken back; ``_apply`` lets them grow by itself."""
         self.counts().write.parquet(f"{self.path}/counts-{self.version + 1}")
-        kept.groupBy("shard").applyInPandas(build, self.FILTERS).write.parquet(f"{self.path}/filters-{self.version + 1}")
+        self._built().write.parquet(f"{self.path}/filters-{self.version + 1}")
         self.version += 1
         return self
 
@@ -237,14 +251,36 @@ def shards_for(docs: DataFrame) -> int:
     return max(8, math.ceil(docs.count() / 20_000))
 
 
-def suspects(docs: DataFrame, store: LineStore) -> DataFrame:
-    """(text_id, key) of the lines that pass the filters, once for each text; text_id is a hash of the text."""
+def lines_of(docs: DataFrame) -> DataFrame:
+    """(text_id, task, key): the distinct lines of each text, once for each task that has the text.
+
+    A task remembers a bounded number of texts, so of the copies of one text next to nothing is shuffled.
+    """
 
     def spread(batches):
+        task, seen = TaskContext.get().partitionId(), set()
         for batch in slices(batches):
-            own = [sorted({k for k in line_keys(text) if k}) for text in batch["text"].to_pylist()]
-            ids = np.repeat(batch["text_id"].to_numpy(), [len(ks) for ks in own])
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([k for ks in own for k in ks], pa.binary())], names=["text_id", "key"])
+            if len(seen) > HELD_KEYS:
+                seen.clear()
+            ids, keys = [], []
+            for text_id, text in zip(batch["text_id"].to_pylist(), batch["text"].to_pylist()):
+                if text_id not in seen:
+                    seen.add(text_id)
+                    own = sorted({k for k in line_keys(text) if k})
+                    ids += [text_id] * len(own)
+                    keys += own
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([task] * len(ids), pa.int32()), pa.array(keys, pa.binary())], names=["text_id", "task", "key"])
+
+    rows = docs.select(_text_id(docs).alias("text_id"), F.col("text").cast("string").alias("text"))
+    return small_batches(rows).mapInArrow(spread, "text_id long, task int, key binary")
+
+
+def suspects(docs: DataFrame, store: LineStore) -> DataFrame:
+    """(text_id, key) of the lines that pass the filters, once for each text and task; text_id is a hash of the text.
+
+    A shard's lines are dealt into parts by text and task, so that neither a line nor a text that many rows have meets
+    in one part.
+    """
 
     def probe(lines, filters):
         if not len(filters) or not len(lines):
@@ -253,12 +289,11 @@ def suspects(docs: DataFrame, store: LineStore) -> DataFrame:
         made = CuckooFilter(int(row["buckets"]), bytes(row["cells"]), {bytes(k) for k in row["stash"]})
         return lines[made.contains([bytes(k) for k in lines["key"]])][["text_id", "key"]]
 
-    rows = docs.select(_text_id(docs).alias("text_id"), F.col("text").cast("string").alias("text"))
     shard = F.pmod(F.xxhash64("key"), F.lit(store.shards)).cast("int")
-    lines = small_batches(rows).mapInArrow(spread, "text_id long, key binary").withColumn("shard", shard)
+    lines = lines_of(docs).withColumn("shard", shard)
     parts = store.counts().groupBy("shard").agg(F.ceil(F.sum("n") / TOGETHER).cast("int").alias("parts"))
     parts = F.broadcast(parts)  # a row of two numbers for each shard, that is for each 20,000 documents
-    lines = lines.join(parts, "shard").withColumn("part", F.pmod("text_id", "parts").cast("int")).drop("parts")
+    lines = lines.join(parts, "shard").withColumn("part", F.pmod(F.xxhash64("text_id", "task"), F.col("parts")).cast("int")).drop("parts", "task")
     each = store.filters().join(parts, "shard").withColumn("part", F.explode(F.sequence(F.lit(0), F.greatest(F.col("parts"), F.lit(1)) - 1))).drop("parts")
     return lines.groupBy("shard", "part").cogroup(each.groupBy("shard", "part")).applyInPandas(probe, "text_id long, key binary")
 

@@ -3,9 +3,10 @@
 Templates and texts are read as lower-cased words. Every few words of a template have a hash; of each few such hashes
 in a row the smallest (the rightmost of equal ones) is a fingerprint, and an inverted index lists for each fingerprint
 the templates and places that have it. How many words and hashes follows from the wanted coverage: if that share of a
-template's words is there and the others are changed or missing, a run of words stays in which one fingerprint lies.
-Of templates of up to 16 words every word is a fingerprint, so words may be added anywhere as well. (In a longer one
-additions that split every such run, three words at 0.75, can hide a text.) A hit counts only if the text around it has
+template's words is there and the others are changed or missing, a run of words stays in which one fingerprint lies: pairs of
+words, of which one of two is picked, at 0.75. Of templates of up to 16 words the fingerprints are single words, so many
+that the missing ones cannot be all of them; so words may be added anywhere as well. (In a longer one additions that
+split every such run, three words at 0.75, can hide a text.) A hit counts only if the text around it has
 enough of the template's words, in any order, which no match can do without. The hits are taken in the text's order: a
 local alignment (match 2, mismatch and gap -1) of the template with the text, in a band around the hit's diagonal,
 gives the matched words and their span; further hits are aligned with what is left.
@@ -66,11 +67,13 @@ def winnow(hashes: np.ndarray, window: int = WINDOW) -> list[int]:
 
 def grams(n: int, least: float) -> tuple[int, int]:
     """Words in a gram and grams in a window, so that any text with ``least`` of a template's n words has a fingerprint."""
-    if n <= SHORT:
-        return 1, 1
     wanted = max(1, math.ceil(least * n - 1e-9))
-    run = math.ceil(wanted / (n - wanted + 1))  # the others cut the wanted words into so many runs at most
-    k = min(GRAM, run)
+    lost = n - wanted
+    if n <= SHORT:
+        # each of n // w windows side by side has a word of its own among the fingerprints
+        return 1, max([w for w in range(1, WINDOW + 1) if n // w > lost], default=1)
+    run = math.ceil(wanted / (lost + 1))  # the others cut the wanted words into so many runs at most
+    k = max(1, min(GRAM, run - 1))
     return k, min(WINDOW, run - k + 1)
 
 
@@ -112,10 +115,12 @@ class Scanner:
             words = WORD.findall(templates[name].lower())
             self.words.append(np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words], np.int64))
         index: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
+        self.picked: list[list[int]] = []  # the places of each template's fingerprints
         for t, ids in enumerate(self.words):
             k, window = grams(len(ids), least)
             hashes = gram_hashes(ids, k)
-            for at in winnow(hashes, window) if window > 1 else range(len(hashes)):
+            self.picked.append(winnow(hashes, window))
+            for at in self.picked[-1]:
                 index[k][int(hashes[at])].append((t, at))
         self.index = {k: (np.array(sorted(v), np.uint64), dict(v)) for k, v in index.items()}
         size = len(self.vocabulary) + 1
@@ -152,8 +157,8 @@ class Scanner:
             if k == 1:  # a word's fingerprint is the word: only templates with room are looked up
                 for t in rooms:
                     if grams(len(self.words[t]), self.least)[0] == 1:
-                        for i, word in enumerate(self.words[t].tolist()):
-                            j = np.flatnonzero(ids == word)
+                        for i in self.picked[t]:
+                            j = np.flatnonzero(ids == self.words[t][i])
                             j = j[rooms[t][j - i + len(self.words[t]) - 1]]
                             out[t] += [(x - i, x) for x in j.tolist()]
                 continue

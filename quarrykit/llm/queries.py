@@ -196,7 +196,7 @@ WITH urls AS (
 ), ruled AS (SELECT page_id, host, path, {_rules(0)} AS rule, {_rules(1)} AS said FROM urls
 ), shares AS (
   SELECT host, count(*) AS pages, avg((coalesce(said, '') = 'allow')::INT) AS t, avg((coalesce(said, '') = 'block')::INT) AS d FROM ruled WHERE host <> '' GROUP BY host
-), own AS (SELECT host, regexp_extract(host, '{url_trust.DOMAIN}', 1) AS domain, pages FROM shares
+), own AS (SELECT host, regexp_extract(host, '{url_trust.domain_pattern(url_trust.SUFFIXES)}', 1) AS domain, pages FROM shares
 ), links AS (
   SELECT src, dst, sum(n)::DOUBLE AS n FROM (
     SELECT src, dst, 1 AS n FROM (

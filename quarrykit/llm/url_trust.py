@@ -28,7 +28,15 @@ from pyspark.sql import functions as F
 
 from quarrykit.llm.common import ascii_lower, cut
 
-DOMAIN = r"([^.]+[.][^.]+)$"
+# Public suffixes of two labels, as widely used. Names below one of them belong to different owners.
+SUFFIXES = [
+    "ac.at", "co.at", "or.at", "com.au", "edu.au", "gov.au", "net.au", "org.au", "com.ar", "com.br", "net.br", "org.br", "com.cn", "net.cn",
+    "org.cn", "com.co", "com.es", "co.id", "co.il", "org.il", "co.in", "net.in", "org.in", "ac.jp", "co.jp", "go.jp", "ne.jp", "or.jp",
+    "ac.kr", "co.kr", "go.kr", "or.kr", "com.mx", "com.my", "ac.nz", "co.nz", "govt.nz", "org.nz", "com.pl", "com.pt", "com.sg", "co.th",
+    "com.tr", "com.tw", "org.tw", "com.ua", "ac.uk", "co.uk", "gov.uk", "ltd.uk", "me.uk", "net.uk", "org.uk", "sch.uk", "co.za", "org.za",
+    "blogspot.com", "github.io", "gitlab.io", "wordpress.com",
+]
+PORT = r"(?::[0-9]*)?$"
 PARTS = 16
 DAMPING, RESIDUAL = 0.85, 0.01
 LINK = r"""(?i)href\s*=\s*["']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'>\s]+)"""
@@ -60,9 +68,15 @@ def links(pages: DataFrame) -> DataFrame:
     return found.groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def ties(sizes: DataFrame) -> DataFrame:
+def domain_pattern(suffixes: list[str]) -> str:
+    """A regular expression whose first group is the domain that a host name is part of."""
+    several = "|".join(s.replace(".", "[.]") for s in suffixes)
+    return rf"([^.@:\[\]]+[.](?:{several + '|' * bool(several)}[^.@:\[\]]*[^.@:\[\]0-9][^.@:\[\]]*)){PORT}"
+
+
+def ties(sizes: DataFrame, suffixes: list[str]) -> DataFrame:
     """(src, dst, n) from hosts (host, pages) to their domains and back."""
-    own = sizes.select("host", F.regexp_extract("host", DOMAIN, 1).alias("domain"), "pages").filter("domain != '' and domain != host")
+    own = sizes.select("host", F.regexp_extract("host", domain_pattern(suffixes), 1).alias("domain"), "pages").filter("domain != '' and domain != host")
     return own.select(F.col("host").alias("src"), F.col("domain").alias("dst"), F.col("pages").alias("n")).unionByName(own.select(F.col("domain").alias("src"), F.col("host").alias("dst"), F.col("pages").alias("n")))
 
 
@@ -86,7 +100,7 @@ def propagate(seeds: DataFrame, edges: DataFrame, damping: float, rounds: int) -
     return scores
 
 
-def judge(pages: DataFrame, rules: list[tuple[str, str, str]], damping: float = DAMPING, residual: float = RESIDUAL, spread: float = 1.0) -> DataFrame:
+def judge(pages: DataFrame, rules: list[tuple[str, str, str]], damping: float = DAMPING, residual: float = RESIDUAL, spread: float = 1.0, suffixes: list[str] = SUFFIXES) -> DataFrame:
     """page_id, host, path, rule, verdict, and what decided (``rule``, ``host``: propagation, ``none``), of every row."""
     url = F.col("url").cast("string")
     pages = pages.select("page_id", url.alias("url"), F.col("html").cast("string").alias("html"))
@@ -96,7 +110,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], damping: float =
     share = {k: F.avg((F.coalesce("said", F.lit("")) == v).cast("double")).alias(k) for k, v in (("trust", "allow"), ("distrust", "block"))}
     shares = cut(rows.filter("host != ''").groupBy("host").agg(F.count("*").alias("pages"), *share.values()))
     seeds = shares.select("host", F.expr("stack(2, 'trust', trust, 'distrust', distrust) as (kind, seed)"))
-    found = cut(links(pages).unionByName(ties(shares)).groupBy("src", "dst").agg(F.sum("n").alias("n")))
+    found = cut(links(pages).unionByName(ties(shares, suffixes)).groupBy("src", "dst").agg(F.sum("n").alias("n")))
     forward = found.select(F.lit("trust").alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b"), "n")
     back = found.select(F.lit("distrust").alias("kind"), F.col("dst").alias("a"), F.col("src").alias("b"), "n")
     edges = forward.unionByName(back)

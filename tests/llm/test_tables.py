@@ -163,6 +163,33 @@ def test_line_dedup_of_a_very_long_text_and_null_ids(spark):
     assert sorted((str(x.doc_id), x.n_lines, x.n_dropped) for x in line_dedup.dedup(docs(spark, rows)).collect()) == [("1", 1, 1), ("1", 100_000, 2)] + [("None", 2, 2)] * 10
 
 
+def test_lines_of_many_copies_are_handed_on_once(spark):
+    text = "\n".join(f"line {k}" for k in range(20))
+    rows = [(i, text, "s") for i in range(20_000)] + [(50_000 + i, f"own {i}\nline 3", "s") for i in range(50)]
+    d = docs(spark, rows).repartition(8)
+    assert line_dedup.lines_of(d).count() <= 8 * 20 + 2 * 50
+    got = {x.doc_id: (x.n_lines, x.n_dropped, x.kept_text) for x in line_dedup.dedup(d).collect()}
+    assert len(got) == len(rows) and {got[i] for i in range(20_000)} == {(20, 20, "")}
+    assert all(got[50_000 + i] == (2, 1, f"own {i}") for i in range(50))
+
+
+def test_filters_grow_by_themselves(spark):
+    """Batch after batch of new frequent lines, then some are taken back: no stash piles up, and lines are right each time."""
+    store, all_rows, buckets = line_dedup.LineStore(spark, 2, 2), [], []
+    for turn in range(4):
+        batch = [(1000 * turn + i, "\n".join(f"turn {turn} line {(7 * i + j) % (20 * 4**turn)}" for j in range(8 * 4**turn)), "s") for i in range(8)]
+        all_rows += batch
+        store.insert(docs(spark, batch))
+        rows = store.filters().collect()
+        buckets.append(sum(x.buckets for x in rows))
+        assert not any(x.stash for x in rows)
+    assert buckets[-1] > 8 * buckets[0]
+    lines = lambda rows: sorted((x.doc_id, x.n_lines, x.kept_text) for x in line_dedup.drop_lines(docs(spark, rows), store).collect())
+    assert lines(all_rows) == brute_lines(all_rows, 2)
+    store.delete(docs(spark, all_rows[:5]))
+    assert lines(all_rows[5:]) == brute_lines(all_rows[5:], 2)
+
+
 def test_cuckoo_filter():
     keys = [hashlib.md5(str(i).encode()).digest() for i in range(3000)]
     made = line_dedup.CuckooFilter(256)  # too small: the rest goes to the stash
@@ -239,6 +266,21 @@ def test_url_trust(spark):
     assert url_trust.judge(spark.createDataFrame([], "page_id long, url string, html string"), URL_RULES).count() == 0
 
 
+def test_url_trust_ties_end_at_owners(spark):
+    """Names below a public suffix and numeric hosts have different owners; hosts of one domain have one."""
+    urls = [f"http://spam{k}.co.uk/fr/x" for k in range(3)] + [f"http://news{k}.co.uk/" for k in range(5)]
+    urls += ["http://10.0.0.1/bad/", "http://172.16.0.1/", "http://192.168.0.1:8080/", "http://[::1]:80/", "http://user@10.0.0.1/"]
+    urls += ["http://a.shop.co.uk/bad/1", "http://b.shop.co.uk:81/", "http://c.shop.co.uk/", *(f"http://plain{k}.org/" for k in range(30))]
+    rules = [("block", f"spam{k}.co.uk", "/") for k in range(3)] + [("block", "10.0.0.1", "/"), ("block", "a.shop.co.uk", "/")]
+    table = spark.createDataFrame([(k, u, None) for k, u in enumerate(urls)], "page_id long, url string, html string")
+    got = {urls[x.page_id]: x.verdict for x in url_trust.judge(table, rules).collect()}
+    loose = {urls[x.page_id]: x.verdict for x in url_trust.judge(table, rules, spread=0.0).collect()}
+    blocked = {u for u, v in got.items() if v == "block"}
+    assert blocked == {u for u, v in loose.items() if v == "block"} == {f"http://spam{k}.co.uk/fr/x" for k in range(3)} | {"http://10.0.0.1/bad/", "http://a.shop.co.uk/bad/1", "http://b.shop.co.uk:81/", "http://c.shop.co.uk/"}
+    unlisted = {urls[x.page_id]: x.verdict for x in url_trust.judge(table, rules, spread=0.0, suffixes=[]).collect()}
+    assert unlisted["http://news0.co.uk/"] == "block"  # what the list of suffixes prevents
+
+
 def test_url_trust_equals_plain_propagation(spark):
     """A planted graph at the registered parameters: farms that link to blocked hosts, and hosts that trusted ones link to."""
     r = random.Random(7)

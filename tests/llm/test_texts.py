@@ -122,6 +122,30 @@ def test_license_scan_misses_no_changed_notice():
             assert bool(got) == (plain >= 0.75 * len(words)), (name, first)
 
 
+def test_every_fingerprint_is_winnowed(monkeypatch):
+    """All keys of the index come from ``winnow`` with windows of two grams or more, and half of the grams or so are left."""
+    calls = []
+
+    def seen(hashes, window=license_scan.WINDOW):
+        calls.append((len(hashes), window, picked := plain(hashes, window)))
+        return picked
+
+    plain = license_scan.winnow
+    monkeypatch.setattr(license_scan, "winnow", seen)
+    scanner = license_scan.Scanner(TEMPLATES, 0.75)
+    assert len(calls) == len(TEMPLATES) and all(w > 1 for n, w, _ in calls if n > 1) and scanner.picked == [p for *_, p in calls]
+    assert sum(len(v) for _, places in scanner.index.values() for v in places.values()) == sum(len(p) for *_, p in calls)
+    assert sum(len(p) for *_, p in calls) < 0.75 * sum(n for n, *_ in calls)
+    for n in range(1, 400):
+        for least in (0.75, 0.8, 0.9, 1.0):
+            k, w = license_scan.grams(n, least)
+            wanted = int(np.ceil(least * n - 1e-9))
+            if n <= license_scan.SHORT:
+                assert k == 1 and (w == 1 or n // w > n - wanted)
+            else:
+                assert w > 1 and k + w - 1 <= -(-wanted // (n - wanted + 1))
+
+
 def test_winnowing_keeps_one_in_each_window():
     h = license_scan.splitmix(np.arange(100, dtype=np.uint64))
     picked = set(license_scan.winnow(h))

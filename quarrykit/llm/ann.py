@@ -5,13 +5,18 @@ The codebooks are fitted on at most ``fit_rows`` vectors (those with the smalles
 same at every run): first by clustering residuals, then by least squares for all books together. Every vector is
 encoded by a beam search over the books, which keeps the ``beam`` best partial sums, and stored as its codes with
 a norm: by how much the vector is longer than its approximation. A query makes one table of its inner products with
-all words; a vector's approximate score is the sum of the entries of its codes, times its stored norm. The ``rerank``
-best of a query, of all vectors together, are scored exactly, in double precision on the original vectors.
+all words; a vector's approximate score is the sum of the entries of its codes, times its stored norm. The best of a
+query by that score, of all vectors together, are scored exactly, in double precision on the original vectors.
+
+How many are reranked follows from a measurement on the table itself: ``probes`` held queries are scored exactly and
+approximately with every vector, which gives the place of each true neighbour in the approximate order; so many
+candidates are taken that ``recall`` of these places are among them. The number grows with the table as the places do.
 
 Equal vectors are one class, listed with their smallest ids, so groups of copies neither crowd the candidates nor
-fill one task. Queries and codes are cut into blocks; each pair of blocks is one group that hands on its best
-candidates of each query, which are merged by query. Codes and norms go to the blocks (``books`` + 4 bytes a vector),
-original vectors only to the candidates.
+fill one task. Codes and norms lie in blocks (``books`` + 4 bytes a vector), which stay where they are; queries are
+sent past them, and a block hands on its best candidates of each, merged by query. With n vectors, of which q distinct
+ones are queries, q * n / ``BLOCK`` query rows are shuffled, and q * n / ``BLOCK`` times the candidates at most come
+back. Original vectors go only to the candidates.
 
 Defined cases: vectors that are null, empty, zero, of another dimension than most vectors, or hold null or
 non-finite components take no part, as queries neither; rows with a null id take no part; repeated rows of one id
@@ -29,7 +34,8 @@ from pyspark.sql import functions as F
 
 from quarrykit.llm.common import cut, scratch
 
-BLOCK = 4096
+#: Codes that lie together, at most on average.
+BLOCK = 16_384
 
 
 def clustered(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.ndarray:
@@ -116,8 +122,78 @@ def clean(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return x.filter(F.col("n") == dimension[0]["n"]).drop("n") if dimension else x.drop("n")
 
 
-def search(vectors: DataFrame, every: int = 20, top: int = 20, rerank: int = 100, books: int = 32, size: int = 128, beam: int = 4, fit_rows: int = 8192, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(query_id, rank, vec_id, score) for the rows whose id is divisible by ``every``."""
+def rows_of(column) -> np.ndarray:
+    """An Arrow column of lists of one length as a matrix of doubles."""
+    return np.array(column.flatten(), np.float64).reshape(len(column), -1)
+
+
+class Codes:
+    """Codes and norms of some classes; approximate scores come from a query's table of products with all words."""
+
+    def __init__(self, books: Codebooks, batches: list, kind):
+        rows = pa.Table.from_batches(batches)
+        self.books, self.ids, self.norms = books, rows["class"].to_numpy(), rows["norm"].to_numpy()
+        code = np.frombuffer(b"".join(rows["codes"].to_pylist()), kind).reshape(len(self.ids), -1).astype(np.int64)
+        self.flat = np.ascontiguousarray((code + books.words.shape[1] * np.arange(books.words.shape[0])).T)
+
+    def near(self, queries: np.ndarray) -> np.ndarray:
+        tables = queries.astype(np.float32) @ self.books.words.reshape(-1, self.books.words.shape[2]).T
+        out = np.zeros((len(queries), len(self.ids)), np.float32)
+        for row in self.flat:
+            out += tables[:, row]
+        return out * self.norms
+
+
+def places(coded: DataFrame, probes: np.ndarray, own: np.ndarray, shared, kind, top: int) -> np.ndarray:
+    """For each probe the places of its ``top`` true neighbours in the approximate order of all classes.
+
+    ``coded``: (class, v, codes, norm). Two passes in which a task hands on ``top`` rows, or as many counts, for each
+    probe: first the true neighbours with their approximate scores, then how many classes are before each of them.
+    """
+
+    def both(batch):
+        codes = Codes(shared.value, [batch.select(["class", "codes", "norm"])], kind)
+        near = codes.near(probes)
+        near[own[:, None] == codes.ids] = -np.inf  # a query is not its own neighbour
+        return codes.ids, near
+
+    def best(batches):
+        ids, exact, near = (np.zeros((len(probes), 0), t) for t in (np.int64, np.float64, np.float32))
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2_048):
+                part = batch.slice(at, 2_048)
+                new, guess = both(part)
+                score = np.where(own[:, None] == new, -np.inf, probes @ rows_of(part["v"]).T)
+                ids = np.concatenate([ids, np.broadcast_to(new, score.shape)], 1)
+                exact, near = np.concatenate([exact, score], 1), np.concatenate([near, guess], 1)
+                first = np.argsort(-exact, 1, kind="stable")[:, :top]
+                ids, exact, near = (np.take_along_axis(x, first, 1) for x in (ids, exact, near))
+        who = np.repeat(np.arange(len(probes)), ids.shape[1])
+        real = np.isfinite(exact.ravel())
+        yield pa.RecordBatch.from_arrays([pa.array(x[real]) for x in (who, exact.ravel(), near.ravel().astype(np.float64))], names=["probe", "exact", "near"])
+
+    found = coded.mapInArrow(best, "probe long, exact double, near double")
+    order = Window.partitionBy("probe").orderBy(F.desc("exact"), F.desc("near"))
+    found = found.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= top).select("probe", "near").toArrow()  # top rows a probe
+    who, near = found["probe"].to_numpy(), found["near"].to_numpy()
+
+    def ahead(batches):
+        n = np.zeros(len(who), np.int64)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2_048):
+                _, guess = both(batch.slice(at, 2_048))
+                for k in range(len(probes)):
+                    mine = np.flatnonzero(who == k)
+                    n[mine] += guess.shape[1] - np.searchsorted(np.sort(guess[k].astype(np.float64)), near[mine], "right")
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(n))), pa.array(n)], names=["k", "n"])
+
+    sums = coded.mapInArrow(ahead, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
+    return np.sort(sums["n"].to_numpy()) + 1
+
+
+def search(vectors: DataFrame, every: int = 20, top: int = 20, rerank: int | None = None, recall: float = 0.97, probes: int = 64, books: int = 32, size: int = 128, beam: int = 4, fit_rows: int = 8192, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """(query_id, rank, vec_id, score) for the rows whose id is divisible by ``every``; ``rerank`` overrides what the
+    probes say."""
     spark = vectors.sparkSession
     x = clean(vectors, id_col, vector_col)
     # classes of equal vectors with their smallest ids: Spark limits each class before it shuffles it
@@ -131,63 +207,69 @@ def search(vectors: DataFrame, every: int = 20, top: int = 20, rerank: int = 100
     empty = "query_id long, rank int, vec_id long, score double"
     if not len(sample):
         return spark.createDataFrame([], empty)
-    fitted = np.array(sample["v"].combine_chunks().flatten(), np.float64).reshape(len(sample), -1)
-    shared = spark.sparkContext.broadcast(Codebooks.fit(fitted, books, size, beam))  # books * size words at most
+    shared = spark.sparkContext.broadcast(Codebooks.fit(rows_of(sample["v"].combine_chunks()), books, size, beam))  # books * size words at most
+    kind = np.uint8 if size <= 256 else np.uint16
 
     def encoded(batches):
         own = shared.value
         for batch in batches:
             for at in range(0, batch.num_rows, 2_048):
                 part = batch.slice(at, 2_048)
-                v = np.array(part["v"].flatten(), np.float64).reshape(part.num_rows, -1)
+                v = rows_of(part["v"])
                 codes = own.encode(v, beam)
                 norm = np.sqrt((v**2).sum(1) / np.maximum(own.norms(codes), 1e-30))
-                yield pa.RecordBatch.from_arrays([part["class"], part["block"], pa.array([c.tobytes() for c in codes.astype(kind)], pa.binary()), pa.array(norm, pa.float32())], names=["class", "block", "codes", "norm"])
+                yield pa.RecordBatch.from_arrays([part["class"], part["v"], pa.array([c.tobytes() for c in codes.astype(kind)], pa.binary()), pa.array(norm, pa.float32())], names=["class", "v", "codes", "norm"])
 
-    kind = np.uint8 if size <= 256 else np.uint16
-    blocks = max(1, math.ceil(classes.count() / (4 * BLOCK)))
+    n = classes.count()
+    room = min(max(n // (4 * spark.sparkContext.defaultParallelism), 512), BLOCK)
+    blocks = max(1, math.ceil(n / room))
     at = scratch(spark, "codes")
-    classes.select("class", F.pmod(F.xxhash64("class"), F.lit(blocks)).cast("int").alias("block"), "v").mapInArrow(encoded, "class long, block int, codes binary, norm float").write.parquet(at)
-    codes = spark.read.parquet(at)
+    spread = classes.select("class", "v").repartition(4 * spark.sparkContext.defaultParallelism)
+    spread.mapInArrow(encoded, "class long, v array<double>, codes binary, norm float").write.parquet(at)
+    coded = spark.read.parquet(at)
     # distinct query vectors, each with the queries that have it
     asked = x.filter(F.col("id") % every == 0).select("id", "key", "v")
     of = cut(asked.join(classes.select("key", "v", "class"), ["key", "v"]).groupBy("id").agg(F.min("class").alias("class")))
-    distinct = of.select("class").distinct().join(classes.select("class", "v"), "class")
-    query_blocks = max(1, math.ceil(of.select("class").distinct().count() / BLOCK))
-    queries = distinct.withColumn("q", F.pmod(F.xxhash64("class"), F.lit(query_blocks)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    sides = codes.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
+    distinct = cut(of.select("class").distinct().join(classes.select("class", "v"), "class"))
+    if rerank is None:
+        held = distinct.select(F.xxhash64("class", F.lit(2)).alias("h"), "class", "v").orderBy("h", "class").limit(probes).select("class", "v").toArrow()
+        if not len(held):
+            return spark.createDataFrame([], empty)
+        rank = places(coded, rows_of(held["v"].combine_chunks()), held["class"].to_numpy(), shared, kind, top)
+        rerank = max(4 * top, int(rank[min(len(rank) - 1, math.ceil(recall * len(rank)))]) + 1) if len(rank) else 4 * top
 
-    def score(left, right):
-        import pandas as pd
-
-        if not len(left) or not len(right):
-            return pd.DataFrame({"query": [], "c": [], "score": []})
-        own = shared.value
-        left, right = left.sort_values("class"), right.sort_values("class")
-        ids, norms = right["class"].to_numpy(), right["norm"].to_numpy()
-        code = np.frombuffer(b"".join(right["codes"]), kind).reshape(len(ids), -1).astype(np.int64)
-        flat = (code + own.words.shape[1] * np.arange(own.words.shape[0])).T
-        wanted, asking = left["class"].to_numpy(), np.stack(left["v"].to_numpy())
-        n, out = min(rerank, len(ids)), []
-        for at in range(0, len(wanted), 64):
-            part = asking[at : at + 64]
-            tables = part.astype(np.float32) @ own.words.reshape(-1, own.words.shape[2]).T
-            near = np.zeros((len(part), len(ids)), np.float32)
-            for row in flat:
-                near += tables[:, row]
-            near *= norms
-            best = np.argpartition(-near, n - 1, 1)[:, :n]
-            out.append(pd.DataFrame({"query": np.repeat(wanted[at : at + 64], n), "c": ids[best].ravel(), "score": np.take_along_axis(near, best, 1).ravel().astype(np.float64)}))
-        return pd.concat(out)
+    def score(batches):
+        held, block, codes = [], None, None
+        for batch in batches:
+            code = batch["block"].to_numpy() * 2 + batch["kind"].to_numpy()
+            for rows in np.split(np.arange(len(code)), np.flatnonzero(np.diff(code)) + 1):
+                if not len(rows):
+                    continue
+                part, (own, is_query) = batch.slice(rows[0], len(rows)), divmod(int(code[rows[0]]), 2)
+                if own != block:
+                    held, block, codes = [], own, None
+                if not is_query:
+                    held.append(part)
+                    continue
+                if held:
+                    codes, held = Codes(shared.value, held, kind), []
+                for at in range(0, part.num_rows if codes else 0, 64):
+                    piece = part.slice(at, 64)
+                    near = codes.near(rows_of(piece["v"]))
+                    most = min(rerank, len(codes.ids))
+                    best = np.argpartition(-near, most - 1, 1)[:, :most]
+                    names = np.repeat(piece["class"].to_numpy(), most)
+                    yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(codes.ids[best].ravel()), pa.array(np.take_along_axis(near, best, 1).ravel())], names=["query", "c", "score"])
 
     def exactly(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 4_096):
                 part = batch.slice(at, 4_096)
-                x, y = (np.array(part[c].flatten(), np.float64).reshape(part.num_rows, -1) for c in ("v", "w"))
-                yield pa.RecordBatch.from_arrays([part["query"], part["c"], pa.array(np.einsum("ij,ij->i", x, y))], names=["query", "c", "score"])
+                yield pa.RecordBatch.from_arrays([part["query"], part["c"], pa.array(np.einsum("ij,ij->i", rows_of(part["v"]), rows_of(part["w"])))], names=["query", "c", "score"])
 
-    found = queries.groupBy("q", "block").cogroup(sides.groupBy("q", "block")).applyInPandas(score, "query long, c long, score double")
+    lying = coded.select(F.pmod(F.xxhash64("class"), F.lit(blocks)).cast("int").alias("block"), F.lit(0).alias("kind"), "class", "codes", "norm", F.lit(None).cast("array<double>").alias("v"))
+    asking = distinct.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(1).alias("kind"), "class", F.lit(None).cast("binary").alias("codes"), F.lit(None).cast("float").alias("norm"), "v")
+    found = lying.unionByName(asking).repartition(blocks, "block").sortWithinPartitions("block", "kind").mapInArrow(score, "query long, c long, score float")
     likely = Window.partitionBy("query").orderBy(F.desc("score"), "c")
     near = cut(found.withColumn("k", F.row_number().over(likely)).filter(F.col("k") <= rerank).select("query", "c"))
     bodies = near.join(classes.select(F.col("class").alias("c"), F.col("v").alias("w")), "c").join(distinct.select(F.col("class").alias("query"), "v"), "query")

@@ -1,8 +1,9 @@
 """Files of equal content, by a funnel: equal size, equal hash of the first 16 KiB, equal hash of all.
 
-``files`` has idx, path, is_dir, size, mtime, file_id; ``content`` gives idx and the bytes. Bytes are hashed in the
-task that reads them, and only hashes pass a shuffle: of every content its first 16 KiB, and of those files all that
-two stages leave and that the cache does not know.
+``files`` has idx, path, is_dir, size, mtime, file_id. ``contents`` is a table (idx, content) of bytes, or
+``hashing.PathContents``, which opens files by their path. Bytes are hashed in the task that reads them, and only hashes
+pass a shuffle: of every survivor of the first stage its first 16 KiB, and of those files all that two stages leave and
+that the cache does not know.
 """
 
 from __future__ import annotations
@@ -11,26 +12,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrykit.functions.text import family_key, normalize_key
+from quarrykit.operators.hashing import PREFIX, PathContents, TableContents, contents_of
 from quarrykit.operators.numbering import cut, numbered
 
-PREFIX = 16 * 1024
-#: So many ids of files that have to be hashed whole are broadcast to where the contents are read.
-WANTED_ROOM = 1_000_000
-
-
-def prefix_hash(content: Column) -> Column:
-    """SHA-256 of the number of bytes read and these bytes, 16 KiB at most."""
-    head = F.substring(content, 1, PREFIX)
-    length = F.unhex(F.lpad(F.hex(F.length(head).cast("long")), 16, "0"))
-    return F.sha2(F.concat(length, head), 256)
-
-
-def full_hash(content: Column) -> Column:
-    return F.sha2(content, 256)
-
-
-def bytes_of(content: DataFrame) -> DataFrame:
-    return content.select(F.col("idx").alias("_idx"), F.col("content").cast("binary").alias("_content"))
+Contents = DataFrame | TableContents | PathContents
 
 
 def same_size(files: DataFrame, min_size: int = 1) -> DataFrame:
@@ -40,10 +25,13 @@ def same_size(files: DataFrame, min_size: int = 1) -> DataFrame:
     return known.join(sizes, "size", "left_semi")
 
 
-def with_quick(survivors: DataFrame, content: DataFrame) -> DataFrame:
-    """Survivors of stage 1 with ``quick``, null where the content cannot be read."""
-    quick = bytes_of(content).select("_idx", prefix_hash(F.col("_content")).alias("quick"))
-    return survivors.join(quick, F.col("idx") == F.col("_idx"), "left").drop("_idx")
+def with_quick(survivors: DataFrame, contents: Contents) -> DataFrame:
+    """Survivors of stage 1 with ``quick``, null where the content cannot be read, the bytes read, and the error."""
+    quick = contents_of(contents).quick(survivors)
+    quick = quick.select(F.col("idx").alias("_idx"), F.col("hash").alias("quick"), F.col("bytes").alias("quick_bytes"), F.col("error").alias("quick_error"))
+    rows = survivors.join(quick, F.col("idx") == F.col("_idx"), "left").drop("_idx")
+    why = F.when(F.col("quick").isNull(), F.coalesce("quick_error", F.concat("path", F.lit(": no content"))))
+    return cut(rows.withColumns({"quick_bytes": F.coalesce("quick_bytes", F.lit(0)), "quick_error": why}))
 
 
 def same_prefix(quick: DataFrame) -> DataFrame:
@@ -60,31 +48,29 @@ def with_cache(survivors: DataFrame, cache: DataFrame, key: Column) -> DataFrame
     return survivors.join(known, same, "left").drop("_key", "_size", "_mtime")
 
 
-def with_full(second: DataFrame, content: DataFrame, cache: DataFrame | None = None) -> DataFrame:
-    """Survivors of stage 2 with ``cached`` and ``hash``.
+def with_full(second: DataFrame, contents: Contents, cache: DataFrame | None = None) -> DataFrame:
+    """Survivors of stage 2 with ``cached`` and ``hash``, and of those hashed whole the bytes read and the error.
 
     Up to 16 KiB the quick hash has seen all. Of larger files the cache is asked first; what it does not know is
-    hashed whole. A few ids (``WANTED_ROOM``) go to the contents; beyond that every content of more than 16 KiB is
-    hashed where it lies, as moving contents to the ids would cost more.
+    hashed whole.
     """
     if cache is None:
         rows = second.withColumn("cached", F.lit(None).cast("string"))
     else:
         rows = with_cache(second, cache, normalize_key(F.col("path")))
     rows = cut(rows.withColumn("cached", F.when(F.col("size") > PREFIX, F.col("cached"))))
-    wanted = rows.filter((F.col("size") > PREFIX) & F.col("cached").isNull()).select(F.col("idx").alias("_idx")).distinct()
-    large = bytes_of(content).filter(F.length("_content") > PREFIX)
-    if wanted.count() <= WANTED_ROOM:
-        large = large.join(F.broadcast(wanted), "_idx", "left_semi")
-    full = large.select("_idx", full_hash(F.col("_content")).alias("_full"))
-    known = rows.join(full, F.col("idx") == F.col("_idx"), "left")
+    wanted = rows.filter((F.col("size") > PREFIX) & F.col("cached").isNull())
+    full = contents_of(contents).whole(wanted)
+    full = full.select(F.col("idx").alias("_idx"), F.col("hash").alias("_full"), F.col("bytes").alias("full_bytes"), F.col("error").alias("full_error"))
+    known = rows.join(full, F.col("idx") == F.col("_idx"), "left").withColumn("full_bytes", F.coalesce("full_bytes", F.lit(0)))
     hash_ = F.when(F.col("size") <= PREFIX, F.col("quick")).otherwise(F.coalesce("cached", "_full"))
-    return known.withColumn("hash", hash_).drop("_idx", "_full")
+    why = F.when(hash_.isNull(), F.coalesce("full_error", F.concat("path", F.lit(": no content"))))
+    return cut(known.withColumns({"hash": hash_, "full_error": why}).drop("_idx", "_full"))
 
 
-def matched(files: DataFrame, content: DataFrame, min_size: int = 1, cache: DataFrame | None = None) -> DataFrame:
+def matched(files: DataFrame, contents: Contents, min_size: int = 1, cache: DataFrame | None = None) -> DataFrame:
     """Survivors of all three stages, one row for each file, with their ``hash``."""
-    rows = with_full(same_prefix(with_quick(same_size(files, min_size), content)), content, cache).filter(F.col("hash").isNotNull())
+    rows = with_full(same_prefix(with_quick(same_size(files, min_size), contents)), contents, cache).filter(F.col("hash").isNotNull())
     keys = rows.groupBy("size", "hash").agg(F.count("*").alias("_n")).filter("_n >= 2").select("size", "hash")
     return cut(rows.join(keys, ["size", "hash"], "left_semi"))
 
@@ -119,23 +105,29 @@ def twins(found: DataFrame) -> DataFrame:
     return found.join(real.select("size", "hash"), ["size", "hash"], "left_semi").select("idx")
 
 
-def funnel(files: DataFrame, content: DataFrame, min_size: int = 1, cache: DataFrame | None = None) -> DataFrame:
+def funnel(files: DataFrame, contents: Contents, min_size: int = 1, cache: DataFrame | None = None) -> DataFrame:
     """One row: survivors of each stage, groups, files hashed whole, files that could not be read, bytes read.
 
     A file whose hash the cache knows counts as neither hashed nor read beyond its first 16 KiB. One of more than
-    16 KiB that cannot be read again is no survivor of the third stage.
+    16 KiB that cannot be read again is an error, and no survivor of the third stage.
     """
-    quick = cut(with_quick(same_size(files, min_size), content))
-    second = cut(with_full(same_prefix(quick), content, cache))
+    quick = with_quick(same_size(files, min_size), contents)
+    second = with_full(same_prefix(quick), contents, cache)
     third = second.filter(F.col("hash").isNotNull()).groupBy("size", "hash").agg(F.count("*").alias("n")).filter("n >= 2")
     whole = (F.col("size") > PREFIX) & F.col("cached").isNull()
     total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
-    a = quick.agg(F.count("*").alias("stage1"), total(F.when(F.col("quick").isNotNull(), F.least(F.col("size"), F.lit(PREFIX)))).alias("prefix_bytes"), F.count_if(F.col("quick").isNull()).alias("errors"))
-    b = second.agg(F.count("*").alias("stage2"), F.count_if(whole).alias("hashed"), total(F.when(whole, F.col("size"))).alias("full_bytes"))
+    a = quick.agg(F.count("*").alias("stage1"), total("quick_bytes").alias("prefix_bytes"), F.count_if(F.col("quick").isNull()).alias("unread"))
+    b = second.agg(F.count("*").alias("stage2"), F.count_if(whole).alias("hashed"), total("full_bytes").alias("full_bytes"), F.count_if(F.col("hash").isNull()).alias("lost"))
     c = third.agg(F.count("*").alias("groups"), total("n").alias("stage3"))
     one = [x.withColumn("_one", F.lit(1)) for x in (a, b, c)]  # single rows
     joined = one[0].join(one[1], "_one").join(one[2], "_one")
-    return joined.select("stage1", "stage2", "stage3", "groups", "hashed", "errors", (F.col("prefix_bytes") + F.col("full_bytes")).alias("read_bytes"))
+    return joined.select("stage1", "stage2", "stage3", "groups", "hashed", (F.col("unread") + F.col("lost")).alias("errors"), (F.col("prefix_bytes") + F.col("full_bytes")).alias("read_bytes"))
+
+
+def errors(quick: DataFrame, second: DataFrame) -> DataFrame:
+    """(path, error) of what ``with_quick`` and ``with_full`` could not read."""
+    first, later = quick.filter("quick is null"), second.filter("hash is null")
+    return first.select("path", F.col("quick_error").alias("error")).unionByName(later.select("path", F.col("full_error").alias("error")))
 
 
 def learned(second: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quarrykit.operators import dup, numbering, papers, report, search, tree, usage
+from quarrykit.operators import dup, hashing, numbering, papers, report, search, tree, usage
 from quarrykit.sources import listing, store, usn
 
 DAY = 86400
@@ -128,21 +128,82 @@ def test_cache_spares_whole_hashes(spark):
     assert dup.learned(dup.with_full(dup.same_prefix(dup_quick(unknown, content)), content)).count() == 0
 
 
-def test_no_content_passes_an_exchange(spark, tmp_path, monkeypatch):
+def test_no_content_passes_an_exchange(spark, tmp_path):
     body = noise(12, 20_000)
-    for room in (dup.WANTED_ROOM, 0):
-        monkeypatch.setattr(dup, "WANTED_ROOM", room)
-        files, content = store_of(spark, [body, body, noise(13, 20_000)])
-        at = str(tmp_path / f"c{room}")
-        content.write.parquet(at)
-        content = spark.read.parquet(at)
-        quick = dup.with_quick(dup.same_size(files), content)
-        full = dup.with_full(dup.same_prefix(quick), content)
-        assert full.filter("hash is not null").count() == 2
-        for rows in (quick, full):
-            plan = spark._jvm.PythonSQLUtils.explainString(rows._jdf.queryExecution(), "formatted")
-            moved = re.findall(r"\) (?:Broadcast)?Exchange\nInput \[\d+\]: \[(.*)\]", plan)
-            assert moved and not any("content" in m for m in moved), moved
+    files, content = store_of(spark, [body, body, noise(13, 20_000)])
+    content.write.parquet(str(tmp_path / "c"))
+    contents = hashing.TableContents(spark.read.parquet(str(tmp_path / "c")))
+    for rows in (files.join(contents.quick(files), "idx"), files.join(contents.whole(files.filter("idx < 2")), "idx")):
+        assert rows.filter("hash is not null").count() >= 2
+        plan = spark._jvm.PythonSQLUtils.explainString(rows._jdf.queryExecution(), "formatted")
+        moved = re.findall(r"\) (?:Broadcast)?Exchange\nInput \[\d+\]: \[(.*)\]", plan)
+        assert moved and not any("content" in m for m in moved), moved
+
+
+def on_disk(spark, folder, blobs):
+    """Files of these contents; None is a name without a file. (idx, ..., path) with the sizes that they claim."""
+    rows = []
+    for k, b in enumerate(blobs):
+        at = folder / f"f{k:03d}"
+        if b is not None:
+            at.write_bytes(b)
+        rows.append((k, str(folder), at.name, False, 9 if b is None else len(b), 77, k + 1, str(at)))
+    return spark.createDataFrame(rows, FILES)
+
+
+def test_files_hashed_by_path_equal_a_table(spark, tmp_path):
+    g = random.Random(18)
+    long = noise(1, 300_000)
+    kinds = [b"", b"q", noise(2, 9), noise(3, dup.PREFIX), noise(4, dup.PREFIX + 1), long, long[:-1] + b"!", b"?" + long[1:], None]
+    blobs = [g.choice(kinds) for _ in range(40)]
+    files, by_path = on_disk(spark, tmp_path, blobs), hashing.PathContents(task_bytes=1 << 20)
+    _, table = store_of(spark, blobs)
+    for least in (0, 1, 100):
+        assert grouped(dup.matched(files, by_path, min_size=least)) == brute_groups(blobs, least)
+    assert dup.funnel(files, by_path).first() == dup.funnel(files, table).first()
+    assert {r.hash for r in dup.groups(dup.matched(files, by_path)).collect()} == {r.hash for r in dup.groups(dup.matched(files, table)).collect()}
+    quick = dup.with_quick(dup.same_size(files), by_path)
+    failed = dup.errors(quick, dup.with_full(dup.same_prefix(quick), by_path)).collect()
+    gone = {f"{tmp_path}/f{k:03d}" for k, b in enumerate(blobs) if b is None}
+    assert {r.path for r in failed} == gone and all("No such file" in r.error for r in failed)
+    assert {r.path for r in search.search(files, "dup:", spark.createDataFrame([], store.USAGE), by_path, limit=0).collect()} == {f"{tmp_path}/f{k:03d}" for g_ in brute_groups(blobs) for k in g_}
+
+
+def test_huge_sparse_files_are_duplicates(spark, tmp_path):
+    """Beyond what a row can hold: two of 3 GiB are equal, a third differs in its last byte, one cannot be read."""
+    size, rows = 3 << 30, []
+    for k, end in enumerate(b"aab"):
+        with open(tmp_path / f"s{k}", "wb") as f:
+            f.truncate(size - 1)
+            f.seek(size - 1)
+            f.write(bytes([end]))
+    os.mkfifo(tmp_path / "s3")  # opening it must not wait
+    for k in range(5):
+        rows.append((k, str(tmp_path), f"s{k}", False, size, 77, k + 1, str(tmp_path / f"s{k}")))
+    files, by_path = spark.createDataFrame(rows, FILES), hashing.PathContents()
+    report_ = dup.funnel(files, by_path).first()
+    assert (report_.stage1, report_.stage2, report_.stage3, report_.groups, report_.hashed, report_.errors) == (5, 3, 2, 1, 3, 2)
+    assert report_.read_bytes == 3 * dup.PREFIX + 3 * size
+    assert grouped(dup.matched(files, by_path)) == {frozenset({0, 1})}
+
+
+def test_a_file_that_goes_away_between_the_stages(spark, tmp_path):
+    files = on_disk(spark, tmp_path, [b"x" * 20_000] * 3)
+    quick = dup.with_quick(dup.same_size(files), hashing.PathContents())
+    os.unlink(tmp_path / "f001")
+    second = dup.with_full(dup.same_prefix(quick), hashing.PathContents())
+    assert [r.path for r in dup.errors(quick, second).collect()] == [f"{tmp_path}/f001"]
+    assert second.filter("hash is not null").count() == 2
+
+
+def test_hashing_tasks_have_about_as_much_to_read(spark):
+    sizes = [10**6] * 5 + [1000] * 400 + [7, 0, 3 * 10**6, 10**5]
+    rows = spark.createDataFrame([(k, f"/x/{k}", n) for k, n in enumerate(sizes)], "idx long, path string, size long")
+    dealt = hashing.PathContents(task_bytes=10**6).dealt(rows, True).groupBy(F.spark_partition_id().alias("p")).agg(F.sum("size").alias("n"), F.count("*").alias("files")).collect()
+    assert sum(r.files for r in dealt) == len(sizes) and len(dealt) == 9
+    loads = sorted(r.n for r in dealt)
+    assert loads[-1] <= 3 * 10**6 + 10**5 and loads[-2] <= 10**6 + 2 * 10**5  # one file cannot be split, all else is even
+    assert hashing.PathContents().dealt(rows.limit(0), True).count() == 0
 
 
 def test_keepers(spark):

@@ -30,7 +30,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrykit.llm.common import slices, small_batches
+from quarrykit.llm.common import slices, small_batches, tidy
 
 #: str.split() takes these for white space; Unicode and the tokenizer do not.
 SEPARATORS = re.compile("[\x1c-\x1f]")
@@ -390,7 +390,7 @@ def count_words(docs: DataFrame, bpe_path: str) -> DataFrame:
         yield drain()
 
     texts = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return small_batches(texts).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return small_batches(texts).mapInArrow(tidy(count), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def build_lexicon(docs: DataFrame, bpe_path: str, lexicon_words: int = 1 << 18) -> Lexicon:
@@ -404,7 +404,7 @@ def build_lexicon(docs: DataFrame, bpe_path: str, lexicon_words: int = 1 << 18)
 
     top = count_words(docs, bpe_path).orderBy(F.desc("n"), "word").limit(lexicon_words).select("word")
     parts = 4 * docs.sparkSession.sparkContext.defaultParallelism
-    merged = top.repartition(parts).mapInArrow(merge, "word string, ids array<int>").toArrow()
+    merged = top.repartition(parts).mapInArrow(tidy(merge), "word string, ids array<int>").toArrow()
     return Lexicon.compile(zip(merged["word"].to_pylist(), merged["ids"].to_pylist()))
 
 
@@ -441,12 +441,10 @@ def encode(docs: DataFrame, bpe_path: str, lexicon: Lexicon, ids: bool = False)
             if ids:
                 out.append(pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(tokens, pa.int32())))
             yield pa.RecordBatch.from_arrays(out, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(out)])
-        del encoder
-        pa.default_memory_pool().release_unused()  # a worker lives on after its task
 
     texts = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     kind = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return small_batches(texts).mapInArrow(run, kind + ", ids array<int>" * ids)
+    return small_batches(texts).mapInArrow(tidy(run), kind + ", ids array<int>" * ids)
 
 
 def decode(encoded: DataFrame, bpe_path: str) -> DataFrame:
@@ -458,4 +456,4 @@ def decode(encoded: DataFrame, bpe_path: str) -> DataFrame:
             texts = [" ".join([text_of[i] for i in x or ()]) for x in batch["ids"].to_pylist()]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(texts, pa.string())], names=["doc_id", "text"])
 
-    return encoded.select(F.col("doc_id").cast("long"), "ids").mapInArrow(run, "doc_id long, text string")
+    return encoded.select(F.col("doc_id").cast("long"), "ids").mapInArrow(tidy(run), "doc_id long, text string")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -62,6 +64,25 @@ def small_batches(texts: DataFrame) -> DataFrame:
     return texts
 
 
+def tidy(run):
+    """``run`` for mapInArrow, whose worker gives free memory back when the task ends: workers live on and are many."""
+
+    def tidied(batches):
+        import pyarrow as pa
+
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # another C library
+                pass
+
+    return tidied
+
+
 def slices(batches, rows: int = 256):
     """Arrow batches in pieces, so that a task holds few texts as Python strings at a time."""
     for batch in batches:

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarrykit.llm.common import slices, small_batches
+from quarrykit.llm.common import slices, small_batches, tidy
 
 BITS = 16
 #: Each trigram shares two characters with the next, so their likelihoods count for less than independent ones.
@@ -115,7 +115,7 @@ def train(docs: DataFrame, smoothing: float = 0.5) -> Model:
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(own[at], pa.int64())], names=["lang", "gram", "n"])
 
     rows = docs.filter(F.col("lang").isNotNull()).select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    sums = small_batches(rows).mapInArrow(count, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
+    sums = small_batches(rows).mapInArrow(tidy(count), "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
     names = sums["lang"].to_pylist()
     languages = sorted(set(names))
     n = np.zeros((1 << BITS, len(languages)))
@@ -147,7 +147,7 @@ def predictions(docs: DataFrame, model: Model, kept: list[Column | str]) -> Data
 
     rows = docs.select(*kept, F.col("text").cast("string").alias("_text"))
     schema = rows.drop("_text").schema.add("lang_pred", "string").add("score", "double")
-    return small_batches(rows).mapInArrow(run, schema.add("languages", T.ArrayType(T.StringType())).add("proportions", T.ArrayType(T.DoubleType())))
+    return small_batches(rows).mapInArrow(tidy(run), schema.add("languages", T.ArrayType(T.StringType())).add("proportions", T.ArrayType(T.DoubleType())))
 
 
 def accept(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
@@ -160,7 +160,7 @@ def accept(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
             done = [own.predict(t) for t in batch["text"].to_pylist()]
             yield batch.filter(pa.array([lang != "und" and score >= least for lang, score in done], pa.bool_()))
 
-    return small_batches(docs).mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(tidy(run), docs.schema)
 
 
 def held_out(doc_id: str = "doc_id", parts: int = 4, part: int = 2) -> Column:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarrykit.llm.common import cut, scratch, slices, small_batches
+from quarrykit.llm.common import cut, scratch, slices, small_batches, tidy
 
 SLOTS = 4
 #: The share of its slots that a filter fills before it is made larger.
@@ -128,7 +128,7 @@ def count_keys(docs: DataFrame) -> DataFrame:
                 yield drain()
         yield drain()
 
-    return small_batches(docs.select(F.col("text").cast("string").alias("text"))).mapInArrow(count, "key binary, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    return small_batches(docs.select(F.col("text").cast("string").alias("text"))).mapInArrow(tidy(count), "key binary, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
 def count_keys_once(docs: DataFrame) -> DataFrame:
@@ -151,7 +151,7 @@ def count_keys_once(docs: DataFrame) -> DataFrame:
                     yield drain()
         yield drain()
 
-    each = small_batches(docs.select(F.col("text").cast("string").alias("text"))).mapInArrow(pairs, "key binary, whole binary").distinct()
+    each = small_batches(docs.select(F.col("text").cast("string").alias("text"))).mapInArrow(tidy(pairs), "key binary, whole binary").distinct()
     return each.groupBy("key").agg(F.count("*").alias("n"))
 
 
@@ -272,7 +272,7 @@ def lines_of(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([task] * len(ids), pa.int32()), pa.array(keys, pa.binary())], names=["text_id", "task", "key"])
 
     rows = docs.select(_text_id(docs).alias("text_id"), F.col("text").cast("string").alias("text"))
-    return small_batches(rows).mapInArrow(spread, "text_id long, task int, key binary")
+    return small_batches(rows).mapInArrow(tidy(spread), "text_id long, task int, key binary")
 
 
 def suspects(docs: DataFrame, store: LineStore) -> DataFrame:

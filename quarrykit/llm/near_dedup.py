@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarrykit.llm.common import cut, scratch, slices, small_batches, splitmix
+from quarrykit.llm.common import cut, scratch, slices, small_batches, splitmix, tidy
 
 WORDS = 5
 COORDINATES, BANDS = 128, 32
@@ -138,7 +138,7 @@ def sketch_documents(docs: DataFrame) -> DataFrame:
                 names=["row", "doc_id", "n_shingles", "node", "signature"],
             )
 
-    return small_batches(docs.select(row_of(docs), "doc_id", "text")).mapInArrow(run, "row long, doc_id long, n_shingles long, node long, signature binary")
+    return small_batches(docs.select(row_of(docs), "doc_id", "text")).mapInArrow(tidy(run), "row long, doc_id long, n_shingles long, node long, signature binary")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -194,7 +194,7 @@ def full_sets(docs: DataFrame, held: DataFrame) -> DataFrame:
 
     at = scratch(docs.sparkSession, "sets")
     texts = docs.select(row_of(docs), "text").join(held.select("node", "row"), "row").select("node", "text")
-    small_batches(texts).mapInArrow(run, "node long, elements binary").dropDuplicates(["node"]).write.parquet(at)
+    small_batches(texts).mapInArrow(tidy(run), "node long, elements binary").dropDuplicates(["node"]).write.parquet(at)
     return docs.sparkSession.read.parquet(at)
 
 
@@ -216,7 +216,7 @@ class Comparison:
                 yield batch.select(["a", "b"]).filter(pa.array(alike, pa.bool_()))
 
         sized = 100 * F.least("nx", "ny") >= self.percent * F.greatest("nx", "ny")
-        return pairs.join(x, "a").join(y, "b").filter(sized).select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+        return pairs.join(x, "a").join(y, "b").filter(sized).select("a", "b", "x", "y").mapInArrow(tidy(run), "a long, b long")
 
     def with_sets(self, pairs: DataFrame) -> DataFrame:
         x = self.sets.select(F.col("node").alias("a"), F.col("elements").alias("x"))
@@ -236,7 +236,7 @@ class Comparison:
                     linked.append(100 * both >= percent * (len(x) + len(y) - both))
                 yield batch.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
-        return cut(self.with_sets(self.likely(pairs)).select("a", "b", "x", "y").mapInArrow(run, "a long, b long"))
+        return cut(self.with_sets(self.likely(pairs)).select("a", "b", "x", "y").mapInArrow(tidy(run), "a long, b long"))
 
     def differences(self, stars: DataFrame) -> DataFrame:
         """The elements at which two classes in different components can first meet by what sets them apart from a centre.
@@ -304,19 +304,19 @@ class Comparison:
                 yield pa.RecordBatch.from_arrays([pa.array(place_of(batch["b"].to_numpy(), batch["element"].to_numpy()))], names=["place"])
 
         at = scratch(stars.sparkSession, "differences")
-        self.with_sets(stars).select("a", "b", "label", "x", "y").mapInArrow(compare, "a long, b long, label long, n long, lacks binary, has binary").write.parquet(at)
+        self.with_sets(stars).select("a", "b", "label", "x", "y").mapInArrow(tidy(compare), "a long, b long, label long, n long, lacks binary, has binary").write.parquet(at)
         apart = stars.sparkSession.read.parquet(at)
-        elements = apart.select("a", "b", "lacks", "has").mapInArrow(spread, "b long, a long, element long")
+        elements = apart.select("a", "b", "lacks", "has").mapInArrow(tidy(spread), "b long, a long, element long")
         only = elements.groupBy("b", "element").agg(F.count("*").alias("n"), F.min("a").alias("a")).filter("n = 1")
         alone = only.groupBy("b", "a").agg(F.collect_list("element").alias("alone"))
         # at most COUNTERS rows, however many elements there are
-        held = elements.mapInArrow(places, "place long").groupBy("place").agg(F.count("*").alias("n")).toArrow()
+        held = elements.mapInArrow(tidy(places), "place long").groupBy("place").agg(F.count("*").alias("n")).toArrow()
         table = np.zeros(COUNTERS, np.int64)
         table[held["place"].to_numpy()] = held["n"].to_numpy()
         counts = stars.sparkSession.sparkContext.broadcast(table)
         kind = "b long, n long, element long, a long, label long, w long, left long, weak boolean"
         at = scratch(stars.sparkSession, "early")
-        apart.join(alone, ["b", "a"], "left").mapInArrow(early, kind).write.parquet(at)
+        apart.join(alone, ["b", "a"], "left").mapInArrow(tidy(early), kind).write.parquet(at)
         return stars.sparkSession.read.parquet(at)
 
     def meetings(self, rows: DataFrame) -> DataFrame:
@@ -341,7 +341,7 @@ def link(docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
             coordinates = np.frombuffer(b"".join(batch["signature"].to_pylist()), "<u2").reshape(-1, COORDINATES)
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch["node"].to_numpy(), BANDS), pa.int64()), pa.array(band_keys(coordinates).ravel(), pa.int64())], names=["node", "band"])
 
-    members = classes.select("node", "signature").mapInArrow(spread, "node long, band long")
+    members = classes.select("node", "signature").mapInArrow(tidy(spread), "node long, band long")
     shared = members.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
     groups = cut(members.join(shared, "band"))
     meets = cut(groups.groupBy("node").agg(F.sum(F.col("n") - 1).alias("met")))

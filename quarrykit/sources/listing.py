@@ -1,18 +1,29 @@
-"""Reading real folders: through Spark's own listing, or with folders and file ids through a Python data source."""
+"""Reading real folders: through Spark's own listing, or with folders and file ids by a walk of its own.
+
+The walk goes in rounds over a table of open folders. Each round deals them out; a task lists what it got, and what is
+below, until it has met ``budget`` entries, and hands the folders that it did not get to back as open ones of the next
+round. Entries never pass the driver, which only learns whether a folder is open.
+
+Names come first: listing stats nothing (a folder is told by its directory entry; only where links are followed, links
+and folders are looked at). ``filled`` looks up sizes, times and file ids afterwards, of the rows that are asked for.
+"""
 
 from __future__ import annotations
 
 import os
 import re
 import stat
-from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark.accumulators import Accumulator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-SCHEMA = "idx long, parent string, name string, is_dir boolean, size long, mtime long, file_id long, path string, depth int, kind string"
+from quarrykit.operators.numbering import cut, scratch
+
+ENTRY = "parent string, name string, is_dir boolean, path string, depth int, kind string, error string"
+#: Entries that a task lists in the first round, and in later ones, before it hands open folders back.
+FIRST_BUDGET, BUDGET = 1000, 50_000
 
 
 def spark_listing(spark: SparkSession, folder: str) -> DataFrame:
@@ -30,134 +41,178 @@ def spark_listing(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select(F.xxhash64("path").alias("idx"), parent.alias("parent"), name.alias("name"), "is_dir", "size", "mtime", F.lit(0).cast("long").alias("file_id"), "path")
 
 
-class Folders(InputPartition):
-    """Folders to walk: (path, depth, ids of the folders above), and rows that are known already."""
-
-    def __init__(self, tops: list[tuple], rows: list[tuple]):
-        super().__init__(0)
-        self.tops, self.rows = tops, rows
-
-
 def wildcard(pattern: str) -> re.Pattern:
     """``*`` and ``?`` as a regular expression over the whole text, without regard to case; nothing else is special."""
     parts = {"*": ".*", "?": "."}
     return re.compile("".join(parts.get(c, re.escape(c)) for c in pattern), re.DOTALL | re.IGNORECASE)
 
 
-class FolderReader(DataSourceReader):
-    """Walks folders. The driver opens the upper levels, until there are enough folders to share out, and a task walks
-    each of those to its end. Symbolic links are named but not entered by default; a link to a folder above is not
-    entered in any case."""
-
-    def __init__(self, options: dict[str, str]):
-        self.roots = [r for r in options.get("path", "").split(os.pathsep) if r]
-        self.follow = options.get("followlinks", options.get("followLinks", "false")).lower() == "true"
-        self.exclude = [(p, wildcard(p)) for p in options.get("exclude", "").split(",") if p]
-        self.enough = int(options.get("partitions", "64"))
-
-    def partitions(self) -> list[InputPartition]:
-        rows, level = [], []
-        for root in self.roots:
-            if os.path.isdir(root):
-                rows.append((0, None, root, True, None, 0, 0, root, 0, "dir"))
-                level.append((root, 0, frozenset([self.identity(root)])))
-        for _ in range(8):
-            if not level or len(level) >= self.enough:
-                break
-            level = [top for folder in level for top in self.step(folder, rows)]
-        return [Folders([], rows), *(Folders([top], []) for top in level)]
-
-    @staticmethod
-    def identity(path: str) -> tuple[int, int]:
-        s = os.stat(path)
-        return s.st_dev, s.st_ino
-
-    def excluded(self, name: str, path: str) -> bool:
-        for p, glob in self.exclude:
-            if "/" in p or "\\" in p:
-                if p in path or ("*" in p or "?" in p) and glob.fullmatch(path):
-                    return True
-            elif glob.fullmatch(name):
+def excludes(patterns: list[str]):
+    """A test of (name, path): patterns with a separator look at the path, others at the name."""
+    made = [(p, wildcard(p), "/" in p or "\\" in p) for p in patterns if p]
+
+    def test(name: str, path: str) -> bool:
+        for p, glob, whole in made:
+            if whole and (p in path or ("*" in p or "?" in p) and glob.fullmatch(path)) or not whole and glob.fullmatch(name):
                 return True
         return False
 
-    def step(self, folder: tuple[str, int, frozenset], rows: list[tuple]) -> list[tuple[str, int, frozenset]]:
-        """Adds a row for each entry of a folder; gives the folders in it that are to be walked."""
-        path, depth, above = folder
-        below = []
-        try:
-            entries = sorted(os.scandir(path), key=lambda e: e.name)
-        except OSError:
-            rows.append((0, path, "", True, None, 0, 0, path, depth, "error"))
-            return below
-        for e in entries:
-            if self.excluded(e.name, e.path):
-                rows.append((0, path, e.name, False, None, 0, 0, e.path, depth + 1, "skipped"))
-                continue
-            kind = "file"
-            try:
-                s = e.stat(follow_symlinks=self.follow)
-                is_dir = stat.S_ISDIR(s.st_mode)
-                size, mtime, ino = None if is_dir else s.st_size, int(s.st_mtime), s.st_ino
-                if is_dir:
-                    kind = "dir"
-                    if (s.st_dev, ino) not in above:
-                        below.append((e.path, depth + 1, above | {(s.st_dev, ino)}))
-            except OSError:
-                is_dir, size, mtime, ino = False, None, 0, 0
-            rows.append((0, path, e.name, is_dir, size, mtime, ino, e.path, depth + 1, kind))
-        return below
-
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        yield from partition.rows
-        open_ = list(partition.tops)
-        while open_:
-            rows: list[tuple] = []
-            open_ += self.step(open_.pop(), rows)
-            yield from rows
-
-
-class FolderSource(DataSource):
-    """``spark.read.format("folders").load("/a:/b")``: rows of files and folders, roots included.
-
-    ``kind`` is file, dir, skipped (excluded; what is below is not visited) or error (a folder that cannot be read,
-    beside its own row). Options: followLinks (default false), exclude (patterns joined by commas), partitions (how
-    many folders to share out at least, where there are so many). A root that is not there gives no rows; several
-    roots are not compared with each other.
-    """
+    return test
+
 
-    @classmethod
-    def name(cls) -> str:
-        return "folders"
+def told(text: str | None) -> str | None:
+    """A name as text; bytes that are no UTF-8 are replaced."""
+    return text and text.encode("utf-8", "surrogateescape").decode("utf-8", "replace")
 
-    def schema(self) -> str:
-        return SCHEMA
 
-    def reader(self, schema) -> DataSourceReader:
-        return FolderReader(dict(self.options))
+class Lister:
+    """Lists folders one after the other; rows leave in batches, whatever a folder's size."""
+
+    def __init__(self, patterns: list[str], follow: bool, budget: int):
+        self.excluded, self.follow, self.budget = excludes(patterns), follow, budget
+        self.rows: list[tuple] = []
+
+    def drain(self) -> pa.RecordBatch:
+        columns = list(zip(*self.rows)) or [()] * 8
+        self.rows = []
+        kinds = [pa.string(), pa.string(), pa.bool_(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.list_(pa.string())]
+        names = [c.split()[0] for c in ENTRY.split(", ")] + ["above"]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=names)
+
+    def add(self, parent, name, is_dir, path, depth, kind, error=None, above=None) -> None:
+        self.rows.append((told(parent), told(name), is_dir, told(path), depth, kind, told(error), above))
+
+    def identity(self, path: str) -> str:
+        s = os.stat(path)
+        return f"{s.st_dev}:{s.st_ino}"
+
+    def root(self, path: str) -> list[tuple]:
+        """A root's own row, or the error that it is not there; the folder to list."""
+        try:
+            is_dir = stat.S_ISDIR(os.stat(path).st_mode)
+            above = [self.identity(path)] if self.follow and is_dir else []
+        except (OSError, ValueError) as e:
+            self.add(None, path, False, path, 0, "error", str(e))
+            return []
+        self.add(None, path, is_dir, path, 0, "dir" if is_dir else "file")
+        return [(path, 0, above)] if is_dir else []
+
+    def entry(self, e: os.DirEntry, folder: str, depth: int, above: list[str]) -> list[tuple]:
+        if self.excluded(e.name, e.path):
+            self.add(folder, e.name, False, e.path, depth, "skipped")
+            return []
+        try:
+            is_dir = e.is_dir(follow_symlinks=self.follow)
+            if self.follow and e.is_symlink():
+                os.stat(e.path)  # a link that leads nowhere is an error
+            own = [self.identity(e.path)] if self.follow and is_dir else []
+        except OSError as x:
+            self.add(folder, e.name, False, e.path, depth, "error", str(x))
+            return []
+        if own and own[0] in above:
+            self.add(folder, e.name, True, e.path, depth, "error", f"{e.path}: leads back to a folder above")
+            return []
+        self.add(folder, e.name, is_dir, e.path, depth, "dir" if is_dir else "file")
+        return [(e.path, depth, above + own)] if is_dir else []
+
+    def __call__(self, batches):
+        met = 0
+        for batch in batches:
+            for row in batch.to_pylist():
+                todo = [(row["path"], row["depth"], row["above"] or [])] if row["kind"] == "open" else self.root(row["path"])
+                while todo:
+                    path, depth, above = todo.pop()
+                    if met >= self.budget and told(path) == path:  # a name that is no text stays with this task
+                        self.add(None, None, True, path, depth, "open", above=above)
+                        continue
+                    met += 1
+                    try:
+                        with os.scandir(path) as entries:
+                            for e in entries:
+                                met += 1
+                                todo += self.entry(e, path, depth + 1, above)
+                                if len(self.rows) >= 4096:
+                                    yield self.drain()
+                    except OSError as x:
+                        self.add(path, "", True, path, depth, "error", str(x))
+        yield self.drain()
+
+
+def names(spark: SparkSession, roots: list[str], exclude: list[str] = (), follow_links: bool = False, first: int = FIRST_BUDGET, budget: int = BUDGET) -> DataFrame:
+    """(parent, name, is_dir, path, depth, kind, error) of all entries of a scan, without sizes and times.
+
+    ``kind`` is file, dir, skipped (excluded; what is below is not visited) or error: a root that is not there, a folder
+    that cannot be read (beside its own row), and where links are followed one that leads nowhere or to a folder above.
+    Roots are not compared with each other.
+    """
+    at, turn = scratch(spark, "names"), 0
+    open_ = spark.createDataFrame([(r, 0, "root", []) for r in roots], "path string, depth int, kind string, above array<string>")
+    tasks = 4 * spark.sparkContext.defaultParallelism
+    while True:
+        lister = Lister(list(exclude), follow_links, budget if turn else first)
+        found = open_.select("path", "depth", "kind", "above").repartition(tasks).mapInArrow(lister, ENTRY + ", above array<string>")
+        found.write.parquet(f"{at}/round={turn}")
+        open_ = spark.read.parquet(f"{at}/round={turn}").filter("kind = 'open'")
+        turn += 1
+        if not open_.limit(1).count():
+            break
+    return spark.read.parquet(at).filter("kind != 'open'").drop("above", "round")
+
+
+def filled(rows: DataFrame, follow_links: bool = False, looked_up: Accumulator | None = None) -> DataFrame:
+    """``rows`` of ``names`` with idx, size, mtime and file_id; a row whose metadata cannot be read stays, with an error.
+
+    Rows are dealt out evenly, so a large folder is shared by many tasks; each task goes through its rows by folder.
+    ``looked_up`` counts the look-ups.
+    """
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for path, kind in zip(batch["path"].to_pylist(), batch["kind"].to_pylist()):
+                size, mtime, ino, error = None, 0, 0, None
+                if kind in ("file", "dir"):
+                    if looked_up is not None:
+                        looked_up.add(1)
+                    try:
+                        s = os.stat(path, follow_symlinks=follow_links)
+                        size, mtime, ino = None if kind == "dir" else s.st_size, int(s.st_mtime), s.st_ino
+                    except (OSError, ValueError) as e:
+                        error = str(e)
+                out.append((size, mtime, ino, error))
+            columns = list(zip(*out)) or [()] * 4
+            made = [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.string()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, "size", "mtime", "file_id", "_failed"])
+
+    plain = rows.drop("idx", "size", "mtime", "file_id")
+    dealt = plain.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism).sortWithinPartitions("parent")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema) + ", size long, mtime long, file_id long, _failed string"
+    done = dealt.mapInArrow(run, schema).withColumn("error", F.coalesce("error", "_failed")).drop("_failed")
+    return done.withColumn("idx", F.xxhash64("path"))
 
 
 def scanned(spark: SparkSession, roots: list[str], exclude: list[str] = (), follow_links: bool = False) -> DataFrame:
-    """All rows of a scan, those of skipped entries and of errors too."""
-    spark.dataSource.register(FolderSource)
-    rows = spark.read.format("folders").option("exclude", ",".join(exclude)).option("followLinks", str(follow_links)).load(os.pathsep.join(roots))
-    return rows.withColumn("idx", F.xxhash64("path"))
+    """All rows of a scan with their metadata, those of skipped entries and of errors too; looked up once."""
+    return cut(filled(names(spark, roots, exclude, follow_links), follow_links))
 
 
 def folders(spark: SparkSession, roots: list[str], exclude: list[str] = (), follow_links: bool = False) -> DataFrame:
     """Files and folders of a scan; ``tree.DEFAULT_EXCLUDES`` are the usual exclusions."""
-    return scanned(spark, roots, exclude, follow_links).filter("kind in ('file', 'dir')").drop("kind")
+    return scanned(spark, roots, exclude, follow_links).filter("kind in ('file', 'dir')").drop("kind", "error")
 
 
 def scan_counts(rows: DataFrame) -> DataFrame:
-    """One row: files, dirs (without the roots), skipped, errors of ``scanned``; of journal records, orphans are counted by
-    ``tree.orphans``."""
-    kinds = {"files": "file", "dirs": "dir", "skipped": "skipped", "errors": "error"}
-    return rows.agg(*(F.count_if((F.col("kind") == k) & ((F.col("depth") > 0) | F.lit(k == "error"))).alias(name) for name, k in kinds.items()))
+    """One row: files, dirs (roots too), skipped, errors of ``scanned``: what could not be listed, and every row whose
+    metadata could not be read. Of journal records, orphans are counted by ``tree.orphans``."""
+    kinds = {"files": "file", "dirs": "dir", "skipped": "skipped"}
+    return rows.agg(*(F.count_if(F.col("kind") == k).alias(name) for name, k in kinds.items()), F.count_if(F.col("error").isNotNull()).alias("errors"))
 
 
 def contents(spark: SparkSession, rows: DataFrame) -> DataFrame:
-    """(idx, content) of the given files only, opened by path where the task runs; what cannot be read has no row."""
+    """(idx, content) of the given files only, opened by path where the task runs; what cannot be read has no row.
+
+    For small files that are wanted as bytes; hashes of files of any size come from ``hashing.PathContents``.
+    """
 
     def run(batches):
         for batch in batches:

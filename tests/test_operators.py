@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quarrykit.operators import dup, hashing, numbering, papers, report, search, tree, usage
+from quarrykit.operators import dup, folder_search, hashing, numbering, papers, report, search, tree, usage
 from quarrykit.sources import listing, store, usn
 
 DAY = 86400
@@ -467,25 +467,87 @@ def test_reports_of_papers(spark, tmp_path):
 # ---- folders
 
 
+def planted(top, names):
+    for name in names:
+        (top / name).parent.mkdir(parents=True, exist_ok=True)
+        (top / name).write_text(name)
+
+
 def test_folder_scan(spark, tmp_path):
-    for name in ("top.md", "src/deep/er/a[1].c", "src/a1.c", "skip/inner/b.c", "빈/c.txt"):
-        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
-        (tmp_path / name).write_text(name)
+    planted(tmp_path, ["top.md", "src/deep/er/a[1].c", "src/a1.c", "skip/inner/b.c", "빈/c.txt"])
     os.symlink(tmp_path / "src", tmp_path / "src/deep/again")
     here = str(tmp_path)
     walk = lambda **o: {os.path.relpath(r.path, here) for r in listing.folders(spark, [here], **o).collect()}
     whole = {".", "top.md", "src", "src/a1.c", "src/deep", "src/deep/again", "src/deep/er", "src/deep/er/a[1].c", "skip", "skip/inner", "skip/inner/b.c", "빈", "빈/c.txt"}
     assert walk() == whole
     assert walk(exclude=["SKIP", "*[1].c", "src/deep/er"]) == {x for x in whole if not x.startswith("skip") and not x.startswith("src/deep/er")}
-    assert walk(follow_links=True) == whole  # a link to a folder above is not entered
+    assert walk(follow_links=True) == whole - {"src/deep/again"}  # a link to a folder above is an error
     counts = listing.scan_counts(listing.scanned(spark, [here], exclude=["skip", "?1.c"])).first()
-    assert tuple(counts) == (4, 4, 2, 0)
-    assert listing.folders(spark, [here + "/none"]).count() == 0
-    assert len(listing.FolderReader({"path": here, "partitions": "2"}).partitions()) > 2
+    assert tuple(counts) == (4, 5, 2, 0)
+    rows = {r.path: r for r in listing.folders(spark, [here]).collect()}
+    top = os.stat(tmp_path / "top.md")
+    assert (rows[f"{here}/top.md"].size, rows[f"{here}/top.md"].mtime, rows[f"{here}/top.md"].file_id) == (top.st_size, int(top.st_mtime), top.st_ino)
+    assert rows[f"{here}/src"].size is None and rows[f"{here}/src"].mtime > 0 and rows[here].parent is None and rows[here].name == here
     os.unlink(tmp_path / "src/deep/again")  # Spark's own listing follows every link
     assert listing.spark_listing(spark, here).filter("not is_dir").count() == 5
-    rows = listing.folders(spark, [here]).filter("name like '%.c'")
-    assert {bytes(r.content).decode() for r in listing.contents(spark, rows).collect()} == {"src/deep/er/a[1].c", "src/a1.c", "skip/inner/b.c"}
+    some = listing.folders(spark, [here]).filter("name like '%.c'")
+    assert {bytes(r.content).decode() for r in listing.contents(spark, some).collect()} == {"src/deep/er/a[1].c", "src/a1.c", "skip/inner/b.c"}
+
+
+def test_flat_deep_and_wide_trees_equal_a_plain_walk(spark, tmp_path):
+    g = random.Random(3)
+    planted(tmp_path, [f"flat/f{k}" for k in range(3000)] + ["deep/" + "/".join(["d"] * 120) + "/x"])
+    planted(tmp_path, ["wide/" + "/".join(str(g.randrange(6)) for _ in range(g.randint(1, 5))) + f"/n{k}" for k in range(400)])
+    want = {(str(tmp_path), True)}
+    for at, below, files in os.walk(tmp_path):
+        want |= {(f"{at}/{n}", True) for n in below} | {(f"{at}/{n}", False) for n in files}
+    for first, budget in ((listing.FIRST_BUDGET, listing.BUDGET), (1, 40)):  # in few rounds, and in many
+        rows = listing.names(spark, [str(tmp_path)], first=first, budget=budget).collect()
+        assert len(rows) == len(want) and {(r.path, r.is_dir) for r in rows} == want
+        assert all(r.depth == len(os.path.relpath(r.path, tmp_path).split("/")) for r in rows if r.parent) and not any(r.error for r in rows)
+    both = listing.names(spark, [str(tmp_path / "deep"), str(tmp_path / "deep")])  # roots are not compared
+    assert both.count() == 2 * 122
+
+
+def test_errors_of_a_scan_are_counted(spark, tmp_path):
+    planted(tmp_path, ["a/b.txt", "c.txt"])
+    os.symlink("nowhere", tmp_path / "broken")
+    os.symlink(tmp_path / "a", tmp_path / "a" / "up")
+    os.mkdir(os.fsencode(str(tmp_path)) + b"/\xff\xfe")
+    open(os.fsencode(str(tmp_path)) + b"/\xff\xfe/in.txt", "w").close()
+    here = str(tmp_path)
+    counts = lambda roots, **o: tuple(listing.scan_counts(listing.scanned(spark, roots, **o)).first())
+    assert counts([here + "/none"]) == (0, 0, 0, 1) and listing.folders(spark, [here + "/none"]).count() == 0
+    assert counts([here + "/c.txt"]) == (1, 0, 0, 0)
+    # what is no UTF-8 is listed by a name that leads nowhere: its folder's and its file's metadata fail
+    assert counts([here, here + "/none"]) == (5, 3, 0, 1 + 2)
+    assert counts([here], follow_links=True) == (3, 3, 0, 2 + 2)  # the broken link, and the one that leads back
+    named = listing.cut(listing.names(spark, [here]))
+    os.unlink(tmp_path / "a/b.txt")
+    row = listing.filled(named).filter("name = 'b.txt'").first()
+    assert row.size is None and row.mtime == 0 and "No such file" in row.error
+    assert listing.filled(named).count() == named.count()
+
+
+def test_names_first_and_metadata_later(spark, tmp_path):
+    planted(tmp_path, [f"docs/report{k}.txt" for k in range(30)] + [f"docs/{k}.bin" for k in range(20)] + ["big.txt"])
+    (tmp_path / "big.txt").write_bytes(b"z" * 5000)
+    none, here = spark.createDataFrame([], store.USAGE), [str(tmp_path)]
+
+    def found(query, **options):
+        seen = spark.sparkContext.accumulator(0)
+        rows = folder_search.find(spark, here, query, none, looked_up=seen, **options).collect()
+        whole = search.search(listing.folders(spark, here), query, none, hashing.PathContents(), **options).collect()
+        assert [(r.path, r.size, r.mtime, r.score) for r in rows] == [(r.path, r.size, r.mtime, r.score) for r in whole]
+        return seen.value, len(rows)
+
+    assert found("report ext:txt", limit=5) == (5, 5)  # just what is shown
+    assert found("nothing_like_it", limit=0) == (0, 0)
+    assert found("ext:txt size:>1kb", limit=0) == (31, 1)  # only what the name leaves
+    assert found("bin dup:", limit=0)[0] == 20
+    assert found("folder:", sort="date", limit=0) == (1, 1)
+    seen = spark.sparkContext.accumulator(0)
+    assert listing.names(spark, here).filter("name like 'report%'").count() == 30 and seen.value == 0
 
 
 def test_paper_files(spark, tmp_path):

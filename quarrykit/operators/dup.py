@@ -8,7 +8,7 @@ that the cache does not know.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from quarrykit.functions.text import family_key, normalize_key
@@ -25,13 +25,24 @@ def same_size(files: DataFrame, min_size: int = 1) -> DataFrame:
     return known.join(sizes, "size", "left_semi")
 
 
-def with_quick(survivors: DataFrame, contents: Contents) -> DataFrame:
-    """Survivors of stage 1 with ``quick``, null where the content cannot be read, the bytes read, and the error."""
+def watched(rows: DataFrame, by: Observation | None, hash_: str, n: str) -> DataFrame:
+    """``rows``, which tell ``by`` when they are computed: files, bytes read, and errors."""
+    if by is None:
+        return rows
+    return rows.observe(by, F.count(F.lit(1)).alias("files"), F.coalesce(F.sum(n), F.lit(0)).alias("bytes"), F.count_if(F.col(hash_).isNull()).alias("errors"))
+
+
+def with_quick(survivors: DataFrame, contents: Contents, counted: Observation | None = None) -> DataFrame:
+    """Survivors of stage 1 with ``quick``, null where the content cannot be read, the bytes read, and the error.
+
+    ``counted`` learns from the same job how many files were hashed, the bytes read and the errors.
+    """
     quick = contents_of(contents).quick(survivors)
     quick = quick.select(F.col("idx").alias("_idx"), F.col("hash").alias("quick"), F.col("bytes").alias("quick_bytes"), F.col("error").alias("quick_error"))
     rows = survivors.join(quick, F.col("idx") == F.col("_idx"), "left").drop("_idx")
     why = F.when(F.col("quick").isNull(), F.coalesce("quick_error", F.concat("path", F.lit(": no content"))))
-    return cut(rows.withColumns({"quick_bytes": F.coalesce("quick_bytes", F.lit(0)), "quick_error": why}))
+    rows = rows.withColumns({"quick_bytes": F.coalesce("quick_bytes", F.lit(0)), "quick_error": why})
+    return cut(watched(rows, counted, "quick", "quick_bytes"))
 
 
 def same_prefix(quick: DataFrame) -> DataFrame:
@@ -48,7 +59,7 @@ def with_cache(survivors: DataFrame, cache: DataFrame, key: Column) -> DataFrame
     return survivors.join(known, same, "left").drop("_key", "_size", "_mtime")
 
 
-def with_full(second: DataFrame, contents: Contents, cache: DataFrame | None = None) -> DataFrame:
+def with_full(second: DataFrame, contents: Contents, cache: DataFrame | None = None, counted: Observation | None = None) -> DataFrame:
     """Survivors of stage 2 with ``cached`` and ``hash``, and of those hashed whole the bytes read and the error.
 
     Up to 16 KiB the quick hash has seen all. Of larger files the cache is asked first; what it does not know is
@@ -60,7 +71,7 @@ def with_full(second: DataFrame, contents: Contents, cache: DataFrame | None = N
         rows = with_cache(second, cache, normalize_key(F.col("path")))
     rows = cut(rows.withColumn("cached", F.when(F.col("size") > PREFIX, F.col("cached"))))
     wanted = rows.filter((F.col("size") > PREFIX) & F.col("cached").isNull())
-    full = contents_of(contents).whole(wanted)
+    full = watched(contents_of(contents).whole(wanted), counted, "hash", "bytes")
     full = full.select(F.col("idx").alias("_idx"), F.col("hash").alias("_full"), F.col("bytes").alias("full_bytes"), F.col("error").alias("full_error"))
     known = rows.join(full, F.col("idx") == F.col("_idx"), "left").withColumn("full_bytes", F.coalesce("full_bytes", F.lit(0)))
     hash_ = F.when(F.col("size") <= PREFIX, F.col("quick")).otherwise(F.coalesce("cached", "_full"))

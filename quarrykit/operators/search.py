@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from quarrykit.functions.text import decayed, human, normalize_key
@@ -51,9 +51,15 @@ def hits(files: DataFrame, query: Query | str, usage: DataFrame, content: DataFr
     return marked.filter(predicate(query.parted("dup")[0]))
 
 
-def search(files: DataFrame, query: Query | str, usage: DataFrame, content: DataFrame | None = None, sort: str = "freq", limit: int = 50, now: int = 0, half_life_days: float = 30.0) -> DataFrame:
-    """The first ``limit`` matches (0: all) in order."""
-    out = hits(files, query, usage, content, now, half_life_days).orderBy(*order_by(sort))
+def search(files: DataFrame, query: Query | str, usage: DataFrame, content: DataFrame | None = None, sort: str = "freq", limit: int = 50, now: int = 0, half_life_days: float = 30.0, counted: Observation | None = None) -> DataFrame:
+    """The first ``limit`` matches (0: all) in order.
+
+    ``counted`` learns, from the job that reads the result, how many there are before the limit: its ``total``.
+    """
+    found = hits(files, query, usage, content, now, half_life_days)
+    if counted is not None:
+        found = found.observe(counted, F.count(F.lit(1)).alias("total"))
+    out = found.orderBy(*order_by(sort))
     return out.limit(limit) if limit else out
 
 

@@ -58,15 +58,36 @@ def orphans(raw: DataFrame, placed: DataFrame, roots: DataFrame) -> DataFrame:
     return raw.select("file_id").distinct().join(placed.select("file_id"), "file_id", "left_anti").join(roots.select("file_id"), "file_id", "left_anti")
 
 
-def paths_recursive(spark, nodes_view: str, roots_view: str) -> DataFrame:
-    """The same by a recursive query, for small shallow trees: Spark stops it at 100 levels and 1,000,000 rows by default."""
-    return spark.sql(f"""
-        WITH RECURSIVE tree(file_id, path, depth) AS (
-          SELECT file_id, path, 0 FROM {roots_view}
-          UNION ALL
-          SELECT n.file_id, concat(t.path, CASE WHEN endswith(t.path, '/') THEN '' ELSE '/' END, n.name), t.depth + 1
-          FROM {nodes_view} n JOIN tree t ON n.parent_id = t.file_id
-        ) SELECT file_id, path, depth FROM tree""")
+def orphan_reasons(raw: DataFrame, roots: DataFrame, deepest: int | None = None) -> DataFrame:
+    """(file_id, reason, length, missing) of every node without a chain of parents to a root.
+
+    reason ``missing``: the chain ends at a parent that is not there, ``missing``; length counts the nodes from this one
+    to the last one that is. ``cycle``: the chain never ends; length and missing are null. With ``deepest`` also
+    ``deep``: the chain has more than so many nodes, this one included, before its root.
+
+    Each round doubles how far every open node sees. Above a node whose chain ends late are nodes whose chains end
+    earlier, so once no chain ends in a round, what is open is on a cycle or leads to one.
+    """
+    one = raw.groupBy("file_id").agg(F.min(F.struct("parent_id", "name", "is_dir")).alias("r")).select("file_id", F.col("r.parent_id").alias("up"))
+    nodes = one.join(roots.select("file_id"), "file_id", "left_anti")
+    tops = roots.select(F.col("file_id").alias("_top"))
+    known = nodes.select(F.col("file_id").alias("_known"))
+    ends = nodes.join(tops, F.col("up") == F.col("_top"), "left").join(known, F.col("up") == F.col("_known"), "left")
+    kind = F.when(F.col("_top").isNotNull(), "root").when(F.col("_known").isNull(), "missing")
+    state = cut(ends.select("file_id", "up", kind.alias("end"), F.lit(1).cast("long").alias("length")))
+    before, left = None, state.filter("end is null").count()
+    while left and left != before:
+        open_, done = state.filter("end is null"), state.filter("end is not null")
+        step = state.select(F.col("file_id").alias("_id"), F.col("up").alias("_up"), F.col("end").alias("_end"), F.col("length").alias("_length"))
+        moved = open_.join(step, F.col("up") == F.col("_id")).select("file_id", F.col("_up").alias("up"), F.col("_end").alias("end"), (F.col("length") + F.col("_length")).alias("length"))
+        state = cut(done.unionByName(moved))
+        before, left = left, state.filter("end is null").count()
+    lost = F.col("end") == "missing"
+    reason = F.when(lost, "missing").when(F.col("end").isNull(), "cycle")
+    if deepest is not None:
+        reason = reason.when(F.col("length") > deepest, "deep")
+    out = state.select("file_id", reason.alias("reason"), F.when(F.col("end").isNotNull(), F.col("length")).alias("length"), F.when(lost, F.col("up")).alias("missing"))
+    return out.filter("reason is not null")
 
 
 def volumes(parts: list[DataFrame]) -> DataFrame:
@@ -135,6 +156,11 @@ def skipped(files: DataFrame, patterns: list[str]) -> DataFrame:
     return hit.join(held, "idx", "left_anti")
 
 
-def stats(files: DataFrame) -> DataFrame:
-    """One row: entries, files, bytes of names, bytes of fixed records (36 each)."""
-    return files.agg(F.count("*").alias("entries"), F.count_if(~F.col("is_dir")).alias("files"), F.sum(F.octet_length("name")).cast("long").alias("name_bytes"), (36 * F.count("*")).alias("record_bytes"))
+def stats(files: DataFrame, usage: DataFrame | None = None, cache: DataFrame | None = None) -> DataFrame:
+    """One row: entries, files, bytes of names, bytes of fixed records (36 each); with a usage state and a hash cache
+    also how many paths and hashes these know."""
+    out = files.agg(F.count("*").alias("entries"), F.count_if(~F.col("is_dir")).alias("files"), F.coalesce(F.sum(F.octet_length("name")), F.lit(0)).cast("long").alias("name_bytes"), (36 * F.count("*")).alias("record_bytes"))
+    for table, name in ((usage, "usage_paths"), (cache, "cached_hashes")):
+        if table is not None:  # one row each
+            out = out.withColumn("_one", F.lit(1)).join(table.agg(F.count("*").alias(name)).withColumn("_one", F.lit(1)), "_one").drop("_one")
+    return out

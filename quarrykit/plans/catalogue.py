@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrykit.functions import text as fn
-from quarrykit.operators import dup, papers, search, tree, usage
+from quarrykit.operators import dup, node_search, papers, search, tree, usage
 from quarrykit.plans.query import parse
 from quarrykit.sources import usn, views
 
@@ -367,6 +367,45 @@ def _(spark, d):
     return tree.orphans(raw, tree.resolve(raw, tops), tops)
 
 
+SIZED = r"""sized AS (
+  SELECT file_id, path, depth, split_part(path, '/', -1) AS name, depth = 1 AS is_dir,
+    CASE WHEN depth > 1 THEN (file_id & 4294967295) * 37 % 5000 END AS size FROM placed WHERE depth > 0)"""
+
+
+@register("search_unresolved", rf"""WITH RECURSIVE {NODES}, {SIZED} SELECT file_id, path, size FROM sized
+  WHERE contains({FOLD.format('name')}, '#0000') AND size > 2048 AND NOT {FOLD.format('name')} LIKE '%7' AND contains({FOLD.format('path')}, '/asia/')
+  ORDER BY path, file_id LIMIT 40""")
+def _(spark, d):
+    found = node_search.search_nodes(views.sized_nodes(spark, d), views.roots(spark, d), "#0000 size:>2kb !*7 path:/asia/", state(spark, d).limit(0), limit=40, now=NOW)
+    return found.select("file_id", "path", "size")
+
+
+@register("search_unresolved_folders", rf"WITH RECURSIVE {NODES}, {SIZED} SELECT file_id, path FROM sized WHERE is_dir AND contains({FOLD.format('name')}, 'n_1') ORDER BY {FOLD.format('name')}, file_id")
+def _(spark, d):
+    found = node_search.search_nodes(views.sized_nodes(spark, d), views.roots(spark, d), "folder: n_1", state(spark, d).limit(0), sort="name", limit=0, now=NOW)
+    return found.select("file_id", "path")
+
+
+@register("orphan_reasons", r"""WITH RECURSIVE nodes AS (
+  SELECT (1::BIGINT << 57) | n_nationkey AS file_id, (1::BIGINT << 56) | n_regionkey AS parent_id FROM nation
+  UNION ALL SELECT (3::BIGINT << 56) | c_custkey, (1::BIGINT << 57) | c_nationkey FROM customer
+  UNION ALL SELECT (1::BIGINT << 58) | s_suppkey, (1::BIGINT << 57) | (CASE WHEN s_suppkey % 7 = 0 THEN 999 ELSE s_nationkey END) FROM supplier
+  UNION ALL SELECT (5::BIGINT << 56) | p_partkey, CASE WHEN p_partkey % 10 < 9 THEN (5::BIGINT << 56) | (p_partkey + 1) WHEN p_partkey // 10 % 3 = 0 THEN (5::BIGINT << 56) | (p_partkey // 10 * 10)
+    WHEN p_partkey // 10 % 3 = 1 THEN (6::BIGINT << 56) | p_partkey ELSE (1::BIGINT << 57) | (p_partkey // 10 % 25) END FROM part
+), tops AS (SELECT (1::BIGINT << 56) | r_regionkey AS file_id FROM region
+), ups(file_id, up, length) AS (
+  SELECT file_id, parent_id, 1 FROM nodes UNION ALL SELECT u.file_id, n.parent_id, u.length + 1 FROM ups u JOIN nodes n ON n.file_id = u.up WHERE u.length < 40
+), ends AS (
+  SELECT u.file_id, u.up, u.length, t.file_id IS NOT NULL AS root, n.file_id IS NULL AND t.file_id IS NULL AS missing
+  FROM ups u LEFT JOIN tops t ON t.file_id = u.up LEFT JOIN nodes n ON n.file_id = u.up
+)
+SELECT file_id, CASE WHEN bool_or(missing) THEN 'missing' WHEN bool_or(root) THEN 'deep' ELSE 'cycle' END AS reason,
+  CAST(max(length) FILTER (missing OR root) AS BIGINT) AS length, max(up) FILTER (missing) AS missing
+FROM ends GROUP BY file_id HAVING NOT bool_or(root) OR max(length) FILTER (root) > 8""")
+def _(spark, d):
+    return tree.orphan_reasons(views.broken_nodes(spark, d), views.roots(spark, d), deepest=8)
+
+
 @register("volumes_union", "SELECT ((1::BIGINT << 56) | n_nationkey) AS file_id, n_name AS name FROM nation UNION ALL SELECT ((1::BIGINT << 57) | r_regionkey), r_name FROM region")
 def _(spark, d):
     n = views.table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("file_id"), F.lit(0).cast("long").alias("parent_id"), F.col("n_name").alias("name"))
@@ -392,6 +431,13 @@ def _(spark, d):
     return tree.skipped(views.tree(spark, d), ["SRC1", "*.de"]).select("path")
 
 
+@register("index_stats_stores", rf"""WITH {FILES}, {TREE}, {usage_sql()} SELECT count(*)::BIGINT AS entries, (count(*) FILTER (NOT is_dir))::BIGINT AS files, sum(strlen(name))::BIGINT AS name_bytes,
+  (36 * count(*))::BIGINT AS record_bytes, (SELECT count(*) FROM usage)::BIGINT AS usage_paths, (SELECT count(*) FROM files WHERE size > 16384)::BIGINT AS cached_hashes FROM tree""")
+def _(spark, d):
+    known = views.files(spark, d).filter("size > 16384").select(F.col("path").alias("key"), "size", "mtime", F.lit("").alias("full"))
+    return tree.stats(views.tree(spark, d), state(spark, d), known)
+
+
 @register("index_stats", f"WITH {FILES}, {TREE} SELECT count(*)::BIGINT AS entries, (count(*) FILTER (NOT is_dir))::BIGINT AS files, sum(strlen(name))::BIGINT AS name_bytes, (36 * count(*))::BIGINT AS record_bytes FROM tree")
 def _(spark, d):
     return tree.stats(views.tree(spark, d))

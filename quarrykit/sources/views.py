@@ -78,10 +78,30 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.unionByName(c).unionByName(s)
 
 
+def sized_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``nodes``, the files among them with a size and a time."""
+    key = F.col("file_id").bitwiseAND(F.lit((1 << 32) - 1))
+    return nodes(spark, sf_dir).withColumns({"size": F.when(~F.col("is_dir"), key * 37 % 5000), "mtime": F.when(F.col("is_dir"), F.lit(0)).otherwise(NOW - key * 60)})
+
+
+def broken_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``nodes`` and the parts, ten in a row: each part's parent is the next one. The last of ten has its first one as
+    parent (a cycle), one that is not there, or a nation, by turns."""
+    key, row = F.col("p_partkey").cast("long"), F.floor(F.col("p_partkey") / 10)
+    last = F.when(row % 3 == 0, _id(5, row * 10)).when(row % 3 == 1, _id(6, key)).otherwise(_id(2, row % 25))
+    up = F.when(key % 10 < 9, _id(5, key + 1)).otherwise(last)
+    parts = table(spark, sf_dir, "part").select(_id(5, key).alias("file_id"), up.alias("parent_id"), F.col("p_name").alias("name"), F.lit(False).alias("is_dir"))
+    return nodes(spark, sf_dir).unionByName(parts)
+
+
 def roots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "region").select(_tag(1, "r_regionkey"), F.concat(F.lit("/"), F.col("r_name")).alias("path"))
 
 
+def _id(kind: int, key: Column) -> Column:
+    return key.cast("long").bitwiseOR(F.shiftleft(F.lit(kind).cast("long"), 56))
+
+
 def _tag(kind: int, c: str):
     return F.col(c).cast("long").bitwiseOR(F.shiftleft(F.lit(kind).cast("long"), 56)).alias("file_id")
 

@@ -7,7 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quarrykit.operators import dup, folder_search, hashing, numbering, papers, report, search, tree, usage
+from quarrykit.operators import dup, folder_search, hashing, node_search, numbering, papers, report, search, tree, usage
+from quarrykit.plans.query import parse
 from quarrykit.sources import listing, store, usn
 
 DAY = 86400
@@ -588,3 +589,93 @@ def test_stream(spark, tmp_path):
     last = {r.key: r["n"] for r in spark.sql("select key, max(count) n from live group by key").collect()}
     assert last == {"/now": 3, "/once": 1}
     assert usage_stream.expiry_seconds(1.0, 0, 1.0) == pytest.approx(9.9658 * DAY, rel=1e-4)
+
+
+# ---- nodes without paths
+
+
+def node_rows(spark, rows):
+    return spark.createDataFrame(rows, "file_id long, parent_id long, name string, is_dir boolean, size long, mtime long")
+
+
+def planted_nodes(g, n):
+    """A random tree below roots 1 and 2, with a chain of nine, orphans, a cycle, and ids that occur twice."""
+    rows = [(10 + k, g.choice([1, 2, *range(10, 10 + k)]), f"d{k}", True, None, 0) for k in range(40)]
+    rows += [(100 + k, g.choice([1, *range(10, 50)]), g.choice(["report", "Photo", "x"]) + f"{k}." + g.choice(["txt", "PDF", "jpg"]), False, g.randrange(5000), k) for k in range(n)]
+    rows += [(1000 + k, 999 + k if k else 2, f"c{k}", True, None, 0) for k in range(9)] + [(1100, 1008, "report_deep.txt", False, 3000, 1)]
+    rows += [(2000, 2001, "cyc", True, None, 0), (2001, 2000, "cyc2", True, None, 0), (2002, 2001, "report_lost.txt", False, 1, 1), (2003, 7777, "report_gone.txt", False, 1, 1)]
+    return rows + [(100, 9999, "zzz.txt", False, 4, 4), (1, 10, "report_root", True, None, 0)]
+
+
+def test_search_before_paths_equals_search_of_an_index(spark):
+    g = random.Random(4)
+    raw = node_rows(spark, planted_nodes(g, 150))
+    roots = spark.createDataFrame([(1, "/a"), (2, "C:\\")], "file_id long, path string")
+    placed = tree.resolve(raw, roots).select("file_id", "path")
+    # of two rows with one id, the smallest parent counts; the planted second row of 100 has a larger one
+    index = raw.filter("not (file_id = 100 and parent_id = 9999)").join(placed, "file_id").withColumns({"idx": F.col("file_id"), "parent": F.col("parent_id")})
+    log = spark.createDataFrame([(k, r.path, 100 + k) for k, r in enumerate(placed.orderBy("file_id").limit(80).collect())], "seq long, path string, ts long")
+    used = usage.fold(log)
+    for query, sort in (("report", "freq"), ("report ext:txt,pdf size:>1kb", "size"), ("!ext:jpg path:d1 rc:>0", "freq"), ("C:\\c0\\", "size"), ("", "freq"), ("no such name", "freq")):
+        got = [(r.path, r.size, r["count"]) for r in node_search.search_nodes(raw, roots, query, used, sort=sort, limit=25, now=500).collect()]
+        assert got == [(r.path, r.size, r["count"]) for r in search.search(index, query, used, sort=sort, limit=25, now=500).collect()], (query, sort)
+
+
+def test_only_what_is_above_a_survivor_is_resolved(spark):
+    g = random.Random(4)
+    raw = node_rows(spark, planted_nodes(g, 400))
+    roots = spark.createDataFrame([(1, "/a"), (2, "/b")], "file_id long, path string")
+    parent = {r.file_id: r.parent_id for r in raw.filter("parent_id != 9999 and file_id != 1").collect()}
+    for query in ("report_deep", "photo3 size:>1kb", "nothing"):
+        found = node_search.survivors(raw, roots, parse(query))
+        want = set()
+        for r in found.collect():
+            at = r.file_id
+            while at in parent and at not in want:
+                want.add(at)
+                at = parent[at]
+        got = [r.file_id for r in node_search.needed(raw, roots, found).collect()]
+        assert len(got) == len(set(got)) and set(got) == want and len(want) < 0.3 * raw.count()
+    assert node_search.needed(raw, roots, node_search.survivors(raw, roots, parse("report_lost"))).count() == 3  # a cycle ends
+
+
+def test_why_nodes_are_orphans(spark):
+    rows = [(10, 1, "a"), (11, 10, "b"), (12, 11, "c")]  # placed, three deep
+    rows += [(20, 99, "a"), (21, 20, "b"), (22, 21, "c"), (23, 22, "d"), (24, 22, "e")]  # below a missing parent
+    rows += [(30, 31, "x"), (31, 32, "y"), (32, 30, "z"), (33, 30, "w"), (34, 33, "v"), (35, 35, "own")]  # cycles and what leads there
+    rows += [(40 + k, 39 + k if k else 98, "l") for k in range(50)]
+    raw = spark.createDataFrame([(a, b, c, True) for a, b, c in rows], "file_id long, parent_id long, name string, is_dir boolean")
+    roots = spark.createDataFrame([(1, "/r")], "file_id long, path string")
+    got = {r.file_id: (r.reason, r.length, r.missing) for r in tree.orphan_reasons(raw, roots).collect()}
+    want = {20: ("missing", 1, 99), 21: ("missing", 2, 99), 22: ("missing", 3, 99), 23: ("missing", 4, 99), 24: ("missing", 4, 99)}
+    want |= {k: ("cycle", None, None) for k in range(30, 36)} | {40 + k: ("missing", k + 1, 98) for k in range(50)}
+    assert got == want
+    assert set(got) == {r.file_id for r in tree.orphans(raw, tree.resolve(raw, roots), roots).collect()}
+    deep = {r.file_id: r.length for r in tree.orphan_reasons(raw, roots, deepest=2).filter("reason = 'deep'").collect()}
+    assert deep == {12: 3} and tree.orphan_reasons(raw.limit(0), roots).count() == 0
+
+
+# ---- counters of the same job
+
+
+def test_a_search_counts_in_the_job_that_shows(spark, tmp_path):
+    from pyspark.sql import Observation
+
+    files = spark.range(500).select(F.col("id").alias("idx"), F.lit("/d").alias("parent"), F.concat(F.lit("f"), "id").alias("name"), F.lit(False).alias("is_dir"), F.col("id").alias("size"), F.lit(1).cast("long").alias("mtime"), F.col("id").alias("file_id"), F.concat(F.lit("/d/f"), "id").alias("path"))
+    files.write.parquet(str(tmp_path / "f"))
+    counted = Observation("search")
+    shown = search.search(spark.read.parquet(str(tmp_path / "f")), "f1 size:>100", spark.createDataFrame([], store.USAGE), sort="size", limit=7, counted=counted)
+    plan = shown._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "CollectMetrics" in plan
+    found = [k for k in range(101, 500) if "1" in str(k) and str(k).startswith("1")]
+    assert [r.size for r in shown.collect()] == found[::-1][:7] and counted.get["total"] == len(found)
+
+
+def test_hashing_counts_in_its_own_job(spark, tmp_path):
+    from pyspark.sql import Observation
+
+    files = on_disk(spark, tmp_path, [b"x" * 20_000] * 3 + [None, b"123456789", b"y" * 20_000])
+    first, whole = Observation("quick"), Observation("whole")
+    second = dup.with_full(dup.same_prefix(dup.with_quick(dup.same_size(files), hashing.PathContents(), first)), hashing.PathContents(), counted=whole)
+    assert first.get == {"files": 6, "bytes": 4 * dup.PREFIX + 9, "errors": 1} and whole.get == {"files": 3, "bytes": 60_000, "errors": 0}
+    assert second.count() == 3

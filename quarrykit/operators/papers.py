@@ -56,57 +56,82 @@ def after(text: Column, pattern: str) -> Column:
 def read_once(own: Column, item: str) -> Column:
     """Each line with its number and words, its letter and sub-item, so that the folds match no pattern again and again."""
 
-    def read(x: Column) -> Column:
+    def read(x: Column, place: Column) -> Column:
         no = F.regexp_extract(x, item, 1).try_cast("int").alias("no")
         return F.struct(
-            x.alias("line"), no, F.regexp_extract(x, item, 2).alias("words"),
+            place.alias("place"), x.alias("line"), no, F.regexp_extract(x, item, 2).alias("words"),
             F.regexp_extract(x, SUB_ITEM, 1).alias("letter"), F.regexp_extract(x, SUB_ITEM, 2).alias("sub"),
         )
 
     return F.transform(own, read)
 
 
+def item_starts(read: Column, most: int) -> Column:
+    """The places (from 0) of the lines that start an item: numbers 1 to ``most``, each one more than the last.
+
+    The fold carries the places and the last number alone, so its work is that of the lines, however long an item is.
+    """
+    none = F.struct(F.array().cast("array<int>").alias("at"), F.lit(None).cast("int").alias("last"))
+
+    def step(acc: Column, x: Column) -> Column:
+        no = x["no"]
+        starts = F.coalesce((no >= 1) & (no <= most) & (acc["last"].isNull() | (no == acc["last"] + 1)), F.lit(False))
+        return F.when(starts, F.struct(F.concat(acc["at"], F.array(x["place"])).alias("at"), no.alias("last"))).otherwise(acc)
+
+    return F.aggregate(read, none, step, lambda acc: acc["at"])
+
+
+def cut_at(rows: Column, starts: Column) -> Column:
+    """The pieces of ``rows`` from each of the places (from 0) to the next one."""
+    return F.transform(starts, lambda at, k: F.slice(rows, at + 1, F.coalesce(F.get(starts, k + 1), F.size(rows)) - at))
+
+
+def joined_lines(first: Column, rest: Column) -> Column:
+    return F.array_join(F.concat(F.array(first), F.transform(rest, lambda x: x["line"])), " ")
+
+
+def after_first(rows: Column) -> Column:
+    return F.slice(rows, 2, F.greatest(F.size(rows) - 1, F.lit(0)))
+
+
 def short_items(text: Column) -> Column:
     """Items of the first period: 1 to 13, each number one more than the last; other lines continue the last item."""
     head = after(text, SHORT_HEAD)
     body = F.coalesce(head, F.get(F.split(text, "1 - 1", 2), F.lit(0)))
     body = F.get(F.split(body, ESSAY_HEAD, 2), F.lit(0))
 
-    def step(acc: Column, read: Column) -> Column:
-        line, no, words = read["line"], read["no"], read["words"]
-        last = F.get(acc, F.size(acc) - 1)
-        starts = F.coalesce((no >= 1) & (no <= 13) & ((F.size(acc) == 0) | (no == last["no"] + 1)), F.lit(False))
-        longer = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last["no"].alias("no"), F.concat(last["text"], F.lit(" "), line).alias("text"))))
-        return F.when(starts, F.concat(acc, F.array(F.struct(no.alias("no"), words.alias("text"))))).when(F.size(acc) > 0, longer).otherwise(acc)
+    def items(read: Column) -> Column:
+        def item(rows: Column) -> Column:
+            head = F.get(rows, F.lit(0))
+            return F.struct(head["no"].alias("no"), squeeze(joined_lines(head["words"], after_first(rows))).alias("text"))
 
-    items = F.aggregate(read_once(lines(body), SHORT_ITEM), F.array().cast(SHORT_ITEMS), lambda a, x: step(a, x).cast(SHORT_ITEMS))
-    return F.transform(items, lambda i: F.struct(i["no"].alias("no"), squeeze(i["text"]).alias("text")))
+        return bound(item_starts(read, 13), lambda starts: F.transform(cut_at(read, starts), item))
+
+    return bound(read_once(lines(body), SHORT_ITEM), items).cast(SHORT_ITEMS)
 
 
 def essay_items(block: Column) -> Column:
     """Items 1 to 6 of a block with lettered sub-items; other lines continue the last sub-item, else the stem."""
 
-    def item(no: Column, stem: Column, subs: Column) -> Column:
-        return F.array(F.struct(no.alias("no"), stem.alias("stem"), subs.cast(SUBS).alias("subs"), F.lit(None).cast("string").alias("spec")))
-
-    def step(acc: Column, read: Column) -> Column:
-        line, no, stem, letter, words = (read[k] for k in ("line", "no", "words", "letter", "sub"))
-        last, front, some = F.get(acc, F.size(acc) - 1), F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.size(acc) > 0
-        starts = F.coalesce((no >= 1) & (no <= 6) & (~some | (no == last["no"] + 1)), F.lit(False))
-        subs = last["subs"]
-        sub = F.get(subs, F.size(subs) - 1)
-        grown = F.concat(F.slice(subs, 1, F.greatest(F.size(subs) - 1, F.lit(0))), F.array(F.struct(sub["k"].alias("k"), F.concat(sub["v"], F.lit(" "), line).alias("v"))))
-        return (
-            F.when(starts, F.concat(acc, item(no, stem, F.array())))
-            .when((letter != "") & some, F.concat(front, item(last["no"], last["stem"], F.concat(subs, F.array(F.struct(letter.alias("k"), words.alias("v")))))))
-            .when(some & (F.size(subs) > 0), F.concat(front, item(last["no"], last["stem"], grown)))
-            .when(some, F.concat(front, item(last["no"], F.concat(last["stem"], F.lit(" "), line), subs)))
-            .otherwise(acc)
-        )
-
-    items = F.aggregate(read_once(lines(block), ESSAY_ITEM), F.array().cast(ESSAY_ITEMS), lambda a, x: step(a, x).cast(ESSAY_ITEMS))
-    clean = F.transform(items, lambda i: F.struct(i["no"].alias("no"), squeeze(i["stem"]).alias("stem"), F.transform(i["subs"], lambda s: F.struct(s["k"].alias("k"), squeeze(s["v"]).alias("v"))).alias("subs"), i["spec"].alias("spec")))
-    return clean.cast(ESSAY_ITEMS)
+    def sub(rows: Column) -> Column:
+        head = F.get(rows, F.lit(0))
+        return F.struct(head["letter"].alias("k"), squeeze(joined_lines(head["sub"], after_first(rows))).alias("v"))
+
+    def item(rows: Column) -> Column:
+        head = F.get(rows, F.lit(0))
+        # a line that starts an item is no sub-item, whatever it looks like
+        lettered = F.filter(F.sequence(F.lit(0), F.size(rows) - 1), lambda k: (k > 0) & (F.get(rows, k)["letter"] != ""))
+
+        def whole(at: Column) -> Column:
+            stem = F.slice(rows, 2, F.coalesce(F.get(at, F.lit(0)), F.size(rows)) - 1)
+            return F.struct(head["no"].alias("no"), squeeze(joined_lines(head["words"], stem)).alias("stem"), F.transform(cut_at(rows, at), sub).alias("subs"), F.lit(None).cast("string").alias("spec"))
+
+        return bound(lettered, whole)
+
+    def items(read: Column) -> Column:
+        return bound(item_starts(read, 6), lambda starts: F.transform(cut_at(read, starts), item))
+
+    return bound(read_once(lines(block), ESSAY_ITEM), items).cast(ESSAY_ITEMS)
 
 
 def with_spec(block: Column, items: Column) -> Column:
@@ -134,14 +159,12 @@ def bound(value: Column, use) -> Column:
 def fallback_groups(text: Column) -> Column:
     """Blocks of a text without notices: lines after the first ``1 - 1``, a new block at every ``1. ``, three at most."""
     rest = F.coalesce(F.get(F.split(text, "1 - 1", 2), F.lit(1)), text)
-    empty = F.array().cast("array<string>")
 
-    def step(acc: Column, line: Column) -> Column:
-        last = F.get(acc, F.size(acc) - 1)
-        fresh = (F.size(acc) == 0) | F.rlike(line, F.lit(r"(?U)^1\.\s"))
-        return F.when(fresh, F.concat(acc, F.array(line))).otherwise(F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.concat(last, F.lit("\n"), line))))
+    def groups(own: Column) -> Column:
+        places = F.filter(F.transform(own, lambda _, k: k), lambda k: (k == 0) | F.rlike(F.get(own, k), F.lit(r"(?U)^1\.\s")))
+        return bound(places, lambda starts: F.transform(F.slice(cut_at(own, starts), 1, 3), lambda piece: F.array_join(piece, "\n")))
 
-    return F.slice(F.aggregate(lines(rest), empty, step), 1, 3)
+    return bound(lines(rest), groups)
 
 
 def structured(papers: DataFrame) -> DataFrame:

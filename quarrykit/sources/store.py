@@ -1,51 +1,43 @@
-"""What is kept between commands: the index, the usage records, and the cache of hashes."""
+"""What is kept between commands: the index, the usage records, and the cache of hashes, each a table of versions."""
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarrykit.operators.numbering import cut
 from quarrykit.operators.usage import saved
+from quarrykit.sources.versions import Versions
 
 USAGE = T.StructType().add("key", "string").add("path", "string").add("score", "double").add("count", "long").add("last", "long")
 CACHE = T.StructType().add("key", "string").add("size", "long").add("mtime", "long").add("full", "string")
 
 
-def write_index(files: DataFrame, path: str) -> None:
-    files.write.mode("overwrite").parquet(path)
+def write_index(files: DataFrame, path: str) -> int:
+    return Versions(files.sparkSession, path).write(files)
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
-    """The index; a row whose parent is not there is an error."""
-    files = spark.read.parquet(path)
+    """The newest index; a row whose parent is not there is an error."""
+    files = Versions(spark, path).read()
     lost = files.filter("parent is not null").join(files.select(F.col("path").alias("_p")), F.col("parent") == F.col("_p"), "left_anti")
     if lost.limit(1).count():
         raise ValueError(f"{path}: an entry's parent is missing")
     return files
 
 
-def _read_or_empty(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """The table; files that are no Parquet, or broken, count as empty (Spark warns of each)."""
-    try:
-        return spark.read.schema(schema).option("ignoreCorruptFiles", True).parquet(path)
-    except AnalysisException:
-        return spark.createDataFrame([], schema)
-
-
 def read_usage(spark: SparkSession, path: str) -> DataFrame:
-    """Usage records; none if there is no table yet."""
-    return _read_or_empty(spark, path, USAGE)
+    """Usage records; none if there is no table yet, or a broken one."""
+    return Versions(spark, path).read(USAGE)
 
 
-def write_usage(state: DataFrame, path: str, now: int, half_life_days: float = 30.0) -> None:
-    saved(state, now, half_life_days).write.mode("overwrite").parquet(path)
+def write_usage(state: DataFrame, path: str, now: int, half_life_days: float = 30.0) -> int:
+    """What saving keeps of ``state``, which may come from ``path`` itself."""
+    return Versions(state.sparkSession, path).write(saved(state, now, half_life_days).select(*USAGE.fieldNames()))
 
 
 def read_cache(spark: SparkSession, path: str) -> DataFrame:
-    return _read_or_empty(spark, path, CACHE)
+    return Versions(spark, path).read(CACHE)
 
 
 def merged_cache(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -57,7 +49,7 @@ def merged_cache(old: DataFrame, new: DataFrame) -> DataFrame:
 def write_cache(old: DataFrame, new: DataFrame, path: str) -> None:
     """Adds what a run has learned, and writes nothing where that is nothing; ``old`` may come from ``path`` itself."""
     if new.limit(1).count():
-        cut(merged_cache(old, new)).write.mode("overwrite").parquet(path)
+        Versions(new.sparkSession, path).write(merged_cache(old, new))
 
 
 def write_cleanup_plan(plan: DataFrame, path: str) -> None:

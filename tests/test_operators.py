@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quarrykit.operators import dup, folder_search, hashing, node_search, numbering, papers, report, search, tree, usage
 from quarrykit.plans.query import parse
-from quarrykit.sources import listing, store, usn
+from quarrykit.sources import listing, store, usn, versions
 
 DAY = 86400
 FILES = "idx long, parent string, name string, is_dir boolean, size long, mtime long, file_id long, path string"
@@ -560,35 +560,150 @@ def test_paper_files(spark, tmp_path):
 # ---- streams
 
 
-def test_stream(spark, tmp_path):
+@pytest.fixture
+def keyed_states(spark):
+    from quarrykit.streaming import usage_stream
+
+    key = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(key, usage_stream.PROVIDER)
+    yield usage_stream
+    spark.conf.unset(key)
+
+
+def until(spark, sql):
+    """Waits for a row; a stream with timers never runs out of work."""
     import time
 
-    from quarrykit.streaming import usage_stream
+    for _ in range(240):
+        if spark.sql(sql).count():
+            return
+        time.sleep(0.5)
+    raise AssertionError(sql)
+
+
+LOG = "seq long, path string, ts long"
 
-    now = int(time.time())
-    rows = [(1, "/now", now), (2, "/now", now - 50), (3, "/once", 5)]
-    spark.createDataFrame(rows, "seq long, path string, ts long").write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema("seq long, path string, ts long").parquet(str(tmp_path / "in"))
-    q = usage_stream.live_usage(stream).writeStream.outputMode("update").format("memory").queryName("live").option("checkpointLocation", str(tmp_path / "c")).start()
-
-    def wait(sql):  # a stream with timers never runs out of work
-        for _ in range(120):
-            if spark.sql(sql).count():
-                return
-            time.sleep(0.5)
-        raise AssertionError(sql)
 
+def test_stream(spark, tmp_path, keyed_states):
+    import time
+
+    now = int(time.time())
+    spark.createDataFrame([(1, "/now", now), (2, "/now", now - 50), (3, "/once", 5)], LOG).coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(LOG).parquet(str(tmp_path / "in"))
+    q = keyed_states.live_usage(stream).writeStream.outputMode("update").format("memory").queryName("live").option("checkpointLocation", str(tmp_path / "c")).start()
     try:
-        wait("select 1 from live where key = '/once'")
+        until(spark, "select 1 from live where key = '/once'")
         assert {(r.key, r.score, r["count"], r["last"]) for r in spark.sql("select * from live").collect()} == {("/now", 2.0, 2, now), ("/once", 1.0, 1, 5)}
         time.sleep(4)  # what has decayed long ago is forgotten, what is in use is not
-        spark.createDataFrame([(4, "/now", now), (5, "/once", now)], "seq long, path string, ts long").write.mode("append").parquet(str(tmp_path / "in"))
-        wait("select 1 from live where key = '/now' and count = 3")
+        spark.createDataFrame([(4, "/now", now), (5, "/once", now)], LOG).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        until(spark, "select 1 from live where key = '/now' and count = 3")
     finally:
         q.stop()
     last = {r.key: r["n"] for r in spark.sql("select key, max(count) n from live group by key").collect()}
     assert last == {"/now": 3, "/once": 1}
-    assert usage_stream.expiry_seconds(1.0, 0, 1.0) == pytest.approx(9.9658 * DAY, rel=1e-4)
+    assert keyed_states.expiry_seconds(1.0, 0, 1.0) == pytest.approx(9.9658 * DAY, rel=1e-4)
+
+
+def test_a_stream_goes_on_from_the_stored_table(spark, tmp_path, keyed_states):
+    """Stored table, stream, restart: the states equal the fold of the whole log, late uses and all, and can be stored."""
+    import time
+
+    g, now, at = random.Random(5), int(time.time()), str(tmp_path / "usage")
+    log = [(k, f"/f{g.randrange(4)}" if k < 50 else "/new", now - g.randrange(20 * DAY)) for k in range(90)]
+    first, second, third = log[:30], log[30:60], log[60:]
+    store.write_usage(usage.fold(spark.createDataFrame(first, LOG)), at, now)
+
+    def run(rows):
+        spark.createDataFrame(rows, LOG).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(LOG).parquet(str(tmp_path / "in"))
+        live = keyed_states.live_usage(stream, stored=store.read_usage(spark, at))
+        seen = set()
+        note = lambda batch, _: seen.update(r.key for r in batch.select("key").collect())
+        q = live.writeStream.outputMode("update").foreachBatch(note).option("checkpointLocation", str(tmp_path / "c")).start()
+        try:
+            for _ in range(240):
+                if seen == {p for _, p, _ in rows} and q.lastProgress and not q.lastProgress["numInputRows"]:
+                    break
+                time.sleep(0.5)
+        finally:
+            q.stop()
+
+    run(second)
+    run(third)  # from the checkpoint, not from the table again
+    got = {r.key: r for r in keyed_states.states(spark, str(tmp_path / "c")).collect()}
+    want = {r.key: r for r in usage.fold(spark.createDataFrame(log, LOG)).collect()}
+    assert set(got) == set(want)
+    for key, r in want.items():
+        assert got[key].score == pytest.approx(r.score, rel=1e-9) and (got[key]["count"], got[key]["last"], got[key].path) == (r["count"], r["last"], r.path)
+    store.write_usage(keyed_states.states(spark, str(tmp_path / "c")), at, now)
+    assert {r.key: r["count"] for r in store.read_usage(spark, at).collect()} == {k: r["count"] for k, r in want.items()}
+
+
+# ---- versions, and papers as they arrive
+
+
+def test_a_write_that_fails_leaves_the_version_before(spark, tmp_path):
+    at = str(tmp_path / "t")
+    table = versions.Versions(spark, at)
+    with pytest.raises(FileNotFoundError):
+        table.read()
+    assert table.write(spark.range(100)) == 1
+    reader = table.read()
+    half = spark.range(0, 100, 1, 4).select(F.when(F.col("id") > 90, F.raise_error(F.lit("stop"))).otherwise(F.col("id")).cast("long").alias("id"))
+    with pytest.raises(Exception, match="stop"):
+        table.write(half)
+    assert table.read().count() == 100 and table.newest().version == 1
+    assert table.write(table.read().filter("id >= 50")) == 2  # from itself
+    assert (table.read().count(), table.read(version=1).count(), reader.count()) == (50, 100, 100)
+    assert table.write(table.read().limit(0)) == 3 and table.read().count() == 0
+    assert len(table.vacuum(keep=2)) == 2 and table.read(version=2).count() == 50 and table.vacuum(keep=2) == []
+    os.rename(f"{at}/{table.newest().folder}", f"{at}/elsewhere")
+    (tmp_path / "t" / table.newest().folder).mkdir()
+    (tmp_path / "t" / table.newest().folder / "part-0.parquet").write_bytes(b"no table at all")
+    assert table.read(spark.range(1).schema).count() == 0
+
+
+def paper_text(g, mark):
+    items = [f"{k}. {mark} {' '.join(g.choice(['회로', '전송', '신호', 'TCP']) for _ in range(9))}" for k in range(1, 14)]
+    return "\n".join(["13문제 중 10문제", *items, "6문제 중 4문제", *(f"{k}. 논술 {mark} " + "설명 " * 12 for k in range(1, 7))])
+
+
+def test_papers_that_arrive_are_kept_once_a_round(spark, tmp_path):
+    from quarrykit.streaming import paper_stream
+
+    g, out = random.Random(2), str(tmp_path / "out")
+    rounds = lambda: {r.round: (r.source, r.period1[0].text.split()[0]) for r in versions.Versions(spark, f"{out}/papers").read().collect()}
+    failed = lambda: {r.source: r.reason for r in versions.Versions(spark, f"{out}/failures").read().collect()}
+
+    def send(name, text, age):
+        (tmp_path / "in").mkdir(exist_ok=True)
+        (tmp_path / "in" / name).write_text(text)
+        os.utime(tmp_path / "in" / name, (1_700_000_000 + age,) * 2)
+
+    def run():
+        q = paper_stream.structure(paper_stream.arriving(spark, str(tmp_path / "in")), out, str(tmp_path / "c"))
+        q.awaitTermination(120)
+        assert q.exception() is None
+
+    send("제7회.txt", paper_text(g, "old"), 1)
+    send("제8회.txt", paper_text(g, "eight"), 2)
+    send("short 제9회.txt", "too short", 3)
+    run()
+    assert rounds() == {7: ("제7회.txt", "old"), 8: ("제8회.txt", "eight")} and failed() == {"short 제9회.txt": "too little text"}
+    send("제7회 again.txt", paper_text(g, "new"), 9)
+    send("제8회 early.txt", paper_text(g, "late news"), 0)  # arrived before the one that is kept
+    send("nameless.txt", paper_text(g, "x"), 4)
+    run()
+    want = {7: ("제7회 again.txt", "new"), 8: ("제8회.txt", "eight")}
+    assert rounds() == want and failed() == {"short 제9회.txt": "too little text", "nameless.txt": "no round in the name"}
+    # a batch that runs again, as after a crash before its end was noted, changes nothing
+    table = versions.Versions(spark, f"{out}/papers")
+    version, last = table.newest().version, table.newest().batch
+    batch = spark.createDataFrame([("제7회.txt", paper_text(g, "replayed"))], "source string, text string").withColumn("arrived", F.current_timestamp())
+    paper_stream.upsert(batch, last, out, "papers")
+    assert table.newest().version == version and rounds() == want
+    paper_stream.upsert(batch.unionByName(batch), last + 1, out, "papers")
+    assert rounds()[7] == ("제7회.txt", "replayed") and len(rounds()) == 2
 
 
 # ---- nodes without paths

@@ -13,7 +13,7 @@ from quarrykit.plans.query import Query, parse
 from quarrykit.sources import listing
 
 
-def find(spark: SparkSession, roots: list[str], query: Query | str, usage: DataFrame, sort: str = "freq", limit: int = 50, now: int = 0, exclude: list[str] = (), follow_links: bool = False, looked_up: Accumulator | None = None) -> DataFrame:
+def find(spark: SparkSession, roots: list[str], query: Query | str, usage: DataFrame, sort: str = "freq", limit: int = 50, now: int = 0, exclude: list[str] | None = None, follow_links: bool = False, looked_up: Accumulator | None = None) -> DataFrame:
     """What ``search.search`` finds in a scan of ``roots``.
 
     Terms about names, paths and kinds see the listing alone. Only what they leave is looked up, and only if the query

@@ -18,6 +18,10 @@ PAGE_FOOTER = r"(?U)^\s*\d\s*[–-]\s*\d\s*$"
 SPEC = r"(?sU)\[\s*명세\s*\](.*?)(?=※|\z)"
 SPEC_REFERENCE = r"(?U)아래\s*명세|다음\s*명세"
 
+WHITE = r"(?U)\s+"
+SPEC_TAIL = r"(?sU)\s*\[\s*명세\s*\].*$"
+NOTICE_TAIL = r"(?sU)\s*※.*$"
+PAGE_TAIL = r"(?U)\s*\d\s*[–-]\s*\d\s*$"
 SHORT_ITEM = r"(?U)^(\d{1,2})\.\s*(.+)$"
 ESSAY_ITEM = r"(?U)^(\d)\.\s*(.+)$"
 SUB_ITEM = r"(?U)^([가-라])\.\s*(.+)$"
@@ -30,11 +34,10 @@ EXPECTED = (13, 3, 6)
 
 def squeeze(c: Column) -> Column:
     """White space to single spaces; what follows a specification mark, a notice mark or is a page mark goes."""
-    c = F.regexp_replace(c, r"(?U)\s+", " ")
-    c = F.trim(c)
-    c = F.regexp_replace(c, r"(?sU)\s*\[\s*명세\s*\].*$", "")
-    c = F.regexp_replace(c, r"(?sU)\s*※.*$", "")
-    return F.trim(F.regexp_replace(c, r"(?U)\s*\d\s*[–-]\s*\d\s*$", ""))
+    c = F.trim(F.regexp_replace(c, WHITE, " "))
+    for tail in (SPEC_TAIL, NOTICE_TAIL, PAGE_TAIL):
+        c = F.regexp_replace(c, tail, "")
+    return F.trim(c)
 
 
 def stripped(c: Column) -> Column:

@@ -23,6 +23,34 @@ SUMMARY_TAIL = """
 ESTIMATED = '<footer>교시 표기가 없는 문제지 {}개는 수록 순서를 교시 순서로 보았고 <span class="est">추정</span> 으로 표시했다.</footer>'
 SHORT_TITLE = "1교시 단답형 · 13문제 중 10문제 선택 · 각 10점"
 ESSAY_TITLE = "{}교시{} · 6문제 중 4문제 선택 · 각 25점"
+SUMMARY_HEAD = "## 기출문제 처리 결과\n\n**{}개 회차 · {}문항**"
+SUMMARY_WARNED, SUMMARY_CLEAN = " · 경고 {}개 회차", " · 경고 없음"
+SUMMARY_COLUMNS = ["| 회차 | 시행 | 1교시 | 논술형(교시별) | 합계 | 상태 |", "|---|---|---|---|---|---|"]
+PAGE_TOTALS = '<p class="sub">{}개 회차 · 1교시 {}문항 + 논술형 {}문항 = 총 {}문항</p>'
+PAGE_BAR = (
+    '<div class="bar"><input type="search" id="q" placeholder="문항 검색 (예: RAG, 가명처리)">'
+    '<select id="gy"><option value="all">전체 교시</option><option value="1">1교시</option><option value="2">2교시</option>'
+    '<option value="3">3교시</option><option value="4">4교시</option></select><span class="count" id="count"></span></div>'
+)
+PAGE_FRAME = (
+    '<!doctype html>\n<html lang="ko">\n<head>\n<meta charset="utf-8">\n<meta name="viewport" content="width=device-width, initial-scale=1">\n'
+    "<title>{title}</title>\n<style>{style}</style>\n</head>\n<body>\n<div class=\"wrap\">\n{body}\n</div>\n<script>{script}</script>\n</body>\n</html>\n"
+)
+
+#: The page's own look and filter: items of a period that hold the term, and how many of all these are.
+STYLE = "body{font:16px/1.6 sans-serif}.wrap{max-width:52rem;margin:auto}.bar{position:sticky;top:0;background:#fff}.subs span{display:block}"
+SCRIPT = """
+const term = document.getElementById("q"), period = document.getElementById("gy"), count = document.getElementById("count");
+const items = [...document.querySelectorAll("li[data-g]")];
+function show() {
+  const wanted = term.value.trim().toLowerCase();
+  for (const item of items) item.hidden = !(["all", item.dataset.g].includes(period.value) && item.dataset.t.includes(wanted));
+  count.textContent = items.filter(item => !item.hidden).length + " / " + items.length;
+  for (const part of document.querySelectorAll("section")) part.hidden = !part.querySelector("li:not([hidden])");
+}
+for (const input of [term, period]) input.addEventListener("input", show);
+show();
+"""
 
 
 def summary_markdown(structured: DataFrame, to: str | None = None) -> str:
@@ -30,10 +58,10 @@ def summary_markdown(structured: DataFrame, to: str | None = None) -> str:
     rows = papers.summary(structured)
     t = papers.totals(rows).first()
     if t["papers"]:
-        head = f"## 기출문제 처리 결과\n\n**{t['papers']}개 회차 · {t['items']}문항**" + (f" · 경고 {t['warned']}개 회차" if t["warned"] else " · 경고 없음")
+        head = SUMMARY_HEAD.format(t["papers"], t["items"]) + (SUMMARY_WARNED.format(t["warned"]) if t["warned"] else SUMMARY_CLEAN)
         line = F.concat(F.lit("| "), F.concat_ws(" | ", "label", "year", F.col("p1").cast("string"), "essay_counts", F.col("total").cast("string"), "status"), F.lit(" |"))
         body = [r["line"] for r in rows.orderBy("round").select(line.alias("line")).collect()]
-        text = "\n".join([head, "", "| 회차 | 시행 | 1교시 | 논술형(교시별) | 합계 | 상태 |", "|---|---|---|---|---|---|", *body, SUMMARY_TAIL, ""])
+        text = "\n".join([head, "", *SUMMARY_COLUMNS, *body, SUMMARY_TAIL, ""])
     else:
         text = NO_PAPERS
     if to:
@@ -51,7 +79,7 @@ def questions_html(structured: DataFrame, title: str, gyosi: int | None = None,
     heads = {r["round"]: r for r in good.select("round", "year", "source", "gyosi_estimated").orderBy(F.desc("round")).collect()}
     items = papers.question_filter(papers.questions(good), gyosi, term).orderBy(F.desc("round"), "gyosi", "no").collect()
     short = sum(r["gyosi"] == 1 for r in items)
-    out = [f"<h1>{html.escape(title)}</h1>", f'<p class="sub">{len(heads)}개 회차 · 1교시 {short}문항 + 논술형 {len(items) - short}문항 = 총 {len(items)}문항</p>']
+    out = [f"<h1>{html.escape(title)}</h1>", PAGE_TOTALS.format(len(heads), short, len(items) - short, len(items)), PAGE_BAR]
     for no, head in heads.items():
         year = f" · {head['year']}년" if head["year"] else ""
         out.append(f'<section class="paper" data-group="r{no}"><h2>제{no}회<span class="meta">{year} · {html.escape(head["source"])}</span></h2>')
@@ -65,6 +93,11 @@ def questions_html(structured: DataFrame, title: str, gyosi: int | None = None,
     return "\n".join([*out, *([ESTIMATED.format(estimated)] if estimated else [])])
 
 
+def questions_page(structured: DataFrame, title: str, gyosi: int | None = None, term: str = "") -> str:
+    """``questions_html`` as a page of its own, with its look and a filter that counts what it shows."""
+    return PAGE_FRAME.format(title=html.escape(title), style=STYLE, body=questions_html(structured, title, gyosi, term), script=SCRIPT)
+
+
 def _item(r) -> str:
     subs = "".join(f"<span><b>{html.escape(s['k'])}.</b> {html.escape(s['v'])}</span>" for s in r["subs"])
     spec = f'<span class="spec">[명세] {html.escape(r["spec"])}</span>' if r["spec"] else ""

@@ -14,6 +14,14 @@ from pyspark.sql import functions as F
 from quarrykit.functions.text import decayed, normalize_key
 
 PRUNE_BELOW = 0.001
+#: What counts as one use of a file, beside opening it.
+USES = ["open", "copy", "download"]
+
+
+def log_of(actions: DataFrame, uses: list[str] = USES) -> DataFrame:
+    """The log of uses (seq, path, ts) in a record of actions (seq, path, ts, action): copying a path or downloading a
+    file is a use as opening it is, looking at a list is none."""
+    return actions.filter(F.col("action").isin(uses)).select("seq", "path", "ts")
 
 
 def fold(log: DataFrame, half_life_days: float = 30.0, fold_case: bool = False, chunk: int = 1 << 20) -> DataFrame:

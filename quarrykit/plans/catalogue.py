@@ -209,6 +209,12 @@ def _(spark, d):
     return listed(rows, dup.groups(rows))
 
 
+@register("dup_members", f"WITH {FILES}, {groups_sql()}, m AS (SELECT group_no, hash, wasted, unnest(members) AS idx FROM groups) SELECT group_no, hash, wasted, idx, path FROM m JOIN files USING (idx)")
+def _(spark, d):
+    rows = found(spark, d)
+    return dup.members(rows, dup.groups(rows)).select("group_no", "hash", "wasted", "idx", "path")
+
+
 @register("dup_min_size", f"WITH {FILES}, {groups_sql(least=2048)} SELECT {GROUP_COLUMNS} FROM groups")
 def _(spark, d):
     rows = found(spark, d, min_size=2048)
@@ -302,6 +308,23 @@ def _(spark, d):
     return family_rows(dup.families(f.withColumn("name", marked)))
 
 
+@register("version_family_members", f"WITH v AS (SELECT '/' || source || '/doc_' || doc_id || '.' || lang AS path, doc_id AS idx, 'doc_' || doc_id // 10 || '|' || lang AS family FROM documents) SELECT family, (count(*) OVER (PARTITION BY family))::BIGINT AS n, path, idx FROM v QUALIFY count(*) OVER (PARTITION BY family) >= 2")
+def _(spark, d):
+    f = views.files(spark, d)
+    marked = F.concat(F.lit("doc_"), F.floor(F.col("idx") / 10).cast("string"), F.lit("_v"), (F.col("idx") % 10 + 2).cast("string"), F.lit("_최종."), fn.extension(F.col("name")))
+    return dup.families(f.withColumn("name", marked)).select("family", "n", "path", "idx")
+
+
+ACTIONS = "CASE event_type WHEN 'error' THEN 'list' WHEN 'view' THEN 'open' WHEN 'click' THEN 'copy' ELSE 'download' END"
+
+
+@register("usage_from_actions", f"""WITH {FILES}, {usage_sql().replace("LEFT JOIN files f ON user_id = f.idx", "LEFT JOIN files f ON user_id = f.idx WHERE event_type <> 'error'")} SELECT key, round(score, 6) AS score, count, last FROM usage""")
+def _(spark, d):
+    kinds = views.table(spark, d, "events").select(F.col("event_id").alias("seq"), F.expr(ACTIONS).alias("action"))
+    actions = views.usage_log(spark, d).join(kinds, "seq")
+    return usage.fold(usage.log_of(actions)).select("key", F.round("score", 6).alias("score"), "count", "last")
+
+
 @register("frecency_score", f"WITH {FILES}, {usage_sql()} SELECT key, path, round(score, 6) AS score, count, last FROM usage")
 def _(spark, d):
     return state(spark, d).select("key", "path", F.round("score", 6).alias("score"), "count", "last")
@@ -513,6 +536,16 @@ def _(spark, d):
     return t.select("conv_id", F.size("groups").cast("long").alias("blocks"), F.size(papers.essay_items(F.get("groups", F.lit(0)))).cast("long").alias("items"))
 
 
+@register("fallback_blocks_many", f"WITH {TURNS} SELECT conv_id, 3::BIGINT AS blocks, 3 * least(n, 6)::BIGINT AS items, '2,3,4' AS periods FROM p")
+def _(spark, d):
+    """Papers without notices that begin their numbers again four times: the first three are blocks."""
+    t = views.numbered(spark, d)
+    again = F.concat_ws("\n", F.lit("머리말 1 - 1"), *["text"] * 4)
+    blocks = papers.structured(t.select("conv_id", F.concat(again, F.repeat(F.lit(" "), F.lit(500))).alias("text"), F.concat(F.lit("제"), F.col("conv_id").cast("string"), F.lit("회")).alias("source")))
+    items = F.aggregate("essay", F.lit(0), lambda n, b: n + F.size(b["items"])).cast("long")
+    return blocks.select(F.col("round").cast("long").alias("conv_id"), F.size("essay").cast("long").alias("blocks"), items.alias("items"), F.array_join(F.transform("essay", lambda b: b["gyosi"].cast("string")), ",").alias("periods"))
+
+
 def subs_text(items: DataFrame) -> DataFrame:
     """Sub-items as one text, which every reader of results compares alike."""
     each = F.transform("subs", lambda x: F.concat(x["k"], F.lit("="), x["v"]))

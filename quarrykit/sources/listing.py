@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrykit.operators.numbering import cut, scratch
+from quarrykit.operators.tree import DEFAULT_EXCLUDES
 
 ENTRY = "parent string, name string, is_dir boolean, path string, depth int, kind string, error string"
 #: Entries that a task lists in the first round, and in later ones, before it hands open folders back.
@@ -138,13 +139,14 @@ class Lister:
         yield self.drain()
 
 
-def names(spark: SparkSession, roots: list[str], exclude: list[str] = (), follow_links: bool = False, first: int = FIRST_BUDGET, budget: int = BUDGET) -> DataFrame:
+def names(spark: SparkSession, roots: list[str], exclude: list[str] | None = None, follow_links: bool = False, first: int = FIRST_BUDGET, budget: int = BUDGET) -> DataFrame:
     """(parent, name, is_dir, path, depth, kind, error) of all entries of a scan, without sizes and times.
 
     ``kind`` is file, dir, skipped (excluded; what is below is not visited) or error: a root that is not there, a folder
     that cannot be read (beside its own row), and where links are followed one that leads nowhere or to a folder above.
-    Roots are not compared with each other.
+    Roots are not compared with each other. Without ``exclude``, ``tree.DEFAULT_EXCLUDES`` are left out; ``[]`` takes all.
     """
+    exclude = DEFAULT_EXCLUDES if exclude is None else exclude
     at, turn = scratch(spark, "names"), 0
     open_ = spark.createDataFrame([(r, 0, "root", []) for r in roots], "path string, depth int, kind string, above array<string>")
     tasks = 4 * spark.sparkContext.defaultParallelism
@@ -191,13 +193,13 @@ def filled(rows: DataFrame, follow_links: bool = False, looked_up: Accumulator |
     return done.withColumn("idx", F.xxhash64("path"))
 
 
-def scanned(spark: SparkSession, roots: list[str], exclude: list[str] = (), follow_links: bool = False) -> DataFrame:
+def scanned(spark: SparkSession, roots: list[str], exclude: list[str] | None = None, follow_links: bool = False) -> DataFrame:
     """All rows of a scan with their metadata, those of skipped entries and of errors too; looked up once."""
     return cut(filled(names(spark, roots, exclude, follow_links), follow_links))
 
 
-def folders(spark: SparkSession, roots: list[str], exclude: list[str] = (), follow_links: bool = False) -> DataFrame:
-    """Files and folders of a scan; ``tree.DEFAULT_EXCLUDES`` are the usual exclusions."""
+def folders(spark: SparkSession, roots: list[str], exclude: list[str] | None = None, follow_links: bool = False) -> DataFrame:
+    """Files and folders of a scan."""
     return scanned(spark, roots, exclude, follow_links).filter("kind in ('file', 'dir')").drop("kind", "error")
 
 

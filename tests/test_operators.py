@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quarrykit.operators import dup, folder_search, hashing, node_search, numbering, papers, report, search, tree, usage
 from quarrykit.plans.query import parse
-from quarrykit.sources import listing, store, usn, versions
+from quarrykit.sources import listing, store, usn, versions, volumes
 
 DAY = 86400
 FILES = "idx long, parent string, name string, is_dir boolean, size long, mtime long, file_id long, path string"
@@ -379,13 +379,29 @@ def test_journal_records(spark):
     assert seen(journal((1, 2, "v3", 0, 3, 60)) + good) == [NEWER, *nodes]
     assert seen(journal((1, 2, "out", 0, 2, 63), (1, 2, "in", 0, 2, 59), (1, 2, b"odd", 0, 2, 60)) + good) == [BAD, BAD, BAD, *nodes]
     assert seen(journal((1, 2, "a\ud800b", 0, 2, 60)))[0][3] == "a\ufffdb"
-    for rest, torn in ((b"", []), (b"\0\0\0", []), (bytes(4), []), (bytes(5), [BAD]), (b"\x07\0\0\0", [BAD]), (good[:-1], [*nodes[:1], ("node", 71, 70, "sun.png", False), BAD])):
-        assert seen(rest) == torn or (rest == good[:-1] and seen(rest)[:2] == nodes)
+    for rest, torn in ((b"", []), (b"\0\0\0", []), (bytes(4), []), (bytes(5), [BAD]), (b"\x07\0\0\0", [BAD]), (good[:-1], [*nodes, BAD])):
+        assert seen(rest) == torn
     assert seen(journal((5 | 9 << 48, 6 | 3 << 48, "x", 0, 2, 60)), mask=True) == [("node", 5, 6, "x", False)]
     table = spark.createDataFrame([(bytearray(good),), (None,), (bytearray(journal((1, 2, "v4", 0, 4, 60))),)], "content binary")
     assert tuple(usn.stats(usn.decode(table)).first()) == (2, 0, 1)
 
 
+def test_volumes_of_which_one_fails(spark, tmp_path):
+    """Two good dumps, one broken, one that is not there and an empty one: two volumes and three errors, ids apart."""
+    rows = [(100 + k, 5, f"이름{k}.txt", 0, 2, 60) for k in range(500)]
+    good = {"a": journal(*rows), "c": journal((7, 5, "folder", 0x10, 2, 60), (8, 7, "v3", 0, 3, 60)) + b"\x07\0\0\0 torn"}
+    for name, body in (good | {"b": b"no journal, but a text of some length, that begins with no record at all", "e": b""}).items():
+        (tmp_path / name).write_bytes(body)
+    dumps = [str(tmp_path / n) for n in ("a", "b", "c", "d", "e")]
+    for piece in (volumes.PIECE, 97, 1024):  # records that two pieces share
+        found = volumes.scan(spark, dumps, piece=piece).collect()
+        nodes = {(r.volume, r.file_id, r.parent_id, r.name) for r in found if r.kind == "node"}
+        assert nodes == {(1, 1 << 56 | i, 1 << 56 | p, n) for i, p, n, *_ in rows} | {(3, 3 << 56 | 7, 3 << 56 | 5, "folder")}
+        assert {r.volume: r.error.split(": ", 1)[1] for r in found if r.kind == "error"} == {2: "no journal records", 4: "No such file or directory", 5: "no journal records"}
+    assert tuple(volumes.counts(volumes.scan(spark, dumps)).first()) == (2, 3, 501, 1, 1)
+    assert volumes.scan(spark, []).count() == 0
+
+
 # ---- papers
 
 
@@ -465,6 +481,35 @@ def test_reports_of_papers(spark, tmp_path):
     assert json.loads("\n".join(p.read_text() for p in sorted((tmp_path / "e").glob("part-*")))) == {"papers": {}}
 
 
+def test_a_continuation_of_many_lines_takes_time_in_proportion(spark):
+    """One item with 20,000 further lines: all are there, and four times the lines take no more than some eight times as long."""
+    import time
+
+    def parsed(n):
+        more = [f"이어지는 줄 {k}" for k in range(n)]
+        text = "\n".join(["13문제 중 10문제", "1. 처음", *more, "2. 다음", "6문제 중 4문제", "1. 논술", "가. 항목", *more, "2. 끝"])
+        table = spark.createDataFrame([("제1회.txt", text)], "source string, text string")
+        begin = time.time()
+        row = papers.structured(table).first()
+        return row, time.time() - begin, " ".join(more)
+
+    parsed(100)
+    (_, short, _), (row, long, more) = parsed(5_000), parsed(20_000)
+    assert [(i.no, i.text) for i in row.period1] == [(1, f"처음 {more}"), (2, "다음")]
+    first, last = row.essay[0]["items"]
+    assert (first["stem"], [(x["k"], x["v"]) for x in first["subs"]], last["stem"]) == ("논술", [("가", f"항목 {more}")], "끝")
+    assert long < 8 * short + 2
+
+
+def test_page_of_questions(spark):
+    text = "\n".join(["13문제 중 10문제", *(f"{k}. RAG <{k}> & 신호" for k in range(1, 14)), "6문제 중 4문제", *(f"{k}. 논술 {k}" for k in range(1, 7))]) + " " * 500
+    made = papers.structured(spark.createDataFrame([("제3회.txt", text)], "source string, text string"))
+    page = report.questions_page(made, "a < b")
+    assert page.startswith("<!doctype html>") and page.rstrip().endswith("</html>") and "<title>a &lt; b</title>" in page
+    assert page.count("<li data-g=") == 19 and page.count('data-g="1"') == 13 and 'id="q"' in page and 'id="count"' in page
+    assert "RAG &lt;1&gt; &amp; 신호" in page and "<script>" in page and "1개 회차 · 1교시 13문항 + 논술형 6문항 = 총 19문항" in page
+
+
 # ---- folders
 
 
@@ -510,6 +555,14 @@ def test_flat_deep_and_wide_trees_equal_a_plain_walk(spark, tmp_path):
     assert both.count() == 2 * 122
 
 
+def test_usual_exclusions_are_in_force(spark, tmp_path):
+    planted(tmp_path, ["AppData/x.txt", "work/windows/y.txt", "work/Program Files/z.txt", "work/windows.txt"])
+    seen = lambda **o: {r.name for r in listing.names(spark, [str(tmp_path)], **o).filter("kind in ('file', 'dir') and parent is not null").collect()}
+    assert seen() == {"work", "windows.txt"}
+    assert seen(exclude=[]) == {"AppData", "x.txt", "work", "windows", "y.txt", "Program Files", "z.txt", "windows.txt"}
+    assert listing.scan_counts(listing.scanned(spark, [str(tmp_path)])).first().skipped == 3
+
+
 def test_errors_of_a_scan_are_counted(spark, tmp_path):
     planted(tmp_path, ["a/b.txt", "c.txt"])
     os.symlink("nowhere", tmp_path / "broken")

@@ -100,6 +100,7 @@ def edited(docs: DataFrame, near: DataFrame) -> DataFrame:
 N_SUBSETS = sum(n for _, n in SUBSETS)
 NO_ID = -(2**63)
 ROOM = 1 << 18
+SALTS = 32
 NOTHING = hashlib.md5(b"").hexdigest()[:12]
 
 
@@ -108,7 +109,11 @@ def fingerprints(texts: DataFrame, words: DataFrame, key: list[str]) -> DataFram
     # the empty term stands in the lexicon too, with no subset, so that every text keeps a row
     words = words.unionByName(words.sparkSession.range(1).select(F.lit("").alias("term"), F.lit(0).alias("mask")))
     own = texts.select(*key, F.explode(F.concat(F.array(F.lit("")), terms(F.col("text")))).alias("term"))
-    found = own.join(F.broadcast(words) if words.count() <= ROOM else words, "term")
+    if words.count() <= ROOM:
+        found = own.join(F.broadcast(words), "term")
+    else:  # the empty term is in every text, and a frequent one in a fifth of them: each meets its lexicon row in parts
+        words = words.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        found = own.withColumn("salt", F.pmod(F.xxhash64(*key), F.lit(SALTS)).cast("int")).join(words, ["term", "salt"])
     sets = found.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("term", "mask"))).alias("t"))
 
     def held(terms: str, bits: int) -> Column:

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarrykit.llm.common import cut, slices
+from quarrykit.llm.common import cut, slices, tidy
 
 # Terms that name groups, by kind; a term is swapped with the others of its kind.
 IDENTITIES = {
@@ -41,6 +41,9 @@ IDENTITIES = {
     "personnes": "femmes hommes juifs musulmans chrétiens gitans",
     "menschen": "frauen männer juden muslime christen ausländer",
 }
+#: Words whose features a task remembers.
+KNOWN_WORDS = 200_000
+
 KIND = {term: kind for kind, terms in IDENTITIES.items() for term in terms.split()}
 WORD = re.compile(r"[^\W\d_]+")
 SENTENCE = re.compile(r"[^.!?\n]+")
@@ -83,7 +86,7 @@ class Classifier:
         weights, memo, bias = self.weights, {}, self.bias
 
         def score(text: str | None) -> float:
-            if len(memo) > 1_000_000:
+            if len(memo) > KNOWN_WORDS:
                 memo.clear()
             found: set[str] = set()
             for w in words_of(text):
@@ -142,7 +145,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, features: in
         names = list(sums)
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([sums[f][k] for f in names], pa.int64()) for k in (0, 1))], names=["f", "clean", "toxic"])
 
-    counts = chosen.mapInArrow(count, "f string, clean long, toxic long").groupBy("f").agg(F.sum("clean").alias("c"), F.sum("toxic").alias("t")).filter(f"f = '' or c + t >= {int(seen)}")
+    counts = chosen.mapInArrow(tidy(count), "f string, clean long, toxic long").groupBy("f").agg(F.sum("clean").alias("c"), F.sum("toxic").alias("t")).filter(f"f = '' or c + t >= {int(seen)}")
     counts = cut(counts)
     total = counts.filter("f = ''").first()
     if total is None or not total["c"] or not total["t"]:
@@ -165,7 +168,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, features: in
             moved = [[{"gone": gone, "come": come, "n": n} for (gone, come), n in sorted(m.items()) if gone or come] for m in moved]
             yield pa.RecordBatch.from_arrays([batch["toxic"], pa.array(held, pa.list_(pa.int32())), pa.array(moved, MOVED)], names=["toxic", "held", "moved"])
 
-    got = chosen.mapInArrow(vectors, "toxic int, held array<int>, moved array<struct<gone: array<int>, come: array<int>, n: long>>").toArrow()
+    got = chosen.mapInArrow(tidy(vectors), "toxic int, held array<int>, moved array<struct<gone: array<int>, come: array<int>, n: long>>").toArrow()
     rows = [np.array(x, np.int64) for x in got["held"].to_pylist()]
     total_changes: Counter = Counter()
     for per in got["moved"].to_pylist():
@@ -188,4 +191,4 @@ def score(docs: DataFrame, model: Classifier, kept: list[Column]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch[f] for f in names), pa.array(done, pa.float64()), pa.array([int(s >= 0.5) for s in done], pa.int32())], names=[*names, "score", "predicted"])
 
     rows = docs.select(*kept, F.col("text").cast("string").alias("_text"))
-    return rows.mapInArrow(run, rows.drop("_text").schema.add("score", "double").add("predicted", "integer"))
+    return rows.mapInArrow(tidy(run), rows.drop("_text").schema.add("score", "double").add("predicted", "integer"))

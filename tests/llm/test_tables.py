@@ -376,3 +376,79 @@ def test_pipeline_stages(spark, tmp_path):
     assert ids[2] == ids[0] - {500, 501, 502, 503, 504} and ids[3] == ids[2] == ids[4]
     assert len(seen[3]) >= len(seen[2]) and len(seen[4]) == len(seen[3])
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(seen[4])
+
+
+def test_pipeline_equals_brute_force(spark, tmp_path):
+    """All five stages by plain code on whole lists, and the library's tokens; and an empty table."""
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+    from quarrykit.llm import language_id
+    from quarrykit.llm.queries import BPE_PATH
+
+    r = random.Random(12)
+    words = {"en": "the of and that with from this wing shore tion", "de": "der die und mit schaft ung über zwischen nicht"}
+    line = lambda lang, n: " ".join(r.choice(words[lang].split()) + r.choice(["", "s", "en", "x1"]) for _ in range(n))
+    rows = []
+    for i in range(90):
+        lang = r.choice(list(words))
+        text = "\n".join([line(lang, 11) for _ in range(6)] + ["Shared  footer"] * (i % 4 == 0) + ["rare footer"] * (i % 30 == 0))
+        rows.append((i, text, r.choice([lang, None]), f"src{min(2, i % 5)}", len(text)))
+    for k in range(40):  # copies, near copies and what is no language
+        i, t, lang, source, n = rows[r.randrange(90)]
+        changed = t if k % 3 == 0 else t.replace(t.split()[k % 20], "changed", 1) if k % 3 == 1 else "12 34 !! 56"
+        rows.append((200 + k, changed, lang, source, n))
+    rows += [(None, None, None, None, None), (None, rows[3][1], "en", "src1", 5)]
+    table = spark.createDataFrame(rows, DOCS)
+    table.write.parquet(str(tmp_path / "documents.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+
+    model = language_id.train(table.filter(~language_id.held_out()))
+    docs_ = [x for x in rows if (p := model.predict(x[1]))[0] != "und" and p[1] >= 0.4]
+    key = lambda s: "".join(c.lower() if c.isascii() else c for c in s.strip(" \t\n\r\x0b\x0c"))
+    lists = {tuple(map(key, t.split("\n"))) for _, t, *_ in docs_}
+    counts = Counter(k for keys in lists for k in set(keys) if k)
+    docs_ = [(i, "\n".join(x for x in t.split("\n") if counts[key(x)] < 10), source) for i, t, _, source, _ in docs_]
+    assert any("Shared" in t for _, t, *_ in rows) and not any("Shared" in t for _, t, _ in docs_) and any("rare" in t for _, t, _ in docs_)
+
+    def shingles(t):
+        w = [x for x in "".join(c.lower() if c.isascii() else c for c in t).replace("\n", " ").split(" ") if x]
+        return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+    sets = [shingles(t) for _, t, _ in docs_]
+    label = list(range(len(docs_)))
+    for a in range(len(docs_)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if both and 100 * both >= 75 * len(sets[a] | sets[b]):
+                label = [label[b] if x == label[a] else x for x in label]
+    groups = {}
+    for x, d in zip(label, docs_):
+        groups.setdefault(x, []).append(d)
+    kept = [min(g, key=lambda d: (d[0] is None, d[0] or 0)) for g in groups.values()]
+    assert len(kept) < len(docs_) < len(rows)
+
+    library = Tokenizer.from_file(BPE_PATH)
+    want = {}
+    for i, t, source in kept:
+        ids = library.encode(t, add_special_tokens=False).ids
+        want[i] = (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest(), source)
+    copies = Counter(x.doc_id for x in got)
+    assert set(copies) == set(want) and all((x.n_tokens, x.ids_sha256, x.decoded_sha256) == want[x.doc_id][:3] for x in got)
+    for source in {w[3] for w in want.values()}:  # whole epochs, then a part of one more; at most twice and a block
+        n = [copies[i] for i, w in want.items() if w[3] == source]
+        assert 1 <= min(n) and max(n) - min(n) <= 1 and max(n) <= 3
+    drawn = {s: sum(copies[i] * len(t.split()) for i, t, source in kept if source == s) for s in {d[2] for d in kept}}
+    total = {s: sum(len(t.split()) for _, t, source in kept if source == s) for s in drawn}
+    share = lambda x: -sum(v / sum(x.values()) * math.log(v / sum(x.values())) for v in x.values())
+    assert share(drawn) >= share(total) - 0.02  # no less even than before
+
+    table.limit(0).write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_url_trust_of_very_long_html(spark):
+    filler = "<p>" + "x" * 200 + "</p>"
+    rows = [(1, "http://bad.net/es/1", ""), (2, "http://far.org/", filler * 20_000 + '<a href="http://bad.net/x">' * 3), (3, "http://other.org/", filler * 20_000)]
+    got = {x.page_id: x.verdict for x in url_trust.judge(spark.createDataFrame(rows, "page_id long, url string, html string"), URL_RULES, spread=0.0).collect()}
+    assert got == {1: "block", 2: "block", 3: "allow"}

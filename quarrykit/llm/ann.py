@@ -14,9 +14,11 @@ candidates are taken that ``recall`` of these places are among them. The number
 
 Equal vectors are one class, listed with their smallest ids, so groups of copies neither crowd the candidates nor
 fill one task. Codes and norms lie in blocks (``books`` + 4 bytes a vector), which stay where they are; queries are
-sent past them, and a block hands on its best candidates of each, merged by query. With n vectors, of which q distinct
-ones are queries, q * n / ``BLOCK`` query rows are shuffled, and q * n / ``BLOCK`` times the candidates at most come
-back. Original vectors go only to the candidates.
+sent past them, twice. First past a share of the codes, from which each query gets a threshold that somewhat more
+vectors than it needs candidates should reach; then past all, and only what reaches it comes back, merged by query. The
+few queries that get less than they need ask again without a threshold. With n vectors, of which q distinct ones are
+queries that need r candidates, some q * n / ``BLOCK`` query rows are shuffled, and about 1.3 * q * r candidates, however
+many blocks there are. Original vectors go only to the candidates.
 
 Defined cases: vectors that are null, empty, zero, of another dimension than most vectors, or hold null or
 non-finite components take no part, as queries neither; rows with a null id take no part; repeated rows of one id
@@ -36,6 +38,8 @@ from quarrykit.llm.common import cut, scratch
 
 #: Codes that lie together, at most on average.
 BLOCK = 16_384
+#: So many of a query's candidates are expected in the share of the codes that its threshold is taken from.
+EXPECTED = 128
 
 
 def clustered(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.ndarray:
@@ -238,28 +242,47 @@ def search(vectors: DataFrame, every: int = 20, top: int = 20, rerank: int | Non
         rank = places(coded, rows_of(held["v"].combine_chunks()), held["class"].to_numpy(), shared, kind, top)
         rerank = max(4 * top, int(rank[min(len(rank) - 1, math.ceil(recall * len(rank)))]) + 1) if len(rank) else 4 * top
 
-    def score(batches):
-        held, block, codes = [], None, None
-        for batch in batches:
-            code = batch["block"].to_numpy() * 2 + batch["kind"].to_numpy()
-            for rows in np.split(np.arange(len(code)), np.flatnonzero(np.diff(code)) + 1):
-                if not len(rows):
-                    continue
-                part, (own, is_query) = batch.slice(rows[0], len(rows)), divmod(int(code[rows[0]]), 2)
-                if own != block:
-                    held, block, codes = [], own, None
-                if not is_query:
-                    held.append(part)
-                    continue
-                if held:
-                    codes, held = Codes(shared.value, held, kind), []
-                for at in range(0, part.num_rows if codes else 0, 64):
-                    piece = part.slice(at, 64)
-                    near = codes.near(rows_of(piece["v"]))
-                    most = min(rerank, len(codes.ids))
-                    best = np.argpartition(-near, most - 1, 1)[:, :most]
-                    names = np.repeat(piece["class"].to_numpy(), most)
-                    yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(codes.ids[best].ravel()), pa.array(np.take_along_axis(near, best, 1).ravel())], names=["query", "c", "score"])
+    def passed(give):
+        """Batches of queries past the codes of their block, for mapInArrow."""
+
+        def run(batches):
+            held, block, codes = [], None, None
+            for batch in batches:
+                code = batch["block"].to_numpy() * 2 + batch["kind"].to_numpy()
+                for rows in np.split(np.arange(len(code)), np.flatnonzero(np.diff(code)) + 1):
+                    if not len(rows):
+                        continue
+                    part, (own, is_query) = batch.slice(rows[0], len(rows)), divmod(int(code[rows[0]]), 2)
+                    if own != block:
+                        held, block, codes = [], own, None
+                    if not is_query:
+                        held.append(part)
+                        continue
+                    if held:
+                        codes, held = Codes(shared.value, held, kind), []
+                    for at in range(0, part.num_rows if codes else 0, 64):
+                        piece = part.slice(at, 64)
+                        yield give(piece["class"].to_numpy(), piece["t"].to_numpy(), codes.ids, codes.near(rows_of(piece["v"])))
+
+        return run
+
+    def tops(query, _, ids, near):
+        most = min(enough, len(ids))
+        best = -np.partition(-near, most - 1, 1)[:, :most]
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, best.size + 1, most), pa.int32()), pa.array(best.ravel()))
+        return pa.RecordBatch.from_arrays([pa.array(query), lists], names=["query", "top"])
+
+    def reached(query, t, ids, near):
+        most = min(rerank, len(ids))
+        best = np.argpartition(-near, most - 1, 1)[:, :most]
+        score = np.take_along_axis(near, best, 1)
+        over = score >= t[:, None]
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(query, over.sum(1))), pa.array(ids[best][over]), pa.array(score[over])], names=["query", "c", "score"])
+
+    def sent(queries, codes, blocks, give, schema):
+        lying = codes.select(F.pmod(F.xxhash64("class"), F.lit(blocks)).cast("int").alias("block"), F.lit(0).alias("kind"), "class", "codes", "norm", F.lit(None).cast("array<double>").alias("v"), F.lit(None).cast("float").alias("t"))
+        asking = queries.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(1).alias("kind"), "class", F.lit(None).cast("binary").alias("codes"), F.lit(None).cast("float").alias("norm"), "v", "t")
+        return lying.unionByName(asking).repartition(blocks, "block").sortWithinPartitions("block", "kind").mapInArrow(passed(give), schema)
 
     def exactly(batches):
         for batch in batches:
@@ -267,9 +290,21 @@ def search(vectors: DataFrame, every: int = 20, top: int = 20, rerank: int | Non
                 part = batch.slice(at, 4_096)
                 yield pa.RecordBatch.from_arrays([part["query"], part["c"], pa.array(np.einsum("ij,ij->i", rows_of(part["v"]), rows_of(part["w"])))], names=["query", "c", "score"])
 
-    lying = coded.select(F.pmod(F.xxhash64("class"), F.lit(blocks)).cast("int").alias("block"), F.lit(0).alias("kind"), "class", "codes", "norm", F.lit(None).cast("array<double>").alias("v"))
-    asking = distinct.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(1).alias("kind"), "class", F.lit(None).cast("binary").alias("codes"), F.lit(None).cast("float").alias("norm"), "v")
-    found = lying.unionByName(asking).repartition(blocks, "block").sortWithinPartitions("block", "kind").mapInArrow(score, "query long, c long, score float")
+    lowest = F.lit(-math.inf).cast("float").alias("t")
+    queries = distinct.select("class", "v", lowest)
+    share = min(1.0, EXPECTED / rerank)
+    enough = math.ceil(share * rerank + 3 * math.sqrt(share * rerank)) + 1
+    if enough < share * n:
+        some = coded.filter(F.pmod(F.xxhash64("class", F.lit(3)), F.lit(1 << 20)) < int(share * (1 << 20)))
+        best = sent(queries, some, max(1, math.ceil(share * blocks)), tops, "query long, top array<float>")
+        # at most ``enough`` numbers of each block of the share
+        t = best.groupBy("query").agg(F.get(F.sort_array(F.flatten(F.collect_list("top")), False), F.lit(enough - 1)).alias("t"))
+        queries = cut(distinct.join(t, F.col("class") == F.col("query"), "left").select("class", "v", F.coalesce("t", lowest).alias("t")))
+    found = cut(sent(queries, coded, blocks, reached, "query long, c long, score float"))
+    full = found.groupBy("query").agg(F.count("*").alias("n")).filter(F.col("n") >= min(rerank, n))
+    short = cut(queries.filter(F.col("t") > -math.inf).join(full, F.col("class") == F.col("query"), "left_anti").select("class", "v", lowest))
+    if short.limit(1).count():
+        found = found.join(short, F.col("query") == F.col("class"), "left_anti").unionByName(sent(short, coded, blocks, reached, "query long, c long, score float"))
     likely = Window.partitionBy("query").orderBy(F.desc("score"), "c")
     near = cut(found.withColumn("k", F.row_number().over(likely)).filter(F.col("k") <= rerank).select("query", "c"))
     bodies = near.join(classes.select(F.col("class").alias("c"), F.col("v").alias("w")), "c").join(distinct.select(F.col("class").alias("query"), "v"), "query")

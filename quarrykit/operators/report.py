@@ -53,14 +53,19 @@ show();
 """
 
 
+def summary_lines(summaries: DataFrame) -> DataFrame:
+    """(round, line): each row of ``papers.summary`` as a row of the table."""
+    cells = F.concat_ws(" | ", "label", "year", F.col("p1").cast("string"), "essay_counts", F.col("total").cast("string"), "status")
+    return summaries.select("round", F.concat(F.lit("| "), cells, F.lit(" |")).alias("line"))
+
+
 def summary_markdown(structured: DataFrame, to: str | None = None) -> str:
     """The table of all papers by round, with totals; one row for each paper. ``to`` names a file to append it to."""
     rows = papers.summary(structured)
     t = papers.totals(rows).first()
     if t["papers"]:
         head = SUMMARY_HEAD.format(t["papers"], t["items"]) + (SUMMARY_WARNED.format(t["warned"]) if t["warned"] else SUMMARY_CLEAN)
-        line = F.concat(F.lit("| "), F.concat_ws(" | ", "label", "year", F.col("p1").cast("string"), "essay_counts", F.col("total").cast("string"), "status"), F.lit(" |"))
-        body = [r["line"] for r in rows.orderBy("round").select(line.alias("line")).collect()]
+        body = [r["line"] for r in summary_lines(rows).orderBy("round").select("line").collect()]
         text = "\n".join([head, "", *SUMMARY_COLUMNS, *body, SUMMARY_TAIL, ""])
     else:
         text = NO_PAPERS

@@ -9,7 +9,9 @@ depend on the lexicon.
 
 Defined cases: a null text counts as empty; an empty text has no tokens and decodes to the empty text; the
 tokenizer's special strings inside a text become their ids, as in the tokenizers library with its defaults; rows
-with a null or repeated doc_id are encoded as any other row.
+with a null or repeated doc_id are encoded as any other row; texts of any length are read whole, a task holds a few of
+them at a time; an empty table gives an empty result, and an empty lexicon; other columns are ignored, whatever their
+names.
 """
 
 from __future__ import annotations

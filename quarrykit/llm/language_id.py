@@ -8,7 +8,8 @@ proportion, the score that proportion.
 
 Defined cases: a null text, an empty one, or one without letters is ``und`` with score 0, as is every text if
 nothing was learned; ties go to the language that sorts first; whole texts are read; rows with a null or repeated
-doc_id are predicted like others; an empty table gives an empty result.
+doc_id are predicted like others; an empty table gives an empty result; ``accept`` keeps all columns, whatever their
+names, and of others only those that are asked for.
 """
 
 from __future__ import annotations

@@ -16,7 +16,8 @@ itself, so nothing is shuffled and a template in a third of all documents is no
 
 Defined cases: a null or empty text has no matches; a template may match a text several times, each with its span;
 matches of one template do not overlap, those of different templates may; spans count characters of
-the whole text, the end excluded; repeated rows are scanned each; an empty table gives an empty result.
+the whole text, the end excluded; repeated rows, and rows with a null id, are scanned each; texts of any length are
+scanned whole; an empty table gives an empty result; columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations

@@ -12,7 +12,7 @@ the last one takes blocks until the source's budget is spent, and the block in w
 
 Defined cases: a null source is a source of its own; null or empty texts have no tokens, and are dealt like others;
 an empty table gives an empty result; equal rows (id and text) are drawn
-together; extra columns are kept.
+together; texts of any length count whole; extra columns are kept, whatever their names.
 """
 
 from __future__ import annotations

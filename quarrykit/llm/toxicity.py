@@ -10,7 +10,8 @@ replaced by another of its kind. So a term that stands in many toxic sentences d
 Whole texts are read; a document has a feature or not, so long texts are not diluted. Defined cases: a null or empty
 text gets the bias alone; rows without a label, or whose id is null, teach nothing; of several labels of one id the
 largest counts; with no labelled rows, or only one label, every score is the label's share (0.0 without rows);
-repeated rows are scored each; an empty table gives an empty result.
+repeated rows are scored each; an empty table gives an empty result; of the documents' columns only doc_id, text and those
+asked for are read, whatever the others' names.
 """
 
 from __future__ import annotations

@@ -81,7 +81,12 @@ def with_full(second: DataFrame, contents: Contents, cache: DataFrame | None = N
 
 def matched(files: DataFrame, contents: Contents, min_size: int = 1, cache: DataFrame | None = None) -> DataFrame:
     """Survivors of all three stages, one row for each file, with their ``hash``."""
-    rows = with_full(same_prefix(with_quick(same_size(files, min_size), contents)), contents, cache).filter(F.col("hash").isNotNull())
+    return confirmed(with_full(same_prefix(with_quick(same_size(files, min_size), contents)), contents, cache))
+
+
+def confirmed(second: DataFrame) -> DataFrame:
+    """Stage 3: of what ``with_full`` gives, the files that share size and hash with another."""
+    rows = second.filter(F.col("hash").isNotNull())
     keys = rows.groupBy("size", "hash").agg(F.count("*").alias("_n")).filter("_n >= 2").select("size", "hash")
     return cut(rows.join(keys, ["size", "hash"], "left_semi"))
 

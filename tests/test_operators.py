@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quarrykit import workspace
 from quarrykit.operators import dup, folder_search, hashing, node_search, numbering, papers, report, search, tree, usage
 from quarrykit.plans.query import parse
 from quarrykit.sources import listing, store, usn, versions, volumes
@@ -847,3 +848,35 @@ def test_hashing_counts_in_its_own_job(spark, tmp_path):
     second = dup.with_full(dup.same_prefix(dup.with_quick(dup.same_size(files), hashing.PathContents(), first)), hashing.PathContents(), counted=whole)
     assert first.get == {"files": 6, "bytes": 4 * dup.PREFIX + 9, "errors": 1} and whole.get == {"files": 3, "bytes": 60_000, "errors": 0}
     assert second.count() == 3
+
+
+# ---- all commands together
+
+
+def test_workspace(spark, tmp_path):
+    """Index, use, find, duplicates with a cache, prune and a new half-life, over stores that go on from each other."""
+    home = tmp_path / "home"
+    planted(home, ["docs/a.txt", "docs/b.txt", "pics/c.jpg", "Windows/sys.dll"])
+    for name in ("docs/twin1.bin", "pics/twin2.bin"):
+        (home / name).write_bytes(noise(3, 40_000))
+    own, top, day = workspace.Workspace(spark, str(tmp_path / "stores")), str(home), 86_400
+    assert tuple(own.index([top, top + "/none"]).first()) == (5, 3, 1, 1)
+    own.hit([f"{top}/docs/b.txt", f"{top}/docs/b.txt", f"{top}/pics/c.jpg"], 100 * day)
+    row = own.hit([f"{top}/docs/b.txt"], 130 * day).first()  # a half-life later
+    assert (row.score, row["count"], row["last"]) == (pytest.approx(2.0), 3, 130 * day)
+    assert [r.name for r in own.search("!folder: !dup:", 130 * day).collect()] == ["b.txt", "c.jpg", "a.txt"]
+    assert [r.name for r in own.search("rc:>2", 130 * day).collect()] == ["b.txt"]
+    assert {r.name: r.dup_tag for r in own.search("ext:bin", 0, mark_dups=True).collect()} == {"twin1.bin": 1, "twin2.bin": 1}
+    groups, members = own.dup()
+    assert [(r.n, r.wasted) for r in groups.collect()] == [(2, 40_000)] and {os.path.basename(r.path) for r in members.collect()} == {"twin1.bin", "twin2.bin"}
+    assert tuple(own.stats().first())[4:] == (2, 2)
+    (home / "pics/twin2.bin").write_bytes(noise(3, 40_000)[:-1] + b"!")
+    os.utime(home / "pics/twin2.bin", (5, 5))
+    os.unlink(home / "pics/c.jpg")
+    own.index([top])
+    assert own.dup()[0].count() == 0  # the changed file is hashed again
+    assert [r.key for r in own.prune(130 * day).collect()] == [f"{top}/pics/c.jpg"] and own.prune(130 * day).count() == 0
+    assert [(r.path, r["count"]) for r in own.top(5, 130 * day).collect()] == [(f"{top}/docs/b.txt", 3)]
+    assert [(r.score, r["count"]) for r in own.config(7.0, 130 * day).collect()] == [(3.0, 3)] and own.half_life_days == 7.0
+    assert own.top(0, 137 * day).first().score == pytest.approx(1.5)
+    assert own.open(f"{top}\\docs\\a.txt").count() == 1

@@ -27,6 +27,13 @@ SUMMARY_HEAD = "## 기출문제 처리 결과\n\n**{}개 회차 · {}문항**"
 SUMMARY_WARNED, SUMMARY_CLEAN = " · 경고 {}개 회차", " · 경고 없음"
 SUMMARY_COLUMNS = ["| 회차 | 시행 | 1교시 | 논술형(교시별) | 합계 | 상태 |", "|---|---|---|---|---|---|"]
 PAGE_TOTALS = '<p class="sub">{}개 회차 · 1교시 {}문항 + 논술형 {}문항 = 총 {}문항</p>'
+PAGE_TITLE = "<h1>{}</h1>"
+SECTION, YEAR = '<section class="paper" data-group="r{0}"><h2>제{0}회<span class="meta">{1} · {2}</span></h2>', " · {}년"
+GUESSED = '<span class="est">추정</span>'
+PERIOD = '<div class="gy">{}</div>'
+ITEM = '<li data-g="{}" data-t="{}">{}{}{}</li>'
+SUBS, SUB = "<span class=subs>{}</span>", "<span><b>{}.</b> {}</span>"
+SPEC = '<span class="spec">[명세] {}</span>'
 PAGE_BAR = (
     '<div class="bar"><input type="search" id="q" placeholder="문항 검색 (예: RAG, 가명처리)">'
     '<select id="gy"><option value="all">전체 교시</option><option value="1">1교시</option><option value="2">2교시</option>'
@@ -84,14 +91,14 @@ def questions_html(structured: DataFrame, title: str, gyosi: int | None = None,
     heads = {r["round"]: r for r in good.select("round", "year", "source", "gyosi_estimated").orderBy(F.desc("round")).collect()}
     items = papers.question_filter(papers.questions(good), gyosi, term).orderBy(F.desc("round"), "gyosi", "no").collect()
     short = sum(r["gyosi"] == 1 for r in items)
-    out = [f"<h1>{html.escape(title)}</h1>", PAGE_TOTALS.format(len(heads), short, len(items) - short, len(items)), PAGE_BAR]
+    out = [PAGE_TITLE.format(html.escape(title)), PAGE_TOTALS.format(len(heads), short, len(items) - short, len(items)), PAGE_BAR]
     for no, head in heads.items():
-        year = f" · {head['year']}년" if head["year"] else ""
-        out.append(f'<section class="paper" data-group="r{no}"><h2>제{no}회<span class="meta">{year} · {html.escape(head["source"])}</span></h2>')
-        mark = '<span class="est">추정</span>' if head["gyosi_estimated"] else ""
+        year = YEAR.format(head["year"]) if head["year"] else ""
+        out.append(SECTION.format(no, year, html.escape(head["source"])))
+        mark = GUESSED if head["gyosi_estimated"] else ""
         own = [r for r in items if r["round"] == no]
         for period in sorted({r["gyosi"] for r in own}):
-            out.append(f'<div class="gy">{SHORT_TITLE if period == 1 else ESSAY_TITLE.format(period, mark)}</div>')
+            out.append(PERIOD.format(SHORT_TITLE if period == 1 else ESSAY_TITLE.format(period, mark)))
             out.append("<ol>" + "".join(_item(r) for r in own if r["gyosi"] == period) + "</ol>")
         out.append("</section>")
     estimated = sum(h["gyosi_estimated"] for h in heads.values())
@@ -104,10 +111,9 @@ def questions_page(structured: DataFrame, title: str, gyosi: int | None = None,
 
 
 def _item(r) -> str:
-    subs = "".join(f"<span><b>{html.escape(s['k'])}.</b> {html.escape(s['v'])}</span>" for s in r["subs"])
-    spec = f'<span class="spec">[명세] {html.escape(r["spec"])}</span>' if r["spec"] else ""
+    subs = "".join(SUB.format(html.escape(s["k"]), html.escape(s["v"])) for s in r["subs"])
     found_by = html.escape(" ".join([r["stem"], *(s["v"] for s in r["subs"])]).lower(), quote=True)
-    return f'<li data-g="{r["gyosi"]}" data-t="{found_by}">{html.escape(r["stem"])}{f"<span class=subs>{subs}</span>" if subs else ""}{spec}</li>'
+    return ITEM.format(r["gyosi"], found_by, html.escape(r["stem"]), SUBS.format(subs) if subs else "", SPEC.format(html.escape(r["spec"])) if r["spec"] else "")
 
 
 def dup_report(groups: DataFrame, shown: int = 20) -> tuple[DataFrame, DataFrame]:

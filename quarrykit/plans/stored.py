@@ -3,18 +3,19 @@
 from __future__ import annotations
 
 import os
+import time
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrykit.functions import text as fn
-from quarrykit.operators import dup, folder_search, papers, report, search, tree
+from quarrykit.operators import dup, folder_search, papers, report, search, tree, usage
 from quarrykit.operators.hashing import PathContents
 from quarrykit.operators.numbering import scratch
 from quarrykit.plans.catalogue import FILES, FOLD, FOUND, NODES, NOW, ROW, SQL, TREE, TURNS, decay, found, groups_sql, register, state, usage_sql
 from quarrykit.sources import listing, store, versions, views
-from quarrykit.streaming import paper_stream
+from quarrykit.streaming import paper_stream, usage_stream
 
 #: When files that these queries write were last changed.
 WRITTEN = 1_700_000_000
@@ -173,3 +174,34 @@ def _(spark, d):
     query = paper_stream.structure(paper_stream.arriving(spark, top), out, scratch(spark, "arriving"))
     query.awaitTermination()
     return versions.Versions(spark, f"{out}/papers").read().select("round", "source", F.size("period1").alias("p1"))
+
+
+@register("usage_live", f"WITH {FILES}, {usage_sql(half_life=3650.0)} SELECT key, path, round(score, 6) AS score, count, last FROM usage")
+def _(spark, d):
+    """The earlier half of the log as a stored table, the later half as a stream that starts from it; the states at its end.
+
+    The stream runs in a session of its own, which has the settings of keyed states; a half-life of ten years keeps all.
+    """
+    own = spark.newSession()
+    own.conf.set("spark.sql.streaming.stateStore.providerClass", usage_stream.PROVIDER)
+    own.conf.set("spark.sql.session.timeZone", spark.conf.get("spark.sql.session.timeZone"))
+    own.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
+    days, log = 3650.0, views.usage_log(own, d)
+    middle = log.agg(F.floor(F.max("seq") / 2)).first()[0]
+    stored, arriving, at = (scratch(spark, x) for x in ("stored", "uses", "live"))
+    store.write_usage(usage.fold(log.filter(F.col("seq") <= middle), days), stored, NOW, days)
+    log.filter(F.col("seq") > middle).write.parquet(arriving)
+    stream = own.readStream.schema("seq long, path string, ts long").parquet(arriving)
+    live = usage_stream.live_usage(stream, days, stored=store.read_usage(own, stored))
+    query = live.writeStream.outputMode("update").foreachBatch(lambda batch, _: batch.write.format("noop").mode("overwrite").save()).option("checkpointLocation", at).start()
+    try:
+        n, until = own.read.parquet(arriving).count(), time.time() + 900
+        while sum(p["numInputRows"] for p in query.recentProgress) < n:  # a stream with timers never ends by itself
+            if query.exception() or time.time() > until:
+                raise RuntimeError(f"the stream did not take all uses: {query.exception()}")
+            time.sleep(0.5)
+    finally:
+        query.stop()
+    kept = scratch(spark, "states")
+    usage_stream.states(own, at).write.parquet(kept)
+    return spark.read.parquet(kept).select("key", "path", F.round("score", 6).alias("score"), "count", "last")

@@ -76,16 +76,19 @@ class Codebooks:
             rest -= words[-1][(rest @ words[-1].T - 0.5 * (words[-1] ** 2).sum(1)).argmax(1)]
         made = cls(np.stack(words))
         for _ in range(2):  # all books together, given the codes; then new codes
-            codes = made.encode(x, beam)
-            at = codes + size * np.arange(books)
-            gram = 0.05 * np.eye(books * size, dtype=np.float32)
-            right = 0.05 * made.words.reshape(books * size, -1)
-            for rows in range(0, len(x), 1024):
-                hits = np.zeros((len(x[rows : rows + 1024]), books * size), np.float32)
-                np.put_along_axis(hits, at[rows : rows + 1024], 1, 1)
-                gram += hits.T @ hits
-                right += hits.T @ x[rows : rows + 1024].astype(np.float32)
-            made = cls(np.linalg.solve(gram, right).reshape(books, size, -1))
+            codes, near = made.encode(x, beam), made.words
+            del made  # the driver holds one large matrix at a time, and its copy in the solver
+            gram = np.zeros((books * size, books * size), np.float32)
+            gram.flat[:: books * size + 1] = 0.05
+            right = 0.05 * near.reshape(books * size, -1)
+            for b in range(books):
+                own = slice(b * size, (b + 1) * size)
+                np.add.at(right[own], codes[:, b], x.astype(np.float32))
+                for c in range(books):
+                    gram[own, c * size : (c + 1) * size] += np.bincount(codes[:, b] * size + codes[:, c], minlength=size * size).reshape(size, size)
+            words = np.linalg.solve(gram, right).reshape(books, size, -1)
+            del gram, right
+            made = cls(words)
         return made
 
     def encode(self, x: np.ndarray, beam: int) -> np.ndarray:

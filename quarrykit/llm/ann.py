@@ -1,24 +1,25 @@
 """Nearest neighbours by inner product over additive quantisation, then exact reranking.
 
-Vectors are approximated by sums of one word from each of ``books`` codebooks, whose words have the full dimension.
-The codebooks are fitted on at most ``fit_rows`` vectors (those with the smallest hash of their components, so the
-same at every run): first by clustering residuals, then by least squares for all books together. Every vector is
-encoded by a beam search over the books, which keeps the ``beam`` best partial sums, and stored as its codes with
-a norm: by how much the vector is longer than its approximation. A query makes one table of its inner products with
-all words; a vector's approximate score is the sum of the entries of its codes, times its stored norm. The best of a
-query by that score, of all vectors together, are scored exactly, in double precision on the original vectors.
-
-How many are reranked follows from a measurement on the table itself: ``probes`` held queries are scored exactly and
-approximately with every vector, which gives the place of each true neighbour in the approximate order; so many
-candidates are taken that ``recall`` of these places are among them. The number grows with the table as the places do.
+The directions of vectors (their unit vectors, so neither lengths nor scale matter) are approximated by sums of one word
+from each of ``books`` codebooks, whose words have the full dimension. The codebooks are fitted on at most ``fit_rows``
+vectors (those with the smallest hash of their components, so the same at every run): first by clustering residuals,
+then by least squares for all books together. Every vector is encoded by a beam search over the books, which keeps the
+``beam`` best partial sums, and stored as its codes with two numbers: its norm, a multiple of the approximation, and
+how far its direction is from that. A query makes one table of its inner products with all words; a vector's approximate
+score is the sum of the entries of its codes, times its norm, and its score differs from that by at most the
+query's length times the vector's length times its distance.
+
+So nothing is missed, whatever the rows are like: in each block of vectors the ``rerank`` best of a query by approximate
+score are scored exactly, in double precision on the original vectors; then every vector that by its bound may come
+before the last of the ``top`` that these leave is scored exactly too. Quantisation decides how many are scored, not
+which are found.
 
 Equal vectors are one class, listed with their smallest ids, so groups of copies neither crowd the candidates nor
-fill one task. Codes and norms lie in blocks (``books`` + 4 bytes a vector), which stay where they are; queries are
-sent past them, twice. First past a share of the codes, from which each query gets a threshold that somewhat more
-vectors than it needs candidates should reach; then past all, and only what reaches it comes back, merged by query. The
-few queries that get less than they need ask again without a threshold. With n vectors, of which q distinct ones are
-queries that need r candidates, some q * n / ``BLOCK`` query rows are shuffled, and about 1.3 * q * r candidates, however
-many blocks there are. Original vectors go only to the candidates.
+fill one task. Vectors and codes lie in blocks, which stay where they are; queries are sent past them. First past a
+part of the blocks, from which each query gets a threshold, the last score among its best there; then past the other
+blocks, of which only what reaches the threshold comes back, merged by query. With n vectors, of which q distinct ones
+are queries, some q * n / ``BLOCK`` query rows are shuffled, and for each query at most ``top`` + 1 rows of a block in
+the part, and about ``FIRST`` times ``top`` of all others.
 
 Defined cases: vectors that are null, empty, zero, of another dimension than most vectors, or hold null or
 non-finite components take no part, as queries neither; rows with a null id take no part; repeated rows of one id
@@ -36,10 +37,10 @@ from pyspark.sql import functions as F
 
 from quarrykit.llm.common import cut, scratch
 
-#: Codes that lie together, at most on average.
-BLOCK = 16_384
-#: So many of a query's candidates are expected in the share of the codes that its threshold is taken from.
-EXPECTED = 128
+#: Vectors that lie together, at most on average, and their components.
+BLOCK, COMPONENTS = 16_384, 1 << 22
+#: One in so many blocks is asked first.
+FIRST = 8
 
 
 def clustered(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.ndarray:
@@ -113,11 +114,20 @@ class Codebooks:
             out[at : at + 256] = codes[np.arange(n), errors.argmin(1)]
         return out
 
-    def norms(self, codes: np.ndarray) -> np.ndarray:
-        sums = np.zeros((len(codes), self.words.shape[2]), np.float32)
+    def sums(self, codes: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(codes), self.words.shape[2]), np.float32)
         for b in range(self.words.shape[0]):
-            sums += self.words[b, codes[:, b]]
-        return (sums**2).sum(1)
+            out += self.words[b, codes[:, b]]
+        return out
+
+    def norms(self, codes: np.ndarray) -> np.ndarray:
+        return (self.sums(codes) ** 2).sum(1)
+
+    def fitted(self, x: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The multiple of each approximation that is nearest to its row of x, and how far that is from it."""
+        near = self.sums(codes).astype(np.float64)
+        norm = (x * near).sum(1) / np.maximum((near**2).sum(1), 1e-30)
+        return norm, np.sqrt(((x - norm[:, None] * near) ** 2).sum(1))
 
 
 def clean(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -134,73 +144,70 @@ def rows_of(column) -> np.ndarray:
     return np.array(column.flatten(), np.float64).reshape(len(column), -1)
 
 
+def lengths(x: np.ndarray) -> np.ndarray:
+    """Lengths of the rows, none of which is zero; squares neither overflow nor vanish."""
+    most = np.abs(x).max(1)
+    return most * np.sqrt(((x / most[:, None]) ** 2).sum(1))
+
+
+def directions(x: np.ndarray) -> np.ndarray:
+    x = x / np.abs(x).max(1)[:, None]
+    return x / np.sqrt((x**2).sum(1))[:, None]
+
+
 class Codes:
-    """Codes and norms of some classes; approximate scores come from a query's table of products with all words."""
+    """The classes of a block; a query's scores come from its table of products with all words, and exactly where needed."""
 
     def __init__(self, books: Codebooks, batches: list, kind):
         rows = pa.Table.from_batches(batches)
-        self.books, self.ids, self.norms = books, rows["class"].to_numpy(), rows["norm"].to_numpy()
+        self.books, self.ids = books, rows["class"].to_numpy()
+        self.norms, self.far, self.x = rows["norm"].to_numpy(), rows["far"].to_numpy(), rows_of(rows["v"].combine_chunks())
+        self.lengths = lengths(self.x)
         code = np.frombuffer(b"".join(rows["codes"].to_pylist()), kind).reshape(len(self.ids), -1).astype(np.int64)
         self.flat = np.ascontiguousarray((code + books.words.shape[1] * np.arange(books.words.shape[0])).T)
 
     def near(self, queries: np.ndarray) -> np.ndarray:
+        """Inner products of unit queries with all approximations, in single precision."""
         tables = queries.astype(np.float32) @ self.books.words.reshape(-1, self.books.words.shape[2]).T
         out = np.zeros((len(queries), len(self.ids)), np.float32)
         for row in self.flat:
             out += tables[:, row]
-        return out * self.norms
-
-
-def places(coded: DataFrame, probes: np.ndarray, own: np.ndarray, shared, kind, top: int) -> np.ndarray:
-    """For each probe the places of its ``top`` true neighbours in the approximate order of all classes.
-
-    ``coded``: (class, v, codes, norm). Two passes in which a task hands on ``top`` rows, or as many counts, for each
-    probe: first the true neighbours with their approximate scores, then how many classes are before each of them.
-    """
-
-    def both(batch):
-        codes = Codes(shared.value, [batch.select(["class", "codes", "norm"])], kind)
-        near = codes.near(probes)
-        near[own[:, None] == codes.ids] = -np.inf  # a query is not its own neighbour
-        return codes.ids, near
-
-    def best(batches):
-        ids, exact, near = (np.zeros((len(probes), 0), t) for t in (np.int64, np.float64, np.float32))
-        for batch in batches:
-            for at in range(0, batch.num_rows, 2_048):
-                part = batch.slice(at, 2_048)
-                new, guess = both(part)
-                score = np.where(own[:, None] == new, -np.inf, probes @ rows_of(part["v"]).T)
-                ids = np.concatenate([ids, np.broadcast_to(new, score.shape)], 1)
-                exact, near = np.concatenate([exact, score], 1), np.concatenate([near, guess], 1)
-                first = np.argsort(-exact, 1, kind="stable")[:, :top]
-                ids, exact, near = (np.take_along_axis(x, first, 1) for x in (ids, exact, near))
-        who = np.repeat(np.arange(len(probes)), ids.shape[1])
-        real = np.isfinite(exact.ravel())
-        yield pa.RecordBatch.from_arrays([pa.array(x[real]) for x in (who, exact.ravel(), near.ravel().astype(np.float64))], names=["probe", "exact", "near"])
-
-    found = coded.mapInArrow(best, "probe long, exact double, near double")
-    order = Window.partitionBy("probe").orderBy(F.desc("exact"), F.desc("near"))
-    found = found.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= top).select("probe", "near").toArrow()  # top rows a probe
-    who, near = found["probe"].to_numpy(), found["near"].to_numpy()
-
-    def ahead(batches):
-        n = np.zeros(len(who), np.int64)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 2_048):
-                _, guess = both(batch.slice(at, 2_048))
-                for k in range(len(probes)):
-                    mine = np.flatnonzero(who == k)
-                    n[mine] += guess.shape[1] - np.searchsorted(np.sort(guess[k].astype(np.float64)), near[mine], "right")
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(n))), pa.array(n)], names=["k", "n"])
-
-    sums = coded.mapInArrow(ahead, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
-    return np.sort(sums["n"].to_numpy()) + 1
+        return out
 
+    def exactly(self, queries: np.ndarray, who: np.ndarray, which: np.ndarray) -> np.ndarray:
+        """Scores of pairs of a query and a class."""
+        out, step = np.empty(len(who)), max(1, (1 << 20) // self.x.shape[1])
+        for at in range(0, len(who), step):
+            out[at : at + step] = np.einsum("ij,ij->i", queries[who[at : at + step]], self.x[which[at : at + step]])
+        return out
 
-def search(vectors: DataFrame, every: int = 20, top: int = 20, rerank: int | None = None, recall: float = 0.97, probes: int = 64, books: int = 32, size: int = 128, beam: int = 4, fit_rows: int = 8192, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(query_id, rank, vec_id, score) for the rows whose id is divisible by ``every``; ``rerank`` overrides what the
-    probes say."""
+    def best(self, queries: np.ndarray, least: np.ndarray, most: int, rerank: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ``most`` best of each query among those that score ``least``, ties to smaller ids: (query, class, score)."""
+        units = directions(queries)
+        near = self.near(units).astype(np.float64)
+        guess = near * self.norms
+        # what single precision may lose: a sum of products for each word, and of one word for each book
+        loss = 1e-5 * np.sqrt((self.books.words**2).sum(2)).max(1).sum()
+        bound = guess + self.lengths * self.far + np.abs(self.norms) * loss + 1e-9 * self.lengths
+        tried = min(max(rerank, most), len(self.ids))
+        first = np.argpartition(-guess, tried - 1, 1)[:, :tried]
+        score = self.exactly(queries, np.repeat(np.arange(len(queries)), tried), first.ravel()).reshape(len(queries), tried)
+        if tried >= most:
+            least = np.maximum(least, -np.partition(-score, most - 1, 1)[:, most - 1])
+        bar = least * (1 - 1e-9 * np.sign(least)) / lengths(queries)  # a little lower, as it is divided
+        who, which = np.nonzero(bound >= bar[:, None])
+        score = self.exactly(queries, who, which)
+        over = score >= least[who]
+        who, which, score = who[over], which[over], score[over]
+        order = np.lexsort((self.ids[which], -score, who))
+        who, which, score = who[order], which[order], score[order]
+        place = np.arange(len(who)) - np.searchsorted(who, who)
+        return who[place < most], self.ids[which[place < most]], score[place < most]
+
+
+def search(vectors: DataFrame, every: int = 20, top: int = 20, rerank: int | None = None, books: int = 32, size: int = 128, beam: int = 4, fit_rows: int = 8192, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """(query_id, rank, vec_id, score) for the rows whose id is divisible by ``every``; ``rerank`` of a block, twice
+    ``top`` if not given, set its query's bar there."""
     spark = vectors.sparkSession
     x = clean(vectors, id_col, vector_col)
     # classes of equal vectors with their smallest ids: Spark limits each class before it shuffles it
@@ -214,7 +221,7 @@ def search(vectors: DataFrame, every: int = 20, top: int = 20, rerank: int | Non
     empty = "query_id long, rank int, vec_id long, score double"
     if not len(sample):
         return spark.createDataFrame([], empty)
-    shared = spark.sparkContext.broadcast(Codebooks.fit(rows_of(sample["v"].combine_chunks()), books, size, beam))  # books * size words at most
+    shared = spark.sparkContext.broadcast(Codebooks.fit(directions(rows_of(sample["v"].combine_chunks())), books, size, beam))  # books * size words at most
     kind = np.uint8 if size <= 256 else np.uint16
 
     def encoded(batches):
@@ -223,95 +230,61 @@ def search(vectors: DataFrame, every: int = 20, top: int = 20, rerank: int | Non
             for at in range(0, batch.num_rows, 2_048):
                 part = batch.slice(at, 2_048)
                 v = rows_of(part["v"])
-                codes = own.encode(v, beam)
-                norm = np.sqrt((v**2).sum(1) / np.maximum(own.norms(codes), 1e-30))
-                yield pa.RecordBatch.from_arrays([part["class"], part["v"], pa.array([c.tobytes() for c in codes.astype(kind)], pa.binary()), pa.array(norm, pa.float32())], names=["class", "v", "codes", "norm"])
+                unit = directions(v)
+                codes = own.encode(unit, beam)
+                norm, far = own.fitted(unit, codes)
+                yield pa.RecordBatch.from_arrays([part["class"], part["v"], pa.array([c.tobytes() for c in codes.astype(kind)], pa.binary()), pa.array(norm * lengths(v)), pa.array(far)], names=["class", "v", "codes", "norm", "far"])
 
     n = classes.count()
-    room = min(max(n // (4 * spark.sparkContext.defaultParallelism), 512), BLOCK)
+    room = max(1, min(max(n // (4 * spark.sparkContext.defaultParallelism), 512), BLOCK, COMPONENTS // len(sample["v"][0])))
     blocks = max(1, math.ceil(n / room))
     at = scratch(spark, "codes")
     spread = classes.select("class", "v").repartition(4 * spark.sparkContext.defaultParallelism)
-    spread.mapInArrow(encoded, "class long, v array<double>, codes binary, norm float").write.parquet(at)
+    spread.mapInArrow(encoded, "class long, v array<double>, codes binary, norm double, far double").write.parquet(at)
     coded = spark.read.parquet(at)
     # distinct query vectors, each with the queries that have it
     asked = x.filter(F.col("id") % every == 0).select("id", "key", "v")
     of = cut(asked.join(classes.select("key", "v", "class"), ["key", "v"]).groupBy("id").agg(F.min("class").alias("class")))
     distinct = cut(of.select("class").distinct().join(classes.select("class", "v"), "class"))
-    if rerank is None:
-        held = distinct.select(F.xxhash64("class", F.lit(2)).alias("h"), "class", "v").orderBy("h", "class").limit(probes).select("class", "v").toArrow()
-        if not len(held):
-            return spark.createDataFrame([], empty)
-        rank = places(coded, rows_of(held["v"].combine_chunks()), held["class"].to_numpy(), shared, kind, top)
-        rerank = max(4 * top, int(rank[min(len(rank) - 1, math.ceil(recall * len(rank)))]) + 1) if len(rank) else 4 * top
-
-    def passed(give):
-        """Batches of queries past the codes of their block, for mapInArrow."""
-
-        def run(batches):
-            held, block, codes = [], None, None
-            for batch in batches:
-                code = batch["block"].to_numpy() * 2 + batch["kind"].to_numpy()
-                for rows in np.split(np.arange(len(code)), np.flatnonzero(np.diff(code)) + 1):
-                    if not len(rows):
-                        continue
-                    part, (own, is_query) = batch.slice(rows[0], len(rows)), divmod(int(code[rows[0]]), 2)
-                    if own != block:
-                        held, block, codes = [], own, None
-                    if not is_query:
-                        held.append(part)
-                        continue
-                    if held:
-                        codes, held = Codes(shared.value, held, kind), []
-                    for at in range(0, part.num_rows if codes else 0, 64):
-                        piece = part.slice(at, 64)
-                        yield give(piece["class"].to_numpy(), piece["t"].to_numpy(), codes.ids, codes.near(rows_of(piece["v"])))
-
-        return run
-
-    def tops(query, _, ids, near):
-        most = min(enough, len(ids))
-        best = -np.partition(-near, most - 1, 1)[:, :most]
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, best.size + 1, most), pa.int32()), pa.array(best.ravel()))
-        return pa.RecordBatch.from_arrays([pa.array(query), lists], names=["query", "top"])
-
-    def reached(query, t, ids, near):
-        most = min(rerank, len(ids))
-        best = np.argpartition(-near, most - 1, 1)[:, :most]
-        score = np.take_along_axis(near, best, 1)
-        over = score >= t[:, None]
-        return pa.RecordBatch.from_arrays([pa.array(np.repeat(query, over.sum(1))), pa.array(ids[best][over]), pa.array(score[over])], names=["query", "c", "score"])
-
-    def sent(queries, codes, blocks, give, schema):
-        lying = codes.select(F.pmod(F.xxhash64("class"), F.lit(blocks)).cast("int").alias("block"), F.lit(0).alias("kind"), "class", "codes", "norm", F.lit(None).cast("array<double>").alias("v"), F.lit(None).cast("float").alias("t"))
-        asking = queries.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(1).alias("kind"), "class", F.lit(None).cast("binary").alias("codes"), F.lit(None).cast("float").alias("norm"), "v", "t")
-        return lying.unionByName(asking).repartition(blocks, "block").sortWithinPartitions("block", "kind").mapInArrow(passed(give), schema)
-
-    def exactly(batches):
+    most = top + 1  # a query leaves itself out
+    rerank = rerank or 2 * top
+
+    def passed(batches):
+        """Batches of queries past the vectors of their block."""
+        held, block, codes = [], None, None
         for batch in batches:
-            for at in range(0, batch.num_rows, 4_096):
-                part = batch.slice(at, 4_096)
-                yield pa.RecordBatch.from_arrays([part["query"], part["c"], pa.array(np.einsum("ij,ij->i", rows_of(part["v"]), rows_of(part["w"])))], names=["query", "c", "score"])
-
-    lowest = F.lit(-math.inf).cast("float").alias("t")
-    queries = distinct.select("class", "v", lowest)
-    share = min(1.0, EXPECTED / rerank)
-    enough = math.ceil(share * rerank + 3 * math.sqrt(share * rerank)) + 1
-    if enough < share * n:
-        some = coded.filter(F.pmod(F.xxhash64("class", F.lit(3)), F.lit(1 << 20)) < int(share * (1 << 20)))
-        best = sent(queries, some, max(1, math.ceil(share * blocks)), tops, "query long, top array<float>")
-        # at most ``enough`` numbers of each block of the share
-        t = best.groupBy("query").agg(F.get(F.sort_array(F.flatten(F.collect_list("top")), False), F.lit(enough - 1)).alias("t"))
-        queries = cut(distinct.join(t, F.col("class") == F.col("query"), "left").select("class", "v", F.coalesce("t", lowest).alias("t")))
-    found = cut(sent(queries, coded, blocks, reached, "query long, c long, score float"))
-    full = found.groupBy("query").agg(F.count("*").alias("n")).filter(F.col("n") >= min(rerank, n))
-    short = cut(queries.filter(F.col("t") > -math.inf).join(full, F.col("class") == F.col("query"), "left_anti").select("class", "v", lowest))
-    if short.limit(1).count():
-        found = found.join(short, F.col("query") == F.col("class"), "left_anti").unionByName(sent(short, coded, blocks, reached, "query long, c long, score float"))
-    likely = Window.partitionBy("query").orderBy(F.desc("score"), "c")
-    near = cut(found.withColumn("k", F.row_number().over(likely)).filter(F.col("k") <= rerank).select("query", "c"))
-    bodies = near.join(classes.select(F.col("class").alias("c"), F.col("v").alias("w")), "c").join(distinct.select(F.col("class").alias("query"), "v"), "query")
-    found = bodies.select("query", "c", "v", "w").mapInArrow(exactly, "query long, c long, score double")
+            code = batch["block"].to_numpy() * 2 + batch["kind"].to_numpy()
+            for rows in np.split(np.arange(len(code)), np.flatnonzero(np.diff(code)) + 1):
+                if not len(rows):
+                    continue
+                part, (own, is_query) = batch.slice(rows[0], len(rows)), divmod(int(code[rows[0]]), 2)
+                if own != block:
+                    held, block, codes = [], own, None
+                if not is_query:
+                    held.append(part)
+                    continue
+                if held:
+                    codes, held = Codes(shared.value, held, kind), []
+                for at in range(0, part.num_rows if codes else 0, 64):
+                    piece = part.slice(at, 64)
+                    who, c, score = codes.best(rows_of(piece["v"]), piece["t"].to_numpy(), most, rerank)
+                    yield pa.RecordBatch.from_arrays([pa.array(piece["class"].to_numpy()[who]), pa.array(c), pa.array(score)], names=["query", "c", "score"])
+
+    def sent(queries, begin, end):
+        """Queries (class, v, t) past the blocks from ``begin`` to before ``end``."""
+        lying = coded.select(F.pmod(F.xxhash64("class"), F.lit(blocks)).cast("int").alias("block"), F.lit(0).alias("kind"), "class", "v", "codes", "norm", "far", F.lit(None).cast("double").alias("t"))
+        lying = lying.filter((F.col("block") >= begin) & (F.col("block") < end))
+        nothing = F.lit(None).cast("double")
+        asking = queries.select(F.explode(F.sequence(F.lit(begin), F.lit(end - 1))).alias("block"), F.lit(1).alias("kind"), "class", "v", F.lit(None).cast("binary").alias("codes"), nothing.alias("norm"), nothing.alias("far"), "t")
+        return lying.unionByName(asking).repartition(end - begin, "block").sortWithinPartitions("block", "kind").mapInArrow(passed, "query long, c long, score double")
+
+    lowest, part = F.lit(-math.inf), math.ceil(blocks / FIRST)
+    found = cut(sent(distinct.select("class", "v", lowest.alias("t")), 0, part))
+    if part < blocks:
+        # at most ``most`` numbers of each block of the part
+        t = found.groupBy("query").agg(F.get(F.sort_array(F.collect_list("score"), False), F.lit(most - 1)).alias("t"))
+        queries = distinct.join(t, F.col("class") == F.col("query"), "left").select("class", "v", F.coalesce("t", lowest).alias("t"))
+        found = found.unionByName(sent(queries, part, blocks))
     first = Window.partitionBy("query").orderBy(F.desc("score"), "c")
     chosen = found.withColumn("k", F.row_number().over(first)).filter(F.col("k") <= top + 1)
     scored = chosen.join(classes.select(F.col("class").alias("c"), "members"), "c")

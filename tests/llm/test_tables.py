@@ -109,6 +109,27 @@ def test_ann_ties_go_to_the_smaller_id(spark):
         assert [v for a, _, v in got if a == q] == want
 
 
+def test_ann_misses_nothing_on_other_rows(spark):
+    """Tiny, huge and mixed lengths, near copies and ties: the rows found are those of brute force."""
+    g = np.random.default_rng(7)
+    n = 700
+    x = g.normal(size=(n, 16))
+    copies = x.copy()
+    copies[:400] = x[0] + 1e-3 * x[:400]
+    rows = {"tiny": x * 1e-22, "huge": x * 1e20, "mixed": x * 10.0 ** g.integers(-12, 12, (n, 1)), "near copies": copies, "ties": np.sign(x[:, :10]), "apart": x + 100.0}
+    for name, own in rows.items():
+        own = own.astype(np.float32)
+        table = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(own)], "vec_id long, embedding array<float>")
+        got = {}
+        for r in ann.search(table, books=4, size=16).collect():
+            got.setdefault(r.query_id, {})[r.rank] = r.vec_id
+        exact = own.astype(np.float64)
+        for q in range(0, n, 20):
+            score = np.einsum("ij,ij->i", np.broadcast_to(exact[q], exact.shape), exact)
+            want = [i for i in np.lexsort((np.arange(n), -score)).tolist() if i != q][:20]
+            assert [got[q][k] for k in range(1, 21)] == want, (name, q)
+
+
 def brute_lines(rows, threshold):
     key = lambda line: "".join(c.lower() if c.isascii() else c for c in line.strip(" \t\n\r\x0b\x0c"))
     counts = Counter(k for _, t, _ in rows for k in {key(x) for x in (t or "").split("\n")} if k)

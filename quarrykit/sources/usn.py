@@ -37,19 +37,30 @@ def chain(buffer: bytes) -> tuple[list[int], bytes]:
 
 
 def records(buffer: bytes, mask: bool = False) -> pa.RecordBatch:
+    return records_of([buffer], mask)
+
+
+def records_of(buffers: list[bytes], mask: bool = False) -> pa.RecordBatch:
     """A row for each record: a node, or (with nothing but its kind) one that is malformed or of another version.
 
-    What is left behind the last record is one malformed row, unless it is shorter than a length or just a length of
-    zero. A name must lie behind the head, within its record, in whole units; empty names, ``.`` and ``..`` are left
-    out, broken UTF-16 is replaced. ``mask`` takes the sequence number off the references.
+    What is left behind the last record of a buffer is one malformed row, unless it is shorter than a length or just a
+    length of zero. A name must lie behind the head, within its record, in whole units; empty names, ``.`` and ``..`` are
+    left out, broken UTF-16 is replaced. ``mask`` takes the sequence number off the references.
     """
-    starts, rest = chain(buffer)
+    whole, base, starts, of, torn = b"".join(buffers), 0, [], [], []
+    for k, buffer in enumerate(buffers):
+        own, rest = chain(buffer)
+        starts += [base + at for at in own]
+        of += [k] * len(own)
+        if len(rest) >= 4 and rest != bytes(4):
+            torn.append(k)
+        base += len(buffer)
     begin = np.array(starts, np.int64)
-    heads = np.frombuffer(buffer, np.uint8)[begin[:, None] + np.arange(HEADER)].copy().view(HEAD)[:, 0] if starts else np.zeros(0, HEAD)
+    heads = np.frombuffer(whole, np.uint8)[begin[:, None] + np.arange(HEADER)].copy().view(HEAD)[:, 0] if starts else np.zeros(0, HEAD)
     at, size = heads["name_at"].astype(np.int64), heads["name_size"].astype(np.int64)
     known = heads["major"] == 2
     sound = known & (at >= HEADER) & (at + size <= heads["length"]) & (size % 2 == 0)
-    names = [buffer[b : b + n].decode("utf-16-le", errors="replace") if ok else None for b, n, ok in zip((begin + at).tolist(), size.tolist(), sound.tolist())]
+    names = [whole[b : b + n].decode("utf-16-le", errors="replace") if ok else None for b, n, ok in zip((begin + at).tolist(), size.tolist(), sound.tolist())]
     references = REFERENCE_MASK if mask else -1
     columns = [
         pa.array(np.where(sound, NODE, np.where(known, MALFORMED, UNSUPPORTED)).tolist(), pa.string()),
@@ -58,21 +69,38 @@ def records(buffer: bytes, mask: bool = False) -> pa.RecordBatch:
         pa.array(names, pa.string()),
         pa.array((heads["attributes"] & FOLDER) != 0, pa.bool_(), mask=~sound),
     ]
-    rows = pa.RecordBatch.from_arrays(columns, schema=ARROW).filter(pa.array([n not in ("", ".", "..") for n in names], pa.bool_()))
-    if len(rest) < 4 or rest == bytes(4):
-        return rows
-    torn = pa.RecordBatch.from_pylist([{"kind": MALFORMED}], schema=ARROW)
-    return pa.Table.from_batches([rows, torn]).combine_chunks().to_batches()[0]
+    rows = pa.RecordBatch.from_arrays(columns, schema=ARROW)
+    named = np.array([n not in ("", ".", "..") for n in names], bool)
+    if not torn:
+        return rows.filter(pa.array(named, pa.bool_()))
+    rows = pa.Table.from_batches([rows.filter(pa.array(named, pa.bool_())), pa.RecordBatch.from_pylist([{"kind": MALFORMED}] * len(torn), schema=ARROW)])
+    order = np.argsort(np.concatenate([np.array(of, np.int64)[named], np.array(torn, np.int64)]), kind="stable")  # behind its buffer's records
+    return rows.take(pa.array(order)).combine_chunks().to_batches()[0]
+
+
+def pieces(column, most: int = 1 << 22):
+    """The buffers that are not null, in lists of at most so many bytes, or of one buffer."""
+    out, size = [], 0
+    for buffer in column:
+        if not buffer.is_valid:
+            continue
+        buffer = buffer.as_py()
+        if out and size + len(buffer) > most:
+            yield out
+            out, size = [], 0
+        out.append(buffer)
+        size += len(buffer)
+    if out:
+        yield out
 
 
 def decode(buffers: DataFrame, column: str = "content", mask: bool = False) -> DataFrame:
-    """All records of all buffers; a null buffer has none."""
+    """All records of all buffers, short buffers many at a time; a null buffer has none."""
 
     def run(batches):
         for batch in batches:
-            for buffer in batch[column]:
-                if buffer.is_valid:
-                    yield records(buffer.as_py(), mask)
+            for piece in pieces(batch[column]):
+                yield records_of(piece, mask)
 
     return buffers.select(F.col(column).cast("binary").alias(column)).mapInArrow(run, SCHEMA)
 

@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -387,6 +388,17 @@ def test_journal_records(spark):
     assert tuple(usn.stats(usn.decode(table)).first()) == (2, 0, 1)
 
 
+def test_short_buffers_are_decoded_many_at_a_time(spark):
+    """Buffers of one record each leave in few batches, each buffer's rows together and in order, torn ends behind them."""
+    one = [journal((k, 5, f"n{k}", 0, 2, 60)) for k in range(3000)]
+    buffers = [*one[:1500], b"\x07\0\0\0", one[1500] + one[1501] + b"\x07\0\0\0", *one[1502:], bytes(4), b""]
+    rows = usn.records_of(buffers).to_pylist()
+    assert rows == [r for b in buffers for r in usn.records(b).to_pylist()] and len(rows) == 3002
+    lists = list(usn.pieces(pa.array([*buffers, None], pa.binary())))
+    assert len(lists) == 1 and lists[0] == buffers
+    assert [len(x) for x in usn.pieces(pa.array([b"aaaa", None, b"bbbbbb", b"c", b"d"], pa.binary()), 5)] == [1, 1, 2]
+
+
 def test_volumes_of_which_one_fails(spark, tmp_path):
     """Two good dumps, one broken, one that is not there and an empty one: two volumes and three errors, ids apart."""
     rows = [(100 + k, 5, f"이름{k}.txt", 0, 2, 60) for k in range(500)]

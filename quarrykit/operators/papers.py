@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarrykit.operators.numbering import cut
+
 # What the papers print on every page, and the notices and marks that structure them.
 BOILERPLATE = ["국가기술자격", "기술사 제", "분", "야 정보통신", "수험", "번호", "성", "명", "▶수험자", "“채점기준", "<표>"]
 SHORT_HEAD = r"(?U)(?:13\s*문제\s*중\s*10\s*문제|다음\s*문제\s*중\s*10\s*문제)[^\n]*"
@@ -170,14 +172,17 @@ def fallback_groups(text: Column) -> Column:
     return bound(lines(rest), groups)
 
 
-def structured(papers: DataFrame) -> DataFrame:
-    """(round, year, source, gyosi_estimated, period1, essay, error) of papers (source, text).
+def structured(papers: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(round, year, source, gyosi_estimated, period1, essay, error) and the columns ``keep`` of papers (source, text).
+
+    Papers are dealt out evenly and parsed once, into the shared folder: left to Spark, every filter and every use of the
+    questions would repeat the folds, in as few tasks as small texts give.
 
     A paper without a round in its name, or with less than 500 characters, has an error and no questions; it never
     stops the others.
     """
     text = F.col("text")
-    rows = papers.select("source", "text").withColumns(
+    rows = papers.select("source", "text", *keep).repartition(4 * papers.sparkSession.sparkContext.defaultParallelism).withColumns(
         {
             "round": F.regexp_extract("source", r"(?U)(\d+)\s*회", 1).try_cast("int"),
             "year": F.nullif(F.regexp_extract("source", r"(?U)\((\d{4})년\)", 1), F.lit("")),
@@ -190,12 +195,12 @@ def structured(papers: DataFrame) -> DataFrame:
     pieces = F.split(text, ESSAY_HEAD)
     noted = F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), lambda b, i: F.struct((i + 2).alias("gyosi"), with_spec(b, essay_items(b)).alias("items")))
     plain = F.transform(fallback_groups(text), lambda b, i: F.struct((i + 2).alias("gyosi"), essay_items(b).alias("items")))
-    return rows.select(
+    return cut(rows.select(
         "round", "year", "source", "gyosi_estimated",
         F.when(good, short_items(text)).alias("period1"),
         F.when(good, F.when(F.size(pieces) > 1, noted).otherwise(plain)).alias("essay"),
-        "error",
-    )
+        "error", *keep,
+    ))
 
 
 def failures(papers: DataFrame) -> DataFrame:

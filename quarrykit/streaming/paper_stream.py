@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from quarrykit.operators import papers
-from quarrykit.operators.numbering import cut
 from quarrykit.sources.versions import Versions
 
 
@@ -35,8 +34,7 @@ def upsert(batch: DataFrame, batch_id: int, out: str, writer: str) -> None:
         return
     # a name that comes twice in a batch is one paper: the later one
     own = newest(batch.select("source", "text", "arrived"), "source")
-    made = papers.structured(own).join(own.select("source", "arrived"), "source")
-    made = cut(made.select("round", "year", "source", "gyosi_estimated", "period1", "essay", "arrived", "error"))
+    made = papers.structured(own, ("arrived",)).select("round", "year", "source", "gyosi_estimated", "period1", "essay", "arrived", "error")
     good = made.filter("error is null").drop("error")
     bad = made.filter("error is not null").select("source", F.col("error").alias("reason"), "arrived")
     for table, rows, key in ((kept, good, "round"), (failed, bad, "source")):

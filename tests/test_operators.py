@@ -514,6 +514,18 @@ def test_a_continuation_of_many_lines_takes_time_in_proportion(spark):
     assert long < 8 * short + 2
 
 
+def test_papers_are_parsed_once(spark):
+    """Questions, filters and summaries of structured papers match no patterns again, and small papers fill many tasks."""
+    g = random.Random(3)
+    table = spark.createDataFrame([(f"제{k}회.txt", paper_text(g, "x"), k) for k in range(40)], "source string, text string, mark int").coalesce(1)
+    found = papers.structured(table, ("mark",))
+    assert sorted(r.mark for r in found.select("round", "mark").collect() if r.round == r.mark) == list(range(40))
+    assert found.rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
+    for use in (papers.questions(found.filter("error is null")), papers.summary(found), papers.outcome(found)):
+        plan = use._jdf.queryExecution().executedPlan().toString()
+        assert "regexp_extract" not in plan and "split(" not in plan
+
+
 def test_page_of_questions(spark):
     text = "\n".join(["13문제 중 10문제", *(f"{k}. RAG <{k}> & 신호" for k in range(1, 14)), "6문제 중 4문제", *(f"{k}. 논술 {k}" for k in range(1, 7))]) + " " * 500
     made = papers.structured(spark.createDataFrame([("제3회.txt", text)], "source string, text string"))
